@@ -8,12 +8,8 @@ SECOND_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 def _utc_micros(ts: Column) -> Column:
     """Microseconds since 1970 of the clock reading, alike for both timestamp types."""
-    return (
-        F.unix_date(F.to_date(ts)) * F.lit(86_400_000_000)
-        + F.hour(ts) * F.lit(3_600_000_000)
-        + F.minute(ts) * F.lit(60_000_000)
-        + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
-    )
+    minutes = (F.unix_date(F.to_date(ts)).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
 def timestamp_text(ts: Column) -> Column:

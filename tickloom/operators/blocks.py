@@ -10,15 +10,19 @@ the past comes to it in one of three ways:
 * `fold_blocks`     the state of a recurrence, handed from block to block
 
 Only per-block summaries are ever grouped by symbol alone: one row per symbol and block, so
-their number is bounded by the time span of the data.
+their number is bounded by the time span of the data. Data that spans a single block needs none
+of this: a group per symbol is then bounded already, and costs one shuffle.
 """
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tickloom.operators.keyed import Keys, key_list
 from tickloom.session import cut_lineage
@@ -26,20 +30,54 @@ from tickloom.session import cut_lineage
 BLOCK_DAYS = 90
 
 
-def block_of(order: Column, days: int) -> Column:
-    return F.floor(F.unix_date(F.to_date(order)) / days)
+def _day_number(order: Column) -> Column:
+    return F.unix_date(F.to_date(order))
 
 
-def with_block(df: DataFrame, order: str = "start", days: int = BLOCK_DAYS) -> DataFrame:
-    return df.withColumn("_block", block_of(F.col(order), days))
+@dataclass(frozen=True)
+class Blocks:
+    """Equal runs of days from the first day of the data on."""
+
+    first_day: int
+    days: int
+    count: int
+
+    @classmethod
+    def spanning(cls, df: DataFrame, order: str = "start", days: int = BLOCK_DAYS) -> "Blocks":
+        """Blocks over the rows of `df`: one look at a single column's least and greatest value.
+
+        Any table whose rows lie within the same span will do, ticks for their bars say.
+        """
+        day = _day_number(F.col(order))
+        first, last = df.agg(F.min(day), F.max(day)).first()
+        if first is None:
+            return cls(0, days, 1)
+        return cls(first, days, (last - first) // days + 1)
+
+    @classmethod
+    def single(cls) -> "Blocks":
+        """For series known to be short."""
+        return cls(0, 0, 1)
+
+    @property
+    def is_single(self) -> bool:
+        return self.count == 1
+
+    def mark(self, df: DataFrame, order: str) -> DataFrame:
+        number = F.floor((_day_number(F.col(order)) - self.first_day) / self.days)
+        return df.withColumn("_block", number)
+
+
+def blocks_for(df: DataFrame, order: str, blocks: Blocks | None) -> Blocks:
+    return blocks or Blocks.spanning(df, order)
 
 
 def with_lookback(
     df: DataFrame,
     rows: int,
+    blocks: Blocks,
     by: Keys = "symbol",
     order: str = "start",
-    days: int = BLOCK_DAYS,
 ) -> DataFrame:
     """Every row in its `_block`, plus copies (`_halo` true) of the `rows` rows before a block.
 
@@ -47,7 +85,7 @@ def with_lookback(
     of the blocks, not from the clock.
     """
     keys = key_list(by)
-    blocked = with_block(df, order, days)
+    blocked = blocks.mark(df, order)
     series = Window.partitionBy(*keys).orderBy("_block")
     sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
     ends = sizes.withColumn("_end", F.sum("_size").over(series)).withColumn(
@@ -91,16 +129,14 @@ def over_lookback(
     add: Callable[[DataFrame, list[str]], DataFrame],
     by: Keys = "symbol",
     order: str = "start",
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
-    """`add(df, partition keys)` adds window columns that look back at most `rows` rows.
-
-    `days=None` skips the blocks: for series known to be short.
-    """
+    """`add(df, partition keys)` adds window columns that look back at most `rows` rows."""
     keys = key_list(by)
-    if days is None:
+    blocks = blocks_for(df, order, blocks)
+    if blocks.is_single:
         return add(df, keys)
-    wide = add(with_lookback(df, rows, keys, order, days), [*keys, "_block"])
+    wide = add(with_lookback(df, rows, blocks, keys, order), [*keys, "_block"])
     return wide.filter(~F.col("_halo")).drop("_block", "_halo")
 
 
@@ -124,7 +160,7 @@ def carry_in(
     return totals.select(*keys, "_block", *scan)
 
 
-Step = Callable[[dict | None, pd.DataFrame], tuple[dict | None, pd.DataFrame]]
+Step = Callable[[dict | None, pa.Table], tuple[dict | None, pa.Table]]
 
 
 def fold_blocks(
@@ -134,63 +170,79 @@ def fold_blocks(
     state: StructType,
     by: Keys = "symbol",
     order: str = "start",
-    days: int = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """A recurrence over each key's rows in `order`.
 
     `step(state, rows)` gets the state after all earlier rows of the key (None at first) and
     the rows of one block in order; it returns the new state (None ends the series) and the
     output rows. Blocks run one after another, keys in parallel, and between two blocks only
-    the states are kept, so no task ever holds more than one block of one key. Each block's
-    result is written to the shared folder before the next one starts.
+    the states are kept, so no task ever holds more than one block of one key. The rows are
+    written to the shared folder by block first, and each block's result before the next one
+    starts. With a single block nothing is written and the result stays lazy.
     """
     keys = key_list(by)
-    blocked = with_block(df, order, days)
-    present = blocked.select("_block").dropna().distinct()
-    blocks = sorted(row["_block"] for row in present.collect())
-    emitted = StructType(list(output.fields))
-    for field in state:
-        emitted = emitted.add(f"_state_{field.name}", field.dataType)
-    emitted = emitted.add("_is_state", "boolean")
-    # Nullable integers, so that a missing value does not turn a column into floats.
-    integers = {f.name: "Int64" for f in output if isinstance(f.dataType, LongType)}
-
-    def runner(rows: pd.DataFrame, carried: pd.DataFrame | None) -> pd.DataFrame:
-        before = None
-        if carried is not None and len(carried):
-            before = {f.name: carried.iloc[0][f.name] for f in state}
-        if len(rows):
-            after, out = step(before, rows.sort_values(order, kind="stable"))
-        else:
-            after, out = before, pd.DataFrame(columns=output.names)
-        out = out.astype(integers).assign(_is_state=False)
+    blocks = blocks_for(df, order, blocks)
+    if blocks.is_single:
+        parts = [df]
+    else:
+        stored = cut_lineage(blocks.mark(df, order), ("_block",))
+        present = stored.select("_block").dropna().distinct().collect()
+        parts = [
+            stored.filter(F.col("_block") == number).drop("_block")
+            for number in sorted(row["_block"] for row in present)
+        ]
+
+    emitted = StructType()
+    for field in output:
+        emitted.add(field.name, field.dataType)
+    for key in keys:
+        emitted.add(f"_key_{key}", df.schema[key].dataType)
+    emitted.add("_state", state)
+    arrow = to_arrow_schema(emitted)
+
+    def emit(before: dict | None, rows: pa.Table, key: dict) -> pa.Table:
+        after, out = before, None
+        if rows.num_rows:
+            after, out = step(before, rows.sort_by(order))
+        tables = []
+        if out is not None and out.num_rows:
+            unset = [pa.nulls(out.num_rows, field.type) for field in list(arrow)[len(output) :]]
+            columns = [*out.columns, *unset]
+            tables.append(pa.Table.from_arrays(columns, names=arrow.names).cast(arrow))
         if after is not None:
-            key_source = rows if len(rows) else carried
-            last = {k: key_source.iloc[0][k] for k in keys}
-            last |= {f"_state_{name}": value for name, value in after.items()}
-            out = pd.concat([out, pd.DataFrame([last | {"_is_state": True}])], ignore_index=True)
-        return out.reindex(columns=emitted.names)
+            last = {f"_key_{k}": key[k] for k in keys} | {"_state": after}
+            tables.append(pa.Table.from_pylist([last], schema=arrow))
+        return pa.concat_tables(tables) if tables else arrow.empty_table()
+
+    def first_block(rows: pa.Table) -> pa.Table:
+        return emit(None, rows, rows.select(keys).slice(0, 1).to_pylist()[0])
+
+    def later_block(rows: pa.Table, carried: pa.Table) -> pa.Table:
+        key = (rows if rows.num_rows else carried).select(keys).slice(0, 1).to_pylist()[0]
+        before = carried["_state"][0].as_py() if carried.num_rows else None
+        return emit(before, rows, key)
 
     done, carried = [], None
-    for i, block in enumerate(blocks):
-        part = blocked.filter(F.col("_block") == block).drop("_block")
+    for place, part in enumerate(parts):
+        rows = part.groupBy(*keys)
         if carried is None:
-            result = part.groupBy(*keys).applyInPandas(lambda rows: runner(rows, None), emitted)
+            result = rows.applyInArrow(first_block, emitted)
         else:
-            result = (
-                part.groupBy(*keys)
-                .cogroup(carried.groupBy(*keys))
-                .applyInPandas(runner, emitted)
-            )
-        if i + 1 < len(blocks):
+            result = rows.cogroup(carried.groupBy(*keys)).applyInArrow(later_block, emitted)
+        if place + 1 < len(parts):
             result = cut_lineage(result)
-            carried = result.filter("_is_state").select(
-                *keys, *[F.col(f"_state_{f.name}").alias(f.name) for f in state]
+            carried = result.filter(F.col("_state").isNotNull()).select(
+                *[F.col(f"_key_{k}").alias(k) for k in keys], "_state"
             )
-        done.append(result.filter(~F.col("_is_state")).select(*output.names))
-    if not done:
-        return df.sparkSession.createDataFrame([], output)
-    merged = done[0]
-    for part in done[1:]:
-        merged = merged.unionByName(part)
-    return merged
+        done.append(result.filter(F.col("_state").isNull()).select(*output.names))
+    return reduce(DataFrame.unionByName, done)
+
+
+def arrow_table(rows: list[tuple], schema: StructType) -> pa.Table:
+    """Rows as an Arrow table of the schema's types."""
+    arrow = to_arrow_schema(schema)
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays(
+        [pa.array(list(values), field.type) for values, field in zip(columns, arrow)], schema=arrow
+    )

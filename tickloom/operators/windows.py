@@ -1,15 +1,17 @@
 """Rolling, running and recursive columns over each symbol's rows in time order.
 
 `partition` is what the rows are grouped by: the symbol, or the symbol and its block. The
-DataFrame functions cut series into blocks (see `blocks`); the column functions do not care.
+DataFrame functions cut long series into blocks (see `blocks`; without the argument they look
+at the span of the data); the column functions leave that to the caller.
 """
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from tickloom.operators.blocks import BLOCK_DAYS, carry_in, fold_blocks, over_lookback, with_block
+from tickloom.operators.blocks import Blocks, blocks_for, carry_in, fold_blocks, over_lookback
 from tickloom.operators.keyed import Keys, key_list
 
 
@@ -47,7 +49,7 @@ def rolling_std(
     n: int = 10,
     by: Keys = "symbol",
     order: str = "start",
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Adds the sample deviation of the last n rows; `columns` maps new names to sources."""
 
@@ -56,7 +58,7 @@ def rolling_std(
             {name: rolling_std_of(F.col(c), n, partition, order) for name, c in columns.items()}
         )
 
-    return over_lookback(df, n - 1, add, by, order, days)
+    return over_lookback(df, n - 1, add, by, order, blocks)
 
 
 def rolling_mean(
@@ -64,7 +66,7 @@ def rolling_mean(
     columns: dict[str, tuple[str, int]],
     by: Keys = "symbol",
     order: str = "start",
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Adds means of the last n rows; `columns` maps new names to (source, n)."""
 
@@ -76,7 +78,7 @@ def rolling_mean(
             }
         )
 
-    return over_lookback(df, max(n for _, n in columns.values()) - 1, add, by, order, days)
+    return over_lookback(df, max(n for _, n in columns.values()) - 1, add, by, order, blocks)
 
 
 def rolling_sum(
@@ -86,14 +88,14 @@ def rolling_sum(
     n: int = 10,
     by: Keys = "symbol",
     order: str = "start",
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Sum of the last n rows, or of all rows while there are fewer."""
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
         return wide.withColumn(name, F.sum(column).over(trailing(partition, order, n)))
 
-    return over_lookback(df, n - 1, add, by, order, days)
+    return over_lookback(df, n - 1, add, by, order, blocks)
 
 
 def lag_prev(
@@ -101,7 +103,7 @@ def lag_prev(
     columns: dict[str, str],
     by: Keys = "symbol",
     order: str = "start",
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """The previous row's values."""
 
@@ -109,7 +111,7 @@ def lag_prev(
         window = Window.partitionBy(*partition).orderBy(order)
         return wide.withColumns({name: F.lag(c, 1).over(window) for name, c in columns.items()})
 
-    return over_lookback(df, 1, add, by, order, days)
+    return over_lookback(df, 1, add, by, order, blocks)
 
 
 def countdown(
@@ -118,7 +120,7 @@ def countdown(
     top: int = 9,
     by: Keys = "symbol",
     order: str = "start",
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """top, top-1, ... 0, 0 from the first row of a series on."""
 
@@ -126,7 +128,7 @@ def countdown(
         seen = F.count(F.lit(1)).over(trailing(partition, order, top + 1))
         return wide.withColumn(name, F.lit(top + 1) - seen)
 
-    return over_lookback(df, top, add, by, order, days)
+    return over_lookback(df, top, add, by, order, blocks)
 
 
 def _with_carried(blocked: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,11 +141,14 @@ def running_sum(
     column: str,
     by: Keys = "symbol",
     order: str = "start",
-    days: int = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Sum of the column over the row and all rows before it."""
     keys = key_list(by)
-    blocked = with_block(df, order, days)
+    blocks = blocks_for(df, order, blocks)
+    if blocks.is_single:
+        return df.withColumn(name, F.sum(column).over(so_far(keys, order)))
+    blocked = blocks.mark(df, order)
     carried = carry_in(
         blocked,
         keys,
@@ -167,11 +172,19 @@ def forward_fill(
     columns: dict[str, str],
     by: Keys = "symbol",
     order: str = "start",
-    days: int = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """The latest known value at or before each row; `columns` maps new names to sources."""
     keys = key_list(by)
-    blocked = with_block(df, order, days)
+    blocks = blocks_for(df, order, blocks)
+
+    def latest(partition: list[str]) -> dict[str, Column]:
+        window = so_far(partition, order)
+        return {n: F.last(c, ignorenulls=True).over(window) for n, c in columns.items()}
+
+    if blocks.is_single:
+        return df.withColumns(latest(keys))
+    blocked = blocks.mark(df, order)
     carried = carry_in(
         blocked,
         keys,
@@ -186,11 +199,10 @@ def forward_fill(
             for name in columns
         },
     )
-    window = so_far([*keys, "_block"], order)
     filled = _with_carried(blocked, carried, keys).withColumns(
         {
-            name: F.coalesce(F.last(c, ignorenulls=True).over(window), F.col(f"_carried_{name}"))
-            for name, c in columns.items()
+            name: F.coalesce(value, F.col(f"_carried_{name}"))
+            for name, value in latest([*keys, "_block"]).items()
         }
     )
     return filled.drop("_block", *[f"_carried_{name}" for name in columns])
@@ -213,18 +225,18 @@ def ema_fold(
     alpha: float = 2 / 11,
     by: Keys = "symbol",
     order: str = "start",
-    days: int = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """prev + alpha * (x - prev), starting with the series' first value."""
 
-    def step(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
-        values = rows[column].reset_index(drop=True)
+    kept = [c for c in df.columns if c != name]
+
+    def step(state: dict | None, rows: pa.Table) -> tuple[dict, pa.Table]:
+        values = rows[column].to_pandas()
         if state is not None:
             values = pd.concat([pd.Series([state["ema"]]), values], ignore_index=True)
-        smooth = values.ewm(alpha=alpha, adjust=False).mean()
-        if state is not None:
-            smooth = smooth.iloc[1:]
-        return {"ema": float(smooth.iloc[-1])}, rows.assign(**{name: smooth.to_numpy()})
+        smooth = values.ewm(alpha=alpha, adjust=False).mean().to_numpy()[-rows.num_rows :]
+        return {"ema": float(smooth[-1])}, rows.select(kept).append_column(name, pa.array(smooth))
 
-    output = StructType([f for f in df.schema if f.name != name]).add(name, DoubleType())
-    return fold_blocks(df, step, output, StructType().add("ema", "double"), by, order, days)
+    output = StructType([df.schema[c] for c in kept]).add(name, DoubleType())
+    return fold_blocks(df, step, output, StructType().add("ema", "double"), by, order, blocks)

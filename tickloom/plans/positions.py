@@ -2,12 +2,12 @@
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from tickloom.operators.blocks import BLOCK_DAYS, fold_blocks
+from tickloom.operators.blocks import Blocks, arrow_table, fold_blocks
 from tickloom.operators.keyed import dedup_keep_last, latest_per_key
 from tickloom.operators.stop import (
     Bar,
@@ -79,8 +79,8 @@ def apply_orders(ledger: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def bars_of(rows: pd.DataFrame) -> Iterator[Bar]:
-    return map(Bar._make, zip(*(rows[c].tolist() for c in BAR_COLUMNS)))
+def bars_of(rows: pa.Table) -> Iterator[Bar]:
+    return map(Bar._make, zip(*(rows[c].to_pylist() for c in BAR_COLUMNS)))
 
 
 _STOP_FIELDS = (
@@ -103,7 +103,7 @@ def _stop_values(position: Position) -> tuple:
     )
 
 
-def trailing_stop(position_bars: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
+def trailing_stop(position_bars: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Controller and stop on every bar of each position (symbol, position_time).
 
     The first bar holds the initial values; its direction is the position's. Every position is
@@ -114,17 +114,15 @@ def trailing_stop(position_bars: DataFrame, days: int = BLOCK_DAYS) -> DataFrame
     for field in _STOP_FIELDS:
         output = output.add(field)
 
-    def step(state: dict | None, rows: pd.DataFrame) -> tuple[dict, pd.DataFrame]:
+    def step(state: dict | None, rows: pa.Table) -> tuple[dict, pa.Table]:
         position, values = from_state(state), []
+        key = (rows["symbol"][0].as_py(), rows["position_time"][0].as_py())
         for bar in bars_of(rows):
             position = (
                 open_position(bar.position_type, bar) if position is None else follow(position, bar)
             )
-            values.append((bar.start, position.position_type, *_stop_values(position)))
-        out = pd.DataFrame(values, columns=output.names[2:])
-        out.insert(0, "symbol", rows["symbol"].iloc[0])
-        out.insert(1, "position_time", rows["position_time"].iloc[0])
-        return to_state(position), out
+            values.append((*key, bar.start, position.position_type, *_stop_values(position)))
+        return to_state(position), arrow_table(values, output)
 
     columns = [c for c in BAR_COLUMNS if c not in ("trigger", "close")]
     bars = position_bars.select(
@@ -132,7 +130,7 @@ def trailing_stop(position_bars: DataFrame, days: int = BLOCK_DAYS) -> DataFrame
         F.lit(False).alias("trigger"), F.lit(0.0).alias("close"),
     )
     state = position_state(schema["start"].dataType)
-    return fold_blocks(bars, step, output, state, ["symbol", "position_time"], "start", days)
+    return fold_blocks(bars, step, output, state, ["symbol", "position_time"], "start", blocks)
 
 
 def lifecycle_schema(time_type) -> StructType:
@@ -165,7 +163,7 @@ def lifecycle_row(symbol: str, bar: Bar, price: float, outcome) -> tuple:
     )
 
 
-def position_lifecycle(signals: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
+def position_lifecycle(signals: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Entries, exits and the stop of each symbol, bar by bar.
 
     One row per bar on which a position is open or has just been left. A symbol may leave and
@@ -174,18 +172,18 @@ def position_lifecycle(signals: DataFrame, days: int = BLOCK_DAYS) -> DataFrame:
     time_type = signals.schema["start"].dataType
     output = lifecycle_schema(time_type)
 
-    def step(state: dict | None, rows: pd.DataFrame) -> tuple[dict | None, pd.DataFrame]:
+    def step(state: dict | None, rows: pa.Table) -> tuple[dict | None, pa.Table]:
         position, values = from_state(state), []
-        symbol = rows["symbol"].iloc[0]
-        for bar, price in zip(bars_of(rows), rows["price"].tolist()):
+        symbol = rows["symbol"][0].as_py()
+        for bar, price in zip(bars_of(rows), rows["price"].to_pylist()):
             outcome = next_bar(position, bar)
             position = outcome.position
             if position is not None or outcome.exited:
                 values.append(lifecycle_row(symbol, bar, price, outcome))
-        return to_state(position), pd.DataFrame(values, columns=output.names)
+        return to_state(position), arrow_table(values, output)
 
     rows = signals.select("symbol", "price", *BAR_COLUMNS)
-    return fold_blocks(rows, step, output, position_state(time_type), "symbol", "start", days)
+    return fold_blocks(rows, step, output, position_state(time_type), "symbol", "start", blocks)
 
 
 def lifecycle_orders(lifecycle: DataFrame) -> DataFrame:

@@ -6,14 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.numbers import quotient, row_max
-from tickloom.operators.blocks import (
-    BLOCK_DAYS,
-    carry_in,
-    over_lookback,
-    with_block,
-    with_lookback,
-)
+from tickloom.operators.blocks import Blocks, blocks_for, carry_in, over_lookback, with_lookback
 from tickloom.operators.keyed import tail_rows
+from tickloom.session import cut_lineage
 from tickloom.operators.windows import rolling_mean_of, rolling_std_of, so_far
 
 SD_ROWS = 10
@@ -36,27 +31,27 @@ def _add_volatility(bars: DataFrame, partition: list[str], order: str) -> DataFr
 
 
 def volatility(
-    history: DataFrame, order: str = "start", days: int | None = BLOCK_DAYS
+    history: DataFrame, order: str = "start", blocks: Blocks | None = None
 ) -> DataFrame:
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
         return _add_volatility(wide, partition, order)
 
-    return over_lookback(history, SD_ROWS - 1, add, "symbol", order, days)
+    return over_lookback(history, SD_ROWS - 1, add, "symbol", order, blocks)
 
 
 def baseline_volatility(
     history: DataFrame,
     last_n: int | None = None,
     order: str = "start",
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Mean volatility of each instrument over its history, or over its last n bars only."""
     columns = history.select("instrument_token", "symbol", order, "high", "low")
     if last_n is None:
-        rows = volatility(columns, order, days)
+        rows = volatility(columns, order, blocks)
     else:
         near = tail_rows(columns, last_n + SD_ROWS - 1, "symbol", order)
-        rows = tail_rows(volatility(near, order, None), last_n, "symbol", order)
+        rows = tail_rows(volatility(near, order, Blocks.single()), last_n, "symbol", order)
     return rows.groupBy("instrument_token", "symbol").agg(F.avg("sd").alias("avg_sd"))
 
 
@@ -65,7 +60,7 @@ def breakout_scan(
     as_of: date | str,
     sd_factor: float = 4,
     natr_min: float = 0.3,
-    days: int | None = BLOCK_DAYS,
+    blocks: Blocks | None = None,
 ) -> DataFrame:
     """Bars of one day whose volatility is far above the mean of the last day before it.
 
@@ -88,7 +83,7 @@ def breakout_scan(
             {"atr": atr, "natr": quotient(atr, F.col("close")) * 100}
         )
 
-    panel = over_lookback(bars, SD_ROWS - 1, add, "symbol", "date", days).withColumn("day", day)
+    panel = over_lookback(bars, SD_ROWS - 1, add, "symbol", "date", blocks).withColumn("day", day)
     daily = panel.groupBy("symbol", "day").agg(
         F.coalesce(F.sum("sd"), F.lit(0.0)).alias("sd_sum"), F.count("sd").alias("sd_count")
     )
@@ -135,7 +130,7 @@ def _add_panel(bars: DataFrame, partition: list[str]) -> DataFrame:
 
 
 def indicator_panel(
-    bars: DataFrame, tail: int | None = 25, days: int | None = BLOCK_DAYS
+    bars: DataFrame, tail: int | None = 25, blocks: Blocks | None = None
 ) -> DataFrame:
     """Deviation, moving averages, range and macd of each bar.
 
@@ -144,7 +139,7 @@ def indicator_panel(
     """
     if tail is not None:
         return _add_panel(tail_rows(bars, tail), ["symbol"]).select(*bars.columns, *PANEL_COLUMNS)
-    return over_lookback(bars, PANEL_LOOKBACK, _add_panel, days=days).select(
+    return over_lookback(bars, PANEL_LOOKBACK, _add_panel, blocks=blocks).select(
         *bars.columns, *PANEL_COLUMNS
     )
 
@@ -179,12 +174,14 @@ def _add_swings_by_block(directed: DataFrame) -> DataFrame:
 
     Of each block only its last island can go on in the next. Blocks without a change lengthen
     the island of the block before them, so a running count of blocks with one groups those
-    that share an island.
+    that share an island. The rows are written out before the two passes over them.
     """
     keys = ["symbol", "_block"]
     local = directed.withColumn("_island", F.sum("_changed").over(so_far(keys, "start")))
     inside = so_far([*keys, "_island"], "start")
-    local = local.withColumns({"_max": F.max("high").over(inside), "_min": F.min("low").over(inside)})
+    local = cut_lineage(
+        local.withColumns({"_max": F.max("high").over(inside), "_min": F.min("low").over(inside)})
+    )
     last = F.max_by(F.struct("_island", "_max", "_min"), F.col("start"))
     open_island = Window.partitionBy("symbol", "_chain").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, 0
@@ -228,15 +225,16 @@ def _add_swings_by_block(directed: DataFrame) -> DataFrame:
     )
 
 
-def swing_segments(panel: DataFrame, days: int | None = BLOCK_DAYS) -> DataFrame:
+def swing_segments(panel: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """Direction of each bar, number of its swing, and the swing's extremes up to the bar.
 
     The extremes look at earlier bars only, so that a signal on past bars never knows the
     future; on a symbol's last bar they are those of the whole swing.
     """
-    if days is None:
+    blocks = blocks_for(panel, "start", blocks)
+    if blocks.is_single:
         return _add_swings(_add_direction(panel, ["symbol"]))
-    wide = _add_direction(with_lookback(panel, 1, days=days), ["symbol", "_block"])
+    wide = _add_direction(with_lookback(panel, 1, blocks), ["symbol", "_block"])
     return _add_swings_by_block(wide.filter(~F.col("_halo")).drop("_halo"))
 
 
@@ -289,22 +287,23 @@ def reversal_signal(
 def live_signals(bars: DataFrame, tail: int = 25, **thresholds: float) -> DataFrame:
     """The signal of each symbol's last bar, judged on its last bars alone."""
     panel = indicator_panel(bars, tail)
-    return reversal_signal(swing_segments(panel, None), last_only=True, **thresholds)
+    return reversal_signal(swing_segments(panel, Blocks.single()), last_only=True, **thresholds)
 
 
 def signal_history(
-    bars: DataFrame, days: int | None = BLOCK_DAYS, **thresholds: float
+    bars: DataFrame, blocks: Blocks | None = None, **thresholds: float
 ) -> DataFrame:
     """The signal of every bar, over whole histories.
 
-    Panel, direction and swings share one look-back and one shuffle by (symbol, block).
+    Panel, direction and swings share one shuffle, by symbol or by symbol and block.
     """
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
         return _add_direction(_add_panel(wide, partition), partition)
 
-    if days is None:
+    blocks = blocks_for(bars, "start", blocks)
+    if blocks.is_single:
         return reversal_signal(_add_swings(add(bars, ["symbol"])), **thresholds)
-    wide = add(with_lookback(bars, PANEL_LOOKBACK + 1, days=days), ["symbol", "_block"])
+    wide = add(with_lookback(bars, PANEL_LOOKBACK + 1, blocks), ["symbol", "_block"])
     rows = wide.filter(~F.col("_halo")).drop("_halo")
     return reversal_signal(_add_swings_by_block(rows), **thresholds)

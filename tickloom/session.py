@@ -1,6 +1,7 @@
 """Session settings and the shared folder for checkpoints."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tickloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return tempfile.mkdtemp(prefix="tickloom-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once, so that lost executors cost no recomputation."""
+def cut_lineage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write `df` to the shared folder and read it back.
+
+    Later jobs read only the columns and partitions they need, and a lost executor costs no
+    recomputation of what came before. The table stays until the folder is cleared.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/tickloom-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -107,7 +107,7 @@ def ohlc_bars_with_sd(spark, folder):
         CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS position)""",
 )
 def backfill_ticks(spark, folder):
-    return rounded(bar_plans.backfill_ticks(t.with_baseline(t.bars_type(spark, folder)), 30))
+    return rounded(bar_plans.backfill_ticks(t.with_baseline(t.bars_type(spark, folder), t.blocks(spark, folder)), 30))
 
 
 @query(
@@ -116,7 +116,9 @@ def backfill_ticks(spark, folder):
         SELECT instrument_token, symbol, {o.fixed('avg_sd')} AS avg_sd FROM base""",
 )
 def baseline_volatility(spark, folder):
-    return rounded(signal_plans.baseline_volatility(t.bars_user(spark, folder)))
+    return rounded(signal_plans.baseline_volatility(
+        t.bars_user(spark, folder), blocks=t.blocks(spark, folder)
+    ))
 
 
 @query(
@@ -139,7 +141,9 @@ def baseline_volatility_last_30(spark, folder):
         WHERE last_price <> 0 OR last_price IS NULL""",
 )
 def enrich_ticks(spark, folder):
-    usual = signal_plans.baseline_volatility(t.bars_user(spark, folder))
+    usual = signal_plans.baseline_volatility(
+        t.bars_user(spark, folder), blocks=t.blocks(spark, folder)
+    )
     return rounded(bar_plans.enrich_ticks(t.ticks_user(spark, folder), usual))
 
 
@@ -220,7 +224,7 @@ def bar_messages(spark, folder):
 )
 def breakout_scan(spark, folder):
     history = t.bars_type(spark, folder).withColumnRenamed("start", "date")
-    return rounded(signal_plans.breakout_scan(history, AS_OF, SD_FACTOR), natr=4)
+    return rounded(signal_plans.breakout_scan(history, AS_OF, SD_FACTOR, blocks=t.blocks(spark, folder)), natr=4)
 
 
 _PANEL_OUT = (
@@ -233,7 +237,7 @@ _PANEL_OUT = (
 @query("indicator_panel", f"WITH {o.BARS['type']}, {o.panel()} SELECT {_PANEL_OUT} FROM panel")
 def indicator_panel(spark, folder):
     bars = t.bars_type(spark, folder)
-    return rounded(signal_plans.indicator_panel(bars, tail=None), natr=3)
+    return rounded(signal_plans.indicator_panel(bars, tail=None, blocks=t.blocks(spark, folder)), natr=3)
 
 
 _LAST_25 = """near AS (SELECT * FROM bars
@@ -255,9 +259,9 @@ def indicator_panel_tail(spark, folder):
         FROM segments""",
 )
 def swing_segments(spark, folder):
-    panel = signal_plans.indicator_panel(t.bars_type(spark, folder), tail=None)
+    panel = signal_plans.indicator_panel(t.bars_type(spark, folder), tail=None, blocks=t.blocks(spark, folder))
     return rounded(
-        signal_plans.swing_segments(panel).select(
+        signal_plans.swing_segments(panel, t.blocks(spark, folder)).select(
             "symbol", "start", "macd", "position_type", "group_id", "local_maxima", "local_minima"
         )
     )
@@ -271,8 +275,8 @@ def swing_segments(spark, folder):
           min(low) OVER (PARTITION BY symbol, group_id) AS local_minima FROM segments""",
 )
 def swing_extremes(spark, folder):
-    panel = signal_plans.indicator_panel(t.bars_type(spark, folder), tail=None)
-    return signal_plans.swing_extremes(signal_plans.swing_segments(panel)).select(
+    panel = signal_plans.indicator_panel(t.bars_type(spark, folder), tail=None, blocks=t.blocks(spark, folder))
+    return signal_plans.swing_extremes(signal_plans.swing_segments(panel, t.blocks(spark, folder))).select(
         "symbol", "start", "group_id", "local_maxima", "local_minima"
     )
 
@@ -283,18 +287,18 @@ _SIGNAL_OUT = (
 )
 
 
-def signals_of(bars):
-    return signal_plans.signal_history(t.with_baseline(bars), sd_factor=SD_FACTOR)
+def signals_of(bars, span):
+    return signal_plans.signal_history(t.with_baseline(bars, span), span, sd_factor=SD_FACTOR)
 
 
 @query("reversal_signal", f"WITH {o.signal_chain('type')} SELECT {_SIGNAL_OUT} FROM signals")
 def reversal_signal(spark, folder):
-    return rounded(signals_of(t.bars_type(spark, folder)))
+    return rounded(signals_of(t.bars_type(spark, folder), t.blocks(spark, folder)))
 
 
 @query("reversal_signal_user", f"WITH {o.signal_chain('user')} SELECT {_SIGNAL_OUT} FROM signals")
 def reversal_signal_user(spark, folder):
-    return rounded(signals_of(t.bars_user(spark, folder)))
+    return rounded(signals_of(t.bars_user(spark, folder), t.blocks(spark, folder)))
 
 
 _LIVE = f"""near AS (SELECT * FROM bars_sd
@@ -309,7 +313,7 @@ _LIVE = f"""near AS (SELECT * FROM bars_sd
         QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY start DESC) = 1""",
 )
 def live_signals(spark, folder):
-    bars = t.with_baseline(t.bars_user(spark, folder))
+    bars = t.with_baseline(t.bars_user(spark, folder), t.blocks(spark, folder))
     return rounded(signal_plans.live_signals(bars, sd_factor=SD_FACTOR))
 
 
@@ -327,7 +331,9 @@ def _bars_query(name: str, columns: str, extra: str = ""):
 )
 def rolling_std(spark, folder):
     bars = t.bars_type(spark, folder).select("symbol", "start", "high", "low")
-    out = windows.rolling_std(bars, {"sd_high": "high", "sd_low": "low"}, 10)
+    out = windows.rolling_std(
+        bars, {"sd_high": "high", "sd_low": "low"}, 10, blocks=t.blocks(spark, folder)
+    )
     return rounded(out.select("symbol", "start", "sd_high", "sd_low"))
 
 
@@ -338,7 +344,7 @@ def rolling_std(spark, folder):
 def rolling_mean(spark, folder):
     bars = t.bars_type(spark, folder).select("symbol", "start", "close")
     means = {f"mave_{n}": ("close", n) for n in (5, 8, 16)}
-    return rounded(windows.rolling_mean(bars, means).drop("close"))
+    return rounded(windows.rolling_mean(bars, means, blocks=t.blocks(spark, folder)).drop("close"))
 
 
 @_bars_query(
@@ -359,13 +365,13 @@ def true_range(spark, folder):
             }
         )
 
-    return rounded(windows.over_lookback(bars, 2, add).drop("range"))
+    return rounded(windows.over_lookback(bars, 2, add, blocks=t.blocks(spark, folder)).drop("range"))
 
 
 @_bars_query("rolling_sum", f"{o.fixed(f'sum(close) OVER {o.series(10)}')} AS total")
 def rolling_sum(spark, folder):
     bars = t.bars_type(spark, folder).select("symbol", "start", "close")
-    return rounded(windows.rolling_sum(bars, "total", "close").drop("close"))
+    return rounded(windows.rolling_sum(bars, "total", "close", blocks=t.blocks(spark, folder)).drop("close"))
 
 
 @_bars_query(
@@ -377,7 +383,7 @@ def running_sum(spark, folder):
     bars = t.bars_type(spark, folder).select(
         "symbol", "start", (F.col("close") > F.col("open")).cast("bigint").alias("rose")
     )
-    return windows.running_sum(bars, "risen", "rose", days=7).drop("rose")
+    return windows.running_sum(bars, "risen", "rose", blocks=t.blocks(spark, folder)).drop("rose")
 
 
 @_bars_query(
@@ -386,7 +392,7 @@ def running_sum(spark, folder):
 )
 def lag_prev(spark, folder):
     bars = t.bars_type(spark, folder).select("symbol", "start", "close")
-    return windows.lag_prev(bars, {"prev_close": "close"}).drop("close")
+    return windows.lag_prev(bars, {"prev_close": "close"}, blocks=t.blocks(spark, folder)).drop("close")
 
 
 @_bars_query(
@@ -395,7 +401,8 @@ def lag_prev(spark, folder):
     "AS lag_number",
 )
 def countdown(spark, folder):
-    return windows.countdown(t.bars_type(spark, folder).select("symbol", "start"))
+    bars = t.bars_type(spark, folder).select("symbol", "start")
+    return windows.countdown(bars, blocks=t.blocks(spark, folder))
 
 
 @query(
@@ -409,12 +416,13 @@ def countdown(spark, folder):
         FROM holed""",
 )
 def forward_fill(spark, folder):
+    span = t.blocks(spark, folder)
     bars = t.bars_type(spark, folder).select("symbol", "start", "close", F.lit(1).alias("one"))
-    numbered = windows.running_sum(bars, "place", "one", days=7)
+    numbered = windows.running_sum(bars, "place", "one", blocks=span)
     holed = numbered.select(
         "symbol", "start", F.when(F.col("place") % 3 != 0, F.col("close")).alias("part")
     )
-    return windows.forward_fill(holed, {"filled": "part"}, days=7)
+    return windows.forward_fill(holed, {"filled": "part"}, blocks=span)
 
 
 @query(
@@ -440,7 +448,7 @@ def tail_n(spark, folder):
 )
 def ema_fold(spark, folder):
     bars = t.bars_type(spark, folder).select("symbol", "start", "close")
-    return rounded(windows.ema_fold(bars, "ema", "close").drop("close"))
+    return rounded(windows.ema_fold(bars, "ema", "close", blocks=t.blocks(spark, folder)).drop("close"))
 
 
 @query(

@@ -171,7 +171,8 @@ life AS (
   SELECT {_STATE} FROM ({_stopped(_step(later))})),
 lifecycle AS (
   SELECT symbol, start, exited, entered, price, kind AS position_type, since AS position_time,
-    controller, constant AS controller_constant, greatest(10 - bars, 0)::BIGINT AS lag_number,
+    controller, constant AS controller_constant, 
+    CASE WHEN bars IS NOT NULL THEN greatest(10 - bars, 0) END::BIGINT AS lag_number,
     controller_sd, stop_loss FROM life WHERE exited OR kind IS NOT NULL)"""
 
 

@@ -20,8 +20,8 @@ _LIFE_OUT = (
 )
 
 
-def lifecycle_of(bars):
-    return position_plans.position_lifecycle(signals_of(bars))
+def lifecycle_of(bars, span):
+    return position_plans.position_lifecycle(signals_of(bars, span), span)
 
 
 def _recursive(kind: str) -> str:
@@ -30,12 +30,12 @@ def _recursive(kind: str) -> str:
 
 @query("position_lifecycle", f"{_recursive('user')} SELECT {_LIFE_OUT} FROM lifecycle")
 def position_lifecycle(spark, folder):
-    return rounded(lifecycle_of(t.bars_user(spark, folder)))
+    return rounded(lifecycle_of(t.bars_user(spark, folder), t.blocks(spark, folder)))
 
 
 @query("position_lifecycle_type", f"{_recursive('type')} SELECT {_LIFE_OUT} FROM lifecycle")
 def position_lifecycle_type(spark, folder):
-    return rounded(lifecycle_of(t.bars_type(spark, folder)))
+    return rounded(lifecycle_of(t.bars_type(spark, folder), t.blocks(spark, folder)))
 
 
 @query(
@@ -48,7 +48,7 @@ def position_lifecycle_type(spark, folder):
         FROM lifecycle WHERE entered""",
 )
 def lifecycle_orders(spark, folder):
-    return rounded(position_plans.lifecycle_orders(lifecycle_of(t.bars_user(spark, folder))))
+    return rounded(position_plans.lifecycle_orders(lifecycle_of(t.bars_user(spark, folder), t.blocks(spark, folder))))
 
 
 @query(
@@ -66,10 +66,10 @@ def lifecycle_orders(spark, folder):
 )
 def trailing_stop(spark, folder):
     """Every symbol's position from its first trigger on, never left."""
-    signals = signals_of(t.bars_user(spark, folder))
+    signals = signals_of(t.bars_user(spark, folder), t.blocks(spark, folder))
     first = signals.filter("trigger").groupBy("symbol").agg(F.min("start").alias("position_time"))
     held = signals.join(first, "symbol").filter(F.col("start") >= F.col("position_time"))
-    return rounded(position_plans.trailing_stop(held))
+    return rounded(position_plans.trailing_stop(held, t.blocks(spark, folder)))
 
 
 CUT = "2024-01-26"
@@ -90,7 +90,7 @@ CUT = "2024-01-26"
 )
 def exit_signal(spark, folder):
     bars = t.bars_user(spark, folder)
-    held = lifecycle_of(bars).filter(
+    held = lifecycle_of(bars, t.blocks(spark, folder)).filter(
         F.col("position_type").isNotNull() & (F.col("start") < F.lit(CUT).cast("date"))
     )
     return position_plans.exit_signal(held, bars)
@@ -107,7 +107,7 @@ def exit_signal(spark, folder):
         WHERE NOT ledger.position AND last."trigger" """,
 )
 def entry_signal(spark, folder):
-    signals = signals_of(t.bars_user(spark, folder))
+    signals = signals_of(t.bars_user(spark, folder), t.blocks(spark, folder))
     return rounded(position_plans.entry_signal(signals, t.ledger(spark, folder)))
 
 

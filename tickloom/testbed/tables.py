@@ -6,6 +6,7 @@ Plain selects that read alike in SQL (see `oracle`), so that every job has real
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.blocks import Blocks
 from tickloom.plans.bars import ohlc_bars
 from tickloom.plans.signals import baseline_volatility
 
@@ -46,9 +47,14 @@ def bars_user(spark: SparkSession, folder: str) -> DataFrame:
     return ohlc_bars(ticks_user(spark, folder), "1 day").select(*BUSINESS_COLUMNS)
 
 
-def with_baseline(bars: DataFrame) -> DataFrame:
+def blocks(spark: SparkSession, folder: str) -> Blocks:
+    """The span of all ticks, and so of all bars."""
+    return Blocks.spanning(table(spark, folder, "events"), "ts")
+
+
+def with_baseline(bars: DataFrame, span: Blocks) -> DataFrame:
     """Bars with the avg_sd of their symbol."""
-    usual = baseline_volatility(bars).select("symbol", "avg_sd")
+    usual = baseline_volatility(bars, blocks=span).select("symbol", "avg_sd")
     return bars.join(usual, "symbol", "left")
 
 
