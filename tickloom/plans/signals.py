@@ -157,10 +157,10 @@ def _add_direction(panel: DataFrame, partition: list[str]) -> DataFrame:
     )
 
 
-def _add_swings(directed: DataFrame) -> DataFrame:
-    """Island numbers and running extremes where a symbol's rows all share one group."""
-    island = directed.withColumn("group_id", F.sum("_changed").over(so_far("symbol", "start")))
-    inside = so_far(["symbol", "group_id"], "start")
+def _add_swings(directed: DataFrame, partition: list[str]) -> DataFrame:
+    """Island numbers and running extremes where a series' rows all share one group."""
+    island = directed.withColumn("group_id", F.sum("_changed").over(so_far(partition, "start")))
+    inside = so_far([*partition, "group_id"], "start")
     return island.withColumns(
         {
             "local_maxima": F.max("high").over(inside),
@@ -233,7 +233,7 @@ def swing_segments(panel: DataFrame, blocks: Blocks | None = None) -> DataFrame:
     """
     blocks = blocks_for(panel, "start", blocks)
     if blocks.is_single:
-        return _add_swings(_add_direction(panel, ["symbol"]))
+        return _add_swings(_add_direction(panel, ["symbol"]), ["symbol"])
     wide = _add_direction(with_lookback(panel, 1, blocks), ["symbol", "_block"])
     return _add_swings_by_block(wide.filter(~F.col("_halo")).drop("_halo"))
 
@@ -303,7 +303,44 @@ def signal_history(
 
     blocks = blocks_for(bars, "start", blocks)
     if blocks.is_single:
-        return reversal_signal(_add_swings(add(bars, ["symbol"])), **thresholds)
+        return reversal_signal(_add_swings(add(bars, ["symbol"]), ["symbol"]), **thresholds)
     wide = add(with_lookback(bars, PANEL_LOOKBACK + 1, blocks), ["symbol", "_block"])
     rows = wide.filter(~F.col("_halo")).drop("_halo")
     return reversal_signal(_add_swings_by_block(rows), **thresholds)
+
+
+def signals_bar_by_bar(
+    bars: DataFrame,
+    tail: int = 25,
+    wanted: Column | None = None,
+    blocks: Blocks | None = None,
+    **thresholds: float,
+) -> DataFrame:
+    """For each bar the signal that `live_signals` gave when it was the last one.
+
+    Every bar is copied to the bars whose tail it belongs to, at most `tail` of them, and each
+    tail is judged on its own. With `wanted` only tails from a series' first wanted bar on are
+    built, and only the signals of wanted bars returned: a stream's new bars, say.
+    """
+    asked = F.lit(True) if wanted is None else wanted
+
+    def add(wide: DataFrame, partition: list[str]) -> DataFrame:
+        in_order = Window.partitionBy(*partition).orderBy("start")
+        whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        placed = wide.withColumn("_wanted", asked).withColumn("_place", F.row_number().over(in_order))
+        placed = placed.withColumns(
+            {
+                "_first": F.min(F.when(F.col("_wanted"), F.col("_place"))).over(whole),
+                "_last": F.max("_place").over(whole),
+            }
+        )
+        start = F.greatest("_place", "_first")
+        end = F.least(F.col("_place") + tail - 1, "_last")
+        tails = placed.filter(F.col("_first").isNotNull() & (start <= end)).withColumn(
+            "_at", F.explode(F.sequence(start, end))
+        )
+        own = [*partition, "_at"]
+        segments = _add_swings(_add_direction(_add_panel(tails, own), own), own)
+        return segments.filter(F.col("_wanted") & (F.col("_place") == F.col("_at")))
+
+    return reversal_signal(over_lookback(bars, tail - 1, add, blocks=blocks), **thresholds)

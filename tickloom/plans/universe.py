@@ -51,10 +51,15 @@ def load_history(
 ) -> DataFrame:
     """History rows of the universe between two days, both included, with the symbol added.
 
-    The bounds compare the stored column itself, so they reach the scan.
+    The bounds compare the stored columns themselves, so they reach the scan; a history stored
+    by `day` (see `sources.files.write_history`) opens only the days asked for.
     """
-    first, after = F.lit(str(from_date)).cast("date"), F.date_add(F.lit(str(to_date)).cast("date"), 1)
+    first, last = (F.lit(str(day)).cast("date") for day in (from_date, to_date))
     kind = history.schema["date"].dataType
-    rows = history.filter((F.col("date") >= first.cast(kind)) & (F.col("date") < after.cast(kind)))
+    rows = history.filter(
+        (F.col("date") >= first.cast(kind)) & (F.col("date") < F.date_add(last, 1).cast(kind))
+    )
+    if "day" in history.columns:
+        rows = rows.filter(F.col("day").between(first, last)).drop("day")
     names = universe.select("instrument_token", "symbol")
     return rows.drop("symbol").join(names, "instrument_token")

@@ -1,5 +1,7 @@
 """SQL building blocks for checking the jobs against another engine."""
 
+from tickloom.testbed.registry import NUDGE
+
 TICKS_TYPE = (
     "ticks AS (SELECT CAST(NULL AS BIGINT) AS instrument_token, event_type AS symbol, "
     "value AS last_price, ts AS date, event_id AS seq FROM events)"
@@ -34,8 +36,8 @@ def full(function: str, column: str, n: int, order: str = "start") -> str:
 
 
 def fixed(expression: str, digits: int = 6) -> str:
-    """Rounded, without a negative zero."""
-    return f"(round({expression}, {digits}) + 0.0)::DOUBLE"
+    """Rounded as `registry.rounded` does, without a negative zero."""
+    return f"(round({expression} + {NUDGE}::DOUBLE, {digits}) + 0.0)::DOUBLE"
 
 
 VOLATILITY = f"""vol0 AS (
