@@ -15,6 +15,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "tickloo
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small inputs, costly steps: keep a task per core rather than one task per megabyte.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
