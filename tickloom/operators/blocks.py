@@ -82,7 +82,8 @@ def with_lookback(
     """Every row in its `_block`, plus copies (`_halo` true) of the `rows` rows before a block.
 
     Exact for gaps of any length: how far back a block must look is found from the row counts
-    of the blocks, not from the clock.
+    of the blocks, not from the clock. Only the ends of blocks are shuffled for it, thinned out
+    on the map side; the rows themselves move once, for the window that follows.
     """
     keys = key_list(by)
     blocked = blocks.mark(df, order)
@@ -108,18 +109,15 @@ def with_lookback(
         ).alias("_reached"),
     )
     backwards = Window.partitionBy(*keys, "_block").orderBy(F.desc(order))
-    placed = blocked.withColumn("_from_end", F.row_number().over(backwards))
-    goal = "array<struct<block:bigint,halo:boolean>>"
-    own = F.array(F.struct(F.col("_block").alias("block"), F.lit(False).alias("halo")))
-    copies = F.transform(
-        F.filter("_reached", lambda x: x["gap"] + F.col("_from_end") <= rows),
-        lambda x: F.struct(x["block"].alias("block"), F.lit(True).alias("halo")),
+    tails = blocked.withColumn("_from_end", F.row_number().over(backwards)).filter(
+        F.col("_from_end") <= rows
     )
-    fanned = placed.join(reached, [*keys, "_block"], "left").withColumn(
-        "_goal", F.explode(F.concat(own.cast(goal), F.coalesce(copies, F.array().cast(goal))))
+    goals = F.filter("_reached", lambda x: x["gap"] + F.col("_from_end") <= rows)
+    copies = tails.join(reached, [*keys, "_block"]).select(
+        *df.columns, F.explode(F.transform(goals, lambda x: x["block"])).alias("_block")
     )
-    return fanned.select(
-        *df.columns, F.col("_goal.block").alias("_block"), F.col("_goal.halo").alias("_halo")
+    return blocked.withColumn("_halo", F.lit(False)).unionByName(
+        copies.withColumn("_halo", F.lit(True))
     )
 
 

@@ -1,8 +1,8 @@
 """Entries, exits and trailing stops of positions."""
 
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
@@ -79,8 +79,31 @@ def apply_orders(ledger: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
-def bars_of(rows: pa.Table) -> Iterator[Bar]:
-    return map(Bar._make, zip(*(rows[c].to_pylist() for c in BAR_COLUMNS)))
+class BarRows:
+    """Bars of an Arrow table by number, made only when asked for."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        self.numbers = {
+            name: rows[name].to_numpy()
+            for name in BAR_COLUMNS
+            if name not in ("start", "trigger", "position_type")
+        }
+        self.triggers = np.flatnonzero(pc.fill_null(rows["trigger"], False).to_numpy())
+
+    def __getitem__(self, i: int) -> Bar:
+        numbers = {name: float(column[i]) for name, column in self.numbers.items()}
+        return Bar(
+            start=self.rows["start"][i].as_py(),
+            trigger=self.rows["trigger"][i].as_py(),
+            position_type=self.rows["position_type"][i].as_py(),
+            **numbers,
+        )
+
+    def next_trigger(self, i: int) -> int:
+        """Number of the first bar from i on with a trigger, or the number of bars."""
+        place = np.searchsorted(self.triggers, i)
+        return int(self.triggers[place]) if place < len(self.triggers) else self.rows.num_rows
 
 
 _STOP_FIELDS = (
@@ -117,7 +140,9 @@ def trailing_stop(position_bars: DataFrame, blocks: Blocks | None = None) -> Dat
     def step(state: dict | None, rows: pa.Table) -> tuple[dict, pa.Table]:
         position, values = from_state(state), []
         key = (rows["symbol"][0].as_py(), rows["position_time"][0].as_py())
-        for bar in bars_of(rows):
+        bars = BarRows(rows)
+        for i in range(rows.num_rows):
+            bar = bars[i]
             position = (
                 open_position(bar.position_type, bar) if position is None else follow(position, bar)
             )
@@ -175,11 +200,17 @@ def position_lifecycle(signals: DataFrame, blocks: Blocks | None = None) -> Data
     def step(state: dict | None, rows: pa.Table) -> tuple[dict | None, pa.Table]:
         position, values = from_state(state), []
         symbol = rows["symbol"][0].as_py()
-        for bar, price in zip(bars_of(rows), rows["price"].to_pylist()):
+        bars, i = BarRows(rows), 0
+        while True:
+            if position is None:  # nothing happens to a flat symbol before its next trigger
+                i = bars.next_trigger(i)
+            if i >= rows.num_rows:
+                break
+            bar = bars[i]
             outcome = next_bar(position, bar)
             position = outcome.position
-            if position is not None or outcome.exited:
-                values.append(lifecycle_row(symbol, bar, price, outcome))
+            values.append(lifecycle_row(symbol, bar, rows["price"][i].as_py(), outcome))
+            i += 1
         return to_state(position), arrow_table(values, output)
 
     rows = signals.select("symbol", "price", *BAR_COLUMNS)

@@ -6,6 +6,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 from tickloom.functions import clock, codec, numbers
 from tickloom.plans import account as account_plans
 from tickloom.plans import positions as position_plans
+from tickloom.session import cut_lineage
 from tickloom.testbed import oracle as o
 from tickloom.testbed import tables as t
 from tickloom.testbed.batch_queries import _r, signals_of
@@ -66,7 +67,7 @@ def lifecycle_orders(spark, folder):
 )
 def trailing_stop(spark, folder):
     """Every symbol's position from its first trigger on, never left."""
-    signals = signals_of(t.bars_user(spark, folder), t.blocks(spark, folder))
+    signals = cut_lineage(signals_of(t.bars_user(spark, folder), t.blocks(spark, folder)))
     first = signals.filter("trigger").groupBy("symbol").agg(F.min("start").alias("position_time"))
     held = signals.join(first, "symbol").filter(F.col("start") >= F.col("position_time"))
     return rounded(position_plans.trailing_stop(held, t.blocks(spark, folder)))
