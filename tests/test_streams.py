@@ -100,6 +100,25 @@ def test_tails_stay_small(spark, tmp_path):
     assert {r["count"] for r in counts} == {25}
 
 
+def test_warm_start(spark, tmp_path):
+    """Bars stored before the stream began count in its first signals."""
+    df = ticks(spark).persist()
+    early = F.col("date") < F.lit("2024-01-01 09:50:00").cast("timestamp")
+    usual = spark.createDataFrame([("A", 0.3), ("M&M", 0.3)], "symbol string, avg_sd double")
+    stored = jobs.warm_tails(ohlc_bars(df.filter(early)), usual)
+    tails = VersionedTable(spark, str(tmp_path / "tails"), stored)
+    stage = jobs.SignalStage(tails, out(tmp_path / "position"), thresholds=THRESHOLDS)
+    send_ticks(df.filter(~early), tmp_path / "trigger", (0, 300, 421))
+    stream = read_records(spark, folder(tmp_path / "trigger"), schemas.TICK)
+    jobs.bar_job(stream, stage, str(tmp_path / "cp")).awaitTermination()
+    got = messages_of(spark, tmp_path / "position", schemas.SIGNAL).drop("seq")
+    closed = ohlc_bars(df).filter("end <= timestamp'2024-01-01 10:24:57'")
+    want = signals_bar_by_bar(closed, blocks=Blocks.single(), **THRESHOLDS)
+    late = want.filter(F.col("start") >= F.lit("2024-01-01 09:50:00").cast("timestamp"))
+    assert late.count() == 68
+    assert_same(got, late.select(*got.columns))
+
+
 def signal_topic(spark, base, parts):
     signals = signals_bar_by_bar(
         random_bars(spark, symbols=2, bars=160, gap_days=0.01, avg_sd=0.2),

@@ -47,6 +47,11 @@ def enrich_ticks(ticks: DataFrame, reference: DataFrame) -> DataFrame:
     return kept.join(added, "instrument_token", "left")
 
 
+def stamp_ingest(ticks: DataFrame) -> DataFrame:
+    """Live ticks dated with the second at which they are taken in."""
+    return ticks.withColumn("date", F.date_trunc("second", F.current_timestamp()))
+
+
 def backfill_ticks(bars: DataFrame, n: int = 30) -> DataFrame:
     """The last n bars of each symbol as four ticks each: open, high, low, close.
 

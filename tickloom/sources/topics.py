@@ -40,11 +40,13 @@ def read_records(spark: SparkSession, topic: dict, schema: StructType) -> DataFr
 def write_records(df: DataFrame, topic: dict, columns: list[str], batch_id: int) -> None:
     """One JSON message per row, sent from the executors.
 
-    A folder topic gets one subfolder per batch, overwritten when the batch is run again; a
+    A `seq` column of `df` gives a folder topic its order of arrival; without one it is the
+    batch's number. A folder topic gets one subfolder per batch, overwritten when the batch is run again; a
     broker may see a repeated batch twice, so readers must go by keys.
     """
     kind, options = _split(topic)
-    messages = df.select(json_encode(df, columns).alias("value"), F.lit(batch_id).cast("long").alias("seq"))
+    seq = F.col("seq") if "seq" in df.columns else F.lit(batch_id).cast("long")
+    messages = df.select(json_encode(df, columns).alias("value"), seq.alias("seq"))
     if kind == "kafka":
         named = {("topic" if k == "subscribe" else k): v for k, v in options.items()}
         messages.select("value").write.format(kind).options(**named).save()

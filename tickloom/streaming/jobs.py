@@ -72,6 +72,13 @@ def enrich_job(
 # --- bars and signals ---------------------------------------------------------------------
 
 
+def warm_tails(history: DataFrame, usual: DataFrame, tail: int = 25) -> DataFrame:
+    """The last stored bars of each symbol, with its avg_sd: a stage's table before any tick."""
+    known = usual.select("symbol", "avg_sd")
+    last = tail_rows(history.drop("avg_sd"), tail).join(known, "symbol", "left")
+    return last.select(*schemas.BAR.names)
+
+
 class SignalStage:
     """Keeps the last bars of each symbol and judges every bar that arrives.
 
@@ -220,7 +227,9 @@ def position_job(
     lifecycle = follow_positions(read_records(spark, signals, schemas.SIGNAL))
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        write_records(lifecycle_orders(batch), out, ORDER_MESSAGE, batch_id)
+        told = lifecycle_orders(batch)
+        in_order = told.withColumn("seq", F.unix_micros("start") * 2 + F.col("step"))
+        write_records(in_order, out, ORDER_MESSAGE, batch_id)
 
     return start(lifecycle.writeStream.foreachBatch(send), checkpoint, trigger)
 
@@ -248,14 +257,12 @@ class AccountStage:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         ledger, budgets = self.ledger.before(batch_id), self.budgets.before(batch_id)
-        step = F.when(F.col("type") == "exit", 0).otherwise(1)
         orders = (
-            batch.withColumn("_step", step)
-            .join(ledger.select("account_id", "symbol"), "symbol")
+            batch.join(ledger.select("account_id", "symbol"), "symbol")
             .join(budgets, "account_id")
             .persist()
         )
-        by, order = "account_id", ["seq", "start", "_step"]
+        by, order = "account_id", "seq"
         try:
             admitted = capital_admission(
                 orders, ledger, by, F.col("budget"), self.position_value, order

@@ -19,6 +19,7 @@ from tickloom.testbed import tables as t
 from tickloom.testbed.batch_queries import _SIGNAL_OUT, SD_FACTOR, signals_of
 from tickloom.testbed.registry import query, rounded
 
+# The events span thirty days: three runs.
 BATCH_DAYS = 12
 
 
@@ -166,13 +167,53 @@ def positions_stream(spark, folder):
     return rounded(_messages(spark, f"{base}/orders", schemas.ORDER))
 
 
-@query("account_stream")
-def account_stream(spark, folder):
-    """Orders in several runs against a ledger that starts flat; the intents told.
+def _runs(count: int) -> str:
+    """Admission and settlement of `count` runs, each on the ledger and budget of the one before."""
+    steps = [
+        f"""ledger0 AS (SELECT symbol, margin FROM ledger),
+        numbered AS (SELECT *, (batch - (SELECT min(batch) FROM orders_in)) // {BATCH_DAYS} AS run
+          FROM orders_in),
+        firsts AS (SELECT * FROM numbered
+          QUALIFY row_number() OVER (PARTITION BY run, symbol ORDER BY seq) = 1),
+        open0 AS (SELECT symbol, NULL::VARCHAR AS position_type, 0.0::DOUBLE AS quantity,
+          0.0::DOUBLE AS value FROM ledger0 WHERE false),
+        budget0 AS (SELECT 200000.0::DOUBLE AS budget)"""
+    ]
+    for k in range(count):
+        steps.append(
+            f"""summed{k} AS (
+          SELECT f.symbol, f.position_type, round_even(100000 / f.price, 0) AS quantity,
+            100000 / l.margin AS value, sum(100000 / l.margin) OVER (
+              ORDER BY 100000 / l.margin, f.symbol
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+          FROM firsts f JOIN ledger0 l ON l.symbol = f.symbol
+          WHERE f.run = {k} AND f.type = 'entry'
+            AND f.symbol NOT IN (SELECT symbol FROM open{k})),
+        admitted{k} AS (SELECT symbol, position_type, quantity, value FROM summed{k}
+          WHERE running < (SELECT budget FROM budget{k})),
+        settled{k} AS (SELECT o.* FROM open{k} o JOIN firsts f ON f.symbol = o.symbol
+          WHERE f.run = {k} AND f.type = 'exit'),
+        budget{k + 1} AS (SELECT budget - coalesce((SELECT sum(value) FROM admitted{k}), 0)
+          + coalesce((SELECT sum(value) FROM settled{k}), 0) AS budget FROM budget{k}),
+        open{k + 1} AS (
+          SELECT * FROM open{k} WHERE symbol NOT IN (SELECT symbol FROM settled{k})
+          UNION ALL SELECT * FROM admitted{k})"""
+        )
+    told = " UNION ALL ".join(
+        f"""SELECT symbol, CASE position_type WHEN 'long' THEN 'BUY' ELSE 'SELL' END AS side,
+            quantity, {k} AS batch FROM admitted{k}
+          UNION ALL
+          SELECT symbol, CASE position_type WHEN 'long' THEN 'SELL' ELSE 'BUY' END,
+            quantity, {k} FROM settled{k}"""
+        for k in range(count)
+    )
+    return f"""WITH {o.ORDERS_IN}, {o.LEDGER}, {", ".join(steps)}
+        SELECT 'main' AS account_id, 'place' AS action, * FROM ({told})"""
 
-    An order message carries no order of arrival within a run, so one symbol's orders of a run
-    go exit first.
-    """
+
+@query("account_stream", _runs(3))
+def account_stream(spark, folder):
+    """Orders in several runs against a ledger that starts flat; the intents told."""
     base = _scratch(spark)
     orders = t.orders_in(spark, folder).withColumn("start", F.lit(None).cast("timestamp"))
     batches = Blocks.spanning(orders, "batch", BATCH_DAYS)
