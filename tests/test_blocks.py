@@ -37,6 +37,8 @@ def test_span(bars):
     assert whole.is_single
     assert replace(whole, days=1).count == 1
     assert Blocks.spanning(bars.limit(0)).is_single
+    first, last = bars.select(F.to_date(F.min("start")), F.to_date(F.max("start"))).first()
+    assert Blocks.between(first, last, 7) == Blocks.spanning(bars, "start", 7)
 
 
 @pytest.mark.parametrize("days", [1, *DAYS])

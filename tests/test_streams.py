@@ -26,7 +26,7 @@ THRESHOLDS = {"sd_factor": 0.5, "natr_min": 0.0}
 
 
 def folder(path, per_trigger=1):
-    return {"format": "parquet", "path": str(path), "maxFilesPerTrigger": str(per_trigger), "recursiveFileLookup": "true"}
+    return {"format": "parquet", "path": str(path), "maxFilesPerTrigger": str(per_trigger)}
 
 
 def out(path):
@@ -230,6 +230,15 @@ def test_enriched_ticks_and_status(spark, tmp_path):
     assert [tuple(r) for r in table.version(1).collect()] == [(7, "2024-01-01 10:00:01", "COMPLETE")]
 
 
+def test_rejects_are_kept(spark, tmp_path):
+    texts = ['{"symbol": "A", "type": "exit"}', "no json", "{}"]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], MESSAGE)
+    rows.write.parquet(str(tmp_path / "orders"))
+    topic = folder(tmp_path / "orders")
+    jobs.reject_job(spark, topic, schemas.ORDER, str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination()
+    assert {r.value for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == set(texts[1:])
+
+
 def test_late_ticks(spark, tmp_path):
     """A tick behind the watermark is lost once the watermark has moved, and not before."""
     at = datetime(2024, 1, 1, 9, 15)

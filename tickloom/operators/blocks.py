@@ -16,6 +16,7 @@ of this: a group per symbol is then bounded already, and costs one shuffle.
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 import pyarrow as pa
@@ -54,6 +55,11 @@ class Blocks:
             return cls(0, days, 1)
         return cls(first, days, (last - first) // days + 1)
 
+    @classmethod
+    def between(cls, first: date, last: date, days: int = BLOCK_DAYS) -> "Blocks":
+        """Blocks over a known range of days, for rows that were loaded by it."""
+        return cls((first - date(1970, 1, 1)).days, days, (last - first).days // days + 1)
+
     @classmethod
     def single(cls) -> "Blocks":
         """For series known to be short."""

@@ -2,7 +2,8 @@
 
 A topic is a dict of reader or writer options with a `format`. `kafka` takes Spark's connector
 options (the connector must be on the class path); any file format takes a `path` whose files
-hold `value` (text) and `seq` (long) columns.
+hold `value` (text) and `seq` (long) columns. Messages to a broker are keyed by symbol, so that
+one symbol's messages share a partition and its offsets tell their order.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ def read_topic(spark: SparkSession, topic: dict) -> DataFrame:
         return reader.load().select(
             F.col("value").cast("string").alias("value"), F.col("offset").alias("seq")
         )
-    return reader.schema(MESSAGE).load()
+    return reader.schema(MESSAGE).option("recursiveFileLookup", "true").load()
 
 
 def read_records(spark: SparkSession, topic: dict, schema: StructType) -> DataFrame:
@@ -46,10 +47,13 @@ def write_records(df: DataFrame, topic: dict, columns: list[str], batch_id: int)
     """
     kind, options = _split(topic)
     seq = F.col("seq") if "seq" in df.columns else F.lit(batch_id).cast("long")
-    messages = df.select(json_encode(df, columns).alias("value"), seq.alias("seq"))
+    key = F.col("symbol") if "symbol" in df.columns else F.lit(None)
+    messages = df.select(
+        key.cast("string").alias("key"), json_encode(df, columns).alias("value"), seq.alias("seq")
+    )
     if kind == "kafka":
         named = {("topic" if k == "subscribe" else k): v for k, v in options.items()}
-        messages.select("value").write.format(kind).options(**named).save()
+        messages.select("key", "value").write.format(kind).options(**named).save()
         return
     path = f"{options.pop('path')}/batch={batch_id}"
-    messages.write.format(kind).options(**options).mode("overwrite").save(path)
+    messages.select("value", "seq").write.format(kind).options(**options).mode("overwrite").save(path)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType, TimestampType
 
 from tickloom import schemas
+from tickloom.functions.codec import json_rejects
 from tickloom.operators.blocks import Blocks
 from tickloom.operators.keyed import latest_per_key, tail_rows
 from tickloom.operators.stop import (
@@ -40,7 +41,7 @@ from tickloom.plans.account import (
 from tickloom.plans.bars import enrich_ticks, ohlc_bars
 from tickloom.plans.positions import BAR_COLUMNS, lifecycle_orders, lifecycle_row, lifecycle_schema
 from tickloom.plans.signals import signals_bar_by_bar
-from tickloom.sources.topics import read_records, write_records
+from tickloom.sources.topics import read_records, read_topic, write_records
 from tickloom.streaming.store import VersionedTable
 
 SIGNAL_MESSAGE = [f.name for f in schemas.SIGNAL]
@@ -69,6 +70,19 @@ def enrich_job(
     return start(enriched.writeStream.foreachBatch(send), checkpoint, trigger)
 
 
+def reject_job(
+    spark: SparkSession,
+    topic: dict,
+    schema: StructType,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The messages that do not decode, kept as they came."""
+    broken = json_rejects(read_topic(spark, topic), schema)
+    return start(broken.writeStream.format("parquet").option("path", path), checkpoint, trigger)
+
+
 # --- bars and signals ---------------------------------------------------------------------
 
 
@@ -205,7 +219,8 @@ def _advance_symbol(
         if outcome and (outcome.position is not None or outcome.exited):
             values.append(lifecycle_row(key[0], bar, price, outcome))
     state.update((symbol.text(),))
-    yield pd.DataFrame(values, columns=lifecycle_schema(TimestampType()).names)
+    if values:
+        yield pd.DataFrame(values, columns=lifecycle_schema(TimestampType()).names)
 
 
 def follow_positions(signals: DataFrame) -> DataFrame:

@@ -52,10 +52,6 @@ def _plain_time(df: DataFrame) -> DataFrame:
 
 
 def _topic(path: str) -> dict:
-    return {"format": "parquet", "path": path, "recursiveFileLookup": "true"}
-
-
-def _sink(path: str) -> dict:
     return {"format": "parquet", "path": path}
 
 
@@ -131,7 +127,7 @@ def signals_stream(spark, folder):
     empty = spark.createDataFrame([], schemas.BAR)
     stage = jobs.SignalStage(
         VersionedTable(spark, f"{base}/tails", empty),
-        _sink(f"{base}/position"),
+        _topic(f"{base}/position"),
         thresholds={"sd_factor": SD_FACTOR},
     )
     jobs.bar_job(ticks, stage, f"{base}/cp", width="1 hour").awaitTermination()
@@ -160,9 +156,9 @@ def positions_stream(spark, folder):
     marked = batches.mark(stored, "start")
     for number in range(batches.count):
         part = marked.filter(F.col("_block") == number)
-        write_records(part, _sink(f"{base}/position"), schemas.SIGNAL.names, number)
+        write_records(part, _topic(f"{base}/position"), schemas.SIGNAL.names, number)
         jobs.position_job(
-            spark, _topic(f"{base}/position"), _sink(f"{base}/orders"), f"{base}/cp"
+            spark, _topic(f"{base}/position"), _topic(f"{base}/orders"), f"{base}/cp"
         ).awaitTermination()
     return rounded(_messages(spark, f"{base}/orders", schemas.ORDER))
 
@@ -232,6 +228,6 @@ def account_stream(spark, folder):
     )
     for number in range(batches.count):
         part = marked.filter(F.col("_block") == number)
-        write_records(part, _sink(f"{base}/orders"), schemas.ORDER.names, number)
+        write_records(part, _topic(f"{base}/orders"), schemas.ORDER.names, number)
         jobs.account_job(spark, _topic(f"{base}/orders"), stage, f"{base}/cp").awaitTermination()
     return rounded(spark.read.parquet(f"{base}/intents"))
