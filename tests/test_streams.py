@@ -11,12 +11,12 @@ from helpers import assert_same, random_bars
 from tickloom import schemas
 from tickloom.operators.blocks import Blocks
 from tickloom.plans.account import capital_admission
-from tickloom.plans.bars import ohlc_bars
+from tickloom.plans.bars import bar_messages, merge_bars, minute_bars, ohlc_bars
 from tickloom.plans.positions import lifecycle_orders, position_lifecycle
 from tickloom.plans.signals import signals_bar_by_bar
 from tickloom.sources.topics import MESSAGE, read_records, write_records
 from tickloom.streaming import jobs
-from tickloom.streaming.store import VersionedTable
+from tickloom.streaming.store import BarLog, VersionedTable
 
 BAR_TABLE = (
     "instrument_token long, symbol string, start timestamp, `end` timestamp, open double, "
@@ -230,6 +230,30 @@ def test_enriched_ticks_and_status(spark, tmp_path):
     assert [tuple(r) for r in table.version(1).collect()] == [(7, "2024-01-01 10:00:01", "COMPLETE")]
 
 
+def test_merged_bars_and_their_messages(spark, tmp_path):
+    df = ticks(spark, 10).persist()
+    send_ticks(df, tmp_path / "trigger", (0, 7, 8, 31, 60))
+    at = datetime(2024, 1, 1, 9, 15)
+    stored = spark.createDataFrame(
+        [("A", at, 1.0, 500.0, 99.0, 2.0, "kept"), ("B", at, 1.0, 2.0, 0.5, 1.5, "other")],
+        "symbol string, date timestamp, open double, high double, low double, close double, key string",
+    )
+    log = BarLog(spark, str(tmp_path / "log"), stored)
+    stream = read_records(spark, folder(tmp_path / "trigger"), schemas.TICK)
+    jobs.merge_job(stream, log, str(tmp_path / "messages"), str(tmp_path / "cp")).awaitTermination()
+    want = merge_bars(stored, minute_bars(df))
+    assert_same(log.bars(), want, ["symbol", "date"])
+    first = {r.symbol: r for r in log.bars().collect() if r.date == at}
+    assert (first["A"].open, first["A"].high, first["A"].key) == (1.0, 500.0, "kept")
+    assert first["B"].close == 1.5
+    told = spark.read.parquet(str(tmp_path / "messages"))
+    last = told.groupBy("key").agg(F.max_by("message", "batch").alias("message"))
+    assert_same(last, bar_messages(want.filter("symbol <> 'B'"), "date"), ["key"])
+    before = log.bars().collect()
+    log.append(df.filter("seq >= 31"), 3)  # a repeated batch changes nothing
+    assert sorted(map(str, log.bars().collect())) == sorted(map(str, before))
+
+
 def test_rejects_are_kept(spark, tmp_path):
     texts = ['{"symbol": "A", "type": "exit"}', "no json", "{}"]
     rows = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], MESSAGE)

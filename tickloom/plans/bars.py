@@ -1,6 +1,6 @@
 """Ticks to bars, bars to ticks, bars merged and turned into messages."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.clock import epoch_nanos, round_minute, timestamp_text
@@ -8,7 +8,9 @@ from tickloom.functions.codec import json_encode
 from tickloom.operators.keyed import tail_rows
 
 
-def ohlc_bars(ticks: DataFrame, width: str = "60 seconds", watermark: str = "2 seconds") -> DataFrame:
+def ohlc_bars(
+    ticks: DataFrame, width: str = "60 seconds", watermark: str = "2 seconds"
+) -> DataFrame:
     """Open, high, low, close and the last avg_sd per instrument and window.
 
     First and last mean order of arrival, given by the long column `seq` (a topic offset). A
@@ -84,7 +86,9 @@ def merge_bars(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
     The stored open and key stay, high and low widen, the close is the batch's.
     """
-    new = batch.withColumn("new_key", bar_key(batch, "date")) if "new_key" not in batch.columns else batch
+    new = batch
+    if "new_key" not in batch.columns:
+        new = batch.withColumn("new_key", bar_key(batch, "date"))
     joined = stored.select("symbol", "date", "open", "high", "low", "close", "key").join(
         new.select("symbol", "date", "max", "min", "first", "last", "new_key"),
         ["symbol", "date"],
@@ -101,7 +105,7 @@ def merge_bars(stored: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def bar_key(bars: DataFrame, date: str = "start"):
+def bar_key(bars: DataFrame, date: str = "start") -> Column:
     """symbol:nanoseconds, the key under which a bar is stored."""
     return F.concat(bars["symbol"], F.lit(":"), epoch_nanos(bars[date]).cast("string"))
 

@@ -38,11 +38,11 @@ from tickloom.plans.account import (
     ledger_after,
     order_status_snapshot,
 )
-from tickloom.plans.bars import enrich_ticks, ohlc_bars
+from tickloom.plans.bars import bar_messages, enrich_ticks, ohlc_bars
 from tickloom.plans.positions import BAR_COLUMNS, lifecycle_orders, lifecycle_row, lifecycle_schema
 from tickloom.plans.signals import signals_bar_by_bar
 from tickloom.sources.topics import read_records, read_topic, write_records
-from tickloom.streaming.store import VersionedTable
+from tickloom.streaming.store import BarLog, VersionedTable
 
 SIGNAL_MESSAGE = [f.name for f in schemas.SIGNAL]
 ORDER_MESSAGE = [f.name for f in schemas.ORDER]
@@ -144,6 +144,19 @@ def bar_job(
     return start(bars.writeStream.outputMode(mode).foreachBatch(stage), checkpoint, trigger)
 
 
+def merge_job(
+    ticks: DataFrame, log: BarLog, messages: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Minute bars merged batch by batch, and the touched ones as keyed messages."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, batch_id)
+        told = bar_messages(log.changed_by(batch_id), "date")
+        told.write.mode("overwrite").parquet(f"{messages}/batch={batch_id}")
+
+    return start(ticks.writeStream.foreachBatch(merge), checkpoint, trigger)
+
+
 # --- positions ----------------------------------------------------------------------------
 
 

@@ -1,6 +1,9 @@
-"""Tables kept between micro-batches, one version per batch."""
+"""Tables kept between micro-batches: one version per batch, or a log of changes."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.plans.bars import merge_bars, minute_bars
 
 
 class VersionedTable:
@@ -34,3 +37,47 @@ class VersionedTable:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self._folder(version))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class BarLog:
+    """Minute bars as stored ones plus what each batch of ticks adds to them, by day.
+
+    A batch writes only its own bars, into a folder that a repeated run overwrites, so its cost
+    does not grow with the history. Merging is a partial aggregate in batch order; how a run of
+    ticks was cut into batches does not show in the result.
+    """
+
+    SCHEMA = (
+        "symbol string, date timestamp, max double, min double, first double, last double, "
+        "batch long, day date"
+    )
+
+    def __init__(self, spark: SparkSession, path: str, stored: DataFrame):
+        self.spark, self.path, self.stored = spark, path, stored
+
+    def append(self, ticks: DataFrame, batch_id: int) -> None:
+        bars = minute_bars(ticks).withColumn("day", F.to_date("date"))
+        bars.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch={batch_id}")
+
+    def _added(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def _merged(self, added: DataFrame, stored: DataFrame) -> DataFrame:
+        batch = added.groupBy("symbol", "date").agg(
+            F.max("max").alias("max"),
+            F.min("min").alias("min"),
+            F.min_by("first", "batch").alias("first"),
+            F.max_by("last", "batch").alias("last"),
+        )
+        return merge_bars(stored, batch)
+
+    def bars(self) -> DataFrame:
+        return self._merged(self._added(), self.stored)
+
+    def changed_by(self, batch_id: int) -> DataFrame:
+        """The bars that a batch touched, as they are after it."""
+        known = self._added().filter(F.col("batch") <= batch_id)
+        touched = known.filter(F.col("batch") == batch_id).select("day", "symbol", "date")
+        added = known.join(touched, ["day", "symbol", "date"], "left_semi")
+        stored = self.stored.join(touched.drop("day"), ["symbol", "date"], "left_semi")
+        return self._merged(added, stored)

@@ -11,9 +11,9 @@ from tickloom.operators.blocks import Blocks
 from tickloom.plans import signals as signal_plans
 from tickloom.plans.bars import enrich_ticks, ohlc_bars
 from tickloom.session import cut_lineage, shared_dir
-from tickloom.sources.topics import MESSAGE, write_records
+from tickloom.sources.topics import MESSAGE, read_records, write_records
 from tickloom.streaming import jobs
-from tickloom.streaming.store import VersionedTable
+from tickloom.streaming.store import BarLog, VersionedTable
 from tickloom.testbed import oracle as o
 from tickloom.testbed import tables as t
 from tickloom.testbed.batch_queries import _SIGNAL_OUT, SD_FACTOR, signals_of
@@ -163,6 +163,40 @@ def positions_stream(spark, folder):
     return rounded(_messages(spark, f"{base}/orders", schemas.ORDER))
 
 
+@query(
+    "merge_bars_stream",
+    f"""WITH {o.TICKS_TYPE},
+        near AS (SELECT *, date_trunc('minute', date)::TIMESTAMP + to_minutes(CASE
+            WHEN second(date) > 30 THEN 1
+            WHEN second(date) = 30 THEN minute(date) % 2 ELSE 0 END) AS minute FROM ticks)
+        SELECT symbol, minute AS date, symbol || ':' || (epoch_us(minute) * 1000) AS key,
+          arg_min(last_price, seq) AS open, max(last_price) AS high, min(last_price) AS low,
+          arg_max(last_price, seq) AS close
+        FROM near GROUP BY ALL""",
+)
+def merge_bars_stream(spark, folder):
+    """Ticks in several runs, merged into minute bars as they come.
+
+    Messages carry whole seconds.
+    """
+    base = _scratch(spark)
+    ticks = t.ticks_type(spark, folder).withColumn("date", F.col("date").cast("timestamp"))
+    batches = Blocks.spanning(ticks, "date", BATCH_DAYS)
+    marked = batches.mark(ticks, "date")
+    stored = spark.createDataFrame(
+        [], "symbol string, date timestamp, open double, high double, low double, close double, key string"
+    )
+    log = BarLog(spark, f"{base}/log", stored)
+    columns = ["symbol", "last_price", "date"]
+    schema = ticks.select(*columns).schema
+    for number in range(batches.count):
+        part = marked.filter(F.col("_block") == number)
+        write_records(part, _topic(f"{base}/trigger"), columns, number)
+        live = read_records(spark, _topic(f"{base}/trigger"), schema)
+        jobs.merge_job(live, log, f"{base}/messages", f"{base}/cp").awaitTermination()
+    return _plain_time(log.bars())
+
+
 def _runs(count: int) -> str:
     """Admission and settlement of `count` runs, each on the ledger and budget of the one before."""
     steps = [
