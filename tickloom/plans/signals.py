@@ -305,7 +305,10 @@ def signal_history(
     if blocks.is_single:
         return reversal_signal(_add_swings(add(bars, ["symbol"]), ["symbol"]), **thresholds)
     wide = add(with_lookback(bars, PANEL_LOOKBACK + 1, blocks), ["symbol", "_block"])
-    rows = wide.filter(~F.col("_halo")).drop("_halo")
+    rows = wide.filter(~F.col("_halo")).select(
+        *bars.columns, "sd_high", "sd_low", "sd", "atr", "natr", "position_type",
+        "_changed", "_block",
+    )
     return reversal_signal(_add_swings_by_block(rows), **thresholds)
 
 

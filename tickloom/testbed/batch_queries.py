@@ -1,5 +1,7 @@
 """Universe, bars and signals."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tickloom.operators import windows
@@ -16,12 +18,15 @@ from tickloom.operators.keyed import (
 from tickloom.plans import bars as bar_plans
 from tickloom.plans import signals as signal_plans
 from tickloom.plans import universe as universe_plans
+from tickloom.session import shared_dir
+from tickloom.sources import files
 from tickloom.testbed import oracle as o
 from tickloom.testbed import tables as t
 from tickloom.testbed.registry import query, rounded
 
 SD_FACTOR = 1.2
 AS_OF = "2024-01-20"
+STORED_FROM, STORED_TO = "2024-01-08", "2024-01-19"
 FROM_DAY, TO_DAY = "1995-01-01", "1995-12-31"
 
 
@@ -29,6 +34,9 @@ def _r(names: str, digits: int = 6) -> str:
     return ", ".join(f"{o.fixed(n, digits)} AS {n}" for n in names.split())
 
 
+_BAR_OUT = "instrument_token, symbol, start, open, high, low, close"
+
+
 # --- universe -----------------------------------------------------------------------------
 
 
@@ -71,10 +79,32 @@ def load_history(spark, folder):
     return universe_plans.load_history(followed, t.daily(spark, folder), FROM_DAY, TO_DAY)
 
 
-# --- bars ---------------------------------------------------------------------------------
+@query(
+    "history_by_day",
+    f"""WITH {o.BARS['user']} SELECT {_BAR_OUT} FROM bars
+        WHERE start >= DATE '{STORED_FROM}' AND start < DATE '{STORED_TO}' + 1""",
+)
+def history_by_day(spark, folder):
+    """Daily bars stored by day, and a range of days read back."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    bars = t.bars_user(spark, folder)
+    files.write_history(bars.withColumnRenamed("start", "date"), path)
+    names = bars.select("instrument_token", "symbol").distinct()
+    stored = files.read_table(spark, path)
+    loaded = universe_plans.load_history(names, stored, STORED_FROM, STORED_TO)
+    return loaded.withColumnRenamed("date", "start").select(*bars.columns)
+
+
+@query("csv_round_trip", "SELECT * FROM orders")
+def csv_round_trip(spark, folder):
+    """Orders written with a header and read back by name."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    orders = t.table(spark, folder, "orders")
+    files.write_csv(orders, path)
+    return files.read_csv(spark, path, orders.schema)
 
-_BAR_OUT = "instrument_token, symbol, start, open, high, low, close"
 
+# --- bars ---------------------------------------------------------------------------------
 
 @query("ohlc_bars", f"WITH {o.BARS['type']} SELECT {_BAR_OUT} FROM bars")
 def ohlc_bars(spark, folder):
