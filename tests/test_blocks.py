@@ -13,6 +13,7 @@ from tickloom.plans.signals import (
     baseline_volatility,
     breakout_scan,
     indicator_panel,
+    live_signals,
     signal_history,
     signals_bar_by_bar,
     swing_segments,
@@ -113,6 +114,20 @@ def test_reports_over_blocks(bars, days):
         )
 
 
+@pytest.mark.parametrize("tail", [20, 25, 40])
+def test_bar_by_bar_is_what_the_last_bar_was(bars, tail):
+    one = bars.filter("symbol = 'S0'").persist()
+    every = {r.start: r for r in signals_bar_by_bar(one, tail, Blocks.single(), sd_factor=1.0).collect()}
+    starts = sorted(every)
+    for n in (1, 12, 19, 20, 22, 24, 25, 26, 33, 41, len(starts)):
+        seen = one.filter(F.col("start") <= F.lit(starts[n - 1]))
+        last = live_signals(seen, tail, sd_factor=1.0).first()
+        got, want = every[last.start].asDict(), last.asDict()
+        assert got.keys() == want.keys()
+        for name, value in want.items():
+            assert got[name] == (pytest.approx(value) if isinstance(value, float) else value)
+
+
 def test_skewed_series_equal_lone_series(spark, bars):
     """A symbol's result does not depend on how many rows other symbols have."""
     lone = bars.filter("symbol = 'S1'")

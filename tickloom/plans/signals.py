@@ -1,5 +1,6 @@
 """Volatility, indicators, swings and reversal signals from bars."""
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from tickloom.functions.numbers import quotient, row_max
 from tickloom.operators.blocks import Blocks, blocks_for, carry_in, over_lookback, with_lookback
 from tickloom.operators.keyed import tail_rows
 from tickloom.session import cut_lineage
-from tickloom.operators.windows import rolling_mean_of, rolling_std_of, so_far
+from tickloom.operators.windows import rolling_mean_of, rolling_std_of, so_far, trailing
 
 SD_ROWS = 10
 PANEL_LOOKBACK = 19  # 16 closes for macd_line, 5 of those for its signal line
@@ -259,8 +260,12 @@ def reversal_signal(
     natr_min: float = 0.3,
     stop_atr: float = 2,
     last_only: bool = False,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Entry signal of each bar: turned by more than its range, on a wide and lively market."""
+    """Entry signal of each bar: turned by more than its range, on a wide and lively market.
+
+    `keep` names further columns to pass through.
+    """
     short = F.col("position_type") == "short"
 
     def side(if_short: Column, if_long: Column) -> Column:
@@ -281,7 +286,7 @@ def reversal_signal(
             "initial_stop_loss": side(price + stop_atr * atr, price - stop_atr * atr),
             "initial_controller": side(price + F.col("sd_high"), price - F.col("sd_low")),
         }
-    ).select(*SIGNAL_COLUMNS)
+    ).select(*SIGNAL_COLUMNS, *keep)
 
 
 def live_signals(bars: DataFrame, tail: int = 25, **thresholds: float) -> DataFrame:
@@ -312,38 +317,46 @@ def signal_history(
     return reversal_signal(_add_swings_by_block(rows), **thresholds)
 
 
-def signals_bar_by_bar(
-    bars: DataFrame,
-    tail: int = 25,
-    wanted: Column | None = None,
-    blocks: Blocks | None = None,
-    **thresholds: float,
-) -> DataFrame:
-    """For each bar the signal that `live_signals` gave when it was the last one.
+def _add_tail_swings(directed: DataFrame, partition: list[str], tail: int) -> DataFrame:
+    """Each bar's extremes as if its last `tail` bars were all there is.
 
-    Every bar is copied to the bars whose tail it belongs to, at most `tail` of them, and each
-    tail is judged on its own. With `wanted` only tails from a series' first wanted bar on are
-    built, and only the signals of wanted bars returned: a stream's new bars, say.
+    Within such a tail only the last bars have a macd, the same as over the whole history; the
+    bars before them count as long. So a swing reaches back over at most those last bars,
+    unless it is long over all of them: then it takes in the whole tail.
     """
-    asked = F.lit(True) if wanted is None else wanted
+    known = tail - PANEL_LOOKBACK
+    in_order = Window.partitionBy(*partition).orderBy("start")
+    island = directed.withColumns(
+        {
+            "_place": F.row_number().over(in_order),
+            "_island": F.sum("_changed").over(so_far(partition, "start")),
+            "_tail_max": F.max("high").over(trailing(partition, "start", tail)),
+            "_tail_min": F.min("low").over(trailing(partition, "start", tail)),
+        }
+    )
+    swing = trailing([*partition, "_island"], "start", known)
+    reach = F.count(F.lit(1)).over(swing)
+    all_long = (F.col("position_type") == "long") & (
+        reach >= F.least(F.col("_place"), F.lit(tail)) - PANEL_LOOKBACK
+    )
+    return island.withColumns(
+        {
+            "local_maxima": F.when(all_long, F.col("_tail_max")).otherwise(F.max("high").over(swing)),
+            "local_minima": F.when(all_long, F.col("_tail_min")).otherwise(F.min("low").over(swing)),
+        }
+    )
+
+
+def signals_bar_by_bar(
+    bars: DataFrame, tail: int = 25, blocks: Blocks | None = None, **thresholds: float
+) -> DataFrame:
+    """For each bar the signal that `live_signals` gave when it was the last one."""
+    if tail <= PANEL_LOOKBACK:
+        raise ValueError(f"a tail must be longer than {PANEL_LOOKBACK} bars to have a macd")
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
-        in_order = Window.partitionBy(*partition).orderBy("start")
-        whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        placed = wide.withColumn("_wanted", asked).withColumn("_place", F.row_number().over(in_order))
-        placed = placed.withColumns(
-            {
-                "_first": F.min(F.when(F.col("_wanted"), F.col("_place"))).over(whole),
-                "_last": F.max("_place").over(whole),
-            }
-        )
-        start = F.greatest("_place", "_first")
-        end = F.least(F.col("_place") + tail - 1, "_last")
-        tails = placed.filter(F.col("_first").isNotNull() & (start <= end)).withColumn(
-            "_at", F.explode(F.sequence(start, end))
-        )
-        own = [*partition, "_at"]
-        segments = _add_swings(_add_direction(_add_panel(tails, own), own), own)
-        return segments.filter(F.col("_wanted") & (F.col("_place") == F.col("_at")))
+        directed = _add_direction(_add_panel(wide, partition), partition)
+        return _add_tail_swings(directed, partition, tail)
 
-    return reversal_signal(over_lookback(bars, tail - 1, add, blocks=blocks), **thresholds)
+    segments = over_lookback(bars, tail - 1, add, blocks=blocks)
+    return reversal_signal(segments, **thresholds)

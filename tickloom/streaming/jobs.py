@@ -119,9 +119,9 @@ class SignalStage:
         try:
             self.tails.write(tail_rows(merged, self.tail), batch_id)
             signals = signals_bar_by_bar(
-                merged, self.tail, F.col("_new"), Blocks.single(), **self.thresholds
+                merged, self.tail, Blocks.single(), keep=["_new"], **self.thresholds
             )
-            write_records(signals, self.out, SIGNAL_MESSAGE, batch_id)
+            write_records(signals.filter("_new"), self.out, SIGNAL_MESSAGE, batch_id)
         finally:
             merged.unpersist()
 
