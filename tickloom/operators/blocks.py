@@ -205,7 +205,7 @@ def fold_blocks(
     emitted.add("_state", state)
     arrow = to_arrow_schema(emitted)
 
-    def emit(before: dict | None, rows: pa.Table, key: dict) -> pa.Table:
+    def emit(before: dict | None, rows: pa.Table, key: dict, hand_on: bool) -> pa.Table:
         after, out = before, None
         if rows.num_rows:
             after, out = step(before, rows.sort_by(order))
@@ -214,27 +214,32 @@ def fold_blocks(
             unset = [pa.nulls(out.num_rows, field.type) for field in list(arrow)[len(output) :]]
             columns = [*out.columns, *unset]
             tables.append(pa.Table.from_arrays(columns, names=arrow.names).cast(arrow))
-        if after is not None:
+        if hand_on and after is not None:
             last = {f"_key_{k}": key[k] for k in keys} | {"_state": after}
             tables.append(pa.Table.from_pylist([last], schema=arrow))
         return pa.concat_tables(tables) if tables else arrow.empty_table()
 
-    def first_block(rows: pa.Table) -> pa.Table:
-        return emit(None, rows, rows.select(keys).slice(0, 1).to_pylist()[0])
+    def key_of(rows: pa.Table) -> dict:
+        return rows.select(keys).slice(0, 1).to_pylist()[0]
 
-    def later_block(rows: pa.Table, carried: pa.Table) -> pa.Table:
-        key = (rows if rows.num_rows else carried).select(keys).slice(0, 1).to_pylist()[0]
-        before = carried["_state"][0].as_py() if carried.num_rows else None
-        return emit(before, rows, key)
+    def run(part: DataFrame, carried: DataFrame | None, hand_on: bool) -> DataFrame:
+        grouped = part.groupBy(*keys)
+        if carried is None:
+            return grouped.applyInArrow(
+                lambda rows: emit(None, rows, key_of(rows), hand_on), emitted
+            )
+
+        def with_state(rows: pa.Table, states: pa.Table) -> pa.Table:
+            before = states["_state"][0].as_py() if states.num_rows else None
+            return emit(before, rows, key_of(rows if rows.num_rows else states), hand_on)
+
+        return grouped.cogroup(carried.groupBy(*keys)).applyInArrow(with_state, emitted)
 
     done, carried = [], None
     for place, part in enumerate(parts):
-        rows = part.groupBy(*keys)
-        if carried is None:
-            result = rows.applyInArrow(first_block, emitted)
-        else:
-            result = rows.cogroup(carried.groupBy(*keys)).applyInArrow(later_block, emitted)
-        if place + 1 < len(parts):
+        hand_on = place + 1 < len(parts)
+        result = run(part, carried, hand_on)
+        if hand_on:
             result = cut_lineage(result)
             carried = result.filter(F.col("_state").isNotNull()).select(
                 *[F.col(f"_key_{k}").alias(k) for k in keys], "_state"
