@@ -129,12 +129,12 @@ def test_budget_and_ledger_move(spark):
 
 def test_status_snapshot_and_fill(spark):
     statuses = spark.createDataFrame(
-        [("7", "2024-01-01 10:00:00", "OPEN", "M&M", 0), ("7", "2024-01-01 10:00:05", "COMPLETE", "M&M", 3)],
+        [("7", "2024-01-01 10:00:00", "OPEN", "X&Y", 0), ("7", "2024-01-01 10:00:05", "COMPLETE", "X&Y", 3)],
         "order_id string, order_timestamp string, status string, tradingsymbol string, filled_quantity long",
     )
     columns = ["order_id", "order_timestamp", "status", "symbol", "filled_quantity"]
     snapshot = order_status_snapshot(statuses, columns=columns)
-    assert [tuple(r) for r in snapshot.collect()] == [(7, "2024-01-01 10:00:05", "COMPLETE", "M&M", 3)]
+    assert [tuple(r) for r in snapshot.collect()] == [(7, "2024-01-01 10:00:05", "COMPLETE", "X&Y", 3)]
     book = spark.createDataFrame([(7, 10.0, 10.0), (8, 5.0, 5.0)], "order_id long, quantity double, filled_quantity double")
     filled = {r.order_id: r.filled_quantity for r in fill_from_status(book, snapshot).collect()}
     assert filled == {7: 3.0, 8: 5.0}

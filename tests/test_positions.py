@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators.stop import Bar, follow, follow_rate, next_bar, open_position
+from tickloom.operators.stop import Bar, StopRule
 from tickloom.plans.positions import (
     apply_orders,
     entry_signal,
@@ -16,6 +16,7 @@ from tickloom.plans.positions import (
     trailing_stop,
 )
 
+RULE = StopRule()
 T0 = datetime(2024, 1, 1, 10, 0)
 
 
@@ -24,32 +25,32 @@ def bar(minute, high, low, close, trigger=False, kind="long", stop=None, control
 
 
 def test_first_bar_holds_the_initial_values():
-    p = open_position("short", bar(0, 12.0, 10.0, 11.0, True, "short", 13.0, 11.5))
-    assert (p.stop_loss, p.controller, p.lag_number) == (13.0, 11.5, 9)
+    p = RULE.open("short", bar(0, 12.0, 10.0, 11.0, True, "short", 13.0, 11.5))
+    assert (p.stop_loss, p.controller, RULE.lag_number(p)) == (13.0, 11.5, 9)
     assert p.constant == (10.0 - 11.5) ** 2
-    assert p.controller_sd == pytest.approx(1.5)  # nine constants and the bar's own square
+    assert RULE.controller_sd(p) == pytest.approx(1.5)  # nine constants and the bar's own square
 
 
 def test_second_bar_of_a_short():
-    p = open_position("short", bar(0, 12.0, 10.0, 11.0, True, "short", 13.0, 11.5))
-    q = follow(p, bar(1, 12.5, 10.5, 11.0))
+    p = RULE.open("short", bar(0, 12.0, 10.0, 11.0, True, "short", 13.0, 11.5))
+    q = RULE.follow(p, bar(1, 12.5, 10.5, 11.0))
     controller = 11.5 + 2 / 11 * (12.5 - 11.5)
     square = (controller - 10.5) ** 2
     sd = math.sqrt((8 * 2.25 + 2.25 + square) / 10)
     assert q.controller == pytest.approx(controller)
-    assert q.controller_sd == pytest.approx(sd)
+    assert RULE.controller_sd(q) == pytest.approx(sd)
     assert q.stop_loss == pytest.approx(13.0 + 2 / (round(10 / sd) + 1) * (12.5 - 13.0))
 
 
 def test_always_ten_terms():
-    p = open_position("long", bar(0, 10.0, 9.0, 9.5, True, "long", 8.0, 9.0))
+    p = RULE.open("long", bar(0, 10.0, 9.0, 9.5, True, "long", 8.0, 9.0))
     squares = [p.constant]
     for i in range(1, 14):
-        p = follow(p, bar(i, 10.0 + i, 9.0 + i, 9.5 + i))
+        p = RULE.follow(p, bar(i, 10.0 + i, 9.0 + i, 9.5 + i))
         squares.append((p.controller - (10.0 + i)) ** 2)
         lag = max(9 - i, 0)
-        assert p.lag_number == lag
-        assert p.controller_sd == pytest.approx(
+        assert RULE.lag_number(p) == lag
+        assert RULE.controller_sd(p) == pytest.approx(
             math.sqrt((lag * squares[0] + sum(squares[-10:])) / 10)
         )
 
@@ -69,18 +70,18 @@ def test_always_ten_terms():
     ],
 )
 def test_follow_rate(sd, avg, rate):
-    assert follow_rate(sd, avg) == pytest.approx(rate)
+    assert RULE.rate(sd, avg) == pytest.approx(rate)
 
 
 def test_exit_is_strict_and_looks_at_the_last_stop():
-    p = open_position("long", bar(0, 10.0, 9.0, 9.5, True, "long", 8.0, 9.0))
-    assert not next_bar(p, bar(1, 10.0, 7.0, 8.0)).exited
-    assert next_bar(p, bar(1, 10.0, 7.0, 7.99)).exited
+    p = RULE.open("long", bar(0, 10.0, 9.0, 9.5, True, "long", 8.0, 9.0))
+    assert not RULE.next_bar(p, bar(1, 10.0, 7.0, 8.0)).exited
+    assert RULE.next_bar(p, bar(1, 10.0, 7.0, 7.99)).exited
 
 
 def test_exit_and_entry_on_one_bar():
-    p = open_position("long", bar(0, 10.0, 9.0, 9.5, True, "long", 8.0, 9.0))
-    outcome = next_bar(p, bar(1, 8.0, 7.0, 7.5, True, "short", 9.0, 8.5))
+    p = RULE.open("long", bar(0, 10.0, 9.0, 9.5, True, "long", 8.0, 9.0))
+    outcome = RULE.next_bar(p, bar(1, 8.0, 7.0, 7.5, True, "short", 9.0, 8.5))
     assert outcome.exited and outcome.entered
     assert outcome.position.position_type == "short"
     assert outcome.position.stop_loss == 9.0
@@ -98,11 +99,11 @@ def signal_rows():
         return T0 + timedelta(minutes=i)
 
     return [
-        ("M&M", at(0), 10.0, 9.0, 9.5, False, "long", 9.4, 8.0, 9.0, 1.0),
-        ("M&M", at(1), 10.0, 9.0, 9.6, True, "long", 9.5, 8.0, 9.0, 1.0),
-        ("M&M", at(2), 11.0, 9.5, 10.5, True, "short", 9.5, 12.0, 9.0, 1.0),  # held: ignored
-        ("M&M", at(3), 9.0, 7.0, 7.5, True, "short", 8.0, 9.5, 8.5, 1.0),  # out and in
-        ("M&M", at(4), 12.0, 7.0, 11.5, False, "long", 8.0, 9.5, 8.5, 1.0),  # out
+        ("X&Y", at(0), 10.0, 9.0, 9.5, False, "long", 9.4, 8.0, 9.0, 1.0),
+        ("X&Y", at(1), 10.0, 9.0, 9.6, True, "long", 9.5, 8.0, 9.0, 1.0),
+        ("X&Y", at(2), 11.0, 9.5, 10.5, True, "short", 9.5, 12.0, 9.0, 1.0),  # held: ignored
+        ("X&Y", at(3), 9.0, 7.0, 7.5, True, "short", 8.0, 9.5, 8.5, 1.0),  # out and in
+        ("X&Y", at(4), 12.0, 7.0, 11.5, False, "long", 8.0, 9.5, 8.5, 1.0),  # out
         ("B-A", at(1), 10.0, 9.0, 9.6, False, "long", 9.5, 8.0, 9.0, 1.0),
     ]
 
@@ -126,12 +127,12 @@ def test_lifecycle(spark):
 
 def test_positions_do_not_touch_each_other(spark):
     signals = spark.createDataFrame(signal_rows(), SIGNALS)
-    rows = signals.filter("symbol = 'M&M'")
+    rows = signals.filter("symbol = 'X&Y'")
     held = rows.unionByName(rows.withColumn("symbol", F.lit("twin"))).withColumns(
         {"position_type": F.lit("long"), "position_time": F.lit(T0).cast("timestamp_ntz")}
     )
     both = trailing_stop(held)
-    one = both.filter("symbol = 'M&M'").drop("symbol").orderBy("start").collect()
+    one = both.filter("symbol = 'X&Y'").drop("symbol").orderBy("start").collect()
     assert one == both.filter("symbol = 'twin'").drop("symbol").orderBy("start").collect()
     assert [r.lag_number for r in one] == [9, 8, 7, 6, 5]
 
@@ -151,13 +152,13 @@ def test_exit_signal_and_entry_signal(spark):
 
     signals = spark.createDataFrame(signal_rows(), SIGNALS).filter("close > 8 or symbol = 'B-A'")
     ledger = spark.createDataFrame(
-        [("M&M", False), ("B-A", False), ("A", True)], "symbol string, position boolean"
+        [("X&Y", False), ("B-A", False), ("A", True)], "symbol string, position boolean"
     )
     last_is_no_trigger = entry_signal(signals, ledger)
     assert last_is_no_trigger.count() == 0
     entries = entry_signal(signals.filter("minute(start) < 4"), ledger)
-    assert [(r.symbol, r.position_type) for r in entries.collect()] == [("M&M", "short")]
+    assert [(r.symbol, r.position_type) for r in entries.collect()] == [("X&Y", "short")]
     after = {r.symbol: r for r in apply_orders(ledger, entries.drop("start").unionByName(exits)).collect()}
-    assert after["M&M"].position and after["M&M"].position_type == "short"
+    assert after["X&Y"].position and after["X&Y"].position_type == "short"
     assert not after["A"].position and after["A"].position_type is None
     assert not after["B-A"].position

@@ -16,7 +16,7 @@ from tickloom.plans.universe import load_history, universe_join, universe_screen
 from tickloom.sources import files
 
 GOOD = (
-    '{"instrument_token": 11, "symbol": "M&M", "last_price": 5.5, "mode": "ltp", '
+    '{"instrument_token": 11, "symbol": "X&Y", "last_price": 5.5, "mode": "ltp", '
     '"tradable": true, "avg(sd)": %s, "date": "2024-01-01 09:15:00"}'
 )
 
@@ -34,7 +34,7 @@ def test_decode_edges(spark):
     assert [r.avg_sd for r in rows] == [0.5, None, None, None, 1.0, None]
     assert rows[0].tradable == "true"
     assert rows[0].date == datetime(2024, 1, 1, 9, 15)
-    assert rows[4].instrument_token is None and rows[4].symbol == "M&M"
+    assert rows[4].instrument_token is None and rows[4].symbol == "X&Y"
     assert [r.seq for r in codec.json_rejects(df, schemas.TICK).orderBy("seq").collect()] == [3, 5]
 
 
@@ -188,10 +188,10 @@ def test_quiet_market_gives_an_empty_report(spark):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "list.csv").write_text(",symbol,instrument_token,margin\n0,M&M,7,12.5\n1,B-A,8,3.0\n")
+    (tmp_path / "list.csv").write_text(",symbol,instrument_token,margin\n0,X&Y,7,12.5\n1,B-A,8,3.0\n")
     rows = files.read_csv(spark, str(tmp_path / "list.csv"), schemas.TRADABLE)
     assert rows.columns == ["instrument_token", "symbol", "margin"]
-    assert sorted(map(tuple, rows.collect())) == [(7, "M&M", 12.5), (8, "B-A", 3.0)]
+    assert sorted(map(tuple, rows.collect())) == [(7, "X&Y", 12.5), (8, "B-A", 3.0)]
     text = spark.createDataFrame([("a, \"b\"", 1)], "status_message string, order_id long")
     files.write_csv(text, str(tmp_path / "out"))
     back = files.read_csv(spark, str(tmp_path / "out"), text.schema)

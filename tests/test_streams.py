@@ -44,7 +44,7 @@ def ticks(spark, minutes=70):
     start, rows, seq = datetime(2024, 1, 1, 9, 15), [], 0
     for minute in range(minutes):
         for second in (1, 20, 59):
-            for token, symbol in enumerate(["A", "M&M"]):
+            for token, symbol in enumerate(["A", "X&Y"]):
                 price = 100 + (minute * 7 + second * 3 + token * 11) % 23 + minute % 5 / 4
                 rows.append((token, symbol, price, "ltp", "true", 0.3, start + timedelta(minutes=minute, seconds=second), seq))
                 seq += 1
@@ -104,7 +104,7 @@ def test_warm_start(spark, tmp_path):
     """Bars stored before the stream began count in its first signals."""
     df = ticks(spark).persist()
     early = F.col("date") < F.lit("2024-01-01 09:50:00").cast("timestamp")
-    usual = spark.createDataFrame([("A", 0.3), ("M&M", 0.3)], "symbol string, avg_sd double")
+    usual = spark.createDataFrame([("A", 0.3), ("X&Y", 0.3)], "symbol string, avg_sd double")
     stored = jobs.warm_tails(ohlc_bars(df.filter(early)), usual)
     tails = VersionedTable(spark, str(tmp_path / "tails"), stored)
     stage = jobs.SignalStage(tails, out(tmp_path / "position"), thresholds=THRESHOLDS)

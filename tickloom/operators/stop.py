@@ -19,12 +19,6 @@ from pyspark.sql.types import (
     StructType,
 )
 
-TERMS = 10
-CONTROLLER_RATE = 2 / 11
-RATIO_LIMIT = 9
-FAST_RATE = 0.9
-
-
 class Bar(NamedTuple):
     start: object
     high: float
@@ -47,70 +41,77 @@ class Position:
     constant: float
     squares: tuple[float, ...]
 
-    @property
-    def lag_number(self) -> int:
-        return max(TERMS - self.bars, 0)
-
-    @property
-    def controller_sd(self) -> float:
-        """Deviation over always ten terms: bars not yet seen count as the first one did."""
-        return math.sqrt((self.lag_number * self.constant + sum(self.squares)) / TERMS)
-
     def is_hit(self, close: float) -> bool:
         return close > self.stop_loss if self.position_type == "short" else close < self.stop_loss
 
 
-def _pull_and_extreme(kind: str, bar: Bar) -> tuple[float, float]:
-    return (bar.high, bar.low) if kind == "short" else (bar.low, bar.high)
-
-
-def follow_rate(controller_sd: float, avg_sd: float | None) -> float:
-    """How much of the distance to the pull the stop covers on a bar."""
-    if avg_sd is None or avg_sd == 0 or math.isnan(avg_sd) or math.isnan(controller_sd):
-        return FAST_RATE
-    ratio = controller_sd / avg_sd
-    if not ratio < RATIO_LIMIT:
-        return FAST_RATE
-    span = TERMS / ratio if ratio else math.inf
-    return 0.0 if math.isinf(span) else 2 / (round(span) + 1)
-
-
-def open_position(kind: str, bar: Bar) -> Position:
-    _, extreme = _pull_and_extreme(kind, bar)
-    square = (extreme - bar.initial_controller) ** 2
-    return Position(
-        kind, bar.start, 1, bar.initial_controller, bar.initial_stop_loss, square, (square,)
-    )
-
-
-def follow(position: Position, bar: Bar) -> Position:
-    pull, extreme = _pull_and_extreme(position.position_type, bar)
-    controller = position.controller + CONTROLLER_RATE * (pull - position.controller)
-    moved = replace(
-        position,
-        bars=position.bars + 1,
-        controller=controller,
-        squares=(*position.squares, (controller - extreme) ** 2)[-TERMS:],
-    )
-    rate = follow_rate(moved.controller_sd, bar.avg_sd)
-    return replace(moved, stop_loss=position.stop_loss + rate * (pull - position.stop_loss))
-
-
 class Outcome(NamedTuple):
     position: Position | None
     exited: bool
     entered: bool
 
 
-def next_bar(position: Position | None, bar: Bar) -> Outcome:
-    """Exit against the last stop, then entry if flat, then the stop's step if still open."""
-    exited = position is not None and position.is_hit(bar.close)
-    held = None if exited else position
-    if held is not None:
-        return Outcome(follow(held, bar), exited, False)
-    if bar.trigger:
-        return Outcome(open_position(bar.position_type, bar), exited, True)
-    return Outcome(None, exited, False)
+def _pull_and_extreme(kind: str, bar: Bar) -> tuple[float, float]:
+    return (bar.high, bar.low) if kind == "short" else (bar.low, bar.high)
+
+
+@dataclass(frozen=True)
+class StopRule:
+    """How a stop follows its position."""
+
+    # Terms of the deviation, weight of a bar in the controller, the deviation
+    # (in units of the usual one) from which the stop moves at the fast rate, and that rate.
+    terms: int = 10
+    controller_rate: float = 2 / 11
+    ratio_limit: float = 9
+    fast_rate: float = 0.9
+
+    def lag_number(self, position: Position) -> int:
+        return max(self.terms - position.bars, 0)
+
+    def controller_sd(self, position: Position) -> float:
+        """Deviation over always `terms` terms: bars not yet seen count as the first one did."""
+        total = self.lag_number(position) * position.constant + sum(position.squares)
+        return math.sqrt(total / self.terms)
+
+    def rate(self, controller_sd: float, avg_sd: float | None) -> float:
+        """How much of the distance to the pull the stop covers on a bar."""
+        if avg_sd is None or avg_sd == 0 or math.isnan(avg_sd) or math.isnan(controller_sd):
+            return self.fast_rate
+        ratio = controller_sd / avg_sd
+        if not ratio < self.ratio_limit:
+            return self.fast_rate
+        span = self.terms / ratio if ratio else math.inf
+        return 0.0 if math.isinf(span) else 2 / (round(span) + 1)
+
+    def open(self, kind: str, bar: Bar) -> Position:
+        _, extreme = _pull_and_extreme(kind, bar)
+        square = (extreme - bar.initial_controller) ** 2
+        return Position(
+            kind, bar.start, 1, bar.initial_controller, bar.initial_stop_loss, square, (square,)
+        )
+
+    def follow(self, position: Position, bar: Bar) -> Position:
+        pull, extreme = _pull_and_extreme(position.position_type, bar)
+        controller = position.controller + self.controller_rate * (pull - position.controller)
+        moved = replace(
+            position,
+            bars=position.bars + 1,
+            controller=controller,
+            squares=(*position.squares, (controller - extreme) ** 2)[-self.terms :],
+        )
+        rate = self.rate(self.controller_sd(moved), bar.avg_sd)
+        return replace(moved, stop_loss=position.stop_loss + rate * (pull - position.stop_loss))
+
+    def next_bar(self, position: Position | None, bar: Bar) -> Outcome:
+        """Exit against the last stop, then entry if flat, then the stop's step if still open."""
+        exited = position is not None and position.is_hit(bar.close)
+        held = None if exited else position
+        if held is not None:
+            return Outcome(self.follow(held, bar), exited, False)
+        if bar.trigger:
+            return Outcome(self.open(bar.position_type, bar), exited, True)
+        return Outcome(None, exited, False)
 
 
 def position_state(time_type) -> StructType:

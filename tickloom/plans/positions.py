@@ -11,11 +11,10 @@ from tickloom.operators.blocks import Blocks, arrow_table, fold_blocks
 from tickloom.operators.keyed import dedup_keep_last, latest_per_key
 from tickloom.operators.stop import (
     Bar,
+    Outcome,
     Position,
-    follow,
+    StopRule,
     from_state,
-    next_bar,
-    open_position,
     position_state,
     to_state,
 )
@@ -54,11 +53,12 @@ def entry_signal(signals: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def apply_orders(ledger: DataFrame, orders: DataFrame) -> DataFrame:
     """The ledger after entry and exit orders, one per symbol; an exit clears its fields."""
+    when = F.col("start") if "start" in orders.columns else F.lit(None).cast("timestamp")
     told = orders.select(
         "symbol",
         F.col("type").alias("_type"),
         F.col("position_type").alias("_position_type"),
-        (F.col("start") if "start" in orders.columns else F.lit(None).cast("timestamp")).alias("_start"),
+        when.alias("_start"),
     )
     entered, left = F.col("_type") == "entry", F.col("_type") == "exit"
 
@@ -116,24 +116,28 @@ _STOP_FIELDS = (
 )
 
 
-def _stop_values(position: Position) -> tuple:
+def _stop_values(rule: StopRule, position: Position) -> tuple:
     return (
         position.controller,
         position.constant,
-        position.lag_number,
-        position.controller_sd,
+        rule.lag_number(position),
+        rule.controller_sd(position),
         position.stop_loss,
     )
 
 
-def trailing_stop(position_bars: DataFrame, blocks: Blocks | None = None) -> DataFrame:
+def trailing_stop(
+    position_bars: DataFrame, blocks: Blocks | None = None, rule: StopRule = StopRule()
+) -> DataFrame:
     """Controller and stop on every bar of each position (symbol, position_time).
 
     The first bar holds the initial values; its direction is the position's. Every position is
     computed on its own, and each bar from the one before it, however many bars arrive at once.
     """
     schema = position_bars.schema
-    output = StructType([schema["symbol"], schema["position_time"], schema["start"], schema["position_type"]])
+    output = StructType(
+        [schema[name] for name in ("symbol", "position_time", "start", "position_type")]
+    )
     for field in _STOP_FIELDS:
         output = output.add(field)
 
@@ -144,9 +148,10 @@ def trailing_stop(position_bars: DataFrame, blocks: Blocks | None = None) -> Dat
         for i in range(rows.num_rows):
             bar = bars[i]
             position = (
-                open_position(bar.position_type, bar) if position is None else follow(position, bar)
+                rule.open(bar.position_type, bar) if position is None else rule.follow(position, bar)
             )
-            values.append((*key, bar.start, position.position_type, *_stop_values(position)))
+            stop = _stop_values(rule, position)
+            values.append((*key, bar.start, position.position_type, *stop))
         return to_state(position), arrow_table(values, output)
 
     columns = [c for c in BAR_COLUMNS if c not in ("trigger", "close")]
@@ -177,18 +182,19 @@ def lifecycle_schema(time_type) -> StructType:
 _FLAT = (None,) * 7
 
 
-def lifecycle_row(symbol: str, bar: Bar, price: float, outcome) -> tuple:
-    position = outcome.position
-    values = _FLAT if position is None else (
-        position.position_type, position.position_time, *_stop_values(position)
-    )
-    return (
-        symbol, bar.start, outcome.exited, outcome.entered,
-        price if outcome.entered else None, *values,
-    )
+def lifecycle_row(
+    rule: StopRule, symbol: str, bar: Bar, price: float, outcome: Outcome
+) -> tuple:
+    position, values = outcome.position, _FLAT
+    if position is not None:
+        values = (position.position_type, position.position_time, *_stop_values(rule, position))
+    paid = price if outcome.entered else None
+    return (symbol, bar.start, outcome.exited, outcome.entered, paid, *values)
 
 
-def position_lifecycle(signals: DataFrame, blocks: Blocks | None = None) -> DataFrame:
+def position_lifecycle(
+    signals: DataFrame, blocks: Blocks | None = None, rule: StopRule = StopRule()
+) -> DataFrame:
     """Entries, exits and the stop of each symbol, bar by bar.
 
     One row per bar on which a position is open or has just been left. A symbol may leave and
@@ -207,9 +213,9 @@ def position_lifecycle(signals: DataFrame, blocks: Blocks | None = None) -> Data
             if i >= rows.num_rows:
                 break
             bar = bars[i]
-            outcome = next_bar(position, bar)
+            outcome = rule.next_bar(position, bar)
             position = outcome.position
-            values.append(lifecycle_row(symbol, bar, rows["price"][i].as_py(), outcome))
+            values.append(lifecycle_row(rule, symbol, bar, rows["price"][i].as_py(), outcome))
             i += 1
         return to_state(position), arrow_table(values, output)
 

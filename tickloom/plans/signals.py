@@ -1,6 +1,7 @@
 """Volatility, indicators, swings and reversal signals from bars."""
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,35 +10,65 @@ from pyspark.sql import functions as F
 from tickloom.functions.numbers import quotient, row_max
 from tickloom.operators.blocks import Blocks, blocks_for, carry_in, over_lookback, with_lookback
 from tickloom.operators.keyed import tail_rows
-from tickloom.session import cut_lineage
 from tickloom.operators.windows import rolling_mean_of, rolling_std_of, so_far, trailing
+from tickloom.session import cut_lineage
 
-SD_ROWS = 10
-PANEL_LOOKBACK = 19  # 16 closes for macd_line, 5 of those for its signal line
 
-PANEL_COLUMNS = [
-    "sd_high", "sd_low", "sd", "mave_5", "mave_8", "mave_16", "range", "atr", "natr",
-    "macd_line", "signal", "macd",
-]
+@dataclass(frozen=True)
+class Lengths:
+    """Rows in the windows of the panel."""
+
+    # Deviation; plain, fast and slow mean of the close; range; signal line.
+    sd: int = 10
+    mean: int = 5
+    fast: int = 8
+    slow: int = 16
+    atr: int = 3
+    signal: int = 5
+
+    @property
+    def macd_lookback(self) -> int:
+        """Rows before the first one with a macd: the slow mean's, and the signal line's on it."""
+        return max(self.fast, self.slow) - 1 + self.signal - 1
+
+    @property
+    def lookback(self) -> int:
+        return max(self.macd_lookback, self.sd - 1, self.mean - 1, self.atr - 1)
 
+    @property
+    def columns(self) -> list[str]:
+        means = [f"mave_{n}" for n in (self.mean, self.fast, self.slow)]
+        return [
+            "sd_high", "sd_low", "sd", *means, "range", "atr", "natr", "macd_line", "signal",
+            "macd",
+        ]
 
-def _add_volatility(bars: DataFrame, partition: list[str], order: str) -> DataFrame:
+
+LENGTHS = Lengths()
+
+
+def _add_volatility(
+    bars: DataFrame, partition: list[str], order: str, rows: int
+) -> DataFrame:
     """The larger of the rolling deviations of high and low."""
     return bars.withColumns(
         {
-            "sd_high": rolling_std_of(F.col("high"), SD_ROWS, partition, order),
-            "sd_low": rolling_std_of(F.col("low"), SD_ROWS, partition, order),
+            "sd_high": rolling_std_of(F.col("high"), rows, partition, order),
+            "sd_low": rolling_std_of(F.col("low"), rows, partition, order),
         }
     ).withColumn("sd", row_max(F.col("sd_high"), F.col("sd_low")))
 
 
 def volatility(
-    history: DataFrame, order: str = "start", blocks: Blocks | None = None
+    history: DataFrame,
+    order: str = "start",
+    blocks: Blocks | None = None,
+    lengths: Lengths = LENGTHS,
 ) -> DataFrame:
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
-        return _add_volatility(wide, partition, order)
+        return _add_volatility(wide, partition, order, lengths.sd)
 
-    return over_lookback(history, SD_ROWS - 1, add, "symbol", order, blocks)
+    return over_lookback(history, lengths.sd - 1, add, "symbol", order, blocks)
 
 
 def baseline_volatility(
@@ -45,14 +76,16 @@ def baseline_volatility(
     last_n: int | None = None,
     order: str = "start",
     blocks: Blocks | None = None,
+    lengths: Lengths = LENGTHS,
 ) -> DataFrame:
     """Mean volatility of each instrument over its history, or over its last n bars only."""
     columns = history.select("instrument_token", "symbol", order, "high", "low")
     if last_n is None:
-        rows = volatility(columns, order, blocks)
+        rows = volatility(columns, order, blocks, lengths)
     else:
-        near = tail_rows(columns, last_n + SD_ROWS - 1, "symbol", order)
-        rows = tail_rows(volatility(near, order, Blocks.single()), last_n, "symbol", order)
+        near = tail_rows(columns, last_n + lengths.sd - 1, "symbol", order)
+        known = volatility(near, order, Blocks.single(), lengths)
+        rows = tail_rows(known, last_n, "symbol", order)
     return rows.groupBy("instrument_token", "symbol").agg(F.avg("sd").alias("avg_sd"))
 
 
@@ -62,6 +95,7 @@ def breakout_scan(
     sd_factor: float = 4,
     natr_min: float = 0.3,
     blocks: Blocks | None = None,
+    lengths: Lengths = LENGTHS,
 ) -> DataFrame:
     """Bars of one day whose volatility is far above the mean of the last day before it.
 
@@ -79,12 +113,13 @@ def breakout_scan(
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
         ranged = wide.withColumn("range", F.col("high") - F.col("low"))
-        atr = rolling_std_of(F.col("range"), 3, partition, "date")
-        return _add_volatility(ranged, partition, "date").withColumns(
+        atr = rolling_std_of(F.col("range"), lengths.atr, partition, "date")
+        return _add_volatility(ranged, partition, "date", lengths.sd).withColumns(
             {"atr": atr, "natr": quotient(atr, F.col("close")) * 100}
         )
 
-    panel = over_lookback(bars, SD_ROWS - 1, add, "symbol", "date", blocks).withColumn("day", day)
+    reach = max(lengths.sd, lengths.atr) - 1
+    panel = over_lookback(bars, reach, add, "symbol", "date", blocks).withColumn("day", day)
     daily = panel.groupBy("symbol", "day").agg(
         F.coalesce(F.sum("sd"), F.lit(0.0)).alias("sd_sum"), F.count("sd").alias("sd_count")
     )
@@ -106,32 +141,35 @@ def breakout_scan(
     ).select("date", "symbol", "sd", "avg_sd", "natr")
 
 
-def _add_panel(bars: DataFrame, partition: list[str]) -> DataFrame:
+def _add_panel(bars: DataFrame, partition: list[str], lengths: Lengths) -> DataFrame:
     def mean(name: str, n: int) -> Column:
         return rolling_mean_of(F.col(name), n, partition)
 
-    first = _add_volatility(
-        bars.withColumn("range", F.col("high") - F.col("low")), partition, "start"
-    ).withColumns(
+    fast, slow = f"mave_{lengths.fast}", f"mave_{lengths.slow}"
+    ranged = bars.withColumn("range", F.col("high") - F.col("low"))
+    first = _add_volatility(ranged, partition, "start", lengths.sd).withColumns(
         {
-            "mave_5": mean("close", 5),
-            "mave_8": mean("close", 8),
-            "mave_16": mean("close", 16),
-            "atr": mean("range", 3),
+            f"mave_{lengths.mean}": mean("close", lengths.mean),
+            fast: mean("close", lengths.fast),
+            slow: mean("close", lengths.slow),
+            "atr": mean("range", lengths.atr),
         }
     )
     second = first.withColumns(
         {
             "natr": quotient(F.col("atr"), F.col("close")) * 100,
-            "macd_line": F.col("mave_8") - F.col("mave_16"),
+            "macd_line": F.col(fast) - F.col(slow),
         }
     )
-    third = second.withColumn("signal", mean("macd_line", 5))
+    third = second.withColumn("signal", mean("macd_line", lengths.signal))
     return third.withColumn("macd", F.col("macd_line") - F.col("signal"))
 
 
 def indicator_panel(
-    bars: DataFrame, tail: int | None = 25, blocks: Blocks | None = None
+    bars: DataFrame,
+    tail: int | None = 25,
+    blocks: Blocks | None = None,
+    lengths: Lengths = LENGTHS,
 ) -> DataFrame:
     """Deviation, moving averages, range and macd of each bar.
 
@@ -139,10 +177,13 @@ def indicator_panel(
     `tail=None` covers the whole history.
     """
     if tail is not None:
-        return _add_panel(tail_rows(bars, tail), ["symbol"]).select(*bars.columns, *PANEL_COLUMNS)
-    return over_lookback(bars, PANEL_LOOKBACK, _add_panel, blocks=blocks).select(
-        *bars.columns, *PANEL_COLUMNS
-    )
+        bars, blocks = tail_rows(bars, tail), Blocks.single()
+
+    def add(wide: DataFrame, partition: list[str]) -> DataFrame:
+        return _add_panel(wide, partition, lengths)
+
+    panel = over_lookback(bars, lengths.lookback, add, blocks=blocks)
+    return panel.select(*bars.columns, *lengths.columns)
 
 
 def _add_direction(panel: DataFrame, partition: list[str]) -> DataFrame:
@@ -289,14 +330,19 @@ def reversal_signal(
     ).select(*SIGNAL_COLUMNS, *keep)
 
 
-def live_signals(bars: DataFrame, tail: int = 25, **thresholds: float) -> DataFrame:
+def live_signals(
+    bars: DataFrame, tail: int = 25, lengths: Lengths = LENGTHS, **thresholds: float
+) -> DataFrame:
     """The signal of each symbol's last bar, judged on its last bars alone."""
-    panel = indicator_panel(bars, tail)
+    panel = indicator_panel(bars, tail, lengths=lengths)
     return reversal_signal(swing_segments(panel, Blocks.single()), last_only=True, **thresholds)
 
 
 def signal_history(
-    bars: DataFrame, blocks: Blocks | None = None, **thresholds: float
+    bars: DataFrame,
+    blocks: Blocks | None = None,
+    lengths: Lengths = LENGTHS,
+    **thresholds: float,
 ) -> DataFrame:
     """The signal of every bar, over whole histories.
 
@@ -304,12 +350,12 @@ def signal_history(
     """
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
-        return _add_direction(_add_panel(wide, partition), partition)
+        return _add_direction(_add_panel(wide, partition, lengths), partition)
 
     blocks = blocks_for(bars, "start", blocks)
     if blocks.is_single:
         return reversal_signal(_add_swings(add(bars, ["symbol"]), ["symbol"]), **thresholds)
-    wide = add(with_lookback(bars, PANEL_LOOKBACK + 1, blocks), ["symbol", "_block"])
+    wide = add(with_lookback(bars, lengths.lookback + 1, blocks), ["symbol", "_block"])
     rows = wide.filter(~F.col("_halo")).select(
         *bars.columns, "sd_high", "sd_low", "sd", "atr", "natr", "position_type",
         "_changed", "_block",
@@ -317,14 +363,16 @@ def signal_history(
     return reversal_signal(_add_swings_by_block(rows), **thresholds)
 
 
-def _add_tail_swings(directed: DataFrame, partition: list[str], tail: int) -> DataFrame:
+def _add_tail_swings(
+    directed: DataFrame, partition: list[str], tail: int, unknown: int
+) -> DataFrame:
     """Each bar's extremes as if its last `tail` bars were all there is.
 
     Within such a tail only the last bars have a macd, the same as over the whole history; the
-    bars before them count as long. So a swing reaches back over at most those last bars,
+    `unknown` first bars count as long. So a swing reaches back over at most those last bars,
     unless it is long over all of them: then it takes in the whole tail.
     """
-    known = tail - PANEL_LOOKBACK
+    known = tail - unknown
     in_order = Window.partitionBy(*partition).orderBy("start")
     island = directed.withColumns(
         {
@@ -337,7 +385,7 @@ def _add_tail_swings(directed: DataFrame, partition: list[str], tail: int) -> Da
     swing = trailing([*partition, "_island"], "start", known)
     reach = F.count(F.lit(1)).over(swing)
     all_long = (F.col("position_type") == "long") & (
-        reach >= F.least(F.col("_place"), F.lit(tail)) - PANEL_LOOKBACK
+        reach >= F.least(F.col("_place"), F.lit(tail)) - unknown
     )
     return island.withColumns(
         {
@@ -348,15 +396,19 @@ def _add_tail_swings(directed: DataFrame, partition: list[str], tail: int) -> Da
 
 
 def signals_bar_by_bar(
-    bars: DataFrame, tail: int = 25, blocks: Blocks | None = None, **thresholds: float
+    bars: DataFrame,
+    tail: int = 25,
+    blocks: Blocks | None = None,
+    lengths: Lengths = LENGTHS,
+    **thresholds: float,
 ) -> DataFrame:
     """For each bar the signal that `live_signals` gave when it was the last one."""
-    if tail <= PANEL_LOOKBACK:
-        raise ValueError(f"a tail must be longer than {PANEL_LOOKBACK} bars to have a macd")
+    if tail <= lengths.lookback:
+        raise ValueError(f"a tail must be longer than {lengths.lookback} bars to fill the panel")
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
-        directed = _add_direction(_add_panel(wide, partition), partition)
-        return _add_tail_swings(directed, partition, tail)
+        directed = _add_direction(_add_panel(wide, partition, lengths), partition)
+        return _add_tail_swings(directed, partition, tail, lengths.macd_lookback)
 
     segments = over_lookback(bars, tail - 1, add, blocks=blocks)
     return reversal_signal(segments, **thresholds)

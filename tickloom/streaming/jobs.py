@@ -19,16 +19,7 @@ from tickloom import schemas
 from tickloom.functions.codec import json_rejects
 from tickloom.operators.blocks import Blocks
 from tickloom.operators.keyed import latest_per_key, tail_rows
-from tickloom.operators.stop import (
-    Bar,
-    Outcome,
-    Position,
-    follow,
-    from_state,
-    next_bar,
-    open_position,
-    to_state,
-)
+from tickloom.operators.stop import Bar, Outcome, Position, StopRule, from_state, to_state
 from tickloom.plans.account import (
     BUDGET,
     POSITION_VALUE,
@@ -178,7 +169,8 @@ class SymbolState:
     entry once told stays told.
     """
 
-    def __init__(self, text: str | None = None):
+    def __init__(self, text: str | None = None, rule: StopRule = StopRule()):
+        self.rule = rule
         known = json.loads(text) if text else {}
         self.position = _unpack(known.get("position"))
         self.before = _unpack(known.get("before"))
@@ -199,7 +191,7 @@ class SymbolState:
             return None
         if self.last is None or bar.start > self.last:
             self.before, self.last = self.position, bar.start
-            outcome = next_bar(self.position, bar)
+            outcome = self.rule.next_bar(self.position, bar)
         else:
             outcome = self._again(bar)
         if outcome.exited:
@@ -210,19 +202,19 @@ class SymbolState:
     def _again(self, bar: Bar) -> Outcome:
         held = self.position
         if held is None or held.is_hit(bar.close):
-            return next_bar(held, bar)
+            return self.rule.next_bar(held, bar)
         if held.position_time == bar.start:
-            return Outcome(open_position(held.position_type, bar), False, False)
-        return Outcome(follow(self.before, bar), False, False)
+            return Outcome(self.rule.open(held.position_type, bar), False, False)
+        return Outcome(self.rule.follow(self.before, bar), False, False)
 
 
 _SYMBOL_STATE = StructType().add("state", "string")
 
 
 def _advance_symbol(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    rule: StopRule, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
-    symbol = SymbolState(state.get[0] if state.exists else None)
+    symbol = SymbolState(state.get[0] if state.exists else None, rule)
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["start", "seq"], kind="stable")
     starts = [stamp.to_pydatetime() for stamp in rows["start"]]
     columns = [rows[c].tolist() if c != "start" else starts for c in BAR_COLUMNS]
@@ -230,17 +222,21 @@ def _advance_symbol(
     for bar, price in zip(map(Bar._make, zip(*columns)), rows["price"].tolist()):
         outcome = symbol.take(bar)
         if outcome and (outcome.position is not None or outcome.exited):
-            values.append(lifecycle_row(key[0], bar, price, outcome))
+            values.append(lifecycle_row(rule, key[0], bar, price, outcome))
     state.update((symbol.text(),))
     if values:
         yield pd.DataFrame(values, columns=lifecycle_schema(TimestampType()).names)
 
 
-def follow_positions(signals: DataFrame) -> DataFrame:
+def follow_positions(signals: DataFrame, rule: StopRule = StopRule()) -> DataFrame:
     """Lifecycle rows of a stream of signals; state of fixed size per symbol."""
     rows = signals.select("symbol", "seq", "price", *BAR_COLUMNS)
+
+    def advance(key, batches, state):
+        return _advance_symbol(rule, key, batches, state)
+
     return rows.groupBy("symbol").applyInPandasWithState(
-        _advance_symbol,
+        advance,
         lifecycle_schema(TimestampType()),
         _SYMBOL_STATE,
         "append",
