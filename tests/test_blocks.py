@@ -39,6 +39,13 @@ def test_span(bars):
     assert replace(whole, days=1).count == 1
     assert Blocks.spanning(bars.limit(0)).is_single
     first, last = bars.select(F.to_date(F.min("start")), F.to_date(F.max("start"))).first()
+    busiest = bars.groupBy("symbol", F.to_date("start")).count().agg(F.max("count")).first()[0]
+    measured = Blocks.spanning(bars, rows=3 * busiest)
+    assert measured.days == 3 and not measured.is_single
+    sizes = measured.mark(bars, "start").groupBy("symbol", "_block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 3 * busiest
+    assert Blocks.spanning(bars, rows=1).days == 1
+    assert Blocks.spanning(bars).is_single
     assert Blocks.between(first, last, 7) == Blocks.spanning(bars, "start", 7)
 
 

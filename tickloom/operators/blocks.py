@@ -1,9 +1,9 @@
 """Ordered work on long series, cut into time blocks.
 
 A row window partitioned by symbol alone puts a whole series into one task, however long it
-is. Here a series is cut into blocks of whole days. A (symbol, block) group is bounded by the
-bars that fit into the block, since bars are unique in (symbol, start). What a block needs from
-the past comes to it in one of three ways:
+is. Here a series is cut into blocks of whole days, whose length is measured so that a (symbol,
+block) group stays small, or given: bars are unique in (symbol, start), so the bars that fit
+into a block bound the group. What a block needs from the past comes to it in one of three ways:
 
 * `with_lookback`   the last n rows before the block, copied into it (rolling windows, lag)
 * `carry_in`        a few numbers per earlier block, scanned over blocks (sums, fills)
@@ -29,6 +29,7 @@ from tickloom.operators.keyed import Keys, key_list
 from tickloom.session import cut_lineage
 
 BLOCK_DAYS = 90
+BLOCK_ROWS = 200_000
 
 
 def _day_number(order: Column) -> Column:
@@ -44,16 +45,31 @@ class Blocks:
     count: int
 
     @classmethod
-    def spanning(cls, df: DataFrame, order: str = "start", days: int = BLOCK_DAYS) -> "Blocks":
-        """Blocks over the rows of `df`: one look at a single column's least and greatest value.
-
-        Any table whose rows lie within the same span will do, ticks for their bars say.
+    def spanning(
+        cls,
+        df: DataFrame,
+        order: str = "start",
+        days: int | None = None,
+        by: Keys = "symbol",
+        rows: int = BLOCK_ROWS,
+    ) -> "Blocks":
+        """Blocks over the rows of `df`, or of any table whose rows lie within the same span.
+
+        With `days` this looks at the least and greatest value of one column. Without, it counts
+        the rows per key and day, and makes blocks as long as the busiest day of any key allows:
+        no group of a key and a block then has more than `rows` rows, unless one day has.
         """
-        day = _day_number(F.col(order))
-        first, last = df.agg(F.min(day), F.max(day)).first()
+        day = _day_number(F.col(order)).alias("_day")
+        if days is None:
+            daily = df.groupBy(*key_list(by), day).agg(F.count(F.lit(1)).alias("_rows"))
+            looked = daily.agg(F.min("_day"), F.max("_day"), F.max("_rows"))
+        else:
+            looked = df.agg(F.min(day), F.max(day), F.lit(None).cast("long"))
+        first, last, busiest = looked.first()
         if first is None:
-            return cls(0, days, 1)
-        return cls(first, days, (last - first) // days + 1)
+            return cls(0, days or 1, 1)
+        length = days or max(rows // busiest, 1)
+        return cls(first, length, (last - first) // length + 1)
 
     @classmethod
     def between(cls, first: date, last: date, days: int = BLOCK_DAYS) -> "Blocks":
@@ -74,8 +90,8 @@ class Blocks:
         return df.withColumn("_block", number)
 
 
-def blocks_for(df: DataFrame, order: str, blocks: Blocks | None) -> Blocks:
-    return blocks or Blocks.spanning(df, order)
+def blocks_for(df: DataFrame, order: str, blocks: Blocks | None, by: Keys = "symbol") -> Blocks:
+    return blocks or Blocks.spanning(df, order, by=by)
 
 
 def with_lookback(
@@ -137,7 +153,7 @@ def over_lookback(
 ) -> DataFrame:
     """`add(df, partition keys)` adds window columns that look back at most `rows` rows."""
     keys = key_list(by)
-    blocks = blocks_for(df, order, blocks)
+    blocks = blocks_for(df, order, blocks, keys)
     if blocks.is_single:
         return add(df, keys)
     wide = add(with_lookback(df, rows, blocks, keys, order), [*keys, "_block"])
@@ -186,7 +202,7 @@ def fold_blocks(
     starts. With a single block nothing is written and the result stays lazy.
     """
     keys = key_list(by)
-    blocks = blocks_for(df, order, blocks)
+    blocks = blocks_for(df, order, blocks, keys)
     if blocks.is_single:
         parts = [df]
     else:

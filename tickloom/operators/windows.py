@@ -145,7 +145,7 @@ def running_sum(
 ) -> DataFrame:
     """Sum of the column over the row and all rows before it."""
     keys = key_list(by)
-    blocks = blocks_for(df, order, blocks)
+    blocks = blocks_for(df, order, blocks, keys)
     if blocks.is_single:
         return df.withColumn(name, F.sum(column).over(so_far(keys, order)))
     blocked = blocks.mark(df, order)
@@ -176,7 +176,7 @@ def forward_fill(
 ) -> DataFrame:
     """The latest known value at or before each row; `columns` maps new names to sources."""
     keys = key_list(by)
-    blocks = blocks_for(df, order, blocks)
+    blocks = blocks_for(df, order, blocks, keys)
 
     def latest(partition: list[str]) -> dict[str, Column]:
         window = so_far(partition, order)

@@ -218,12 +218,14 @@ def json_decode(spark, folder):
     return codec.json_decode(events, _PROPS, "props", ("event_id",))
 
 
-@query(
-    "json_rejects",
-    "SELECT event_id FROM events WHERE json_extract(props, '$.k') IS NULL",
-)
+@query("json_rejects", "SELECT event_id, 'error' AS value FROM events WHERE event_type = 'error'")
 def json_rejects(spark, folder):
-    return codec.json_rejects(t.table(spark, folder, "events"), _PROPS, "props").select("event_id")
+    """Messages where errors arrive as plain text."""
+    kind = F.col("event_type")
+    messages = t.table(spark, folder, "events").select(
+        "event_id", F.when(kind == "error", kind).otherwise(F.col("props")).alias("value")
+    )
+    return codec.json_rejects(messages, _PROPS)
 
 
 @query(

@@ -6,7 +6,7 @@ Plain selects that read alike in SQL (see `oracle`), so that every job has real
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators.blocks import Blocks
+from tickloom.operators.blocks import BLOCK_DAYS, Blocks
 from tickloom.plans.bars import ohlc_bars
 from tickloom.plans.signals import baseline_volatility
 
@@ -49,7 +49,7 @@ def bars_user(spark: SparkSession, folder: str) -> DataFrame:
 
 def blocks(spark: SparkSession, folder: str) -> Blocks:
     """The span of all ticks, and so of all bars."""
-    return Blocks.spanning(table(spark, folder, "events"), "ts")
+    return Blocks.spanning(table(spark, folder, "events"), "ts", BLOCK_DAYS)
 
 
 def with_baseline(bars: DataFrame, span: Blocks) -> DataFrame:
