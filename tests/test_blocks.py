@@ -12,6 +12,7 @@ from tickloom.plans.positions import position_lifecycle, trailing_stop
 from tickloom.plans.signals import (
     baseline_volatility,
     breakout_scan,
+    first_day_needed,
     indicator_panel,
     live_signals,
     signal_history,
@@ -121,6 +122,20 @@ def test_reports_over_blocks(bars, days):
         )
 
 
+def test_first_day_needed_is_enough_and_no_more(bars):
+    history = bars.withColumnRenamed("start", "date").drop("avg_sd")
+    day, one = F.to_date("date"), Blocks.single()
+    checked = 0
+    for (as_of,) in history.select(day).distinct().orderBy(day).collect()[::9]:
+        whole = breakout_scan(history, as_of, 0, -1, one)
+        first = first_day_needed(history, as_of)
+        part = breakout_scan(history.filter(day >= F.lit(first)), as_of, 0, -1, one)
+        assert_same(whole, part, ["symbol", "date"])
+        checked += whole.count()
+    assert checked > 0
+    assert first_day_needed(history, "2023-01-01") is None
+
+
 @pytest.mark.parametrize("tail", [20, 25, 40])
 def test_bar_by_bar_is_what_the_last_bar_was(bars, tail):
     one = bars.filter("symbol = 'S0'").persist()

@@ -89,6 +89,38 @@ def baseline_volatility(
     return rows.groupBy("instrument_token", "symbol").agg(F.avg("sd").alias("avg_sd"))
 
 
+def first_day_needed(
+    history: DataFrame, as_of: date | str, lengths: Lengths = LENGTHS
+) -> date | None:
+    """The day from which `breakout_scan` must read to be exact; None if nothing trades that day.
+
+    Per symbol that is the last day with bars before `as_of`, and as many bars before that day
+    as its first windows look back. Only symbol and date are read, and counted per day.
+    """
+    day = F.to_date(F.col("date")).alias("day")
+    wanted = F.lit(str(as_of)).cast("date")
+    kind = history.schema["date"].dataType
+    daily = (
+        history.filter(F.col("date") < F.date_add(wanted, 1).cast(kind))
+        .groupBy("symbol", day)
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    back = Window.partitionBy("symbol").orderBy(F.desc("day"))
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+    counted = daily.withColumns(
+        {"rank": F.row_number().over(back), "last": F.first("day").over(back)}
+    )
+    counted = counted.withColumn(
+        "passed",
+        F.coalesce(F.sum(F.when(F.col("rank") > 2, F.col("rows"))).over(later), F.lit(0)),
+    )
+    reach = max(lengths.sd, lengths.atr) - 1
+    needed = counted.filter(
+        (F.col("last") == wanted) & ((F.col("rank") <= 2) | (F.col("passed") < reach))
+    )
+    return needed.agg(F.min("day")).first()[0]
+
+
 def breakout_scan(
     history: DataFrame,
     as_of: date | str,
@@ -101,7 +133,8 @@ def breakout_scan(
 
     The range measure is here the *deviation* of three ranges (the live panel uses their mean).
     Windows run across days, so the day filter stays above them; what lies after the day is
-    cut off at the scan, what lies long before it by the caller's date range (`load_history`).
+    cut off at the scan, what lies long before it by the caller's date range (`load_history`
+    from `first_day_needed` on).
     """
     day = F.to_date(F.col("date"))
     wanted = F.lit(str(as_of)).cast("date")

@@ -1,10 +1,12 @@
 """Universe, bars and signals."""
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from tickloom.operators import windows
+from tickloom.operators.blocks import Blocks
 from tickloom.operators.keyed import (
     coalescing_upsert,
     dedup_keep_first,
@@ -234,9 +236,7 @@ def bar_messages(spark, folder):
 # --- signals ------------------------------------------------------------------------------
 
 
-@query(
-    "breakout_scan",
-    f"""WITH {o.BARS['type']}, {o.VOLATILITY},
+_BREAKOUT = f"""WITH {o.BARS['type']}, {o.VOLATILITY},
         ranged AS (SELECT *, high - low AS "range", start::DATE AS day FROM vol),
         atrs AS (SELECT *, {o.full('stddev_samp', '"range"', 3)} AS atr FROM ranged),
         days AS (SELECT symbol, day, coalesce(sum(sd), 0) AS sd_sum, count(sd) AS sd_count
@@ -250,11 +250,24 @@ def bar_messages(spark, folder):
           WHERE day = DATE '{AS_OF}' AND sd_high IS NOT NULL AND sd_low IS NOT NULL
             AND atr IS NOT NULL AND sd_sum IS NOT NULL AND sd_count > 0)
         SELECT date, symbol, {_r('sd avg_sd')}, {_r('natr', 4)} FROM scored
-        WHERE sd > {SD_FACTOR} * avg_sd AND natr > 0.3""",
-)
+        WHERE sd > {SD_FACTOR} * avg_sd AND natr > 0.3"""
+
+
+@query("breakout_scan", _BREAKOUT)
 def breakout_scan(spark, folder):
     history = t.bars_type(spark, folder).withColumnRenamed("start", "date")
-    return rounded(signal_plans.breakout_scan(history, AS_OF, SD_FACTOR, blocks=t.blocks(spark, folder)), natr=4)
+    span = t.blocks(spark, folder)
+    return rounded(signal_plans.breakout_scan(history, AS_OF, SD_FACTOR, blocks=span), natr=4)
+
+
+@query("breakout_scan_recent", _BREAKOUT)
+def breakout_scan_recent(spark, folder):
+    """The same from only the days it needs."""
+    history = t.bars_type(spark, folder).withColumnRenamed("start", "date")
+    first = signal_plans.first_day_needed(history, AS_OF)
+    near = history.filter(F.col("date") >= F.lit(first).cast("timestamp_ntz"))
+    span = Blocks.between(first, date.fromisoformat(AS_OF))
+    return rounded(signal_plans.breakout_scan(near, AS_OF, SD_FACTOR, blocks=span), natr=4)
 
 
 _PANEL_OUT = (
