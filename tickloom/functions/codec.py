@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tickloom.functions.clock import SECOND_FORMAT
+from tickloom.functions.numbers import known
 from tickloom.operators.keyed import tail_rows
 from tickloom.schemas import WIRE_NAMES
 
@@ -28,17 +29,16 @@ def _unpack(record: Column, schema: StructType) -> list[Column]:
     for field in schema:
         value = record.getField(WIRE_NAMES.get(field.name, field.name))
         if isinstance(field.dataType, DoubleType):
-            value = F.when(~F.isnan(value), value)
+            value = known(value)
         columns.append(value.alias(field.name))
     return columns
 
 
 def _is_broken(record: Column, schema: StructType) -> Column:
-    empty = record.isNull()
     nothing = F.lit(True)
     for field in _wire_schema(schema):
         nothing = nothing & record.getField(field.name).isNull()
-    return empty | nothing
+    return nothing
 
 
 def json_decode(

@@ -17,7 +17,6 @@ from pyspark.sql.types import StructType, TimestampType
 
 from tickloom import schemas
 from tickloom.functions.codec import json_rejects
-from tickloom.operators.blocks import Blocks
 from tickloom.operators.keyed import latest_per_key, tail_rows
 from tickloom.operators.stop import Bar, Outcome, Position, StopRule, from_state, to_state
 from tickloom.plans.account import (
@@ -89,7 +88,8 @@ class SignalStage:
 
     Row windows are refused on streams, hence the kept tails: their number of rows is bounded
     by the number of symbols, however long the stream runs. A bar that arrives again (update
-    mode) replaces its earlier version.
+    mode) replaces its earlier version. A batch that catches up on very long series is cut into
+    blocks like a table.
     """
 
     def __init__(
@@ -109,9 +109,7 @@ class SignalStage:
         merged = older.unionByName(bars).persist()
         try:
             self.tails.write(tail_rows(merged, self.tail), batch_id)
-            signals = signals_bar_by_bar(
-                merged, self.tail, Blocks.single(), keep=["_new"], **self.thresholds
-            )
+            signals = signals_bar_by_bar(merged, self.tail, keep=["_new"], **self.thresholds)
             write_records(signals.filter("_new"), self.out, SIGNAL_MESSAGE, batch_id)
         finally:
             merged.unpersist()

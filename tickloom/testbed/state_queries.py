@@ -335,7 +335,8 @@ def business_days_back(spark, folder):
 @query(
     "clock_columns",
     """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, ts::DATE AS day,
-          ts::DATE - 8 AS week_ago, epoch_us(ts) * 1000 AS nanos FROM events""",
+          ts::DATE - 8 AS week_ago, epoch_us(ts) * 1000 AS nanos,
+          date_trunc('second', ts)::TIMESTAMP AS second FROM events""",
 )
 def clock_columns(spark, folder):
     ts = F.col("ts")
@@ -345,6 +346,7 @@ def clock_columns(spark, folder):
         clock.day_of(ts).alias("day"),
         clock.days_after(clock.day_of(ts), -8).alias("week_ago"),
         clock.epoch_nanos(ts).alias("nanos"),
+        clock.text_timestamp(clock.timestamp_text(ts)).cast("timestamp_ntz").alias("second"),
     )
 
 
