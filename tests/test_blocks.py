@@ -150,6 +150,13 @@ def test_bar_by_bar_is_what_the_last_bar_was(bars, tail):
             assert got[name] == (pytest.approx(value) if isinstance(value, float) else value)
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_partitions_and_row_order_change_nothing(bars, parts):
+    mixed = bars.orderBy(F.rand(3)).repartition(parts)
+    one = Blocks.single()
+    assert_same(signal_history(mixed, one, sd_factor=1.0), signal_history(bars, one, sd_factor=1.0))
+
+
 def test_skewed_series_equal_lone_series(spark, bars):
     """A symbol's result does not depend on how many rows other symbols have."""
     lone = bars.filter("symbol = 'S1'")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 SECOND_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def _clock_micros(ts: Column) -> Column:
+def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of the clock reading, alike for both timestamp types."""
     minutes = (F.unix_date(F.to_date(ts)).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)
     return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
@@ -29,7 +29,7 @@ def round_minute(ts: Column) -> Column:
 
 
 def epoch_nanos(ts: Column) -> Column:
-    return _clock_micros(ts) * 1000
+    return epoch_micros(ts) * 1000
 
 
 def day_of(ts: Column) -> Column:

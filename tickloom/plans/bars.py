@@ -3,10 +3,12 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.clock import epoch_nanos, round_minute, timestamp_text
+from tickloom.functions.clock import epoch_micros, epoch_nanos, round_minute, timestamp_text
 from tickloom.functions.codec import json_encode
 from tickloom.operators.keyed import tail_rows
 
+BEFORE_LIVE = 1 << 62
+
 
 def ohlc_bars(
     ticks: DataFrame, width: str = "60 seconds", watermark: str = "2 seconds"
@@ -57,10 +59,11 @@ def stamp_ingest(ticks: DataFrame) -> DataFrame:
 def backfill_ticks(bars: DataFrame, n: int = 30) -> DataFrame:
     """The last n bars of each symbol as four ticks each: open, high, low, close.
 
-    All four carry the bar's start; `position` (0 to 3) tells them apart and orders them.
+    All four carry the bar's start; `position` (0 to 3) tells them apart. `seq` orders the ticks
+    of a symbol and is negative, so that they precede whatever a topic delivers.
     """
     four = F.posexplode(F.array("open", "high", "low", "close")).alias("position", "last_price")
-    return tail_rows(bars, n).select(
+    ticks = tail_rows(bars, n).select(
         "instrument_token",
         "symbol",
         four,
@@ -69,6 +72,9 @@ def backfill_ticks(bars: DataFrame, n: int = 30) -> DataFrame:
         "avg_sd",
         F.col("start").alias("date"),
     )
+    return ticks.withColumn(
+        "seq", epoch_micros(F.col("date")) * 4 + F.col("position") - F.lit(BEFORE_LIVE)
+    )
 
 
 def minute_bars(ticks: DataFrame, date: str = "date") -> DataFrame:

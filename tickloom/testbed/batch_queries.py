@@ -134,7 +134,8 @@ def ohlc_bars_with_sd(spark, folder):
           QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY start DESC) <= 30)
         SELECT last.instrument_token, last.symbol, position::INTEGER AS position,
           [open, high, low, close][position + 1] AS last_price, 'ltp' AS mode, true AS tradable,
-          {o.fixed('base.avg_sd')} AS avg_sd, start AS date
+          {o.fixed('base.avg_sd')} AS avg_sd, start AS date,
+          epoch_us(start) * 4 + position - {bar_plans.BEFORE_LIVE} AS seq
         FROM last JOIN base ON base.symbol = last.symbol
         CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS position)""",
 )
@@ -142,6 +143,18 @@ def backfill_ticks(spark, folder):
     return rounded(bar_plans.backfill_ticks(t.with_baseline(t.bars_type(spark, folder), t.blocks(spark, folder)), 30))
 
 
+@query(
+    "replayed_bars",
+    f"""WITH {o.BARS['type']} SELECT {_BAR_OUT} FROM bars
+        QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY start DESC) <= 30""",
+)
+def replayed_bars(spark, folder):
+    """Bars made from the ticks that stand for them."""
+    bars = t.bars_type(spark, folder).withColumn("avg_sd", F.lit(None).cast("double"))
+    again = bar_plans.ohlc_bars(bar_plans.backfill_ticks(bars, 30), "1 hour")
+    return again.select(*t.BAR_COLUMNS)
+
+
 @query(
     "baseline_volatility",
     f"""WITH {o.BARS['user']}, {o.VOLATILITY}, {o.BASELINE}

@@ -12,7 +12,7 @@ from tickloom.plans.signals import baseline_volatility
 
 SEGMENT = "Brand#4"
 MARGINS = (3.0, 5.0, 8.3, 12.5)
-BUSINESS_COLUMNS = ["instrument_token", "symbol", "start", "open", "high", "low", "close"]
+BAR_COLUMNS = ["instrument_token", "symbol", "start", "open", "high", "low", "close"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,11 +40,11 @@ def ticks_user(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bars_type(spark: SparkSession, folder: str) -> DataFrame:
-    return ohlc_bars(ticks_type(spark, folder), "1 hour").select(*BUSINESS_COLUMNS)
+    return ohlc_bars(ticks_type(spark, folder), "1 hour").select(*BAR_COLUMNS)
 
 
 def bars_user(spark: SparkSession, folder: str) -> DataFrame:
-    return ohlc_bars(ticks_user(spark, folder), "1 day").select(*BUSINESS_COLUMNS)
+    return ohlc_bars(ticks_user(spark, folder), "1 day").select(*BAR_COLUMNS)
 
 
 def blocks(spark: SparkSession, folder: str) -> Blocks:
