@@ -252,6 +252,10 @@ def test_merged_bars_and_their_messages(spark, tmp_path):
     before = log.bars().collect()
     log.append(df.filter("seq >= 31"), 3)  # a repeated batch changes nothing
     assert sorted(map(str, log.bars().collect())) == sorted(map(str, before))
+    compact = log.compacted(str(tmp_path / "compact"))
+    assert sorted(map(str, compact.bars().collect())) == sorted(map(str, before))
+    compact.append(df.filter("seq >= 31"), 3)
+    assert sorted(map(str, compact.bars().collect())) == sorted(map(str, before))
 
 
 def test_rejects_are_kept(spark, tmp_path):

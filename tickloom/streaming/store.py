@@ -54,6 +54,8 @@ class BarLog:
 
     def __init__(self, spark: SparkSession, path: str, stored: DataFrame):
         self.spark, self.path, self.stored = spark, path, stored
+        nothing = spark.createDataFrame([], self.SCHEMA)  # an empty log can be read
+        nothing.write.mode("append").partitionBy("batch", "day").parquet(path)
 
     def append(self, ticks: DataFrame, batch_id: int) -> None:
         bars = minute_bars(ticks).withColumn("day", F.to_date("date"))
@@ -81,3 +83,13 @@ class BarLog:
         added = known.join(touched, ["day", "symbol", "date"], "left_semi")
         stored = self.stored.join(touched.drop("day"), ["symbol", "date"], "left_semi")
         return self._merged(added, stored)
+
+    def compacted(self, path: str) -> "BarLog":
+        """A log under `path` that has this one's bars as stored ones, for the job's next start.
+
+        A last batch that is run again there merges into bars that already hold it, which
+        changes nothing.
+        """
+        self.bars().write.parquet(f"{path}/stored")
+        stored = self.spark.read.schema(self.stored.schema).parquet(f"{path}/stored")
+        return BarLog(self.spark, f"{path}/added", stored)
