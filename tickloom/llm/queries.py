@@ -1,10 +1,17 @@
 """One query for each operator over its whole table, and SQL where SQL can express it."""
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.hyperminhash import near_duplicates
+from tickloom.llm.packing import pack
+from tickloom.llm.warc import assemble_captures, read_warc, write_warc
+from tickloom.session import cut_lineage, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +44,95 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
     )
+
+
+UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+LOWERED = WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{SMALL}')")
+#: Components from links(x, y), both directions: reach(id, root) with all smaller or equal roots.
+REACH = """
+    reach AS (
+        SELECT x AS id, x AS root FROM links
+        UNION
+        SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.id
+    ),
+    roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+"""
+
+
+@query(
+    "op3_warc",
+    """
+    WITH p AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+            sha1(coalesce(html, '')) AS payload_digest,
+            max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last_id
+        FROM pages
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN 'revisit' ELSE 'response' END
+            AS record_type,
+        CASE WHEN payload_bytes >= 1000 AND page_id <> last_id THEN last_id END AS refers_to
+    FROM p
+    """,
+)
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, folder, "pages"), path)
+    captures = assemble_captures(read_warc(spark, path, payloads=False)).select(
+        "capture_id",
+        F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1)
+        .try_cast("long")
+        .alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("refers_to_record"),
+    )
+    captures = cut_lineage(captures)
+    target = captures.select(
+        F.col("capture_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")
+    )
+    revisits = captures.filter("record_type = 'revisit'").join(
+        target.dropDuplicates(["refers_to_record"]), "refers_to_record", "left"
+    )
+    responses = captures.filter("record_type <> 'revisit'").withColumn(
+        "refers_to", F.lit(None).cast("long")
+    )
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return revisits.select(*names).unionByName(responses.select(*names))
+
+
+@query(
+    "op5_hyperminhash",
+    f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {LOWERED} AS ws FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, shingle FROM (
+            SELECT doc_id, unnest(CASE
+                WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+            END) AS shingle FROM w)
+    ),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+        FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+    ),
+    links AS (
+        SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+        WHERE 100 * c >= 80 * (a.n + b.n - c)
+    ),
+    {REACH}
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id,
+        coalesce(root, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN roots ON roots.id = d.doc_id
+    """,
+)
+def op5_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_pattern_packing")
+def op9_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
