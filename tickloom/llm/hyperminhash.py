@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components, join_groups
-from tickloom.llm.words import Words, mix, word_runs, windows
+from tickloom.llm.words import Words, mix, running, windows, word_runs
 from tickloom.session import cut_lineage
 
 SHINGLE = 4
@@ -146,10 +146,10 @@ def _wanted(id_col: str, text_col: str) -> list:
 def _signed(nodes, ids, words: Words, size: int, percent: int) -> pa.RecordBatch:
     row, hashes = shingles(words, size)
     n = np.bincount(row, minlength=words.rows)
-    cut = np.concatenate([[0], np.cumsum(n)])
+    cut = running(n)
     digests = []
     for seed in (1, 2):
-        sums = np.concatenate([[0], np.cumsum(mix(hashes ^ mix(np.array([seed], np.uint64))), dtype=np.uint64)])
+        sums = running(mix(hashes ^ mix(np.array([seed], np.uint64))))
         digests.append((sums[cut[1:]] - sums[cut[:-1]]).view(np.int64))
     k = size_class(n)
     own = np.zeros((words.rows, BUCKETS), np.uint16)

@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.debruijn import substring_dedup
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.hyperminhash import near_duplicates
 from tickloom.llm.packing import pack
@@ -136,3 +137,33 @@ def op5_hyperminhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_pattern_packing")
 def op9_pattern_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(
+    "op7_de_bruijn",
+    f"""
+    WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+    win AS (
+        SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w)
+    ),
+    late AS (
+        SELECT doc_id, s FROM win
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1
+    ),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS i FROM late),
+    word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+        FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed,
+        sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+    """,
+)
+def op7_de_bruijn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return substring_dedup(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )

@@ -23,6 +23,13 @@ _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, n
 _powers: list[np.ndarray] = []
 
 
+def running(x: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, ... len(x) numbers, in the array's own type."""
+    out = np.zeros(len(x) + 1, x.dtype)
+    np.cumsum(x, dtype=x.dtype, out=out[1:])
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -139,16 +146,14 @@ def polynomial(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes)
     total, done = np.zeros(n - size + 1, np.uint64), 0
     part, width = hashes.astype(np.uint64), 1  # part[i]: the sum over `width` items from i
-    base = np.uint64(_BASE)
-    step = base
-    left = size
+    step, left = _BASE, size
     while left:
         if left & 1:
             total += part[done : done + n - size + 1] * np.uint64(pow(_BASE, done, 1 << 64))
             done += width
         left >>= 1
         if left:
-            part = part[: len(part) - width] + part[width:] * step
-            step = step * step
+            part = part[: len(part) - width] + part[width:] * np.uint64(step)
+            step = step * step % (1 << 64)
             width *= 2
     return total
