@@ -11,6 +11,7 @@ from tickloom.llm.debruijn import substring_dedup
 from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.hyperminhash import near_duplicates
 from tickloom.llm.packing import pack
+from tickloom.llm.toxicity import toxicity
 from tickloom.llm.warc import assemble_captures, read_warc, write_warc
 from tickloom.session import cut_lineage, shared_dir
 
@@ -167,3 +168,8 @@ def op7_de_bruijn(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
