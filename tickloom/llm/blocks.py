@@ -41,42 +41,49 @@ def _cuts(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int]]:
     yield first, batch.num_rows
 
 
-def write_blocks(docs: DataFrame, doc_id: Column, text: Column, rest: list[str], size: int = BLOCK) -> DataFrame:
-    """(block, payload) of a written table; payloads hold doc_id, text and the struct `rest`."""
-    spark = docs.sparkSession
-    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("c0")]
-    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.struct(*others).alias("rest"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            nonlocal number
-            table = pa.Table.from_batches(held).combine_chunks()
-            payload = pack_rows(table.to_batches(max_chunksize=None)[0])
-            number += 1
-            return pa.record_batch([pa.array([number]), pa.array([payload], pa.binary())], ["block", "payload"])
-
-        room = size
-        for batch in batches:
-            for first, stop in _cuts(batch, size):
-                part = batch.slice(first, stop - first)
-                n = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
-                if held and n > room:
-                    yield flush()
-                    held, room = [], size
-                held.append(part)
-                room -= n + 64 * part.num_rows
-        if sum(x.num_rows for x in held):
-            yield flush()
-
-    name = f"tickloom_blocks_{uuid.uuid4().hex}"
+def in_blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of a task in batches of about `size` bytes of text (the second column), each with a number."""
+    number = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    room = size
+    for batch in batches:
+        for first, stop in _cuts(batch, size):
+            part = batch.slice(first, stop - first)
+            n = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+            if held and n > room:
+                yield number, _one(held)
+                number, held, room = number + 1, [], size
+            held.append(part)
+            room -= n + 64 * part.num_rows
+    if sum(x.num_rows for x in held):
+        yield number, _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """Written to the shared folder as a table bucketed by its column `block`."""
+    spark, name = rows.sparkSession, f"tickloom_blocks_{uuid.uuid4().hex}"
     (
-        rows.mapInArrow(run, "block long, payload binary")
-        .write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
+        rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
         .option("path", f"{shared_dir(spark)}/{name}")
         .option("compression", "none")
         .saveAsTable(name)
     )
     return spark.table(name)
+
+
+def write_blocks(docs: DataFrame, doc_id: Column, text: Column, rest: list[str], size: int = BLOCK) -> DataFrame:
+    """(block, payload) of a written table; payloads hold doc_id, text and the struct `rest`."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)] or [F.lit(0).alias("c0")]
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.struct(*others).alias("rest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in in_blocks(batches, size):
+            yield pa.record_batch(
+                [pa.array([number]), pa.array([pack_rows(batch)], pa.binary())], ["block", "payload"]
+            )
+
+    return bucketed(rows.mapInArrow(run, "block long, payload binary"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.debruijn import substring_dedup
 from tickloom.llm.exact_dedup import exact_dedup
+from tickloom.llm.hmm import lm_scores
 from tickloom.llm.hyperminhash import near_duplicates
 from tickloom.llm.packing import pack
 from tickloom.llm.toxicity import toxicity
@@ -173,3 +174,9 @@ def op7_de_bruijn(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_hmm")
+def op4_hmm(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scores(table(spark, folder, "documents"), held_out)
