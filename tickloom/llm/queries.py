@@ -12,6 +12,7 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.hmm import lm_scores
 from tickloom.llm.hyperminhash import near_duplicates
 from tickloom.llm.packing import pack
+from tickloom.llm.quantised import near_vectors
 from tickloom.llm.toxicity import toxicity
 from tickloom.llm.warc import assemble_captures, read_warc, write_warc
 from tickloom.session import cut_lineage, shared_dir
@@ -180,3 +181,26 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_hmm(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     return lm_scores(table(spark, folder, "documents"), held_out)
+
+
+@query(
+    "op10_product_quantisation",
+    f"""
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    good AS (
+        SELECT * FROM v WHERE x IS NOT NULL AND len(x) > 0 AND list_dot_product(x, x) > 0
+            AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    ),
+    links AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b
+        ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9
+    ),
+    degree AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+    {REACH}
+    SELECT v.vec_id, coalesce(n, 0) AS n_links, coalesce(root, v.vec_id) AS component_id,
+        coalesce(root, v.vec_id) = v.vec_id AS kept
+    FROM v LEFT JOIN degree ON degree.x = v.vec_id LEFT JOIN roots ON roots.id = v.vec_id
+    """,
+)
+def op10_product_quantisation(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
