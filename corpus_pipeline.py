@@ -1,20 +1,72 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+A stage takes the documents that the one before kept and returns those that it keeps, with the columns
+of `documents`; the last returns the pieces of packed sequences. Every stage's result is a written
+table, so a lost executor costs the stage that ran and nothing before.
+"""
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickloom.llm.debruijn import substring_dedup
 from tickloom.llm.exact_dedup import keep_one
+from tickloom.llm.hyperminhash import near_duplicates
+from tickloom.llm.packing import pack
+from tickloom.llm.toxicity import held_out, score, train
 from tickloom.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def calm(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models don't reject. Labels of rows not held out teach them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs.select("doc_id", "text"), labels, ~held_out(F.col("doc_id")))
+    names = docs.columns
+    scored = score(docs.select("doc_id", "text", *[c for c in names if c not in ("doc_id", "text")]), model)
+    return scored.filter("predicted = 0").select(*names)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id."""
     return keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, by shingles of five words, the one with the smallest id."""
+    kept = near_duplicates(docs, size=5).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without windows of 20 words that start earlier. Other texts stay as they are, to the byte."""
+    found = substring_dedup(docs)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    cut = found.select(
+        "doc_id",
+        F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")).alias("text"),
+        *[F.col(f"rest.c{i}").alias(c) for i, c in enumerate(rest)],
+    )
+    if "n_chars" in rest:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes in the training sequences."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", calm),
+    ("exact_dedup", exact),
+    ("minhash_near_dedup", near),
+    ("substring_dedup", passages),
+    ("best_fit_packing", packed),
+]
 
 #: The stages learn models, look for near copies and pack: not SQL. The tests compare them with
 #: brute force.

@@ -9,10 +9,8 @@ import json
 
 import numpy as np
 
-from tickloom.llm.words import SPACE, span_hashes
-
-#: Parts kept per encoder; with more the store starts anew. It bounds memory, not results.
-KEPT = 400_000
+from tickloom.llm.parts import KEPT, Parts
+from tickloom.llm.words import SPACE
 
 
 def part_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -40,7 +38,7 @@ def part_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class ByteBpe:
+class ByteBpe(Parts):
     """Encodes runs of texts with the `tokenizers` file at `path`; nothing is added to the ids.
 
     Strings of special tokens in a text are ordinary text.
@@ -49,6 +47,7 @@ class ByteBpe:
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
+        super().__init__(kept)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = json.loads(self.tokenizer.to_str())["model"]["vocab"]
@@ -56,63 +55,27 @@ class ByteBpe:
         self.n_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, number in vocabulary.items():
             self.n_bytes[number] = len(token)
-        self.kept = kept
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known = np.zeros(0, np.uint64)  # sorted hashes of parts
-        self.start = np.zeros(0, np.int64)  # of their ids in the pool
-        self.length = np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, and where each text's ids begin (rows + 1 entries)."""
-        begin = part_begins(data, offsets)
-        if len(begin) == 0:
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        end = np.append(begin[1:], len(data))
-        hashes, first, place = np.unique(
-            span_hashes(data, begin, end), return_index=True, return_inverse=True
-        )
-        if len(self.known) + len(hashes) > self.kept:
-            self._reset()
-        at = np.searchsorted(self.known, hashes)
-        new = at == len(self.known)
-        new[~new] = self.known[at[~new]] != hashes[~new]
-        if new.any():
-            self._learn(data, hashes[new], begin[first[new]], end[first[new]])
-            at = np.searchsorted(self.known, hashes)
-        start, length = self.start[at][place], self.length[at][place]
-        sums = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool[np.repeat(start - sums[:-1], length) + np.arange(sums[-1])]
-        return ids, sums[np.searchsorted(begin, offsets)]
+    def begins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return part_begins(data, offsets)
 
-    def _learn(self, data, hashes, begin, end) -> None:
-        """Encode parts not met before. Those like words are encoded together as one text."""
+    def fresh(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts like words, between two spaces, are encoded together as one text."""
         last = data[end - 1]
         # An ASCII letter, digit or mark ends the part: the next part's space is a cut.
         together = (data[begin] == 0x20) & (last > 0x20) & (last < 0x7F)
-        order = np.concatenate([np.flatnonzero(together), np.flatnonzero(~together)])
         text = b"".join(data[b:e].tobytes() for b, e in zip(begin[together], end[together]))
         ids = np.array(self._ids([text])[0] if text else [], np.uint32)
         ends = np.cumsum((end - begin)[together])
-        stop = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1 if len(ends) else ends
-        counts = np.diff(stop, prepend=0)
+        stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
         alone = self._ids([data[b:e].tobytes() for b, e in zip(begin[~together], end[~together])])
-        parts = [ids, *(np.array(x, np.uint32) for x in alone)]
-        fresh = np.concatenate(parts)
-        lengths = np.concatenate([counts, [len(x) for x in alone]]).astype(np.int64)
-        while self.used + len(fresh) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(fresh)] = fresh
-        starts = self.used + np.cumsum(lengths) - lengths
-        self.used += len(fresh)
-        known = np.concatenate([self.known, hashes[order]])
-        sort = np.argsort(known, kind="stable")
-        self.known = known[sort]
-        self.start = np.concatenate([self.start, starts])[sort]
-        self.length = np.concatenate([self.length, lengths])[sort]
+        lengths = np.empty(len(begin), np.int64)
+        lengths[together], lengths[~together] = np.diff(stops, prepend=0), [len(x) for x in alone]
+        out = np.empty(lengths.sum(), np.uint32)
+        of_joined = np.repeat(together, lengths)
+        out[of_joined] = ids
+        out[~of_joined] = [i for x in alone for i in x]
+        return out, lengths
 
     def _ids(self, parts: list[bytes]) -> list[list[int]]:
         texts = [x.decode("utf-8", "replace") for x in parts]

@@ -13,6 +13,8 @@ from tickloom.llm.hmm import lm_scores
 from tickloom.llm.hyperminhash import near_duplicates
 from tickloom.llm.packing import pack
 from tickloom.llm.quantised import near_vectors
+from tickloom.llm.sentencepiece_wfst import decode, encode
+from tickloom.llm.token_counts import token_counts
 from tickloom.llm.toxicity import toxicity
 from tickloom.llm.warc import assemble_captures, read_warc, write_warc
 from tickloom.session import cut_lineage, shared_dir
@@ -204,3 +206,25 @@ def op4_hmm(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_product_quantisation(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = decode(encode(table(spark, folder, "documents"), model), model)
+    raw = F.concat_ws("", F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").alias("n_ids"),
+        F.crc32(F.unhex(raw)).alias("ids_crc32"),  # of 32-bit big-endian ids
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))).alias(
+            "round_trip"
+        ),
+    )
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts(table(spark, folder, "documents"), path, ("source", "text"))
