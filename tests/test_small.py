@@ -53,7 +53,7 @@ def test_encode_writes_nulls(spark):
 def test_empty_series(spark):
     keys = spark.createDataFrame([("A",), ("B",)], "symbol string")
     rows = spark.createDataFrame([("A", 2, 1.5), ("A", 1, 2.5)], "symbol string, start int, close double")
-    got = codec.series_json(keys, rows, "symbol", "start", ["close"])
+    got = codec.series_json(keys, rows, "symbol", "start", ["close"])  # every row of a key
     assert dict(map(tuple, got.collect())) == {"A": '[{"close":2.5},{"close":1.5}]', "B": "[]"}
 
 

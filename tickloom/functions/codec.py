@@ -6,7 +6,6 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from tickloom.functions.clock import SECOND_FORMAT
 from tickloom.functions.numbers import known
-from tickloom.operators.keyed import tail_rows
 from tickloom.schemas import WIRE_NAMES
 
 _JSON_OUT = {
@@ -79,13 +78,15 @@ def json_encode(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def series_json(
-    keys: DataFrame, rows: DataFrame, by: str, order: str, columns: list[str], last_n: int = 25
+    keys: DataFrame, rows: DataFrame, by: str, order: str, columns: list[str]
 ) -> DataFrame:
-    """Per key, its last `last_n` rows in `order` as one JSON array; `[]` for a key without rows."""
+    """Per key its rows in `order` as one JSON array; `[]` for a key without rows.
+
+    An array is one value: bound the rows of a key first, by `tail_rows` or by a day in the key.
+    """
     record = F.struct(F.col(order).alias("_order"), *[F.col(c) for c in columns])
     gathered = (
-        tail_rows(rows, last_n, by, order)
-        .groupBy(by)
+        rows.groupBy(by)
         .agg(F.array_sort(F.collect_list(record)).alias("_rows"))
     )
     body = F.transform(

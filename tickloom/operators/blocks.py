@@ -9,6 +9,9 @@ into a block bound the group. What a block needs from the past comes to it in on
 * `carry_in`        a few numbers per earlier block, scanned over blocks (sums, fills)
 * `fold_blocks`     the state of a recurrence, handed from block to block
 
+Rows with a null key are one series more; a row without a time comes before all others of its series,
+in a block of its own. Both hold for one block and for many.
+
 Only per-block summaries are ever grouped by symbol alone: one row per symbol and block, so
 their number is bounded by the time span of the data. Data that spans a single block needs none
 of this: a group per symbol is then bounded already, and costs one shuffle.
@@ -20,16 +23,18 @@ from datetime import date
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tickloom.operators.keyed import Keys, key_list
+from tickloom.operators.keyed import Keys, join_null_safe, key_list
 from tickloom.session import cut_lineage
 
 BLOCK_DAYS = 90
 BLOCK_ROWS = 200_000
+UNTIMED = -(2**31)  # the block of rows without a time
 
 
 def _day_number(order: Column) -> Column:
@@ -87,7 +92,7 @@ class Blocks:
 
     def mark(self, df: DataFrame, order: str) -> DataFrame:
         number = F.floor((_day_number(F.col(order)) - self.first_day) / self.days)
-        return df.withColumn("_block", number)
+        return df.withColumn("_block", F.coalesce(number, F.lit(UNTIMED)))
 
 
 def blocks_for(df: DataFrame, order: str, blocks: Blocks | None, by: Keys = "symbol") -> Blocks:
@@ -135,7 +140,7 @@ def with_lookback(
         F.col("_from_end") <= rows
     )
     goals = F.filter("_reached", lambda x: x["gap"] + F.col("_from_end") <= rows)
-    copies = tails.join(reached, [*keys, "_block"]).select(
+    copies = join_null_safe(tails, reached, [*keys, "_block"], "inner").select(
         *df.columns, F.explode(F.transform(goals, lambda x: x["block"])).alias("_block")
     )
     return blocked.withColumn("_halo", F.lit(False)).unionByName(
@@ -207,7 +212,7 @@ def fold_blocks(
         parts = [df]
     else:
         stored = cut_lineage(blocks.mark(df, order), ("_block",))
-        present = stored.select("_block").dropna().distinct().collect()
+        present = stored.select("_block").distinct().collect()
         parts = [
             stored.filter(F.col("_block") == number).drop("_block")
             for number in sorted(row["_block"] for row in present)
@@ -224,7 +229,7 @@ def fold_blocks(
     def emit(before: dict | None, rows: pa.Table, key: dict, hand_on: bool) -> pa.Table:
         after, out = before, None
         if rows.num_rows:
-            after, out = step(before, rows.sort_by(order))
+            after, out = step(before, in_order(rows, order))
         tables = []
         if out is not None and out.num_rows:
             unset = [pa.nulls(out.num_rows, field.type) for field in list(arrow)[len(output) :]]
@@ -264,6 +269,17 @@ def fold_blocks(
     return reduce(DataFrame.unionByName, done)
 
 
+def in_order(rows: pa.Table, order: str) -> pa.Table:
+    """Sorted as Spark sorts, rows without a time first."""
+    return rows.take(pc.sort_indices(rows, [(order, "ascending")], null_placement="at_start"))
+
+
+def least_time(df: DataFrame, order: str) -> Column:
+    """The time as something to take the greatest of: rows without one lose to all others."""
+    kind = df.schema[order].dataType
+    return F.coalesce(F.col(order), F.lit("0001-01-01").cast(kind))
+
+
 def arrow_table(rows: list[tuple], schema: StructType) -> pa.Table:
     """Rows as an Arrow table of the schema's types."""
     arrow = to_arrow_schema(schema)

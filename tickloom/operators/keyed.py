@@ -34,12 +34,27 @@ def dedup_keep_first(df: DataFrame, by: Keys, order: Keys) -> DataFrame:
     return _ranked(df, by, [F.asc(c) for c in key_list(order)], 1)
 
 
-def latest_per_key(df: DataFrame, by: Keys = "symbol", order: str = "start") -> DataFrame:
-    """The row with the greatest `order` of each key."""
-    keys = key_list(by)
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
-    return best.select(*keys, "_row.*").select(*df.columns)
+def latest_per_key(df: DataFrame, by: Keys = "symbol", order: Keys = "start") -> DataFrame:
+    """The row with the greatest `order` of each key: a group limit, so one row per key and task moves."""
+    return tail_rows(df, 1, by, order)
+
+
+def first_known(
+    df: DataFrame, columns: list[str], by: Keys = "symbol", order: str = "start"
+) -> DataFrame:
+    """Per key the earliest known value of each column; null where a column is never known."""
+    known_at = [F.when(F.col(c).isNotNull(), F.col(order)) for c in columns]
+    return df.groupBy(*key_list(by)).agg(
+        *[F.min_by(c, at).alias(c) for c, at in zip(columns, known_at)]
+    )
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on `keys` where null meets null; the keys come from the left."""
+    rest = [c for c in right.columns if c not in keys]
+    other = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *rest)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_on_{k}" for k in keys])
 
 
 def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -5,14 +5,21 @@ DataFrame functions cut long series into blocks (see `blocks`; without the argum
 at the span of the data); the column functions leave that to the caller.
 """
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from tickloom.operators.blocks import Blocks, blocks_for, carry_in, fold_blocks, over_lookback
-from tickloom.operators.keyed import Keys, key_list
+from tickloom.operators.blocks import (
+    Blocks,
+    blocks_for,
+    carry_in,
+    in_order,
+    least_time,
+    over_lookback,
+)
+from tickloom.operators.keyed import Keys, join_null_safe, key_list
 
 
 def trailing(partition: Keys, order: str, n: int) -> Window:
@@ -132,7 +139,7 @@ def countdown(
 
 
 def _with_carried(blocked: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
-    return blocked.join(carried, [*keys, "_block"], "left")
+    return join_null_safe(blocked, carried, [*keys, "_block"], "left")
 
 
 def running_sum(
@@ -189,7 +196,7 @@ def forward_fill(
         blocked,
         keys,
         {
-            f"_last_{name}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
+            f"_last_{name}": F.max_by(c, F.when(F.col(c).isNotNull(), least_time(df, order)))
             for name, c in columns.items()
         },
         {
@@ -227,16 +234,73 @@ def ema_fold(
     order: str = "start",
     blocks: Blocks | None = None,
 ) -> DataFrame:
-    """prev + alpha * (x - prev), starting with the series' first value."""
+    """prev + alpha * (x - prev), starting with the series' first known value.
 
+    A null or NaN keeps the value before it; until the first known value the result is null. A block
+    changes the value that it gets affinely, so blocks are smoothed on their own, their three
+    numbers are composed along the series, and what comes in corrects each row: all in one plan,
+    with the rows shuffled once.
+    """
+    keys = key_list(by)
+    blocks = blocks_for(df, order, blocks, keys)
     kept = [c for c in df.columns if c != name]
+    output = StructType([df.schema[c] for c in kept]).add(name, DoubleType())
 
-    def step(state: dict | None, rows: pa.Table) -> tuple[dict, pa.Table]:
-        values = rows[column].to_pandas()
-        if state is not None:
-            values = pd.concat([pd.Series([state["ema"]]), values], ignore_index=True)
-        smooth = values.ewm(alpha=alpha, adjust=False).mean().to_numpy()[-rows.num_rows :]
-        return {"ema": float(smooth[-1])}, rows.select(kept).append_column(name, pa.array(smooth))
+    def smooth(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        rows = in_order(rows.select(own), order)
+        values = rows[column].to_pandas().astype(float)
+        smoothed = values.ewm(alpha=alpha, adjust=False, ignore_na=True).mean().ffill().to_numpy()
+        return rows, values.to_numpy(), smoothed
 
-    output = StructType([df.schema[c] for c in kept]).add(name, DoubleType())
-    return fold_blocks(df, step, output, StructType().add("ema", "double"), by, order, blocks)
+    def column_of(x: np.ndarray) -> pa.Array:
+        return pa.array(x, pa.float64(), from_pandas=True)
+
+    if blocks.is_single:
+        own = kept
+
+        def whole(rows: pa.Table) -> pa.Table:
+            rows, _, smoothed = smooth(rows)
+            return rows.append_column(name, column_of(smoothed))
+
+        return df.select(*kept).groupBy(*keys).applyInArrow(whole, output)
+
+    own = [*kept, "_block"]
+    blocked = blocks.mark(df.select(*kept), order)
+    local_schema = StructType(blocked.schema.fields[:]).add(name, DoubleType())
+    for extra in ("_seen", "_first", "_end", "_known"):
+        local_schema = local_schema.add(extra, DoubleType())
+
+    def part(rows: pa.Table) -> pa.Table:
+        rows, values, smoothed = smooth(rows)
+        there = np.flatnonzero(~np.isnan(values))
+        n = rows.num_rows
+        first, end = (values[there[0]], smoothed[-1]) if len(there) else (np.nan, np.nan)
+        seen = np.cumsum(~np.isnan(values)).astype(float)
+        for label, x in (
+            (name, smoothed), ("_seen", seen), ("_first", np.full(n, first)),
+            ("_end", np.full(n, end)), ("_known", np.full(n, seen[-1])),
+        ):
+            rows = rows.append_column(label, column_of(x))
+        return rows
+
+    local = blocked.groupBy(*keys, "_block").applyInArrow(part, local_schema)
+
+    def through(value: Column, block: Column) -> Column:
+        """The value behind a block, from the value before it."""
+        moved = block["end"] + F.pow(F.lit(1 - alpha), block["known"]) * (value - block["first"])
+        return F.when(block["first"].isNull(), value).when(value.isNull(), block["end"]).otherwise(moved)
+
+    summary = {"_b": F.struct(*[F.max(f"_{x}").alias(x) for x in ("first", "end", "known")])}
+    scan = {
+        "_carried": lambda earlier, _: F.aggregate(
+            F.collect_list("_b").over(earlier), F.lit(None).cast("double"), through
+        )
+    }
+    carried = carry_in(local, keys, summary, scan)
+    shift = F.pow(F.lit(1 - alpha), F.col("_seen")) * (F.col("_carried") - F.col("_first"))
+    value = (
+        F.when(F.col("_carried").isNull(), F.col(name))
+        .when(F.col("_seen") == 0, F.col("_carried"))
+        .otherwise(F.col(name) + shift)
+    )
+    return _with_carried(local, carried, keys).withColumn(name, value).select(*output.names)

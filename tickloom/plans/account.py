@@ -104,7 +104,7 @@ def exit_settlement(
     """What to tell the broker about the open positions that are to be left, one row per action.
 
     Partly filled: cut the order to what is filled (`modify`) and trade that back (`place`).
-    Not filled: `cancel`. Filled: trade back only with `close_filled`; without it nothing is
+    Not filled: `cancel`. Both name the position's `order_id`; a `place` is a new order and has none. Filled: trade back only with `close_filled`; without it nothing is
     told (`none`), though the position's capital is released all the same. `value` is that
     capital, on a position's first row only, so that it can be summed.
     """
@@ -113,6 +113,7 @@ def exit_settlement(
     held = ledger.filter(F.col("position")).select(
         *shared, "symbol", "instrument_token", "margin",
         F.col("position_type").alias("held_type"), "filled_quantity", "quantity",
+        _order_id_of(ledger).alias("_order_id"),
     )
     leaving = (
         first_orders(orders, keys, order)
@@ -143,15 +144,20 @@ def exit_settlement(
     )
     value = quotient(F.lit(position_value), F.col("margin"))
     return leaving.select(
-        *keys, "symbol", "instrument_token", "margin", value.alias("_value"),
+        *keys, "symbol", "instrument_token", "margin", value.alias("_value"), "_order_id",
         F.posexplode(actions).alias("step", "told"),
     ).select(
         *keys, "symbol", "instrument_token", "margin", "step",
         "told.action", "told.side", F.col("told.amount").alias("quantity"),
+        F.when(F.col("told.action").isin("modify", "cancel"), F.col("_order_id")).alias("order_id"),
         F.when(F.col("step") == 0, F.col("_value")).alias("value"),
     )
 
 
+def _order_id_of(ledger: DataFrame) -> Column:
+    return F.col("order_id") if "order_id" in ledger.columns else F.lit(None).cast("long")
+
+
 def budget_after(
     budgets: DataFrame, admitted: DataFrame, settled: DataFrame, by: Keys = "account_id"
 ) -> DataFrame:
@@ -171,7 +177,10 @@ def budget_after(
 def ledger_after(
     ledger: DataFrame, admitted: DataFrame, settled: DataFrame, by: Keys = "symbol"
 ) -> DataFrame:
-    """The ledger with admitted positions opened and settled ones cleared."""
+    """The ledger with admitted positions opened and settled ones cleared.
+
+    Neither has an order id: the broker's status brings that of a new order (`fill_from_status`).
+    """
     keys = key_list(by)
     opened = admitted.select(
         *keys, F.lit(True).alias("_open"), F.col("position_type").alias("_type"),
@@ -186,11 +195,14 @@ def ledger_after(
     def now(new: str, old: str) -> Column:
         return F.when(touched, F.col(new)).otherwise(F.col(old)).alias(old)
 
+    no_order = F.when(~F.coalesce(touched, F.lit(False)), _order_id_of(ledger)).alias("order_id")
+
     swapped = {
         "position": now("_open", "position"),
         "position_type": now("_type", "position_type"),
         "quantity": now("_quantity", "quantity"),
         "filled_quantity": now("_quantity", "filled_quantity"),
+        "order_id": no_order,
     }
     return ledger.join(opened.unionByName(closed), keys, "left").select(
         *[swapped.get(c, F.col(c)) for c in ledger.columns]
@@ -205,9 +217,13 @@ STATUS_COLUMNS = [
 
 
 def order_status_snapshot(
-    orders: DataFrame, order: str = "order_timestamp", columns: list[str] | None = None
+    orders: DataFrame, order: Keys = "order_timestamp", columns: list[str] | None = None
 ) -> DataFrame:
-    """The latest state of each order: numeric id, time as text, `tradingsymbol` as `symbol`."""
+    """The latest state of each order: numeric id, time as text, `tradingsymbol` as `symbol`.
+
+    Broker times are whole seconds: where states may share one, `order` needs a second column (a
+    sequence number) that decides.
+    """
     renamed = orders.withColumnRenamed("tradingsymbol", "symbol")
     typed = renamed.withColumn("order_id", text_number(F.col("order_id")))
     latest = tail_rows(typed, 1, "order_id", order)
@@ -216,9 +232,23 @@ def order_status_snapshot(
 
 
 def fill_from_status(ledger: DataFrame, status: DataFrame) -> DataFrame:
-    """The ledger with the filled quantity that the broker reports for its orders."""
+    """The ledger with order ids and filled quantities that the broker reports.
+
+    `status` has one row per order. An open position without an order id takes that of its symbol's
+    last order, if the status names symbols and times; the filled quantity is the order's.
+    """
+    book = ledger
+    if {"symbol", "order_timestamp"} <= set(status.columns) and "position" in ledger.columns:
+        last = tail_rows(status, 1, "symbol", ["order_timestamp", "order_id"])
+        last = last.select("symbol", F.col("order_id").alias("_last_id"))
+        missing = F.col("position") & F.col("order_id").isNull()
+        book = (
+            ledger.join(last, "symbol", "left")
+            .withColumn("order_id", F.when(missing, F.col("_last_id")).otherwise(F.col("order_id")))
+            .drop("_last_id")
+        )
     reported = status.select("order_id", F.col("filled_quantity").cast("double").alias("_filled"))
-    return ledger.join(reported, "order_id", "left").select(
+    return book.join(reported, "order_id", "left").select(
         *[
             F.coalesce("_filled", c).alias(c) if c == "filled_quantity" else F.col(c)
             for c in ledger.columns

@@ -7,9 +7,16 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.numbers import quotient, row_max
-from tickloom.operators.blocks import Blocks, blocks_for, carry_in, over_lookback, with_lookback
-from tickloom.operators.keyed import tail_rows
+from tickloom.functions.numbers import known, quotient, row_max
+from tickloom.operators.blocks import (
+    Blocks,
+    blocks_for,
+    carry_in,
+    least_time,
+    over_lookback,
+    with_lookback,
+)
+from tickloom.operators.keyed import join_null_safe, tail_rows
 from tickloom.operators.windows import rolling_mean_of, rolling_std_of, so_far, trailing
 from tickloom.session import cut_lineage
 
@@ -47,6 +54,15 @@ class Lengths:
 LENGTHS = Lengths()
 
 
+PRICES = ("open", "high", "low", "close", "avg_sd")
+
+
+def known_prices(bars: DataFrame) -> DataFrame:
+    """NaN prices as null: every comparison with a NaN would be true here, and none with a null is."""
+    kinds = dict(bars.dtypes)
+    return bars.withColumns({c: known(F.col(c)) for c in PRICES if kinds.get(c) in ("double", "float")})
+
+
 def _add_volatility(
     bars: DataFrame, partition: list[str], order: str, rows: int
 ) -> DataFrame:
@@ -68,7 +84,7 @@ def volatility(
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
         return _add_volatility(wide, partition, order, lengths.sd)
 
-    return over_lookback(history, lengths.sd - 1, add, "symbol", order, blocks)
+    return over_lookback(known_prices(history), lengths.sd - 1, add, "symbol", order, blocks)
 
 
 def baseline_volatility(
@@ -139,9 +155,11 @@ def breakout_scan(
     day = F.to_date(F.col("date"))
     wanted = F.lit(str(as_of)).cast("date")
     kind = history.schema["date"].dataType
-    bars = history.filter(F.col("date") < F.date_add(wanted, 1).cast(kind)).select(
-        "symbol", "date", "open", "high", "low", "close",
-        *[c for c in ("volume",) if c in history.columns],
+    bars = known_prices(
+        history.filter(F.col("date") < F.date_add(wanted, 1).cast(kind)).select(
+            "symbol", "date", "open", "high", "low", "close",
+            *[c for c in ("volume",) if c in history.columns],
+        )
     )
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
@@ -209,6 +227,7 @@ def indicator_panel(
     With `tail`, only the last bars of a symbol are looked at, and windows start empty there;
     `tail=None` covers the whole history.
     """
+    bars = known_prices(bars)
     if tail is not None:
         bars, blocks = tail_rows(bars, tail), Blocks.single()
 
@@ -257,7 +276,7 @@ def _add_swings_by_block(directed: DataFrame) -> DataFrame:
     local = cut_lineage(
         local.withColumns({"_max": F.max("high").over(inside), "_min": F.min("low").over(inside)})
     )
-    last = F.max_by(F.struct("_island", "_max", "_min"), F.col("start"))
+    last = F.max_by(F.struct("_island", "_max", "_min"), least_time(directed, "start"))
     open_island = Window.partitionBy("symbol", "_chain").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -288,7 +307,7 @@ def _add_swings_by_block(directed: DataFrame) -> DataFrame:
     )
     going_on = F.col("_island") == 0
     return (
-        local.join(carried, keys, "left")
+        join_null_safe(local, carried, keys, "left")
         .withColumns(
             {
                 "group_id": F.col("_island") + F.coalesce("_islands", F.lit(0)),
@@ -345,7 +364,7 @@ def reversal_signal(
     def side(if_short: Column, if_long: Column) -> Column:
         return F.when(short, if_short).otherwise(if_long)
 
-    rows = tail_rows(segments, 1) if last_only else segments
+    rows = known_prices(tail_rows(segments, 1) if last_only else segments)
     atr = F.col("atr")
     priced = rows.withColumn(
         "price", side(F.col("local_maxima") - atr, F.col("local_minima") + atr)
@@ -385,7 +404,7 @@ def signal_history(
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
         return _add_direction(_add_panel(wide, partition, lengths), partition)
 
-    blocks = blocks_for(bars, "start", blocks)
+    bars, blocks = known_prices(bars), blocks_for(bars, "start", blocks)
     if blocks.is_single:
         return reversal_signal(_add_swings(add(bars, ["symbol"]), ["symbol"]), **thresholds)
     wide = add(with_lookback(bars, lengths.lookback + 1, blocks), ["symbol", "_block"])
@@ -443,5 +462,5 @@ def signals_bar_by_bar(
         directed = _add_direction(_add_panel(wide, partition, lengths), partition)
         return _add_tail_swings(directed, partition, tail, lengths.macd_lookback)
 
-    segments = over_lookback(bars, tail - 1, add, blocks=blocks)
+    segments = over_lookback(known_prices(bars), tail - 1, add, blocks=blocks)
     return reversal_signal(segments, **thresholds)

@@ -5,7 +5,7 @@ stop and restart alone.
 """
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -25,6 +25,7 @@ from tickloom.plans.account import (
     budget_after,
     capital_admission,
     exit_settlement,
+    fill_from_status,
     ledger_after,
     order_status_snapshot,
 )
@@ -273,12 +274,17 @@ class AccountStage:
         intents: str,
         position_value: float = POSITION_VALUE,
         close_filled: bool = True,
+        statuses: Callable[[], DataFrame] | None = None,
     ):
+        """`statuses` gets the latest state of each order: order ids and fills come from it."""
         self.ledger, self.budgets, self.intents = ledger, budgets, intents
         self.position_value, self.close_filled = position_value, close_filled
+        self.statuses = statuses
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         ledger, budgets = self.ledger.before(batch_id), self.budgets.before(batch_id)
+        if self.statuses is not None:
+            ledger = fill_from_status(ledger, self.statuses())
         orders = (
             batch.join(ledger.select("account_id", "symbol"), "symbol")
             .join(budgets, "account_id")
@@ -293,10 +299,11 @@ class AccountStage:
                 orders, ledger, by, self.position_value, self.close_filled, order
             )
             told = admitted.select(
-                "account_id", "symbol", F.lit("place").alias("action"), "side", "quantity"
+                "account_id", "symbol", F.lit("place").alias("action"), "side", "quantity",
+                F.lit(None).cast("long").alias("order_id"),
             ).unionByName(
                 settled.filter(F.col("action") != "none").select(
-                    "account_id", "symbol", "action", "side", "quantity"
+                    "account_id", "symbol", "action", "side", "quantity", "order_id"
                 )
             )
             told.write.mode("overwrite").parquet(f"{self.intents}/batch={batch_id}")
@@ -329,12 +336,14 @@ def initial_budgets(ledger: DataFrame, budget: float = BUDGET) -> DataFrame:
 def status_job(
     statuses: DataFrame, table: VersionedTable, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """The latest state of each order, kept as a table."""
+    """The latest state of each order, kept as a table. Of one second, the later arrival wins."""
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         columns = table.initial.columns
-        fresh = order_status_snapshot(batch, columns=columns)
-        both = table.before(batch_id).unionByName(fresh)
-        table.write(latest_per_key(both, "order_id", "order_timestamp"), batch_id)
+        order = ["order_timestamp", *(["seq"] if "seq" in batch.columns else [])]
+        fresh = order_status_snapshot(batch, order, columns).withColumn("_batch", F.lit(1))
+        both = table.before(batch_id).withColumn("_batch", F.lit(0)).unionByName(fresh)
+        last = latest_per_key(both, "order_id", ["order_timestamp", "_batch"])
+        table.write(last.drop("_batch"), batch_id)
 
     return start(statuses.writeStream.foreachBatch(keep), checkpoint, trigger)

@@ -12,6 +12,7 @@ from tickloom.operators.keyed import (
     dedup_keep_first,
     dedup_keep_last,
     drop_closed,
+    first_known,
     latest_per_key,
     masked_update,
     tail_rows,
@@ -192,6 +193,34 @@ def enrich_ticks(spark, folder):
     return rounded(bar_plans.enrich_ticks(t.ticks_user(spark, folder), usual))
 
 
+@query(
+    "enrich_ticks_zero_prices",
+    f"""WITH {o.TICKS_USER} SELECT instrument_token, date, seq,
+          CASE WHEN seq % 5 <> 0 THEN CASE WHEN seq % 3 <> 0 THEN last_price ELSE 0 END END AS last_price,
+          symbol, 1.5::DOUBLE AS avg_sd
+        FROM ticks WHERE seq % 3 <> 0 OR seq % 5 = 0""",
+)
+def enrich_ticks_zero_prices(spark, folder):
+    """Every third price zero, which drops the tick, and every fifth missing, which does not."""
+    ticks = t.ticks_user(spark, folder)
+    price = F.when(F.col("seq") % 5 == 0, F.lit(None)).when(F.col("seq") % 3 == 0, 0.0).otherwise(F.col("last_price"))
+    reference = ticks.select("instrument_token", "symbol").distinct().withColumn("avg_sd", F.lit(1.5))
+    return bar_plans.enrich_ticks(ticks.withColumn("last_price", price), reference)
+
+
+@query("json_document", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def json_document(spark, folder):
+    """Orders written as JSON arrays, an array per file, and read back as documents."""
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    orders = t.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    bucket = F.pmod(F.xxhash64("o_orderkey"), F.lit(64))
+    arrays = orders.groupBy(bucket.alias("file"), F.floor(F.col("o_orderkey") / 10_000).alias("run")).agg(
+        F.to_json(F.collect_list(F.struct(*orders.columns))).alias("value")
+    )
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_json_document(spark, path, orders.schema)
+
+
 def _key(symbol: str, start: str) -> str:
     return f"{symbol} || ':' || (epoch_us({start}) * 1000)"
 
@@ -357,6 +386,21 @@ def reversal_signal_user(spark, folder):
     return rounded(signals_of(t.bars_user(spark, folder), t.blocks(spark, folder)))
 
 
+_GAPPY = o.BARS["type"].replace("bars AS (", "whole AS (") + """, bars AS (
+  SELECT instrument_token, symbol, start, """ + ", ".join(
+    f"CASE WHEN day(start) % 7 NOT IN (3, 5) THEN {c} END AS {c}" for c in ("open", "high", "low", "close")
+) + " FROM whole)"
+
+
+@query(
+    "reversal_signal_gaps",
+    f"WITH {o.signal_chain('type').replace(o.BARS['type'], _GAPPY)} SELECT {_SIGNAL_OUT} FROM signals",
+)
+def reversal_signal_gaps(spark, folder):
+    """Days of NaN and of null prices: no trigger follows from either."""
+    return rounded(signals_of(t.gappy_bars(spark, folder), t.blocks(spark, folder)))
+
+
 _LIVE = f"""near AS (SELECT * FROM bars_sd
   QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY start DESC) <= 25),
 {o.panel('near')}, {o.SEGMENTS}, {o.signals()}"""
@@ -481,6 +525,23 @@ def forward_fill(spark, folder):
     return windows.forward_fill(holed, {"filled": "part"}, blocks=span)
 
 
+@query(
+    "first_known",
+    f"""WITH {o.BARS['type']},
+        holed AS (SELECT symbol, start, CASE WHEN day(start) > 2 THEN open END AS open,
+          CASE WHEN close > open THEN close END AS close FROM bars)
+        SELECT symbol, arg_min(open, start) FILTER (open IS NOT NULL) AS open,
+          arg_min(close, start) FILTER (close IS NOT NULL) AS close FROM holed GROUP BY symbol""",
+)
+def first_known_values(spark, folder):
+    bars = t.bars_type(spark, folder)
+    holed = bars.select(
+        "symbol", "start", F.when(F.dayofmonth("start") > 2, F.col("open")).alias("open"),
+        F.when(F.col("close") > F.col("open"), F.col("close")).alias("close"),
+    )
+    return first_known(holed, ["open", "close"])
+
+
 @query(
     "tail_n",
     f"""WITH {o.BARS['type']} SELECT {_BAR_OUT} FROM bars

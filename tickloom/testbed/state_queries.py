@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 from tickloom.functions import clock, codec, numbers
+from tickloom.operators.keyed import tail_rows
 from tickloom.plans import account as account_plans
 from tickloom.plans import positions as position_plans
 from tickloom.session import cut_lineage
@@ -170,6 +171,7 @@ def _settlement_sql(whole: str) -> str:
           CASE WHEN action = 'place' THEN
             CASE position_type WHEN 'short' THEN 'BUY' ELSE 'SELL' END END AS side,
           CASE WHEN action IN ('modify', 'place') THEN filled_quantity END AS quantity,
+          CASE WHEN action IN ('modify', 'cancel') THEN instrument_token * 100 + 7 END AS order_id,
           CASE WHEN step = 0 THEN {o.fixed('100000 / margin')} END AS value FROM told"""
 
 
@@ -177,7 +179,7 @@ def _settlement_sql(whole: str) -> str:
 def exit_settlement(spark, folder):
     return rounded(
         account_plans.exit_settlement(
-            t.orders_in(spark, folder), t.ledger(spark, folder), "batch"
+            t.orders_in(spark, folder), t.ledger_with_orders(spark, folder), "batch"
         )
     )
 
@@ -186,7 +188,7 @@ def exit_settlement(spark, folder):
 def exit_settlement_unfilled_only(spark, folder):
     return rounded(
         account_plans.exit_settlement(
-            t.orders_in(spark, folder), t.ledger(spark, folder), "batch", close_filled=False
+            t.orders_in(spark, folder), t.ledger_with_orders(spark, folder), "batch", close_filled=False
         )
     )
 
@@ -204,6 +206,40 @@ def order_status_snapshot(spark, folder):
     return account_plans.order_status_snapshot(t.status_in(spark, folder), columns=columns)
 
 
+@query(
+    "order_status_latest",
+    """SELECT o_orderkey AS order_id, strftime(o_orderdate + INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S')
+          AS order_timestamp, 'COMPLETE' AS status, o_orderpriority AS symbol FROM orders""",
+)
+def order_status_latest(spark, folder):
+    """Several states of each order, two of them in the same second."""
+    return account_plans.order_status_snapshot(
+        t.status_steps(spark, folder), ["order_timestamp", "seq"],
+        ["order_id", "order_timestamp", "status", "symbol"],
+    )
+
+
+@query(
+    "fill_from_status",
+    f"""WITH {o.LEDGER},
+        book AS (SELECT *, CASE WHEN position AND instrument_token % 10 <> 0
+            THEN instrument_token * 100 + 7 END AS known_id FROM ledger),
+        filled AS (SELECT *, CASE WHEN position THEN instrument_token * 100 + 7 END AS order_id FROM book)
+        SELECT symbol, instrument_token, order_id, CASE WHEN order_id IS NOT NULL THEN quantity / 2
+          ELSE filled_quantity END AS filled_quantity FROM filled""",
+)
+def fill_from_status(spark, folder):
+    """Open positions get the broker's order ids, where they are missing, and half of their fills."""
+    book = t.ledger_with_orders(spark, folder)
+    known = F.col("instrument_token") % 10 != 0
+    status = book.select(
+        "symbol", (F.col("instrument_token") * 100 + 7).alias("order_id"),
+        F.lit("2024-01-01 10:00:00").alias("order_timestamp"), (F.col("quantity") / 2).alias("filled_quantity"),
+    )
+    told = account_plans.fill_from_status(book.withColumn("order_id", F.when(known, F.col("order_id"))), status)
+    return told.select("symbol", "instrument_token", "order_id", "filled_quantity")
+
+
 # --- messages -----------------------------------------------------------------------------
 
 _PROPS = StructType().add("k", LongType())
@@ -296,7 +332,7 @@ def series_json(spark, folder):
     unseen = users.select(F.concat(F.lit("new-"), "symbol").alias("symbol"))
     bars = t.bars_user(spark, folder)
     return codec.series_json(
-        users.unionByName(unseen), bars, "symbol", "start", ["start", "close"]
+        users.unionByName(unseen), tail_rows(bars, 25), "symbol", "start", ["start", "close"]
     )
 
 

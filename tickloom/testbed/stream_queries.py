@@ -238,7 +238,8 @@ def _runs(count: int) -> str:
         for k in range(count)
     )
     return f"""WITH {o.ORDERS_IN}, {o.LEDGER}, {", ".join(steps)}
-        SELECT 'main' AS account_id, 'place' AS action, * FROM ({told})"""
+        SELECT 'main' AS account_id, 'place' AS action, CAST(NULL AS BIGINT) AS order_id, *
+        FROM ({told})"""
 
 
 @query("account_stream", _runs(3))

@@ -3,6 +3,9 @@
 Plain selects that read alike in SQL (see `oracle`), so that every job has real input.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +50,23 @@ def bars_user(spark: SparkSession, folder: str) -> DataFrame:
     return ohlc_bars(ticks_user(spark, folder), "1 day").select(*BAR_COLUMNS)
 
 
+_days = BLOCK_DAYS
+
+
+@contextmanager
+def days_per_block(days: int) -> Iterator[None]:
+    """Within, `blocks` are so long."""
+    global _days
+    before, _days = _days, days
+    try:
+        yield
+    finally:
+        _days = before
+
+
 def blocks(spark: SparkSession, folder: str) -> Blocks:
     """The span of all ticks, and so of all bars."""
-    return Blocks.spanning(table(spark, folder, "events"), "ts", BLOCK_DAYS)
+    return Blocks.spanning(table(spark, folder, "events"), "ts", _days)
 
 
 def with_baseline(bars: DataFrame, span: Blocks) -> DataFrame:
@@ -138,3 +155,37 @@ def status_in(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("instrument_token"),
         F.col("o_orderpriority").alias("tradingsymbol"),
     )
+
+
+def ledger_with_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger with the broker's order id of each open position."""
+    number = F.col("instrument_token") * 100 + 7
+    return ledger(spark, folder).withColumn("order_id", F.when(F.col("position"), number))
+
+
+def status_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """Three states of each order, the last two within one second."""
+    steps = F.explode(F.array(*[F.lit(k) for k in (0, 1, 2)])).alias("seq")
+    words = F.array(F.lit("OPEN"), F.lit("UPDATE"), F.lit("COMPLETE"))
+    return table(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority", steps).select(
+        F.col("o_orderkey").cast("string").alias("order_id"),
+        F.timestamp_add("SECOND", F.least("seq", F.lit(1)), F.col("o_orderdate").cast("timestamp_ntz")).alias(
+            "order_timestamp"
+        ),
+        F.element_at(words, F.col("seq") + 1).alias("status"),
+        F.col("o_orderpriority").alias("tradingsymbol"),
+        "seq",
+    )
+
+
+def gappy_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly bars of which some days have NaN and some have null prices."""
+    day = F.dayofmonth("start") % 7
+    nan, none = F.lit(float("nan")), F.lit(None).cast("double")
+
+    def holed(name: str):
+        return F.when(day == 3, nan).when(day == 5, none).otherwise(F.col(name)).alias(name)
+
+    return bars_type(spark, folder).select(
+        "instrument_token", "symbol", "start", *[holed(c) for c in ("open", "high", "low", "close")]
+    )
