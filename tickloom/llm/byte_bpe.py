@@ -1,20 +1,30 @@
 """Token ids of whole texts under a byte-level BPE, each distinct stretch encoded once.
 
-The vocabulary's pattern never lets a token run over a space that follows a character other than
-white space, so a text may be cut before such spaces and the parts encoded alone. Parts repeat
-(mostly they are words): each distinct part of a run is encoded once and kept for later runs.
+The vocabulary's pattern never lets a token run over a space or line end that follows a character
+other than white space, from a letter into a mark, or from a line end into a letter. So a text may be
+cut there and the parts encoded alone. Parts repeat (mostly they are words): each distinct part of a
+run is encoded once and kept for later runs.
 """
 
 import json
+from functools import lru_cache
 
 import numpy as np
 
-from tickloom.llm.parts import KEPT, Parts
+from tickloom.llm.parts import KEPT, Parts, spans_joined
 from tickloom.llm.words import SPACE
 
 
+#: ASCII letters 1, ASCII marks 2.
+_KIND = np.array(
+    [1 if chr(b).isalpha() else 2 if 0x20 < b < 0x7F and not chr(b).isdigit() else 0 for b in range(128)]
+    + [0] * 128,
+    np.uint8,
+)
+
+
 def part_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where parts begin: texts, and spaces after a character that is no white space."""
+    """Where parts begin: texts, white space after another character, marks after letters, lines."""
     n = len(data)
     cut = np.zeros(n, bool)
     if n == 0:
@@ -33,7 +43,10 @@ def part_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         math = (data[:-2] == 0xE2) & (data[1:-1] == 0x81) & (third == 0x9F)
         wide = (data[:-2] == 0xE3) & (data[1:-1] == 0x80) & (third == 0x80)
         solid[2:][e1 | e2 | math | wide] = False
-    cut[1:] = (data[1:] == 0x20) & solid[:-1]
+    cut[1:] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & solid[:-1]
+    # A run of letters ends before a mark, white space but for the space before a letter.
+    cut[1:] |= (_KIND[data[:-1]] == 1) & (_KIND[data[1:]] == 2)
+    cut[1:] |= (data[:-1] == 0x0A) & (_KIND[data[1:]] == 1)
     cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     return np.flatnonzero(cut)
 
@@ -64,7 +77,7 @@ class ByteBpe(Parts):
         last = data[end - 1]
         # An ASCII letter, digit or mark ends the part: the next part's space is a cut.
         together = (data[begin] == 0x20) & (last > 0x20) & (last < 0x7F)
-        text = b"".join(data[b:e].tobytes() for b, e in zip(begin[together], end[together]))
+        text = spans_joined(data, begin[together], end[together])
         ids = np.array(self._ids([text])[0] if text else [], np.uint32)
         ends = np.cumsum((end - begin)[together])
         stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
@@ -80,3 +93,9 @@ class ByteBpe(Parts):
     def _ids(self, parts: list[bytes]) -> list[list[int]]:
         texts = [x.decode("utf-8", "replace") for x in parts]
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@lru_cache(2)
+def byte_bpe(path: str) -> ByteBpe:
+    """The worker's encoder for the file."""
+    return ByteBpe(path)

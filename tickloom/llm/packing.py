@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.byte_bpe import ByteBpe
+from tickloom.llm.byte_bpe import byte_bpe
 from tickloom.llm.words import text_runs
 from tickloom.session import cut_lineage
 
@@ -173,7 +173,7 @@ def cut_pieces(
     """One row per piece, ranked among the pieces of its length in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ranks = ByteBpe(tokenizer), np.zeros(size + 1, np.int64)
+        encoder, ranks = byte_bpe(tokenizer), np.zeros(size + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
             for first, data, offsets in text_runs(batch.column(1)):

@@ -17,6 +17,7 @@ once.
 """
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,12 @@ class Transducer(Parts):
         return data, offsets
 
 
+@lru_cache(2)
+def transducer(path: str) -> Transducer:
+    """The worker's machine for the file."""
+    return Transducer(path)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, ids) of every row, as the model file at `model` has them.
 
@@ -197,7 +204,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = transducer(model)
         for batch in batches:
             for first, data, offsets in text_runs(batch.column(1)):
                 ids, at = machine.encoded(data, offsets)
@@ -219,7 +226,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Transducer(model)
+        machine = transducer(model)
         top = len(machine.written)
         for batch in batches:
             column = batch.column(names.index(ids_col)).fill_null([])

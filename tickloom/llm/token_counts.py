@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.byte_bpe import ByteBpe
+from tickloom.llm.byte_bpe import ByteBpe, byte_bpe
 from tickloom.llm.words import running, text_runs
 
 RULES = ("largest", "first")
@@ -66,7 +66,7 @@ def token_counts(
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), joined.alias("text"), sizes.alias("sizes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpe(tokenizer)
+        encoder = byte_bpe(tokenizer)
         for batch in batches:
             for first, data, offsets in text_runs(batch.column(1)):
                 part = batch.slice(first, len(offsets) - 1)
