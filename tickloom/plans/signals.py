@@ -111,14 +111,29 @@ def first_day_needed(
     """The day from which `breakout_scan` must read to be exact; None if nothing trades that day.
 
     Per symbol that is the last day with bars before `as_of`, and as many bars before that day
-    as its first windows look back. Only symbol and date are read, and counted per day.
+    as its first windows look back. Only symbol and date are read, and counted per day, of a range
+    of days that grows until every symbol has enough; only a symbol with a short history takes
+    the search to the beginning.
     """
+    for span in (8, 64, 512, None):
+        first, short = _first_day(history, as_of, span, lengths)
+        if not short:
+            break
+    return first
+
+
+def _first_day(
+    history: DataFrame, as_of: date | str, span: int | None, lengths: Lengths
+) -> tuple[date | None, bool]:
+    """The first day needed as far as `span` days tell, and whether some symbol has too few bars in them."""
     day = F.to_date(F.col("date")).alias("day")
     wanted = F.lit(str(as_of)).cast("date")
     kind = history.schema["date"].dataType
+    past = history.filter(F.col("date") < F.date_add(wanted, 1).cast(kind))
+    if span is not None:
+        past = past.filter(F.col("date") >= F.date_sub(wanted, span).cast(kind))
     daily = (
-        history.filter(F.col("date") < F.date_add(wanted, 1).cast(kind))
-        .groupBy("symbol", day)
+        past.groupBy("symbol", day)
         .agg(F.count(F.lit(1)).alias("rows"))
     )
     back = Window.partitionBy("symbol").orderBy(F.desc("day"))
@@ -134,7 +149,15 @@ def first_day_needed(
     needed = counted.filter(
         (F.col("last") == wanted) & ((F.col("rank") <= 2) | (F.col("passed") < reach))
     )
-    return needed.agg(F.min("day")).first()[0]
+    # All bars behind the second day, seen from a symbol's earliest day.
+    behind = F.coalesce(F.sum(F.when(F.col("rank") > 2, F.col("rows"))), F.lit(0))
+    enough = (
+        counted.filter(F.col("last") == wanted).groupBy("symbol")
+        .agg(((F.max("rank") > 1) & (behind >= reach)).alias("enough"))
+    )
+    short = enough.filter(~F.col("enough"))
+    first = needed.agg(F.min("day")).first()[0]
+    return first, not short.isEmpty()
 
 
 def breakout_scan(

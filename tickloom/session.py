@@ -41,9 +41,31 @@ def cut_lineage(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Later jobs read only the columns and partitions they need, and a lost executor costs no
-    recomputation of what came before. The table stays until the folder is cleared.
+    recomputation of what came before. The table stays until `drop_written`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickloom-{uuid.uuid4().hex}"
+    path = shared_path(spark, "tickloom")
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, to be deleted by `drop_written`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written to the shared folder so far, and counts them.
+
+    Call it when the results that read them are used up or stored elsewhere.
+    """
+    paths, _written[:] = _written[:], []
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return len(paths)

@@ -1,6 +1,5 @@
 """Universe, bars and signals."""
 
-import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from tickloom.operators.keyed import (
 from tickloom.plans import bars as bar_plans
 from tickloom.plans import signals as signal_plans
 from tickloom.plans import universe as universe_plans
-from tickloom.session import shared_dir
+from tickloom.session import shared_path
 from tickloom.sources import files
 from tickloom.testbed import oracle as o
 from tickloom.testbed import tables as t
@@ -89,7 +88,7 @@ def load_history(spark, folder):
 )
 def history_by_day(spark, folder):
     """Daily bars stored by day, and a range of days read back."""
-    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    path = shared_path(spark, "history")
     bars = t.bars_user(spark, folder)
     files.write_history(bars.withColumnRenamed("start", "date"), path)
     names = bars.select("instrument_token", "symbol").distinct()
@@ -101,7 +100,7 @@ def history_by_day(spark, folder):
 @query("csv_round_trip", "SELECT * FROM orders")
 def csv_round_trip(spark, folder):
     """Orders written with a header and read back by name."""
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    path = shared_path(spark, "csv")
     orders = t.table(spark, folder, "orders")
     files.write_csv(orders, path)
     return files.read_csv(spark, path, orders.schema)
@@ -211,7 +210,7 @@ def enrich_ticks_zero_prices(spark, folder):
 @query("json_document", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def json_document(spark, folder):
     """Orders written as JSON arrays, an array per file, and read back as documents."""
-    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    path = shared_path(spark, "json")
     orders = t.table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     bucket = F.pmod(F.xxhash64("o_orderkey"), F.lit(64))
     arrays = orders.groupBy(bucket.alias("file"), F.floor(F.col("o_orderkey") / 10_000).alias("run")).agg(
@@ -305,9 +304,12 @@ def breakout_scan(spark, folder):
 @query("breakout_scan_recent", _BREAKOUT)
 def breakout_scan_recent(spark, folder):
     """The same from only the days it needs."""
-    history = t.bars_type(spark, folder).withColumnRenamed("start", "date")
-    first = signal_plans.first_day_needed(history, AS_OF)
-    near = history.filter(F.col("date") >= F.lit(first).cast("timestamp_ntz"))
+    ticks = t.ticks_type(spark, folder)
+    days = F.to_date("date").alias("date")
+    first = signal_plans.first_day_needed(ticks.select("symbol", days, F.date_trunc("hour", "date")).distinct(), AS_OF)
+    # Ticks are filtered, not bars: the filter reaches the scan.
+    near = bar_plans.ohlc_bars(ticks.filter(F.col("date") >= F.lit(first).cast("timestamp_ntz")), "1 hour")
+    near = near.select(*t.BAR_COLUMNS).withColumnRenamed("start", "date")
     span = Blocks.between(first, date.fromisoformat(AS_OF))
     return rounded(signal_plans.breakout_scan(near, AS_OF, SD_FACTOR, blocks=span), natr=4)
 

@@ -1,6 +1,5 @@
 """The stream stages over the given tables, drained to the end and read back."""
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from tickloom.functions.codec import json_decode
 from tickloom.operators.blocks import Blocks
 from tickloom.plans import signals as signal_plans
 from tickloom.plans.bars import enrich_ticks, ohlc_bars
-from tickloom.session import cut_lineage, shared_dir
+from tickloom.session import cut_lineage, shared_path
 from tickloom.sources.topics import MESSAGE, read_records, write_records
 from tickloom.streaming import jobs
 from tickloom.streaming.store import BarLog, VersionedTable
@@ -24,7 +23,7 @@ BATCH_DAYS = 12
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
 def _tick_stream(spark: SparkSession, folder: str) -> DataFrame:
