@@ -165,3 +165,41 @@ def test_skewed_series_equal_lone_series(spark, bars):
         signal_history(bars, blocks, sd_factor=1.0).filter("symbol = 'S1'"),
         signal_history(lone, blocks, sd_factor=1.0),
     )
+
+
+def test_null_keys_times_and_prices_are_the_same_in_one_block_and_many(spark):
+    from datetime import datetime
+
+    rows = [(s, None if k == 0 else datetime(2024, 1, 10 * k), None if k == 2 else float(k), 1)
+            for s in ("A", None) for k in range(4)]
+    series = spark.createDataFrame(rows, "symbol string, start timestamp_ntz, close double, one long")
+    parts = Blocks.spanning(series, "start", 5)
+    assert parts.count > 1
+    runs = {
+        "rolling_sum": lambda b: windows.rolling_sum(series, "out", "close", 3, blocks=b),
+        "running_sum": lambda b: windows.running_sum(series, "out", "one", blocks=b),
+        "lag_prev": lambda b: windows.lag_prev(series, {"out": "close"}, blocks=b),
+        "forward_fill": lambda b: windows.forward_fill(series, {"out": "close"}, blocks=b),
+        "ema_fold": lambda b: windows.ema_fold(series, "out", "close", 0.5, blocks=b),
+    }
+    want = {
+        "rolling_sum": [0, 1, 1, 4], "running_sum": [1, 2, 3, 4], "lag_prev": [None, 0, 1, None],
+        "forward_fill": [0, 1, 1, 3], "ema_fold": [0, 0.5, 0.5, 1.75],
+    }
+    for name, run in runs.items():
+        for blocks in (Blocks.single(), parts):
+            got = {(r.symbol, r.start): r.out for r in run(blocks).collect()}
+            assert len(got) == len(rows)
+            for symbol in ("A", None):
+                in_order = [got[(symbol, start)] for s, start, *_ in rows if s == symbol]
+                assert in_order == want[name], (name, symbol, blocks)
+
+
+def test_nan_bar_makes_no_trigger(spark, bars):
+    hole = F.when(F.col("start") == F.lit(bars.agg(F.min("start")).first()[0]), F.lit(float("nan")))
+    broken = bars.withColumns({c: F.coalesce(hole, F.col(c)) for c in ("high", "low", "close")})
+    first = bars.agg(F.min("start")).first()[0]
+    for blocks in (Blocks.single(), cut(bars, 12)):
+        rows = signal_history(broken, blocks).collect()
+        assert not any(r.trigger for r in rows if r.price is None or r.price != r.price)
+        assert not [r for r in rows if r.start == first and r.trigger]

@@ -278,12 +278,3 @@ def least_time(df: DataFrame, order: str) -> Column:
     """The time as something to take the greatest of: rows without one lose to all others."""
     kind = df.schema[order].dataType
     return F.coalesce(F.col(order), F.lit("0001-01-01").cast(kind))
-
-
-def arrow_table(rows: list[tuple], schema: StructType) -> pa.Table:
-    """Rows as an Arrow table of the schema's types."""
-    arrow = to_arrow_schema(schema)
-    columns = zip(*rows) if rows else [[] for _ in schema]
-    return pa.Table.from_arrays(
-        [pa.array(list(values), field.type) for values, field in zip(columns, arrow)], schema=arrow
-    )

@@ -45,6 +45,15 @@ class Position:
         return close > self.stop_loss if self.position_type == "short" else close < self.stop_loss
 
 
+class Columns(NamedTuple):
+    """Bars of one series as lists of numbers."""
+
+    high: list[float]
+    low: list[float]
+    close: list[float]
+    avg_sd: list[float]
+
+
 class Outcome(NamedTuple):
     position: Position | None
     exited: bool
@@ -103,6 +112,37 @@ class StopRule:
         rate = self.rate(self.controller_sd(moved), bar.avg_sd)
         return replace(moved, stop_loss=position.stop_loss + rate * (pull - position.stop_loss))
 
+    def run(self, position: Position, bars: "Columns", i: int, exits: bool) -> tuple[Position, int, list]:
+        """Follow a position from bar i on, to the last bar or to the one that hits the stop (`exits`).
+
+        The position after it, the bar that was not followed, and (controller, lag number,
+        deviation, stop) of each bar that was: `follow` bar by bar, on plain numbers.
+        """
+        short = position.position_type == "short"
+        pulls, extremes = (bars.high, bars.low) if short else (bars.low, bars.high)
+        close, usual, n = bars.close, bars.avg_sd, len(pulls)
+        controller, stop, seen = position.controller, position.stop_loss, position.bars
+        constant, squares = position.constant, list(position.squares)
+        terms, out = self.terms, []
+        while i < n:
+            if exits and (close[i] > stop if short else close[i] < stop):
+                break
+            pull = pulls[i]
+            controller += self.controller_rate * (pull - controller)
+            squares.append((controller - extremes[i]) ** 2)
+            if len(squares) > terms:
+                del squares[0]
+            seen += 1
+            lag = terms - seen if seen < terms else 0
+            deviation = math.sqrt((lag * constant + sum(squares)) / terms)
+            stop += self.rate(deviation, usual[i]) * (pull - stop)
+            out.append((controller, lag, deviation, stop))
+            i += 1
+        moved = replace(
+            position, bars=seen, controller=controller, stop_loss=stop, squares=tuple(squares)
+        )
+        return moved, i, out
+
     def next_bar(self, position: Position | None, bar: Bar) -> Outcome:
         """Exit against the last stop, then entry if flat, then the stop's step if still open."""
         exited = position is not None and position.is_hit(bar.close)

@@ -5,12 +5,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from tickloom.operators.blocks import Blocks, arrow_table, fold_blocks
+from tickloom.operators.blocks import Blocks, fold_blocks
 from tickloom.operators.keyed import dedup_keep_last, latest_per_key
 from tickloom.operators.stop import (
     Bar,
+    Columns,
     Outcome,
     Position,
     StopRule,
@@ -91,6 +93,10 @@ class BarRows:
         }
         self.triggers = np.flatnonzero(pc.fill_null(rows["trigger"], False).to_numpy())
 
+    @property
+    def columns(self) -> Columns:
+        return Columns(*(self.numbers[name].tolist() for name in Columns._fields))
+
     def __getitem__(self, i: int) -> Bar:
         numbers = {name: float(column[i]) for name, column in self.numbers.items()}
         return Bar(
@@ -106,6 +112,15 @@ class BarRows:
         return int(self.triggers[place]) if place < len(self.triggers) else self.rows.num_rows
 
 
+def _table(columns: list, arrow: pa.Schema) -> pa.Table:
+    """Columns, Arrow's or lists, as a table of the schema's types."""
+    typed = [
+        c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
+        for c, f in zip(columns, arrow)
+    ]
+    return pa.Table.from_arrays(typed, schema=arrow)
+
+
 _STOP_FIELDS = (
     StructType()
     .add("controller", DoubleType())
@@ -142,17 +157,20 @@ def trailing_stop(
         output = output.add(field)
 
     def step(state: dict | None, rows: pa.Table) -> tuple[dict, pa.Table]:
-        position, values = from_state(state), []
-        key = (rows["symbol"][0].as_py(), rows["position_time"][0].as_py())
+        position, values, i = from_state(state), [], 0
         bars = BarRows(rows)
-        for i in range(rows.num_rows):
-            bar = bars[i]
-            position = (
-                rule.open(bar.position_type, bar) if position is None else rule.follow(position, bar)
-            )
-            stop = _stop_values(rule, position)
-            values.append((*key, bar.start, position.position_type, *stop))
-        return to_state(position), arrow_table(values, output)
+        if position is None:
+            position = rule.open(bars[0].position_type, bars[0])
+            values.append(_stop_values(rule, position))
+            i = 1
+        constant, kind = position.constant, position.position_type
+        position, _, followed = rule.run(position, bars.columns, i, exits=False)
+        values += [(x[0], constant, *x[1:]) for x in followed]
+        n, arrow = rows.num_rows, to_arrow_schema(output)
+        columns = [
+            rows["symbol"], rows["position_time"], rows["start"], [kind] * n, *map(list, zip(*values))
+        ]
+        return to_state(position), _table(columns, arrow)
 
     columns = [c for c in BAR_COLUMNS if c not in ("trigger", "close")]
     bars = position_bars.select(
@@ -204,20 +222,46 @@ def position_lifecycle(
     output = lifecycle_schema(time_type)
 
     def step(state: dict | None, rows: pa.Table) -> tuple[dict | None, pa.Table]:
-        position, values = from_state(state), []
-        symbol = rows["symbol"][0].as_py()
+        position, n = from_state(state), rows.num_rows
         bars, i = BarRows(rows), 0
+        numbers = bars.columns
+        places, events, held, stops = [], [], [], []
+
+        def note(place: int, exited: bool, entered: bool, now: Position | None) -> None:
+            places.append(place)
+            events.append((exited, entered))
+            held.append(now and (now.position_type, now.position_time))
+            stops.append(_stop_values(rule, now) if now else (None,) * 5)
+
         while True:
             if position is None:  # nothing happens to a flat symbol before its next trigger
                 i = bars.next_trigger(i)
-            if i >= rows.num_rows:
+                if i >= n:
+                    break
+                position = rule.open(bars[i].position_type, bars[i])
+                note(i, False, True, position)
+                i += 1
+            position, stop, followed = rule.run(position, numbers, i, exits=True)
+            places += range(i, stop)
+            events += [(False, False)] * len(followed)
+            held += [(position.position_type, position.position_time)] * len(followed)
+            stops += [(x[0], position.constant, *x[1:]) for x in followed]
+            i = stop
+            if i >= n:
                 break
-            bar = bars[i]
-            outcome = rule.next_bar(position, bar)
+            outcome = rule.next_bar(position, bars[i])
             position = outcome.position
-            values.append(lifecycle_row(rule, symbol, bar, rows["price"][i].as_py(), outcome))
+            note(i, outcome.exited, outcome.entered, position)
             i += 1
-        return to_state(position), arrow_table(values, output)
+        at, arrow = pa.array(places, pa.int64()), to_arrow_schema(output)
+        entered = pa.array([e for _, e in events], pa.bool_())
+        columns = [
+            rows["symbol"].take(at), rows["start"].take(at), [x for x, _ in events], entered,
+            pc.if_else(entered, rows["price"].take(at), pa.scalar(None, pa.float64())),
+            [x and x[0] for x in held], [x and x[1] for x in held],
+            *(map(list, zip(*stops)) if stops else [[]] * 5),
+        ]
+        return to_state(position), _table(columns, arrow)
 
     rows = signals.select("symbol", "price", *BAR_COLUMNS)
     return fold_blocks(rows, step, output, position_state(time_type), "symbol", "start", blocks)
