@@ -12,8 +12,8 @@ forbidden pair; so the tropical shortest distance is taken position by position,
 result of the model's own merges. (Piece scores as arc weights would be the segmentation of a
 unigram model, which this vocabulary isn't.)
 
-No piece has a mark behind another character, so texts are cut at spaces and each part is composed
-once.
+Two characters that stand side by side in no piece are never merged, a mark behind another character
+among them. Texts are cut there, and each distinct part is composed once.
 """
 
 from collections.abc import Iterator
@@ -87,6 +87,13 @@ class Transducer(Parts):
         if any(MARK in piece.lstrip(MARK) for piece in self.ids):
             raise ValueError(f"{path}: a piece has a space behind another character")
         self.longest = max(map(len, self.ids))
+        #: ASCII characters (a space for the mark) that stand side by side in some piece.
+        self.joined = np.zeros((128, 128), bool)
+        for piece in self.ids:
+            codes = [ord(c) for c in piece.replace(MARK, " ")]
+            for a, b in zip(codes, codes[1:]):
+                if a < 128 and b < 128:
+                    self.joined[a, b] = True
         #: What an id writes when decoded; control and unknown ids write nothing.
         self.written = [b""] * n
         for piece, i in self.ids.items():
@@ -137,12 +144,14 @@ class Transducer(Parts):
         return out[::-1]
 
     def begins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts, and spaces that follow neither a space nor the mark itself."""
+        """Texts, spaces that follow neither a space nor the mark itself, and whatever no piece joins."""
         cut = np.zeros(len(data), bool)
         marked = data == 0x20
         mark = (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
         marked[2:] |= mark
         cut[1:] = (data[1:] == 0x20) & ~marked[:-1]
+        left, right = data[:-1], data[1:]
+        cut[1:] |= (left < 128) & (right < 128) & ~self.joined[left & 127, right & 127]
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         return np.flatnonzero(cut)
 
