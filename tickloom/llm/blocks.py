@@ -13,9 +13,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import shared_dir
+from tickloom.session import shared_path
 
 BLOCK = 4 << 20
+MOST = 100_000  # buckets that Spark allows
 
 
 def pack_rows(batch: pa.RecordBatch) -> bytes:
@@ -66,9 +67,10 @@ def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 def bucketed(rows: DataFrame) -> DataFrame:
     """Written to the shared folder as a table bucketed by its column `block`."""
     spark, name = rows.sparkSession, f"tickloom_blocks_{uuid.uuid4().hex}"
+    path = shared_path(spark, "blocks")
     (
-        rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
-        .option("path", f"{shared_dir(spark)}/{name}")
+        rows.write.bucketBy(min(int(spark.conf.get("spark.sql.shuffle.partitions")), MOST), "block")
+        .option("path", path)
         .option("compression", "none")
         .saveAsTable(name)
     )

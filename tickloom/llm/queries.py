@@ -1,6 +1,5 @@
 """One query for each operator over its whole table, and SQL where SQL can express it."""
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,7 +16,7 @@ from tickloom.llm.sentencepiece_wfst import decode, encode
 from tickloom.llm.token_counts import token_counts
 from tickloom.llm.toxicity import toxicity
 from tickloom.llm.warc import assemble_captures, read_warc, write_warc
-from tickloom.session import cut_lineage, shared_dir
+from tickloom.session import cut_lineage, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,7 +82,7 @@ REACH = """
     """,
 )
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     write_warc(table(spark, folder, "pages"), path)
     captures = assemble_captures(read_warc(spark, path, payloads=False)).select(
         "capture_id",
