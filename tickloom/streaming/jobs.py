@@ -107,9 +107,12 @@ class SignalStage:
         bars = batch.select(*self.tails.initial.columns).withColumn("_new", F.lit(True))
         kept = self.tails.before(batch_id).withColumn("_new", F.lit(False))
         older = kept.join(bars.select("symbol", "start"), ["symbol", "start"], "left_anti")
-        merged = older.unionByName(bars).persist()
+        # Only the batch's symbols can change; the others' tails are copied as they are.
+        touched = bars.select("symbol").distinct()
+        merged = older.join(touched, "symbol", "left_semi").unionByName(bars).persist()
         try:
-            self.tails.write(tail_rows(merged, self.tail), batch_id)
+            rest = older.join(touched, "symbol", "left_anti")
+            self.tails.write(tail_rows(merged, self.tail).unionByName(rest), batch_id)
             signals = signals_bar_by_bar(merged, self.tail, keep=["_new"], **self.thresholds)
             write_records(signals.filter("_new"), self.out, SIGNAL_MESSAGE, batch_id)
         finally:

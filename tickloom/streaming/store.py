@@ -42,8 +42,8 @@ class VersionedTable:
 class BarLog:
     """Minute bars as stored ones plus what each batch of ticks adds to them, by day.
 
-    A batch writes only its own bars, into a folder that a repeated run overwrites, so its cost
-    does not grow with the history. Merging is a partial aggregate in batch order; how a run of
+    A batch writes only its own bars, into a folder that a repeated run overwrites. Looking up what it
+    changed lists the log's folders, so compact the log on a schedule. Merging is a partial aggregate in batch order; how a run of
     ticks was cut into batches does not show in the result.
     """
 
@@ -74,14 +74,16 @@ class BarLog:
         return merge_bars(stored, batch)
 
     def bars(self) -> DataFrame:
-        return self._merged(self._added(), self.stored)
+        return self._merged(self._added(), self.stored.drop("day"))
 
     def changed_by(self, batch_id: int) -> DataFrame:
         """The bars that a batch touched, as they are after it."""
         known = self._added().filter(F.col("batch") <= batch_id)
         touched = known.filter(F.col("batch") == batch_id).select("day", "symbol", "date")
         added = known.join(touched, ["day", "symbol", "date"], "left_semi")
-        stored = self.stored.join(touched.drop("day"), ["symbol", "date"], "left_semi")
+        # Stored bars that know their day are looked up in the batch's days only.
+        names = [c for c in ("day", "symbol", "date") if c in self.stored.columns]
+        stored = self.stored.join(touched.select(*names), names, "left_semi").drop("day")
         return self._merged(added, stored)
 
     def compacted(self, path: str) -> "BarLog":
