@@ -12,8 +12,9 @@ The models are fitted on a bounded sample: at most SAMPLE labelled training docu
 whole, in the order of a hash of their ids. Their size follows the sample, not the corpus.
 """
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,10 @@ DISCOUNT = 0.75
 NOISE = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)  # levels to choose from, in nats
 FLOOR = 0.01  # evidence by word that is as good as none
 #: Labelled training documents of a class, at most; every CALIBRATION-th is left to the curve.
-SAMPLE = 10_000
+SAMPLE = 3_000
 CALIBRATION = 4
-#: Words whose evidence a task keeps; with more the store starts anew.
-KEPT = 400_000
+#: Words whose evidence a worker keeps; with more the store starts anew.
+KEPT = 1_500_000
 THRESHOLD = 0.7
 PRIOR = 0.2  # the share of toxic documents that scores assume
 
@@ -89,6 +90,7 @@ class Model:
     noise: float = 0.0
     slope: float = 1.0
     offset: float = 0.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def evidence(self, codes: np.ndarray) -> np.ndarray:
         """log of the toxic over the ordinary model's probability of each code's last symbol."""
@@ -169,6 +171,17 @@ class Scorer:
             yield np.log(FLOOR + np.stack(sums, axis=1) / n[:, None])
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The worker's scorer for the model; one is kept."""
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
+
+
 def _lowered(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()))
 
@@ -243,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     held = rows.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = scorer_of(held.value)
         for batch in batches:
             first = 0
             for x in scorer.log_evidence(batch.column(0), NOISE):
@@ -276,7 +289,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     schema = T.StructType(docs.schema.fields[:]).add("score", "double").add("predicted", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, fitted = Scorer(held.value), held.value
+        scorer, fitted = scorer_of(held.value), held.value
         for batch in batches:
             found = [np.zeros(0)]
             if fitted.grams:
