@@ -66,7 +66,7 @@ def test_files_follow_the_format(spark, tmp_path):
 
 
 def test_broken_archives_are_errors():
-    data = b"\r\n\r\n".join(page_records(1, "u", b"x" * 50, None)) + b"\r\n\r\n"
+    data = b"\r\n\r\n".join(page_records(1, "u", b"x" * 50, None, hashlib.sha1(b"x" * 50).digest())) + b"\r\n\r\n"
     assert len(list(cut_records(data, "f"))) == 3 and list(cut_records(b"", "f")) == []
     for bad in (data[:-30], b"nonsense" + data, data.replace(b"Content-Length: ", b"Content-Size: ")):
         with pytest.raises(ValueError):

@@ -59,13 +59,13 @@ def _line(value: str) -> str:
     return "".join(c if c >= " " else f"%{ord(c):02X}" for c in value)
 
 
-def page_records(page_id, url: str | None, html: bytes, keep_id) -> list[bytes]:
-    """Request, response (or revisit of page `keep_id`) and metadata of one page."""
-    sha = hashlib.sha1(html)
-    digest = "sha1:" + base64.b32encode(sha.digest()).decode()
+def page_records(page_id, url: str | None, html: bytes, keep_id, sha: bytes) -> list[bytes]:
+    """Request, response (or revisit of page `keep_id`) and metadata of one page; `sha` of its payload."""
+    digest = "sha1:" + base64.b32encode(sha).decode()
+    name = sha.hex()
 
     def key(page) -> str:
-        return f"{page} {sha.hexdigest()}"
+        return f"{page} {name}"
 
     uri = [("WARC-Target-URI", _line(url))] if url else []
     response_id, request_id = _urn("response", key(page_id)), _urn("request", key(page_id))
@@ -119,10 +119,13 @@ def write_warc(
         F.col(f"`{id_col}`").cast("long").alias("page_id"),
         F.col(f"`{url_col}`").cast("string").alias("url"),
         F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary").alias("html"),
-    ).withColumn("sha", F.when(F.octet_length("html") >= least, F.unhex(F.sha1("html"))))
+    ).withColumn("sha", F.unhex(F.sha1("html")))
+    # Small payloads meet no group: a key of their own keeps equal ones apart.
+    own = F.unhex(F.md5(F.concat_ws(" ", "page_id", "url").cast("binary")))
+    rows = rows.withColumn("key", F.when(F.octet_length("html") >= least, F.col("sha")).otherwise(own))
     groups = (
-        rows.filter(F.col("sha").isNotNull())
-        .groupBy("sha")
+        rows.filter(F.octet_length("html") >= least)
+        .groupBy("key")
         .agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("times"))
         .filter("times > 1")
         .drop("times")
@@ -131,8 +134,8 @@ def write_warc(
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "keep_id"))):
-                records = page_records(*(x.as_py() for x in row))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                records = page_records(*row)
                 out += records
                 held += sum(map(len, records))
                 if held > 4 << 20:
@@ -141,8 +144,8 @@ def write_warc(
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
     (
-        rows.join(groups, "sha", "left")
-        .select("page_id", "url", "html", "keep_id")
+        rows.join(groups, "key", "left")
+        .select("page_id", "url", "html", "keep_id", "sha")
         .mapInArrow(build, "value binary")
         .select(F.col("value").cast("string"))
         .write.option("lineSep", END)
@@ -169,16 +172,15 @@ def _inflated(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     yield member.flush()
 
 
-def _fields(lines: list[bytes]) -> list[tuple[str, str]]:
+def _fields(lines: list[str]) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     for line in lines:
-        if line[:1] in (b" ", b"\t") and out:  # a folded line
-            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip().decode('utf-8', 'replace')}")
-        elif line.strip():
-            name, _, value = line.partition(b":")
-            out.append(
-                (name.strip().decode("utf-8", "replace").lower(), value.strip().decode("utf-8", "replace"))
-            )
+        if line[:1] in (" ", "\t") and out:  # a folded line
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        else:
+            name, _, value = line.partition(":")
+            if name.strip():
+                out.append((name.strip().lower(), value.strip()))
     return out
 
 
@@ -203,10 +205,10 @@ def cut_records(content: bytes, path: str) -> Iterator[tuple[list[tuple[str, str
                 if buffer.strip():
                     raise ValueError(f"{path}: the archive ends within a record's header")
                 return
-        first, *lines = bytes(buffer[:stop]).lstrip().split(b"\r\n")
+        first, *lines = buffer[:stop].decode("utf-8", "replace").lstrip().split("\r\n")
         fields = _fields(lines)
         length = dict(fields).get("content-length", "")
-        if not first.startswith(b"WARC/") or not length.isdigit():
+        if not first.startswith("WARC/") or not length.isdigit():
             raise ValueError(f"{path}: no record where one should begin: {first[:60]!r}")
         while len(buffer) < stop + 4 + int(length):
             if not more():
@@ -215,15 +217,16 @@ def cut_records(content: bytes, path: str) -> Iterator[tuple[list[tuple[str, str
         del buffer[: stop + 4 + int(length)]
 
 
-def _row(fields: list[tuple[str, str]], block: bytes, payloads: bool) -> dict:
+def _row(fields: list[tuple[str, str]], block: bytes, payloads: bool) -> tuple:
+    """The values of RECORD's columns."""
     named = dict(fields)
     kind = named.get("warc-type")
     payload, size, status = block, len(block), None
     if named.get("content-type", "").startswith("application/http"):
         head, _, payload = block.partition(b"\r\n\r\n")
-        first, *rest = head.split(b"\r\n")
+        first, *rest = head.decode("utf-8", "replace").split("\r\n")
         http, words = dict(_fields(rest)), first.split()
-        if first.startswith(b"HTTP/") and len(words) > 1 and words[1].isdigit():
+        if first.startswith("HTTP/") and len(words) > 1 and words[1].isdigit():
             status = int(words[1])
         size = len(payload)
         if kind == "revisit" and http.get("content-length", "").isdigit():
@@ -236,19 +239,25 @@ def _row(fields: list[tuple[str, str]], block: bytes, payloads: bool) -> dict:
         digest = sha.hexdigest()
     elif digest.startswith("sha1:"):
         digest = base64.b32decode(digest[5:]).hex()
-    return {
-        "record_id": named.get("warc-record-id"),
-        "type": kind,
-        "target_uri": named.get("warc-target-uri"),
-        "date": named.get("warc-date"),
-        "concurrent_to": [v for k, v in fields if k == "warc-concurrent-to"],
-        "refers_to": named.get("warc-refers-to"),
-        "payload_digest": digest or None,
-        "payload_bytes": size,
-        "http_status": status,
-        "headers": list(named.items()),
-        "payload": payload if payloads or kind == "metadata" else None,
-    }
+    return (
+        named.get("warc-record-id"),
+        kind,
+        named.get("warc-target-uri"),
+        named.get("warc-date"),
+        [v for k, v in fields if k == "warc-concurrent-to"],
+        named.get("warc-refers-to"),
+        digest or None,
+        size,
+        status,
+        list(named.items()),
+        payload if payloads or kind == "metadata" else None,
+    )
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(column, f.type) for column, f in zip(zip(*rows), RECORD)], schema=RECORD
+    )
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -266,10 +275,10 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     out.append(_row(fields, block, payloads))
                     held += len(block) + 1000
                     if held > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(out, RECORD)
+                        yield _batch(out)
                         out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, RECORD)
+                    yield _batch(out)
 
     files = spark.read.format("binaryFile").load(path).filter("length > 0")
     return files.select("path", "content").mapInArrow(parse, RECORD_SCHEMA)
