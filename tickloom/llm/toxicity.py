@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.words import mix, running, word_runs
+from tickloom.llm.words import running, word_runs
 from tickloom.session import cut_lineage
 
 ORDERS = (1, 2, 3, 5, 7, 10)  # lengths of counted sequences; each backs off to the one before
