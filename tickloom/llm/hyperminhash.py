@@ -6,8 +6,8 @@ shingle is hashed several times over, as often as the size class of its set asks
 the Jaccard similarity as it is. Sets close to the next class are signed for both.
 
 Registers are banded by four. Sets that share a band are compared by their registers, corrected
-for chance collisions, then on the full sets. Within a band every set is compared with the smallest
-id first. What that links is one component, and only pairs across components are compared further.
+for chance collisions, then on the full sets. Within a band every set is compared with one of them
+first, another one in every band. What that links is one component, and only pairs across components are compared further.
 Before, sets go that can't have a link, because too many of their shingles are theirs alone: in a
 large group of copies with edits of their own these are the ones that no pivot has linked.
 """
@@ -33,7 +33,7 @@ FILL = 16  # hashes per bucket, at least
 #: Pairs estimated this far below the threshold are not compared in full: four and a half deviations
 #: of an estimate from 128 registers at 0.8, a chance of 3 in a million.
 MARGIN = 0.16
-PEELS = 3
+PEELS = 2
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -291,12 +291,16 @@ def near_duplicates(
     reps = cut_lineage(filled.join(groups.select(F.col("rep").alias("node")), "node", "left_semi"))
     banded = cut_lineage(bands(reps))
     shared = cut_lineage(
-        banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("times"))
+        banded.groupBy("key")
+        .agg(
+            F.min_by("node", F.xxhash64("key", "node")).alias("pivot"), F.count(F.lit(1)).alias("times")
+        )
         .filter("times > 1")
     )
     met = cut_lineage(join_groups(banded, shared, ["key"], "times", 32 * total).drop("times"))
     tried = cut_lineage(
-        met.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        met.filter("node <> pivot")
+        .select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
     )
     texts = docs.select(*_wanted(id_col, text_col)).select("node", "text")
     links = _confirmed(tried, reps, texts, size, percent)
@@ -311,7 +315,7 @@ def near_duplicates(
     )
     open_keys = cut_lineage(known.join(split.filter("labels > 1"), "key"))
     ends = open_keys.select("node").distinct()
-    needed = cut_lineage(texts.join(ends, "node", "left_semi"))
+    needed = cut_lineage(texts.join(ends.hint("merge"), "node", "left_semi"))
     able = open_keys.join(linkable(needed, size, percent), "node")
     minor = able.filter("label != major").select(
         "key", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "m")]
@@ -374,5 +378,6 @@ def _confirmed(tried: DataFrame, reps: DataFrame, texts: DataFrame, size: int, p
     """Pairs that pass the registers, then the full sets."""
     maybe = cut_lineage(similar(tried, reps, percent).distinct())
     ends = maybe.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = cut_lineage(texts.join(ends, "node", "left_semi"))
+    # A merge at every size: the ends are a part of all documents, so no bound lets them be broadcast.
+    needed = cut_lineage(texts.join(ends.hint("merge"), "node", "left_semi"))
     return cut_lineage(linked(maybe, needed, size, percent).distinct())
