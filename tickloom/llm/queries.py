@@ -211,11 +211,10 @@ def op10_product_quantisation(spark: SparkSession, folder: str) -> DataFrame:
 def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = decode(encode(table(spark, folder, "documents"), model), model)
-    raw = F.concat_ws("", F.transform("ids", lambda i: F.lpad(F.hex(i), 8, "0")))
     return coded.select(
         "doc_id",
         F.size("ids").alias("n_ids"),
-        F.crc32(F.unhex(raw)).alias("ids_crc32"),  # of 32-bit big-endian ids
+        F.xxhash64("ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))).alias(
             "round_trip"
