@@ -41,6 +41,15 @@ def test_parts_encode_as_whole_texts(tokenizer):
                 assert encoder.n_bytes[want].sum() == offsets[i + 1] - offsets[i]
 
 
+def test_line_ends_before_letters(tokenizer):
+    texts = ["a\n\nb", "one.\n\n\n\nTwo", "\n\nb", "a \n\nb", "a\r\n\r\nb", "a\n \nb", "x\u3000\nb\n\n", "\n", "1\n\n\n2\nc"]
+    encoder = ByteBpe(PATH)
+    for first, data, offsets in text_runs(pa.array([*texts, "\n\n".join(texts)])):
+        ids, at = encoder.encode(data, offsets)
+        for i, text in enumerate([*texts, "\n\n".join(texts)]):
+            assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pack(spark, tokenizer):
     rows = documents(200) + [(None, "no id here"), (7, "seven again"), (7, "seven again")]
     size = 64

@@ -1,8 +1,9 @@
 """Token ids of whole texts under a byte-level BPE, each distinct stretch encoded once.
 
 The vocabulary's pattern never lets a token run over a space or line end that follows a character
-other than white space, from a letter into a mark, or from a line end into a letter. So a text may be
-cut there and the parts encoded alone. Parts repeat (mostly they are words): each distinct part of a
+other than white space, from a letter into a mark, or from a line end into a letter. Nor does one run
+into a line end that a letter follows: a run of white space leaves its last character to itself while
+what is behind it is seen. So a text may be cut there and the parts encoded alone. Parts repeat (mostly they are words): each distinct part of a
 run is encoded once and kept for later runs.
 """
 
@@ -46,8 +47,13 @@ def part_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut[1:] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & solid[:-1]
     # A run of letters ends before a mark, white space but for the space before a letter.
     cut[1:] |= (_KIND[data[:-1]] == 1) & (_KIND[data[1:]] == 2)
-    cut[1:] |= (data[:-1] == 0x0A) & (_KIND[data[1:]] == 1)
-    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    line = (data[:-1] == 0x0A) & (_KIND[data[1:]] == 1)
+    heads = offsets[:-1][offsets[:-1] < offsets[1:]]
+    line[heads[heads > 0] - 1] = False
+    cut[1:] |= line
+    # The run's other white space would take the line end with it if the letter were not seen.
+    cut[:-1] |= line
+    cut[heads] = True
     return np.flatnonzero(cut)
 
 
