@@ -60,6 +60,29 @@ def test_probabilities_sum_to_one():
         assert np.allclose(p.sum(axis=0), 1, atol=1e-9)
 
 
+def test_tables_counted_by_spark(spark):
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.choice(list(b"abcde\xc3\xa91-"), rng.integers(1, 12)).tolist()) for _ in range(400)]
+    data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    codes, _ = t.word_codes(data, end - [len(w) for w in words], end)
+    n = rng.integers(0, 3, (len(codes), 2))
+    m = n * (rng.random((len(codes), 1)) < 0.7)
+    keys, sums = t._sum_by(codes, *n.T, *m.T)
+    rows = list(zip(keys.tolist(), *[x.astype(int).tolist() for x in sums]))
+    table = spark.createDataFrame(rows, "code long, n0 long, n1 long, m0 long, m1 long").repartition(4)
+    orders = t.count_orders(table, ("n", "m"))
+    for fit, (a, b) in (("n", sums[:2]), ("m", sums[2:])):
+        there = a + b > 0
+        want, got = t.fit_model(keys[there], a[there], b[there]), t.fit_counted(orders, fit)
+        for have, plain in zip(got.grams + got.contexts, want.grams + want.contexts):
+            assert np.array_equal(have[0], plain[0]) and np.allclose(have[1], plain[1], rtol=1e-12)
+        assert len(got.grams[-1][0]) < len(keys)
+
+
+def test_sample_of_each_class():
+    assert t.SAMPLE >= 10_000
+
+
 def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows, labels = made(30)

@@ -35,7 +35,7 @@ DISCOUNT = 0.75
 NOISE = (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)  # levels to choose from, in nats
 FLOOR = 0.01  # evidence by word that is as good as none
 #: Labelled training documents of a class, at most; every CALIBRATION-th is left to the curve.
-SAMPLE = 3_000
+SAMPLE = 10_000
 CALIBRATION = 4
 #: Words whose evidence a worker keeps; with more the store starts anew.
 KEPT = 1_500_000
@@ -112,8 +112,17 @@ def _looked_up(codes: np.ndarray, keys: np.ndarray, values: np.ndarray, missing:
     return out
 
 
+def _tables(
+    keys: np.ndarray, counts: np.ndarray, ctx_keys: np.ndarray, total: np.ndarray, kinds: np.ndarray
+) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Discounted shares of an order's sorted sequences, and the weights of their sorted contexts."""
+    safe = np.maximum(total, 1e-12)
+    share = np.maximum(counts - DISCOUNT, 0) / safe[np.searchsorted(ctx_keys, keys >> _BITS)]
+    return (keys, share), (ctx_keys, np.where(total > 0, DISCOUNT * kinds / safe, 1.0))
+
+
 def fit_model(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Model:
-    """Kneser-Ney tables from counts of codes of ORDER symbols in either class."""
+    """Kneser-Ney tables from counts of codes of ORDER symbols in either class, in memory."""
     grams, contexts = [], []
     for order, above in zip(ORDERS, (*ORDERS[1:], None)):
         if order < CLASS_ORDER:
@@ -124,23 +133,76 @@ def fit_model(codes: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Mod
         else:
             keys, both = _sum_by(tail(codes, order), ordinary, toxic)
             counts = np.stack(both, axis=1)
-        ctx = keys >> _BITS
-        ctx_keys, place = np.unique(ctx, return_inverse=True)
-        total = np.stack([np.bincount(place, counts[:, y], len(ctx_keys)) for y in (0, 1)], axis=1)
-        kinds = np.stack([np.bincount(place, counts[:, y] > 0, len(ctx_keys)) for y in (0, 1)], axis=1)
-        safe = np.maximum(total, 1e-12)
-        share = np.maximum(counts - DISCOUNT, 0) / safe[place]
-        weight = np.where(total > 0, DISCOUNT * kinds / safe, 1.0)
+        ctx_keys, sums = _sum_by(keys >> _BITS, *counts.T, *(counts > 0).T)
+        total, kinds = np.stack(sums[:2], axis=1), np.stack(sums[2:], axis=1)
         if order > ONCE:
             often = counts.sum(axis=1) > 1
-            keys, share = keys[often], share[often]
+            keys, counts = keys[often], counts[often]
             used = np.isin(ctx_keys, keys >> _BITS)
-            ctx_keys, weight = ctx_keys[used], weight[used]
-        grams.append((keys, share))
-        contexts.append((ctx_keys, weight))
+            ctx_keys, total, kinds = ctx_keys[used], total[used], kinds[used]
+        found = _tables(keys, counts, ctx_keys, total, kinds)
+        grams.append(found[0])
+        contexts.append(found[1])
     return Model(grams, contexts)
 
 
+def count_orders(counted: DataFrame, fits: tuple[str, ...]) -> list[tuple[DataFrame, DataFrame]]:
+    """Per order the sequences' and the contexts' counts, from a table (code, n0, n1) for fit "n".
+
+    Each order is counted from the one above. Contexts that only lead to what ONCE leaves out go here.
+    """
+    out: list[tuple[DataFrame, DataFrame]] = []
+    names = [f"{x}{y}" for x in fits for y in "01"]
+    keys = counted.withColumnRenamed("code", "key")
+    for order in reversed(ORDERS):
+        key = F.col("key").bitwiseAND(F.lit((1 << (_BITS * order)) - 1)).alias("key")
+        if order < CLASS_ORDER:
+            # Shared: how many different sequences of the next order end so, in either class.
+            n = {x: F.sum((F.col(f"{x}0") + F.col(f"{x}1") > 0).cast("long")) for x in fits}
+            keys = cut_lineage(keys.groupBy(key).agg(*[n[c[:-1]].alias(c) for c in names]))
+        elif order < ORDER:
+            keys = cut_lineage(keys.groupBy(key).agg(*[F.sum(c).alias(c) for c in names]))
+        most = [F.max(F.col(f"{x}0") + F.col(f"{x}1")).alias(f"{x}_most") for x in fits]
+        kinds = [F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in names]
+        contexts = (
+            keys.groupBy(F.shiftright("key", _BITS).alias("key"))
+            .agg(*[F.sum(c).alias(c) for c in names], *kinds, *most)
+            .filter(F.greatest(*[f"{x}_most" for x in fits], F.lit(0)) > _least(order))
+        )
+        out.append((keys, cut_lineage(contexts)))
+    return out[::-1]
+
+
+def _least(order: int) -> int:
+    """Sequences seen so often are left to the shorter ones."""
+    return 1 if order > ONCE else 0
+
+
+def fit_counted(orders: list[tuple[DataFrame, DataFrame]], fit: str = "n") -> Model:
+    """fit_model of `count_orders`; the driver gets what the model keeps."""
+    grams, contexts = [], []
+    for order, (keys, ctx) in zip(ORDERS, orders):
+        n = (f"{fit}0", f"{fit}1")
+        found, counts = _sorted_table(keys.filter(F.col(n[0]) + F.col(n[1]) > _least(order)).select("key", *n))
+        ctx = ctx.filter(F.col(f"{fit}_most") > _least(order))
+        ctx_found, sums = _sorted_table(ctx.select("key", *n, *[f"{c}_kinds" for c in n]))
+        got = _tables(found, counts, ctx_found, sums[:, :2], sums[:, 2:])
+        grams.append(got[0])
+        contexts.append(got[1])
+    return Model(grams, contexts)
+
+
+def _sorted_table(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and the other columns as a matrix in that order."""
+    table = rows.toArrow()  # bounded by the sample
+    keys = table.column("key").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    out = np.empty((len(keys), table.num_columns - 1))
+    for i in range(out.shape[1]):
+        out[:, i] = table.column(i + 1).to_numpy()[order]
+    return keys[order], out
+
+
 class Scorer:
     """Log evidence of whole texts, each distinct word looked at once."""
 
@@ -229,31 +291,28 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            toxic, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for words in word_runs(_lowered(batch.column(0))):
                 _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-                of = toxic[words.first + words.row]
-                n = [np.bincount(place, of == y, len(first)) for y in (0, 1)]
+                row = words.first + words.row
+                of, left = toxic[row], part[row] != 0
+                kinds = [of == 0, of == 1, (of == 0) & left, (of == 1) & left]
+                n = [np.bincount(place, x, len(first)) for x in kinds]
                 codes, word = word_codes(words.data, words.begin[first], words.end[first])
-                keys, (a, b) = _sum_by(codes, n[0][word], n[1][word])
+                keys, sums = _sum_by(codes, *[x[word] for x in n])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))],
-                    ["code", "ordinary", "toxic"],
+                    [pa.array(keys), *[pa.array(x.astype(np.int64)) for x in sums]], ["code", *names]
                 )
 
-    def fitted(part: DataFrame) -> Model:
-        counted = part.select("text", "toxic").mapInArrow(count, "code long, ordinary long, toxic long")
-        counted = counted.groupBy("code").agg(F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1"))
-        table = counted.toArrow()  # bounded by the sample
-        codes, n0, n1 = (table.column(c).to_numpy() for c in ("code", "n0", "n1"))
-        if n0.sum() == 0 or n1.sum() == 0:
-            return Model([], [], slope=0.0)
-        return fit_model(codes, n0.astype(float), n1.astype(float))
-
-    model = fitted(rows.filter("part <> 0"))
-    if not model.grams:
-        return model
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    # Fit "n" is of the whole sample, fit "m" of what is not left to the curve.
+    names = ("n0", "n1", "m0", "m1")
+    counted = rows.select("text", "toxic", "part").mapInArrow(count, ", ".join(f"{x} long" for x in ("code", *names)))
+    counted = cut_lineage(counted.groupBy("code").agg(*[F.sum(x).alias(x) for x in names]))
+    there = counted.agg(*[F.max(x).alias(x) for x in names]).first()
+    if not all(there[x] for x in names):
+        return Model([], [], slope=0.0)
+    orders = count_orders(counted, ("n", "m"))
+    held = rows.sparkSession.sparkContext.broadcast(fit_counted(orders, "m"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(held.value)
@@ -274,7 +333,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     weight = np.where(y == 1, PRIOR / toxic, (1 - PRIOR) / max(1, len(y) - toxic)) * len(y)
     curves = [(*fit_curve(x[:, i], y, weight), level) for i, level in enumerate(NOISE)]
     loss = [_loss(slope * x[:, i] + offset, y, weight) for i, (slope, offset, _) in enumerate(curves)]
-    model = fitted(rows)
+    held.destroy()
+    model = fit_counted(orders, "n")
     model.slope, model.offset, model.noise = curves[int(np.argmin(loss))]
     return model
 
