@@ -43,6 +43,41 @@ def test_near_duplicates(spark):
     assert len(set(label.values())) < len(set(nodes))
 
 
+def test_repeated_rows_in_a_cloud(spark):
+    rng = random.Random(7)
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(5, 95), n):
+            words[at] = f"e{rng.random()}"
+        return words
+
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(edited(base, 3))) for i in range(150)]
+    for i in range(150, 180, 2):
+        one = edited(base, 3)
+        other = " ".join(edited(one, 1))
+        rows += [(i, " ".join(one))] * 2 + [(i + 1, other), (i + 1, f"another text {i} under the same id")]
+    sets = plain_sets(rows)
+    links = [
+        (rows[a][0], rows[b][0])
+        for a in range(len(rows)) for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    label = smallest_reachable([i for i, _ in rows], links)
+    got = h.near_duplicates(docs_frame(spark, rows)).collect()
+    assert len(set(label.values())) >= 150
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, label[i]) for i, _ in rows)
+
+
+def test_linkable_counts_sets(spark):
+    one = [f"w{i}" for i in range(60)]
+    other = one[:-1] + ["x"]
+    texts = [(1, " ".join(one)), (1, " ".join(one)), (1, "quite another text here"), (2, " ".join(other))]
+    got = h.linkable(spark.createDataFrame(texts, "node long, text string"), 4, 80).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 57, 56), (2, 57, 56)]
+
+
 def test_estimate_follows_similarity():
     rng = random.Random(1)
     for n in (6, 40, 300, 3000):

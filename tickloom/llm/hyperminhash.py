@@ -145,14 +145,19 @@ def _wanted(id_col: str, text_col: str) -> list:
     ]
 
 
+def _digests(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two halves of a 128-bit digest of each row's set; `n`: shingles by row."""
+    cut, out = running(n), []
+    for seed in (1, 2):
+        sums = running(mix(hashes ^ mix(np.array([seed], np.uint64))))
+        out.append((sums[cut[1:]] - sums[cut[:-1]]).view(np.int64))
+    return out
+
+
 def _signed(nodes, ids, words: Words, size: int, percent: int) -> pa.RecordBatch:
     row, hashes = shingles(words, size)
     n = np.bincount(row, minlength=words.rows)
-    cut = running(n)
-    digests = []
-    for seed in (1, 2):
-        sums = running(mix(hashes ^ mix(np.array([seed], np.uint64))))
-        digests.append((sums[cut[1:]] - sums[cut[:-1]]).view(np.int64))
+    digests = _digests(hashes, n)
     k = size_class(n)
     own = np.zeros((words.rows, BUCKETS), np.uint16)
     upper = np.zeros((words.rows, BUCKETS), np.uint16)
@@ -342,11 +347,13 @@ def near_duplicates(
 
 
 def linkable(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, n, m) of the nodes that may have a link among `texts`: sizes, and shingles not theirs alone.
+    """(node, n, m) per set of the nodes that may have a link among `texts`: sizes, shingles not theirs alone.
 
-    A shingle that one set only has is in no intersection. So two sets share at most the smaller m,
-    and a set with m below `percent` of n has no link at all; without it, others' shingles may be
-    theirs alone in turn, hence the repetition. What goes here has no link, whatever the order.
+    A shingle that one set only has is in no intersection of different sets. So two of them share at
+    most the smaller m, and a set with m below `percent` of n has no link at all; without it, others'
+    shingles may be theirs alone in turn, hence the repetition. What goes here has no link, whatever the
+    order. Sets are told apart by their digests: a repeated row counts once, and of an id with
+    different texts each set is looked at alone. Equal sets are linked elsewhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,24 +361,26 @@ def linkable(texts: DataFrame, size: int, percent: int) -> DataFrame:
             node = batch.column(0).to_numpy()
             for words in word_runs(batch.column(1), lower=True):
                 row, hashes = shingles(words, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[words.first + row]), pa.array(hashes.view(np.int64))], ["node", "hash"]
-                )
-
-    rows = cut_lineage(texts.select("node", "text").mapInArrow(run, "node long, hash long"))
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+                n = np.bincount(row, minlength=words.rows)
+                columns = [node[words.first + row], *[x[row] for x in _digests(hashes, n)], n[row], hashes.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "d1", "d2", "n", "hash"])
+
+    columns = "node long, d1 long, d2 long, n long, hash long"
+    rows = cut_lineage(texts.select("node", "text").mapInArrow(run, columns))
+    sets = rows.select("node", "d1", "d2", "n").distinct()
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)]
     for _ in range(PEELS):
         alone = (
-            rows.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node"))
-            .filter("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+            rows.groupBy("hash").agg(*ends).filter("min_d1 = max_d1 and min_d2 = max_d2")
+            .groupBy(F.col("min_d1").alias("d1"), F.col("min_d2").alias("d2")).agg(F.count(F.lit(1)).alias("own"))
         )
         able = cut_lineage(
-            sizes.join(alone, "node", "left")
-            .select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+            sets.join(alone, ["d1", "d2"], "left")
+            .select("node", "d1", "d2", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
             .filter(F.col("m") * 100 >= F.col("n") * percent)
         )
-        rows, sizes = rows.join(able.select("node"), "node", "left_semi"), able.select("node", "n")
-    return able
+        rows, sets = rows.join(able.select("d1", "d2"), ["d1", "d2"], "left_semi"), able.drop("m")
+    return able.select("node", "n", "m").distinct()
 
 
 def _confirmed(tried: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
