@@ -11,11 +11,14 @@ from tickloom.llm.exact_dedup import exact_dedup
 from tickloom.llm.hmm import lm_scores
 from tickloom.llm.hyperminhash import near_duplicates
 from tickloom.llm.packing import pack
+from tickloom.llm.periodic import periodic_runs, with_repeats
 from tickloom.llm.quantised import near_vectors
 from tickloom.llm.sentencepiece_wfst import decode, encode
+from tickloom.llm.sharding import shard_rows
 from tickloom.llm.token_counts import token_counts
 from tickloom.llm.toxicity import toxicity
 from tickloom.llm.warc import assemble_captures, read_warc, write_warc
+from tickloom.llm.whitening import whiten
 from tickloom.session import cut_lineage, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,3 +229,43 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts(table(spark, folder, "documents"), path, ("source", "text"))
+
+
+@query("op11_virtual_slots")
+def op11_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_rows(table(spark, folder, "documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
+    )
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whiten(table(spark, folder, "embeddings"), components=4)
+    return white.select(
+        "vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained"))
+    ).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "col.whitened",
+        "col.explained", "identity_error",
+    )
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.when(h % 10 == 0, with_repeats(F.col("text"), F.expr("crc32(cast(string(doc_id) as binary)) div 10")))
+    found = periodic_runs(docs.select("doc_id", text.otherwise(F.col("text")).alias("text")))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"]))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("most"), lines.alias("lines"), "collapsed"
+    ).select(
+        "doc_id", "n_runs", F.col("most.start").alias("start"), F.col("most.length").alias("length"),
+        F.col("most.period").alias("period"),
+        F.expr("most.length * 1000 div most.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("lines", lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
