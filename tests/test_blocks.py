@@ -1,13 +1,19 @@
 """Series cut into blocks give what uncut series give."""
 
 from dataclasses import replace
+from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helpers import assert_same, random_bars
 from tickloom.operators import windows
-from tickloom.operators.blocks import Blocks, with_lookback
+from tickloom.operators.affine import affine_scan
+from tickloom.operators.blocks import Blocks, fold_blocks, with_lookback
+from tickloom.operators.stop import Bar, StopRule
 from tickloom.plans.positions import position_lifecycle, trailing_stop
 from tickloom.plans.signals import (
     baseline_volatility,
@@ -108,6 +114,107 @@ def test_trailing_stop_over_blocks(bars, days):
     assert_same(trailing_stop(held, cut(bars, days)), trailing_stop(held, Blocks.single()))
 
 
+def plain_stops(rows, rule):
+    """The stop bar by bar, one position after the other."""
+    out = {}
+    for key in sorted({(r.symbol, r.position_time) for r in rows}):
+        position = None
+        for r in sorted((r for r in rows if (r.symbol, r.position_time) == key), key=lambda r: r.start):
+            bar = Bar(r.start, r.high, r.low, r.close, False, r.position_type, r.initial_stop_loss, r.initial_controller, r.avg_sd)
+            position = rule.follow(position, bar) if position else rule.open(r.position_type, bar)
+            out[(r.symbol, r.start)] = (
+                position.controller, position.constant, rule.lag_number(position),
+                rule.controller_sd(position), position.stop_loss, position.position_type,
+            )
+    return out
+
+
+@pytest.mark.parametrize("cut_at", [None, 12, 1])
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_trailing_stop_is_the_loop_over_its_bars(spark, bars, cut_at, batch):
+    """In one block and in many, with batches that end inside positions, other directions later, odd avg_sd."""
+    first = bars.groupBy("symbol").agg(F.min("start").alias("position_time"))
+    odd = F.array(F.lit(1.0), F.lit(0.0), F.lit(None).cast("double"), F.lit(0.05), F.lit(2.0))
+    held = bars.join(first, "symbol").withColumns(
+        {
+            "position_type": F.when(F.col("instrument_token") == F.minute("start") % 3, "short").otherwise("long"),
+            "initial_stop_loss": F.lit(90.0) + F.col("instrument_token"),
+            "initial_controller": F.lit(95.0),
+            "avg_sd": F.element_at(odd, (F.minute("start") % 5 + 1).cast("int")),
+        }
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = trailing_stop(held, cut(bars, cut_at) if cut_at else Blocks.single()).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = plain_stops(held.collect(), StopRule())
+    assert len(got) == len(want)
+    for r in got:
+        *numbers, kind = want[(r.symbol, r.start)]
+        values = [r.controller, r.controller_constant, r.lag_number, r.controller_sd, r.stop_loss]
+        assert values == pytest.approx(numbers, rel=1e-9) and r.position_type == kind
+
+
+def test_trailing_stop_writes_no_table_and_stays_lazy(bars, monkeypatch):
+    from tickloom import session
+
+    first = bars.groupBy("symbol").agg(F.min("start").alias("position_time"))
+    held = bars.join(first, "symbol").withColumns(
+        {"position_type": F.lit("long"), "initial_stop_loss": F.lit(90.0), "initial_controller": F.lit(95.0)}
+    )
+    blocks, before = cut(bars, 12), len(session._written)
+    trailing_stop(held, blocks)
+    assert len(session._written) == before
+
+
+@pytest.mark.parametrize("cut_at", [None, 9])
+def test_affine_scan(spark, bars, cut_at):
+    """Steps that forget, and one that is not a number, against a loop."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("start"))
+    steps = bars.withColumn("n", place).withColumns(
+        {
+            "a": F.when(F.col("n") % 17 == 1, 0.0).otherwise(F.col("close") / 110),
+            "b": F.when(F.col("n") == 5, F.lit(float("nan"))).otherwise(F.col("open") - 100),
+        }
+    )
+    got = affine_scan(steps, "x", F.col("a"), F.col("b"), blocks=cut(bars, cut_at) if cut_at else Blocks.single())
+    x = {}
+    for r in sorted(got.collect(), key=lambda r: (r.symbol, r.n)):
+        x[r.symbol] = r.b if r.a == 0 else r.a * x[r.symbol] + r.b
+        assert r.x == pytest.approx(x[r.symbol], rel=1e-9, nan_ok=True)
+
+
+@pytest.mark.parametrize("hold", [0, 3, 1000])
+def test_states_that_last_over_blocks(spark, hold):
+    """A recurrence that forgets after `hold` rows, or never: few runs of a block in any case."""
+    rows = [(s, datetime(2024, 1, 1) + timedelta(days=d, minutes=s), s + d) for s in range(2) for d in range(12)]
+    series = spark.createDataFrame(rows, "symbol long, start timestamp_ntz, value long")
+    state = StructType().add("total", "long").add("seen", "long")
+    output = StructType().add("symbol", "long").add("start", "timestamp_ntz").add("total", "long")
+    runs = spark.sparkContext.accumulator(0)
+
+    def step(before, rows):
+        runs.add(1)
+        now, totals = before, []
+        for value in rows["value"].to_pylist():
+            now = {"total": value, "seen": 0} if now is None else {"total": now["total"] * 2 + value, "seen": now["seen"] + 1}
+            totals.append(now["total"])
+            now = None if now["seen"] >= hold else now
+        return now, pa.table([rows["symbol"], rows["start"], totals], names=output.names)
+
+    got = fold_blocks(series, step, output, state, "symbol", "start", Blocks.spanning(series, "start", 1))
+    result = {(r.symbol, r.start): r.total for r in got.collect()}
+    for s in range(2):
+        total, seen = None, 0
+        for symbol, at, value in sorted(rows):
+            if symbol == s:
+                total, seen = (value, 0) if total is None else (total * 2 + value, seen + 1)
+                assert result[(s, at)] == total
+                total = None if seen >= hold else total
+    assert runs.value <= {0: 24, 3: 72, 1000: 72}[hold]
+
+
 @pytest.mark.parametrize("days", DAYS)
 def test_reports_over_blocks(bars, days):
     blocks = cut(bars, days)

@@ -16,6 +16,7 @@ from tickloom.plans.positions import lifecycle_orders, position_lifecycle
 from tickloom.plans.signals import signals_bar_by_bar
 from tickloom.sources.topics import MESSAGE, read_records, write_records
 from tickloom.streaming import jobs
+from tickloom.streaming.late import LateSplit, late_job, newest_table
 from tickloom.streaming.store import BarLog, VersionedTable
 
 BAR_TABLE = (
@@ -64,11 +65,10 @@ def send_ticks(df, path, cuts):
 def run_signals(spark, base, mode="append", cuts=(0, 50, 51, 200, 300, 420, 421)):
     df = ticks(spark).persist()
     send_ticks(df, base / "trigger", cuts)
-    tails = VersionedTable(spark, str(base / "tails"), spark.createDataFrame([], BAR_TABLE))
-    stage = jobs.SignalStage(tails, out(base / "position"), thresholds=THRESHOLDS)
+    stage = jobs.SignalStage(out(base / "position"), thresholds=THRESHOLDS)
     stream = read_records(spark, folder(base / "trigger"), schemas.TICK)
-    query = jobs.bar_job(stream, stage, str(base / "cp-bars"), mode=mode)
-    query.awaitTermination()
+    jobs.bar_job(stream, out(base / "bars"), str(base / "cp-bars"), mode=mode).awaitTermination()
+    jobs.signal_job(spark, folder(base / "bars"), stage, str(base / "cp-signals")).awaitTermination()
     return df
 
 
@@ -92,12 +92,23 @@ def test_growing_bars_end_as_the_closed_ones(spark, tmp_path):
     assert_same(last.select(*same), want.select(*same))
 
 
-def test_tails_stay_small(spark, tmp_path):
-    run_signals(spark, tmp_path)
-    kept = sorted(p.name for p in (tmp_path / "tails").glob("version=*"))
-    assert len(kept) == 2
-    counts = spark.read.parquet(str(tmp_path / "tails" / kept[-1])).groupBy("symbol").count().collect()
-    assert {r["count"] for r in counts} == {25}
+def tail_state(query):
+    return [p["stateOperators"][-1] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_a_batch_writes_the_state_of_its_own_symbols(spark, tmp_path):
+    """One row of state per symbol, however many bars; a batch of one symbol updates one of them."""
+    bars = ohlc_bars(ticks(spark)).persist()
+    halves = [bars.filter("minute(start) < 40 and hour(start) = 9"), bars.filter("symbol = 'A' and hour(start) = 10")]
+    for i, part in enumerate(halves):
+        write_records(part.withColumn("fresh", F.lit(True)).coalesce(1), out(tmp_path / "bars"), jobs.BAR_MESSAGE, i)
+    stage = jobs.SignalStage(out(tmp_path / "position"), thresholds=THRESHOLDS)
+    query = jobs.signal_job(spark, folder(tmp_path / "bars"), stage, str(tmp_path / "cp"))
+    query.awaitTermination()
+    states = [(s["numRowsTotal"], s["numRowsUpdated"]) for s in tail_state(query) if s["numRowsUpdated"]]
+    assert states == [(2, 2), (2, 1)]
+    told = messages_of(spark, tmp_path / "position", schemas.SIGNAL)
+    assert told.count() == sum(part.count() for part in halves)
 
 
 def test_warm_start(spark, tmp_path):
@@ -106,11 +117,12 @@ def test_warm_start(spark, tmp_path):
     early = F.col("date") < F.lit("2024-01-01 09:50:00").cast("timestamp")
     usual = spark.createDataFrame([("A", 0.3), ("X&Y", 0.3)], "symbol string, avg_sd double")
     stored = jobs.warm_tails(ohlc_bars(df.filter(early)), usual)
-    tails = VersionedTable(spark, str(tmp_path / "tails"), stored)
-    stage = jobs.SignalStage(tails, out(tmp_path / "position"), thresholds=THRESHOLDS)
+    jobs.stored_to_topic(stored.coalesce(1), out(tmp_path / "bars"))
+    stage = jobs.SignalStage(out(tmp_path / "position"), thresholds=THRESHOLDS)
     send_ticks(df.filter(~early), tmp_path / "trigger", (0, 300, 421))
     stream = read_records(spark, folder(tmp_path / "trigger"), schemas.TICK)
-    jobs.bar_job(stream, stage, str(tmp_path / "cp")).awaitTermination()
+    jobs.bar_job(stream, out(tmp_path / "bars"), str(tmp_path / "cp-bars")).awaitTermination()
+    jobs.signal_job(spark, folder(tmp_path / "bars"), stage, str(tmp_path / "cp")).awaitTermination()
     got = messages_of(spark, tmp_path / "position", schemas.SIGNAL).drop("seq")
     closed = ohlc_bars(df).filter("end <= timestamp'2024-01-01 10:24:57'")
     want = signals_bar_by_bar(closed, blocks=Blocks.single(), **THRESHOLDS)
@@ -181,6 +193,121 @@ def test_growing_bar_is_taken_anew():
     assert left.exited and twice.position is None
 
 
+def one_signal(symbol, minute, close, trigger=False):
+    at = datetime(2024, 1, 1, 9, 15) + timedelta(minutes=minute)
+    return {
+        "open": close, "high": close + 1, "low": close - 1, "close": close, "start": at, "trigger": trigger,
+        "price": close, "instrument_token": 1, "symbol": symbol, "source": "entry", "position_type": "long",
+        "initial_stop_loss": 8.0, "initial_controller": 9.0, "avg_sd": 1.0,
+    }
+
+
+def send_signals(spark, base, batches):
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame([tuple(r[c] for c in schemas.SIGNAL.names) for r in rows], schemas.SIGNAL)
+        write_records(df.coalesce(1), out(base / "position"), schemas.SIGNAL.names, i)
+
+
+def test_a_late_bar_is_told(spark, tmp_path):
+    send_signals(spark, tmp_path, [
+        [one_signal("A", 0, 10.0, True), one_signal("A", 2, 11.0)],
+        [one_signal("A", 1, 1.0), one_signal("B", 1, 10.0)],  # A's would have hit the stop
+        [one_signal("A", 3, 12.0)],
+    ])
+    jobs.position_job(
+        spark, folder(tmp_path / "position"), out(tmp_path / "orders"), str(tmp_path / "cp"), late=out(tmp_path / "late")
+    ).awaitTermination()
+    orders = messages_of(spark, tmp_path / "orders", schemas.ORDER).collect()
+    assert [(r.symbol, r.type) for r in orders] == [("A", "entry")]
+    late = messages_of(spark, tmp_path / "late", schemas.ORDER).collect()
+    assert [(r.symbol, r.start.minute) for r in late] == [("A", 16)]
+
+
+def test_state_of_a_quiet_symbol_without_position_goes(spark, tmp_path):
+    send_signals(spark, tmp_path, [
+        [one_signal("A", 0, 10.0, True), one_signal("B", 0, 10.0), one_signal("C", 0, 10.0)],
+        [one_signal("A", 1, 11.0)],
+        [one_signal("A", 2, 1.0)],  # left
+        [one_signal("D", 60, 10.0, True)],
+        [one_signal("D", 61, 10.0)],
+    ])
+    query = jobs.position_job(
+        spark, folder(tmp_path / "position"), out(tmp_path / "orders"), str(tmp_path / "cp"),
+        quiet=timedelta(minutes=10),
+    )
+    query.awaitTermination(120)
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert rows[0] == 3 and rows[-1] == 1  # D, which is held
+    orders = messages_of(spark, tmp_path / "orders", schemas.ORDER).collect()
+    assert sorted((r.symbol, r.type) for r in orders) == [("A", "entry"), ("A", "exit"), ("D", "entry")]
+
+
+def test_late_rows_go_to_a_topic_of_their_own(spark, tmp_path):
+    """None lost, none twice, whatever repeats; the query behind drops none."""
+    at = datetime(2024, 1, 1, 9, 15)
+    seconds = [[0, 30, 61], [3600, 1], [2, 3500, 3601, 7200], [3, 7201, None], [20000], [6000, 19990, 20001]]
+    columns = ["symbol", "last_price", "date"]
+    for i, batch in enumerate(seconds):
+        rows = [("A", float(i * 10 + k), s if s is None else at + timedelta(seconds=s), i * 10 + k) for k, s in enumerate(batch)]
+        df = spark.createDataFrame(rows, "symbol string, last_price double, date timestamp, seq long")
+        write_records(df.coalesce(1), out(tmp_path / "in"), columns, i)
+    schema = StructType([schemas.TICK[c] for c in columns])
+    stage = LateSplit(newest_table(spark, str(tmp_path / "newest")), out(tmp_path / "live"), out(tmp_path / "late"), columns)
+    late_job(read_records(spark, folder(tmp_path / "in"), schema), stage, str(tmp_path / "cp")).awaitTermination()
+    last = spark.createDataFrame(rows, "symbol string, last_price double, date timestamp, seq long")
+    stage(last, len(seconds) - 1)  # a repeated batch changes nothing
+    late = {r.seq for r in messages_of(spark, tmp_path / "late", schema).collect()}
+    live = {r.seq for r in messages_of(spark, tmp_path / "live", schema).collect()}
+    newest, want = None, set()
+    for i, batch in enumerate(seconds):
+        for k, s in enumerate(batch):
+            if s is not None and newest is not None and (s + 900) // 60 * 60 + 60 - 900 <= newest - 2:
+                want.add(i * 10 + k)
+        newest = max([s for s in batch if s is not None] + ([newest] if newest is not None else []))
+    assert late == want and want
+    assert live | late == {i * 10 + k for i, b in enumerate(seconds) for k in range(len(b))} and not live & late
+
+
+def test_orders_go_by_the_intent_that_opened_the_position(spark, tmp_path):
+    """Two accounts on one symbol; the answer comes a batch late; an old order's answer changes nothing."""
+    columns = (
+        "account_id string, symbol string, instrument_token long, margin double, position boolean, "
+        "position_type string, order_id long, filled_quantity double, quantity double, intent_id string"
+    )
+    ledger = spark.createDataFrame(
+        [(a, "A", 1, 5.0, False, None, None, 0.0, 0.0, None) for a in ("x", "y")], columns
+    )
+    books = VersionedTable(spark, str(tmp_path / "ledger"), ledger)
+    budgets = VersionedTable(spark, str(tmp_path / "budget"), jobs.initial_budgets(ledger))
+    known = []
+
+    def statuses():
+        return spark.createDataFrame(known, "intent_id string, order_id long, filled_quantity double")
+
+    stage = jobs.AccountStage(books, budgets, str(tmp_path / "intents"), statuses=statuses)
+
+    def run(batch_id, kind):
+        row = ("A", "long", kind, 10.0, None, batch_id)
+        stage(spark.createDataFrame([row], "symbol string, position_type string, type string, price double, start timestamp, seq long"), batch_id)
+        told = spark.read.parquet(str(tmp_path / f"intents/batch={batch_id}")).collect()
+        return sorted((r.account_id, r.action, r.side or "", r.quantity or 0.0, r.order_id or 0, r.intent_id) for r in told)
+
+    assert run(0, "entry") == [(a, "place", "BUY", 10_000.0, 0, f"{a}:A:0") for a in ("x", "y")]
+    known += [("x:A:0", 70, 4_000.0), ("y:A:0", 71, 0.0)]
+    assert run(1, "exit") == [
+        ("x", "modify", "", 4_000.0, 70, "x:A:0"), ("x", "place", "SELL", 4_000.0, 0, "x:A:1:close"),
+        ("y", "cancel", "", 0.0, 71, "y:A:0"),
+    ]
+    run(2, "entry")  # known are the orders of batch 0 only: the new position is not theirs
+    after = {r.account_id: r for r in books.version(2).collect()}
+    assert {(r.order_id, r.filled_quantity, r.intent_id) for r in after.values()} == {
+        (None, 10_000.0, "x:A:2"), (None, 10_000.0, "y:A:2")
+    }
+    known.append(("x:A:2", 80, 10_000.0))
+    assert run(3, "exit") == [(a, "place", "SELL", 10_000.0, 0, f"{a}:A:3:close") for a in ("x", "y")]
+    assert {r.intent_id for r in books.version(3).collect()} == {None}
+
+
 def test_account_over_batches(spark, tmp_path):
     ledger = spark.createDataFrame(
         [("a", s, i, m, False, None, None, 0.0, 0.0) for i, (s, m) in enumerate([("A", 1.0), ("B", 1.0), ("C", 2.0)])],
@@ -250,14 +377,50 @@ def test_merged_bars_and_their_messages(spark, tmp_path):
     last = told.groupBy("key").agg(F.max_by("message", "batch").alias("message"))
     assert_same(last, bar_messages(want.filter("symbol <> 'B'"), "date"), ["key"])
     before = log.bars().collect()
-    log.append(df.filter("seq >= 31"), 3)  # a repeated batch changes nothing
+    touched = minute_bars(df.filter("seq >= 31")).select("symbol", "date")
+    last = minute_bars(df).join(touched, ["symbol", "date"], "left_semi")
+    log.record(last, 3)  # a repeated batch changes nothing
     assert sorted(map(str, log.bars().collect())) == sorted(map(str, before))
     compact = log.compacted(str(tmp_path / "compact"))
     assert sorted(map(str, compact.bars().collect())) == sorted(map(str, before))
-    compact.append(df.filter("seq >= 31"), 3)
+    compact.record(last, 3)
     assert sorted(map(str, compact.bars().collect())) == sorted(map(str, before))
 
 
+def test_a_batch_of_bars_does_not_look_at_earlier_ones(spark, tmp_path):
+    """Each batch tells its own bars though the folders of all others are gone."""
+    df = ticks(spark, 6).persist()
+    send_ticks(df, tmp_path / "trigger", (0, 9, 18, 36))
+    stored = spark.createDataFrame([], BarLog.COLUMNS)
+    log = BarLog(spark, str(tmp_path / "log"), stored)
+    tell = log.changed_by
+
+    def tell_and_forget(batch_id):
+        for k in range(batch_id):
+            (tmp_path / f"log/batch={k}").rename(tmp_path / f"gone-{batch_id}-{k}") if (tmp_path / f"log/batch={k}").exists() else None
+        return tell(batch_id)
+
+    log.changed_by = tell_and_forget
+    stream = read_records(spark, folder(tmp_path / "trigger"), schemas.TICK)
+    query = jobs.merge_job(stream, log, str(tmp_path / "messages"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    told = spark.read.parquet(str(tmp_path / "messages"))
+    last = told.groupBy("key").agg(F.max_by("message", "batch").alias("message"))
+    assert_same(last, bar_messages(merge_bars(stored, minute_bars(df)), "date"), ["key"])
+
+
+def test_state_of_bars_that_can_no_longer_grow_goes(spark, tmp_path):
+    df = ticks(spark, 70).persist()
+    send_ticks(df, tmp_path / "trigger", (0, 200, 400, 421))
+    log = BarLog(spark, str(tmp_path / "log"), spark.createDataFrame([], BarLog.COLUMNS))
+    stream = read_records(spark, folder(tmp_path / "trigger"), schemas.TICK)
+    query = jobs.merge_job(stream, log, str(tmp_path / "messages"), str(tmp_path / "cp"), delay="5 minutes")
+    query.awaitTermination()
+    rows = [s["numRowsTotal"] for s in tail_state(query)]
+    assert 0 < rows[-1] <= 20 < max(rows)
+    assert_same(log.bars(), merge_bars(spark.createDataFrame([], BarLog.COLUMNS), minute_bars(df)), ["symbol", "date"])
+
+
 def test_rejects_are_kept(spark, tmp_path):
     texts = ['{"symbol": "A", "type": "exit"}', "no json", "{}"]
     rows = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], MESSAGE)

@@ -7,7 +7,8 @@ into a block bound the group. What a block needs from the past comes to it in on
 
 * `with_lookback`   the last n rows before the block, copied into it (rolling windows, lag)
 * `carry_in`        a few numbers per earlier block, scanned over blocks (sums, fills)
-* `fold_blocks`     the state of a recurrence, handed from block to block
+* `fold_blocks`     the state of a recurrence: blocks run at once, and again where they began in another
+                    state than supposed
 
 Rows with a null key are one series more; a row without a time comes before all others of its series,
 in a block of its own. Both hold for one block and for many.
@@ -199,74 +200,119 @@ def fold_blocks(
 ) -> DataFrame:
     """A recurrence over each key's rows in `order`.
 
-    `step(state, rows)` gets the state after all earlier rows of the key (None at first) and
-    the rows of one block in order; it returns the new state (None ends the series) and the
-    output rows. Blocks run one after another, keys in parallel, and between two blocks only
-    the states are kept, so no task ever holds more than one block of one key. The rows are
-    written to the shared folder by block first, and each block's result before the next one
-    starts. With a single block nothing is written and the result stays lazy.
+    `step(state, rows)` gets the state after all earlier rows of the key (None at first) and the
+    rows of one block in order; it returns the new state (None: as if nothing had been) and the
+    output rows. With a single block nothing is written and the result stays lazy.
+
+    Over many blocks all of them run at once, as if nothing had been before each. Then those blocks
+    run again that in truth begin in another state, until none is left (`_Folding`). A recurrence that
+    returns to None now and then, as a position does when it is left, forgets how a block began: so
+    there are few such rounds, however many blocks there are, and a key with a third of all rows is
+    spread over its blocks. No task ever holds more than one block of one key.
     """
     keys = key_list(by)
     blocks = blocks_for(df, order, blocks, keys)
     if blocks.is_single:
-        parts = [df]
-    else:
-        stored = cut_lineage(blocks.mark(df, order), ("_block",))
-        present = stored.select("_block").distinct().collect()
-        parts = [
-            stored.filter(F.col("_block") == number).drop("_block")
-            for number in sorted(row["_block"] for row in present)
+
+        def whole(rows: pa.Table) -> pa.Table:
+            _, out = step(None, in_order(rows, order))
+            return out.cast(to_arrow_schema(output))
+
+        return df.groupBy(*keys).applyInArrow(whole, output)
+    return _Folding(blocks.mark(df, order), step, output, state, keys, order).result()
+
+
+def _emitter(
+    step: Step, series: list[str], order: str, arrow: pa.Schema, width: int
+) -> Callable[[dict | None, pa.Table], pa.Table]:
+    """What a task does with a block: the step's output (`width` columns), and a row with the state it ends in."""
+
+    def emit(before: dict | None, rows: pa.Table) -> pa.Table:
+        after, out = step(before, in_order(rows, order))
+        key = rows.select(series).slice(0, 1).to_pylist()[0]
+        named = {f"_key_{k}": v for k, v in key.items()}
+        end = pa.Table.from_pylist([named | {"_is_end": True, "_state": after}], schema=arrow)
+        if out is None or not out.num_rows:
+            return end
+        n = out.num_rows
+        rest = [
+            pa.array([named[f.name]] * n, f.type) if f.name in named else pa.nulls(n, f.type)
+            for f in list(arrow)[width:]
         ]
+        told = pa.Table.from_arrays([*out.columns, *rest], names=arrow.names).cast(arrow)
+        return pa.concat_tables([end, told])
+
+    return emit
+
+
+class _Folding:
+    """The rounds of `fold_blocks`, each a written table of rows and of the states they end in.
 
-    emitted = StructType()
-    for field in output:
-        emitted.add(field.name, field.dataType)
-    for key in keys:
-        emitted.add(f"_key_{key}", df.schema[key].dataType)
-    emitted.add("_state", state)
-    arrow = to_arrow_schema(emitted)
-
-    def emit(before: dict | None, rows: pa.Table, key: dict, hand_on: bool) -> pa.Table:
-        after, out = before, None
-        if rows.num_rows:
-            after, out = step(before, in_order(rows, order))
-        tables = []
-        if out is not None and out.num_rows:
-            unset = [pa.nulls(out.num_rows, field.type) for field in list(arrow)[len(output) :]]
-            columns = [*out.columns, *unset]
-            tables.append(pa.Table.from_arrays(columns, names=arrow.names).cast(arrow))
-        if hand_on and after is not None:
-            last = {f"_key_{k}": key[k] for k in keys} | {"_state": after}
-            tables.append(pa.Table.from_pylist([last], schema=arrow))
-        return pa.concat_tables(tables) if tables else arrow.empty_table()
-
-    def key_of(rows: pa.Table) -> dict:
-        return rows.select(keys).slice(0, 1).to_pylist()[0]
-
-    def run(part: DataFrame, carried: DataFrame | None, hand_on: bool) -> DataFrame:
-        grouped = part.groupBy(*keys)
-        if carried is None:
-            return grouped.applyInArrow(
-                lambda rows: emit(None, rows, key_of(rows), hand_on), emitted
-            )
+    In the first two rounds every block runs whose state before it is another than it ran with. From
+    then on such a block waits while its predecessor is one too, so that a state that lasts over many
+    blocks is handed on block by block, and costs each of them one more run.
+    """
+
+    def __init__(self, df: DataFrame, step: Step, output: StructType, state: StructType, keys: list[str], order: str):
+        self.output, self.state = output, state
+        self.series = [*keys, "_block"]
+        self.earlier = Window.partitionBy(*keys).orderBy("_block")
+        self.rows = cut_lineage(df)
+        self.emitted = StructType()
+        for field in output:
+            self.emitted.add(field.name, field.dataType)
+        for key in self.series:
+            self.emitted.add(f"_key_{key}", df.schema[key].dataType)
+        self.emitted.add("_is_end", "boolean").add("_state", state)
+        self.emit = _emitter(step, self.series, order, to_arrow_schema(self.emitted), len(output))
+
+    def _run(self, begins: DataFrame | None) -> DataFrame:
+        """The blocks that `begins` has a state for, or all of them, from nothing."""
+        emit = self.emit
+        if begins is None:
+            grouped = self.rows.groupBy(*self.series)
+            return cut_lineage(grouped.applyInArrow(lambda rows: emit(None, rows), self.emitted))
 
         def with_state(rows: pa.Table, states: pa.Table) -> pa.Table:
-            before = states["_state"][0].as_py() if states.num_rows else None
-            return emit(before, rows, key_of(rows if rows.num_rows else states), hand_on)
-
-        return grouped.cogroup(carried.groupBy(*keys)).applyInArrow(with_state, emitted)
-
-    done, carried = [], None
-    for place, part in enumerate(parts):
-        hand_on = place + 1 < len(parts)
-        result = run(part, carried, hand_on)
-        if hand_on:
-            result = cut_lineage(result)
-            carried = result.filter(F.col("_state").isNotNull()).select(
-                *[F.col(f"_key_{k}").alias(k) for k in keys], "_state"
-            )
-        done.append(result.filter(F.col("_state").isNull()).select(*output.names))
-    return reduce(DataFrame.unionByName, done)
+            return emit(states["_begin"][0].as_py(), rows)
+
+        wanted = join_null_safe(self.rows, begins.select(*self.series), self.series, "left_semi")
+        grouped = wanted.groupBy(*self.series).cogroup(begins.groupBy(*self.series))
+        return cut_lineage(grouped.applyInArrow(with_state, self.emitted))
+
+    def _ends(self, result: DataFrame, round_: int, begins: DataFrame | None) -> DataFrame:
+        named = [F.col(f"_key_{k}").alias(k) for k in self.series]
+        ends = result.filter("_is_end").select(*named, F.col("_state").alias("_end"))
+        if begins is None:
+            ends = ends.withColumn("_begin", F.lit(None).cast(self.state))
+        else:
+            ends = join_null_safe(ends, begins, self.series, "inner")
+        return ends.withColumn("_round", F.lit(round_))
+
+    def _stale(self, ends: DataFrame, settled: bool) -> DataFrame:
+        coming = F.lag("_end").over(self.earlier)
+        known = ends.withColumn("_coming", coming).withColumn("_stale", ~F.col("_coming").eqNullSafe(F.col("_begin")))
+        if settled:
+            waits = F.coalesce(F.lag("_stale").over(self.earlier), F.lit(False))
+            known = known.withColumn("_stale", F.col("_stale") & ~waits)
+        return known.filter("_stale").select(*self.series, F.col("_coming").alias("_begin"))
+
+    def result(self) -> DataFrame:
+        rounds = [self._run(None)]
+        ends = cut_lineage(self._ends(rounds[0], 0, None))
+        while not (begins := self._stale(ends, len(rounds) > 1)).isEmpty():
+            begins = cut_lineage(begins)
+            rounds.append(self._run(begins))
+            anew = self._ends(rounds[-1], len(rounds) - 1, begins)
+            kept = join_null_safe(ends, begins.select(*self.series), self.series, "left_anti")
+            ends = cut_lineage(kept.unionByName(anew))
+        done = []
+        for number, result in enumerate(rounds):
+            last = ends.filter(F.col("_round") == number).select(*[F.col(k).alias(f"_key_{k}") for k in self.series])
+            names = [f"_key_{k}" for k in self.series]
+            rows = join_null_safe(result.filter("_is_end is null"), last, names, "left_semi")
+            done.append(rows.select(*self.output.names))
+        return reduce(DataFrame.unionByName, done)
 
 
 def in_order(rows: pa.Table, order: str) -> pa.Table:

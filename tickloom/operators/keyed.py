@@ -54,7 +54,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     rest = [c for c in right.columns if c not in keys]
     other = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *rest)
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
-    return left.join(other, on, how).drop(*[f"_on_{k}" for k in keys])
+    return left.join(other, on, how).drop(*[f"_on_{k}" for k in keys])  # semi and anti joins have none
 
 
 def _matched(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

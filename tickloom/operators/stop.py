@@ -10,6 +10,7 @@ import math
 from dataclasses import astuple, dataclass, replace
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql.types import (
     ArrayType,
     DoubleType,
@@ -19,6 +20,9 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from tickloom.operators.affine import Arrays, composed
+
+
 class Bar(NamedTuple):
     start: object
     high: float
@@ -143,6 +147,56 @@ class StopRule:
         )
         return moved, i, out
 
+    def rates(self, controller_sd: np.ndarray, avg_sd: np.ndarray) -> np.ndarray:
+        """`rate` of many bars; NaN stands for what is missing."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = controller_sd / avg_sd
+            span = self.terms / ratio
+            moved = np.where(np.isinf(span), 0.0, 2 / (np.rint(span) + 1))
+        return np.where((avg_sd != 0) & (ratio < self.ratio_limit), moved, self.fast_rate)
+
+    def scan(self, bars: Arrays, place: np.ndarray, handed: Arrays | None) -> tuple[Arrays, Arrays]:
+        """Controller, deviation and stop of every bar of many positions, as `follow` has them.
+
+        `place` is a bar's place in its position; a position's first bar brings the initial values.
+        The first position may have begun in the batch before, which handed over its end.
+        """
+        first = place == 0
+        pull, extreme = bars["pull"], bars["extreme"]
+
+        def scanned(step: np.ndarray | float, start: np.ndarray, last: str) -> np.ndarray:
+            a = np.where(first, 0.0, 1 - step)
+            b = np.where(first, start, step * pull)
+            steps, value = composed(a, b, place)
+            if handed:  # only rows of the position that goes on still depend on it
+                value = value + np.where(steps == 0, 0.0, steps * handed[last])
+            return value
+
+        controller = scanned(self.controller_rate, bars["initial_controller"], "controller")
+        square = (controller - extreme) ** 2
+        constant, squares, deviation = self._deviations(square, place, handed)
+        stop = scanned(self.rates(deviation, bars["avg_sd"]), bars["initial_stop_loss"], "stop_loss")
+        out = {
+            "controller": controller, "controller_constant": constant,
+            "lag_number": np.maximum(self.terms - 1 - place, 0), "controller_sd": deviation, "stop_loss": stop,
+        }
+        return out, {c: out[c][-1] for c in ("controller", "controller_constant", "stop_loss")} | {"squares": squares}
+
+    def _deviations(
+        self, square: np.ndarray, place: np.ndarray, handed: Arrays | None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each position's first square, the last squares of the batch, and `controller_sd` of each bar."""
+        n, ahead = len(square), self.terms - 1
+        earlier = handed["squares"] if handed else np.zeros(ahead)
+        both = np.concatenate([earlier, square])
+        begins = np.arange(n) - place  # of the bar's position, in this batch or before it
+        known = handed["controller_constant"] if handed else 0.0
+        constant = np.where(begins < 0, known, square[np.maximum(begins, 0)])
+        total = np.maximum(self.terms - 1 - place, 0) * constant
+        for k in range(ahead, -1, -1):  # oldest first, as the loop adds them
+            total = total + np.where(place >= k, both[ahead - k : ahead - k + n], 0.0)
+        return constant, both[len(both) - ahead :], np.sqrt(total / self.terms)
+
     def next_bar(self, position: Position | None, bar: Bar) -> Outcome:
         """Exit against the last stop, then entry if flat, then the stop's step if still open."""
         exited = position is not None and position.is_hit(bar.close)

@@ -104,16 +104,18 @@ def exit_settlement(
     """What to tell the broker about the open positions that are to be left, one row per action.
 
     Partly filled: cut the order to what is filled (`modify`) and trade that back (`place`).
-    Not filled: `cancel`. Both name the position's `order_id`; a `place` is a new order and has none. Filled: trade back only with `close_filled`; without it nothing is
-    told (`none`), though the position's capital is released all the same. `value` is that
-    capital, on a position's first row only, so that it can be summed.
+    Not filled: `cancel`. Both name the position's `order_id`; a `place` is a new order and has none.
+    Filled: trade back only with `close_filled`; without it nothing is told (`none`), though the
+    position's capital is released all the same. `value` is that capital, on a position's first row
+    only, so that it can be summed. If the ledger has the `intent_id` of the orders that opened its
+    positions, the rows have it too.
     """
     keys = key_list(by)
     shared = [k for k in keys if k in ledger.columns]
     held = ledger.filter(F.col("position")).select(
         *shared, "symbol", "instrument_token", "margin",
         F.col("position_type").alias("held_type"), "filled_quantity", "quantity",
-        _order_id_of(ledger).alias("_order_id"),
+        _order_id_of(ledger).alias("_order_id"), _intent_id_of(ledger).alias("intent_id"),
     )
     leaving = (
         first_orders(orders, keys, order)
@@ -143,17 +145,22 @@ def exit_settlement(
         .otherwise(F.array(tell("none", nothing, nothing)))
     )
     value = quotient(F.lit(position_value), F.col("margin"))
+    known = ["intent_id"] if "intent_id" in ledger.columns else []
     return leaving.select(
-        *keys, "symbol", "instrument_token", "margin", value.alias("_value"), "_order_id",
+        *keys, "symbol", "instrument_token", "margin", value.alias("_value"), "_order_id", "intent_id",
         F.posexplode(actions).alias("step", "told"),
     ).select(
         *keys, "symbol", "instrument_token", "margin", "step",
         "told.action", "told.side", F.col("told.amount").alias("quantity"),
         F.when(F.col("told.action").isin("modify", "cancel"), F.col("_order_id")).alias("order_id"),
-        F.when(F.col("step") == 0, F.col("_value")).alias("value"),
+        F.when(F.col("step") == 0, F.col("_value")).alias("value"), *known,
     )
 
 
+def _intent_id_of(ledger: DataFrame) -> Column:
+    return F.col("intent_id") if "intent_id" in ledger.columns else F.lit(None).cast("string")
+
+
 def _order_id_of(ledger: DataFrame) -> Column:
     return F.col("order_id") if "order_id" in ledger.columns else F.lit(None).cast("long")
 
@@ -179,16 +186,17 @@ def ledger_after(
 ) -> DataFrame:
     """The ledger with admitted positions opened and settled ones cleared.
 
-    Neither has an order id: the broker's status brings that of a new order (`fill_from_status`).
+    Neither has an order id: the broker's status brings that of a new order (`fill_from_status`). A
+    ledger with an `intent_id` gets that of the orders admitted, and loses it with the position.
     """
     keys = key_list(by)
     opened = admitted.select(
         *keys, F.lit(True).alias("_open"), F.col("position_type").alias("_type"),
-        F.col("quantity").alias("_quantity"),
+        F.col("quantity").alias("_quantity"), _intent_id_of(admitted).alias("_intent_id"),
     )
     closed = settled.filter(F.col("step") == 0).select(
         *keys, F.lit(False).alias("_open"), F.lit(None).cast("string").alias("_type"),
-        F.lit(0.0).alias("_quantity"),
+        F.lit(0.0).alias("_quantity"), F.lit(None).cast("string").alias("_intent_id"),
     )
     touched = F.col("_open").isNotNull()
 
@@ -203,6 +211,7 @@ def ledger_after(
         "quantity": now("_quantity", "quantity"),
         "filled_quantity": now("_quantity", "filled_quantity"),
         "order_id": no_order,
+        "intent_id": now("_intent_id", "intent_id") if "intent_id" in ledger.columns else None,
     }
     return ledger.join(opened.unionByName(closed), keys, "left").select(
         *[swapped.get(c, F.col(c)) for c in ledger.columns]
@@ -234,9 +243,14 @@ def order_status_snapshot(
 def fill_from_status(ledger: DataFrame, status: DataFrame) -> DataFrame:
     """The ledger with order ids and filled quantities that the broker reports.
 
-    `status` has one row per order. An open position without an order id takes that of its symbol's
-    last order, if the status names symbols and times; the filled quantity is the order's.
+    `status` has one row per order. If ledger and status have an `intent_id`, an open position takes
+    order id and fill from the order sent with its own, and from no other: neither an earlier order of
+    its symbol nor another account's. An order that the status doesn't have yet leaves its position as
+    it is. Without intents, a position goes by its order id, and one without takes that of its symbol's
+    last order, if the status names symbols and times: right only where symbols are traded once.
     """
+    if "intent_id" in ledger.columns and "intent_id" in status.columns:
+        return _fill_by_intent(ledger, status)
     book = ledger
     if {"symbol", "order_timestamp"} <= set(status.columns) and "position" in ledger.columns:
         last = tail_rows(status, 1, "symbol", ["order_timestamp", "order_id"])
@@ -254,3 +268,17 @@ def fill_from_status(ledger: DataFrame, status: DataFrame) -> DataFrame:
             for c in ledger.columns
         ]
     )
+
+
+def _fill_by_intent(ledger: DataFrame, status: DataFrame) -> DataFrame:
+    reported = status.filter(F.col("intent_id").isNotNull()).select(
+        "intent_id", F.col("order_id").alias("_order_id"),
+        F.col("filled_quantity").cast("double").alias("_filled"),
+    )
+    told = {"order_id": "_order_id", "filled_quantity": "_filled"}
+    return ledger.join(reported, "intent_id", "left").select(
+        *[
+            F.when(F.col("position"), F.coalesce(told[c], c)).otherwise(F.col(c)).alias(c) if c in told else F.col(c)
+            for c in ledger.columns
+        ]
+    )

@@ -77,9 +77,15 @@ def backfill_ticks(bars: DataFrame, n: int = 30) -> DataFrame:
     )
 
 
-def minute_bars(ticks: DataFrame, date: str = "date") -> DataFrame:
-    """Bars by the *nearest* minute (not the window's floor), keyed (symbol, date)."""
-    return ticks.groupBy("symbol", round_minute(F.col(date)).alias("date")).agg(
+def minute_bars(ticks: DataFrame, date: str = "date", watermark: str | None = None) -> DataFrame:
+    """Bars by the *nearest* minute (not the window's floor), keyed (symbol, date).
+
+    On a stream, `watermark` says how long a bar stays open behind the newest one.
+    """
+    rounded = ticks.select("symbol", "last_price", "seq", round_minute(F.col(date)).alias("date"))
+    if watermark is not None and ticks.isStreaming:
+        rounded = rounded.withWatermark("date", watermark)
+    return rounded.groupBy("symbol", "date").agg(
         F.max("last_price").alias("max"),
         F.min("last_price").alias("min"),
         F.min_by("last_price", "seq").alias("first"),

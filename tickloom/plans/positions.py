@@ -3,13 +3,15 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
-from tickloom.operators.blocks import Blocks, fold_blocks
-from tickloom.operators.keyed import dedup_keep_last, latest_per_key
+from tickloom.functions.numbers import half_even, quotient
+from tickloom.operators.affine import affine_scan, in_series, placed
+from tickloom.operators.blocks import Blocks, blocks_for, fold_blocks, over_lookback
+from tickloom.operators.keyed import dedup_keep_first, dedup_keep_last, join_null_safe, latest_per_key
 from tickloom.operators.stop import (
     Bar,
     Columns,
@@ -20,6 +22,7 @@ from tickloom.operators.stop import (
     position_state,
     to_state,
 )
+from tickloom.operators.windows import trailing
 
 BAR_COLUMNS = list(Bar._fields)
 
@@ -141,6 +144,34 @@ def _stop_values(rule: StopRule, position: Position) -> tuple:
     )
 
 
+def _initial(position_bars: DataFrame, keys: list[str]) -> DataFrame:
+    """Each position's direction and first values, from its first bar."""
+    first = dedup_keep_first(position_bars, keys, "start")
+    kind, _, extreme = _directed(F.col("position_type"))
+    return first.select(
+        *keys, kind.alias("_kind"), F.col("start").alias("_since"),
+        ((extreme - F.col("initial_controller")) * (extreme - F.col("initial_controller"))).alias("_constant"),
+    )
+
+
+def _directed(kind: Column) -> tuple[Column, Column, Column]:
+    """Direction, pull and extreme of a bar."""
+    short = kind == "short"
+    return (
+        kind,
+        F.when(short, F.col("high")).otherwise(F.col("low")),
+        F.when(short, F.col("low")).otherwise(F.col("high")),
+    )
+
+
+def _rate(rule: StopRule, deviation: Column, usual: Column) -> Column:
+    """`StopRule.rate` as a column."""
+    ratio = quotient(deviation, usual)
+    moved = F.when(ratio == 0, F.lit(0.0)).otherwise(2 / (half_even(quotient(F.lit(float(rule.terms)), ratio)) + 1))
+    followed = (usual != 0) & ~F.isnan(usual) & ~F.isnan(deviation) & (ratio < rule.ratio_limit)
+    return F.when(followed, moved).otherwise(F.lit(rule.fast_rate))
+
+
 def trailing_stop(
     position_bars: DataFrame, blocks: Blocks | None = None, rule: StopRule = StopRule()
 ) -> DataFrame:
@@ -148,37 +179,55 @@ def trailing_stop(
 
     The first bar holds the initial values; its direction is the position's. Every position is
     computed on its own, and each bar from the one before it, however many bars arrive at once.
+    Controller and stop are both affine in what they were, so bars are scanned, not looped over: in
+    one pass where a position fits a block, and else by two scans over blocks with a look-back for
+    the squares between them. One lazy plan either way.
     """
+    keys = ["symbol", "position_time"]
     schema = position_bars.schema
-    output = StructType(
-        [schema[name] for name in ("symbol", "position_time", "start", "position_type")]
-    )
-    for field in _STOP_FIELDS:
-        output = output.add(field)
-
-    def step(state: dict | None, rows: pa.Table) -> tuple[dict, pa.Table]:
-        position, values, i = from_state(state), [], 0
-        bars = BarRows(rows)
-        if position is None:
-            position = rule.open(bars[0].position_type, bars[0])
-            values.append(_stop_values(rule, position))
-            i = 1
-        constant, kind = position.constant, position.position_type
-        position, _, followed = rule.run(position, bars.columns, i, exits=False)
-        values += [(x[0], constant, *x[1:]) for x in followed]
-        n, arrow = rows.num_rows, to_arrow_schema(output)
-        columns = [
-            rows["symbol"], rows["position_time"], rows["start"], [kind] * n, *map(list, zip(*values))
-        ]
-        return to_state(position), _table(columns, arrow)
+    output = StructType([schema[name] for name in (*keys, "start", "position_type")])
+    numbers = ["initial_stop_loss", "initial_controller", "avg_sd"]
+    blocks = blocks_for(position_bars, "start", blocks, keys)
+    names = [*output.names, *_STOP_FIELDS.names]
+    bars = position_bars.select(*output.names, "high", "low", *numbers)
+    if blocks.is_single:
+        held = placed(bars, keys, "start")
+        kind = F.first("position_type").over(Window.partitionBy(*keys).orderBy("start"))
+        held = held.withColumn("position_type", kind)
+        _, pull, extreme = _directed(F.col("position_type"))
+        rows = held.withColumns({"pull": pull, "extreme": extreme}).drop("high", "low")
+        return in_series(rows, _STOP_FIELDS, ["pull", "extreme", *numbers], rule.scan).select(*names)
+
+    first = _initial(bars, keys)
+    held = join_null_safe(bars, first, keys, "inner")
+    _, pull, extreme = _directed(F.col("_kind"))
+    begins = F.col("start").eqNullSafe(F.col("_since"))
+    held = held.withColumns({"_pull": pull, "_extreme": extreme, "_begins": begins})
+
+    def scanned(rows: DataFrame, name: str, step: Column, start: str) -> DataFrame:
+        a = F.when(F.col("_begins"), F.lit(0.0)).otherwise(1 - step)
+        b = F.when(F.col("_begins"), F.col(start)).otherwise(step * F.col("_pull"))
+        return affine_scan(rows, name, a, b, keys, "start", blocks)
+
+    followed = scanned(held, "controller", F.lit(rule.controller_rate), "initial_controller")
+    off = F.col("controller") - F.col("_extreme")
+    followed = followed.withColumn("_square", off * off)
+
+    def look_back(wide: DataFrame, partition: list[str]) -> DataFrame:
+        window = trailing(partition, "start", rule.terms)
+        return wide.withColumns(
+            {"_sum": F.sum("_square").over(window), "_seen": F.count(F.lit(1)).over(window)}
+        )
 
-    columns = [c for c in BAR_COLUMNS if c not in ("trigger", "close")]
-    bars = position_bars.select(
-        "symbol", "position_time", *columns,
-        F.lit(False).alias("trigger"), F.lit(0.0).alias("close"),
-    )
-    state = position_state(schema["start"].dataType)
-    return fold_blocks(bars, step, output, state, ["symbol", "position_time"], "start", blocks)
+    summed = over_lookback(followed, rule.terms - 1, look_back, keys, "start", blocks)
+    lag = F.lit(rule.terms) - F.col("_seen")
+    deviation = F.sqrt((lag * F.col("_constant") + F.col("_sum")) / rule.terms)
+    rated = summed.withColumns({"lag_number": lag.cast("long"), "controller_sd": deviation})
+    step = _rate(rule, F.col("controller_sd"), F.col("avg_sd"))
+    stopped = scanned(rated, "stop_loss", step, "initial_stop_loss")
+    return stopped.withColumns(
+        {"position_type": F.col("_kind"), "controller_constant": F.col("_constant")}
+    ).select(*names)
 
 
 def lifecycle_schema(time_type) -> StructType:

@@ -51,7 +51,7 @@ ORDER = _struct(symbol=_STR, position_type=_STR, type=_STR, price=_DBL, start=_T
 
 LEDGER = _struct(
     account_id=_STR, symbol=_STR, instrument_token=_LONG, margin=_DBL, position_type=_STR,
-    position=_BOOL, order_id=_LONG, filled_quantity=_DBL, quantity=_DBL,
+    position=_BOOL, order_id=_LONG, filled_quantity=_DBL, quantity=_DBL, intent_id=_STR,
 )
 
 ORDER_STATUS = _struct(

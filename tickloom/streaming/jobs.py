@@ -6,7 +6,7 @@ stop and restart alone.
 
 import json
 from collections.abc import Callable, Iterator
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType, TimestampType
 
 from tickloom import schemas
 from tickloom.functions.codec import json_rejects
+from tickloom.operators.blocks import Blocks
 from tickloom.operators.keyed import latest_per_key, tail_rows
 from tickloom.operators.stop import Bar, Outcome, Position, StopRule, from_state, to_state
 from tickloom.plans.account import (
@@ -29,7 +30,7 @@ from tickloom.plans.account import (
     ledger_after,
     order_status_snapshot,
 )
-from tickloom.plans.bars import bar_messages, enrich_ticks, ohlc_bars
+from tickloom.plans.bars import bar_messages, enrich_ticks, minute_bars, ohlc_bars
 from tickloom.plans.positions import BAR_COLUMNS, lifecycle_orders, lifecycle_row, lifecycle_schema
 from tickloom.plans.signals import signals_bar_by_bar
 from tickloom.sources.topics import read_records, read_topic, write_records
@@ -37,6 +38,8 @@ from tickloom.streaming.store import BarLog, VersionedTable
 
 SIGNAL_MESSAGE = [f.name for f in schemas.SIGNAL]
 ORDER_MESSAGE = [f.name for f in schemas.ORDER]
+#: A symbol without a position and without signals is forgotten after a day of the others' signals.
+QUIET = timedelta(days=1)
 
 
 def start(writer, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -78,76 +81,138 @@ def reject_job(
 
 
 def warm_tails(history: DataFrame, usual: DataFrame, tail: int = 25) -> DataFrame:
-    """The last stored bars of each symbol, with its avg_sd: a stage's table before any tick."""
+    """The last stored bars of each symbol, with its avg_sd: what a stage knows before any tick."""
     known = usual.select("symbol", "avg_sd")
     last = tail_rows(history.drop("avg_sd"), tail).join(known, "symbol", "left")
     return last.select(*schemas.BAR.names)
 
 
-class SignalStage:
-    """Keeps the last bars of each symbol and judges every bar that arrives.
+_BAR_NAMES = schemas.BAR.names
+_TAIL_STATE = StructType().add("bars", "string")
+#: Bars to judge (`fresh`) and the bars before them that their windows look at.
+TAILED = StructType(schemas.BAR.fields[:]).add("fresh", "boolean")
+
+
+def _bar_text(bars: pd.DataFrame) -> str:
+    texts = bars.assign(start=bars["start"].map(str), end=bars["end"].map(str))
+    return json.dumps(texts[_BAR_NAMES].astype(object).where(texts.notna(), None).values.tolist())
+
+
+def _bars_of(text: str) -> pd.DataFrame:
+    bars = pd.DataFrame(json.loads(text), columns=_BAR_NAMES)
+    times = {c: pd.to_datetime(bars[c], format="ISO8601") for c in ("start", "end")}
+    return bars.assign(**times)
 
-    Row windows are refused on streams, hence the kept tails: their number of rows is bounded
-    by the number of symbols, however long the stream runs. A bar that arrives again (update
-    mode) replaces its earlier version. A batch that catches up on very long series is cut into
-    blocks like a table.
+
+def _advance_tail(
+    tail: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """Replaces and appends a symbol's bars, keeps the last ones, and gives out what is to be judged."""
+    kept = _bars_of(state.get[0]) if state.exists else None
+    new = pd.concat(list(batches), ignore_index=True).sort_values(["start", "seq"], kind="stable")
+    new = new.drop_duplicates("start", keep="last").drop(columns="seq")
+    bars = new
+    if kept is not None:
+        older = kept[~kept["start"].isin(new["start"])].assign(fresh=False)
+        bars = pd.concat([older, new], ignore_index=True) if len(older) else new
+        bars = bars.sort_values("start", kind="stable")
+    state.update((_bar_text(bars.tail(tail)),))
+    fresh = bars["fresh"].to_numpy(dtype=bool)
+    if fresh.any():
+        first = max(int(fresh.argmax()) - (tail - 1), 0)
+        yield bars.iloc[first:][TAILED.names]
+
+
+def with_tails(bars: DataFrame, tail: int = 25) -> DataFrame:
+    """A stream of bars (with `seq` and `fresh`) together with the stored bars that their windows need.
+
+    Each symbol's last `tail` bars are keyed state, so a batch writes those of its own symbols only. A
+    bar that arrives again replaces its earlier version. Bars that are not `fresh` are stored and not
+    judged: history that warms up the state.
     """
+    columns = [F.col(c).cast(schemas.BAR[c].dataType).alias(c) for c in _BAR_NAMES]
+
+    def advance(key, batches, state):
+        return _advance_tail(tail, key, batches, state)
+
+    rows = bars.select(*columns, "seq", "fresh")
+    return rows.groupBy("symbol").applyInPandasWithState(
+        advance, TAILED, _TAIL_STATE, "append", GroupStateTimeout.NoTimeout
+    )
 
-    def __init__(
-        self,
-        tails: VersionedTable,
-        out: dict,
-        tail: int = 25,
-        thresholds: dict | None = None,
-    ):
-        self.tails, self.out, self.tail = tails, out, tail
-        self.thresholds = thresholds or {}
+
+class SignalStage:
+    """Judges the fresh bars of a batch, which brings the bars that they are judged by."""
+
+    def __init__(self, out: dict, tail: int = 25, thresholds: dict | None = None):
+        self.out, self.tail, self.thresholds = out, tail, thresholds or {}
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        bars = batch.select(*self.tails.initial.columns).withColumn("_new", F.lit(True))
-        kept = self.tails.before(batch_id).withColumn("_new", F.lit(False))
-        older = kept.join(bars.select("symbol", "start"), ["symbol", "start"], "left_anti")
-        # Only the batch's symbols can change; the others' tails are copied as they are.
-        touched = bars.select("symbol").distinct()
-        merged = older.join(touched, "symbol", "left_semi").unionByName(bars).persist()
-        try:
-            rest = older.join(touched, "symbol", "left_anti")
-            self.tails.write(tail_rows(merged, self.tail).unionByName(rest), batch_id)
-            signals = signals_bar_by_bar(merged, self.tail, keep=["_new"], **self.thresholds)
-            write_records(signals.filter("_new"), self.out, SIGNAL_MESSAGE, batch_id)
-        finally:
-            merged.unpersist()
+        # A symbol's bars of a batch have been in one task's memory already: one block.
+        signals = signals_bar_by_bar(batch, self.tail, Blocks.single(), keep=["fresh"], **self.thresholds)
+        write_records(signals.filter("fresh"), self.out, SIGNAL_MESSAGE, batch_id)
+
+
+BAR_MESSAGE = [*_BAR_NAMES, "fresh"]
 
 
 def bar_job(
     ticks: DataFrame,
-    stage: SignalStage,
+    out: dict,
     checkpoint: str,
     width: str = "60 seconds",
     watermark: str = "2 seconds",
     mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Bars from ticks, and signals from bars.
+    """Bars from ticks as messages.
 
-    `append` sends each bar once, when the watermark has passed it; `update` sends a growing
-    bar again with every batch. Either drops the state of closed bars.
+    `append` sends each bar once, when the watermark has passed it; `update` sends a growing bar again
+    with every batch. Either drops the state of closed bars.
     """
     bars = ohlc_bars(ticks, width, watermark)
-    return start(bars.writeStream.outputMode(mode).foreachBatch(stage), checkpoint, trigger)
+
+    def send(batch: DataFrame, batch_id: int) -> None:
+        # A symbol's bars of a batch in one file, as they are in one partition of a broker.
+        told = batch.withColumn("fresh", F.lit(True)).repartition("symbol")
+        write_records(told, out, BAR_MESSAGE, batch_id)
+
+    return start(bars.writeStream.outputMode(mode).foreachBatch(send), checkpoint, trigger)
+
+
+def stored_to_topic(bars: DataFrame, out: dict, batch_id: int = -1) -> None:
+    """Stored bars as messages that warm up the stage behind the topic and are not judged."""
+    told = bars.withColumns({"fresh": F.lit(False), "seq": F.lit(-1).cast("long")})
+    write_records(told, out, BAR_MESSAGE, batch_id)
+
+
+def signal_job(
+    spark: SparkSession, bars: dict, stage: SignalStage, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Signals from a topic of bars."""
+    schema = StructType(schemas.BAR.fields[:]).add("fresh", "boolean")
+    tailed = with_tails(read_records(spark, bars, schema), stage.tail)
+    return start(tailed.writeStream.outputMode("append").foreachBatch(stage), checkpoint, trigger)
 
 
 def merge_job(
-    ticks: DataFrame, log: BarLog, messages: str, checkpoint: str, trigger: dict | None = None
+    ticks: DataFrame, log: BarLog, messages: str, checkpoint: str, trigger: dict | None = None,
+    delay: str = "1 day",
 ) -> StreamingQuery:
-    """Minute bars merged batch by batch, and the touched ones as keyed messages."""
+    """Minute bars that grow with the ticks, merged into the stored ones, and told when they change.
+
+    A bar is keyed state until `delay` has passed it, and comes out again with every batch that
+    changes it. So a batch's work is its own bars: neither the log nor earlier batches are looked at.
+    Ticks later than that are dropped; `LateSplit` ahead of this job keeps them.
+    """
+    growing = minute_bars(ticks, watermark=delay)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        log.append(batch, batch_id)
+        log.record(batch, batch_id)
         told = bar_messages(log.changed_by(batch_id), "date")
         told.write.mode("overwrite").parquet(f"{messages}/batch={batch_id}")
 
-    return start(ticks.writeStream.foreachBatch(merge), checkpoint, trigger)
+    return start(growing.writeStream.outputMode("update").foreachBatch(merge), checkpoint, trigger)
 
 
 # --- positions ----------------------------------------------------------------------------
@@ -187,8 +252,12 @@ class SymbolState:
             }
         )
 
+    @property
+    def is_flat(self) -> bool:
+        return self.position is None
+
     def take(self, bar: Bar) -> Outcome | None:
-        """None for a bar older than the last one."""
+        """None for a bar older than the last one: it is too late."""
         if self.last is not None and bar.start < self.last:
             return None
         if self.last is None or bar.start > self.last:
@@ -212,10 +281,16 @@ class SymbolState:
 
 _SYMBOL_STATE = StructType().add("state", "string")
 
+#: What `follow_positions` gives: lifecycle rows, and bars that came after a later one of their symbol.
+FOLLOWED = lifecycle_schema(TimestampType()).add("late", "boolean")
+
 
 def _advance_symbol(
-    rule: StopRule, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    rule: StopRule, quiet: timedelta, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()  # only flat symbols have a timeout
+        return
     symbol = SymbolState(state.get[0] if state.exists else None, rule)
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["start", "seq"], kind="stable")
     starts = [stamp.to_pydatetime() for stamp in rows["start"]]
@@ -223,39 +298,59 @@ def _advance_symbol(
     values = []
     for bar, price in zip(map(Bar._make, zip(*columns)), rows["price"].tolist()):
         outcome = symbol.take(bar)
-        if outcome and (outcome.position is not None or outcome.exited):
-            values.append(lifecycle_row(rule, key[0], bar, price, outcome))
+        if outcome is None:
+            nothing = lifecycle_row(rule, key[0], bar, price, Outcome(None, False, False))
+            values.append((*nothing, True))
+        elif outcome.position is not None or outcome.exited:
+            values.append((*lifecycle_row(rule, key[0], bar, price, outcome), False))
     state.update((symbol.text(),))
+    if symbol.is_flat:
+        last = int(symbol.last.replace(tzinfo=timezone.utc).timestamp() * 1000)
+        passed = max(last, state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(passed + int(quiet.total_seconds() * 1000))
     if values:
-        yield pd.DataFrame(values, columns=lifecycle_schema(TimestampType()).names)
+        yield pd.DataFrame(values, columns=FOLLOWED.names)
 
 
-def follow_positions(signals: DataFrame, rule: StopRule = StopRule()) -> DataFrame:
-    """Lifecycle rows of a stream of signals; state of fixed size per symbol."""
+def follow_positions(
+    signals: DataFrame, rule: StopRule = StopRule(), quiet: timedelta = QUIET
+) -> DataFrame:
+    """Lifecycle rows of a stream of signals; state of fixed size per symbol.
+
+    The state of a symbol without a position goes when the newest signals are `quiet` past its last
+    one: until then a bar may arrive again, or too late. A bar older than the symbol's last one changes
+    nothing and comes out as a row of its own, with `late`. One that is `quiet` behind the newest of all
+    is dropped; `LateSplit` ahead of this job keeps it.
+    """
     rows = signals.select("symbol", "seq", "price", *BAR_COLUMNS)
+    rows = rows.withWatermark("start", f"{int(quiet.total_seconds())} seconds")
 
     def advance(key, batches, state):
-        return _advance_symbol(rule, key, batches, state)
+        return _advance_symbol(rule, quiet, key, batches, state)
 
     return rows.groupBy("symbol").applyInPandasWithState(
-        advance,
-        lifecycle_schema(TimestampType()),
-        _SYMBOL_STATE,
-        "append",
-        GroupStateTimeout.NoTimeout,
+        advance, FOLLOWED, _SYMBOL_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def position_job(
-    spark: SparkSession, signals: dict, out: dict, checkpoint: str, trigger: dict | None = None
+    spark: SparkSession, signals: dict, out: dict, checkpoint: str, trigger: dict | None = None,
+    late: dict | None = None, quiet: timedelta = QUIET,
 ) -> StreamingQuery:
-    """Signals to orders."""
-    lifecycle = follow_positions(read_records(spark, signals, schemas.SIGNAL))
+    """Signals to orders. Bars too late for their symbol go to the topic `late`, if there is one."""
+    lifecycle = follow_positions(read_records(spark, signals, schemas.SIGNAL), quiet=quiet)
 
     def send(batch: DataFrame, batch_id: int) -> None:
-        told = lifecycle_orders(batch)
-        in_order = told.withColumn("seq", F.unix_micros("start") * 2 + F.col("step"))
-        write_records(in_order, out, ORDER_MESSAGE, batch_id)
+        batch = batch.persist()
+        try:
+            told = lifecycle_orders(batch.filter(~F.col("late")))
+            in_order = told.withColumn("seq", F.unix_micros("start") * 2 + F.col("step"))
+            write_records(in_order, out, ORDER_MESSAGE, batch_id)
+            if late is not None:
+                missed = batch.filter("late").withColumn("seq", F.unix_micros("start"))
+                write_records(missed, late, ["symbol", "start"], batch_id)
+        finally:
+            batch.unpersist()
 
     return start(lifecycle.writeStream.foreachBatch(send), checkpoint, trigger)
 
@@ -267,7 +362,9 @@ class AccountStage:
     """Admits and settles each batch's orders against the ledger, in tables.
 
     An order goes to every account that lists its symbol. What a batch releases can be spent
-    from the next batch on.
+    from the next batch on. Every order that goes out has an `intent_id` (account, symbol and batch;
+    closing ones end in `:close`). The broker's status echoes it, and by it a position gets the order id
+    and the fill of the order that opened it, however late they come.
     """
 
     def __init__(
@@ -279,7 +376,7 @@ class AccountStage:
         close_filled: bool = True,
         statuses: Callable[[], DataFrame] | None = None,
     ):
-        """`statuses` gets the latest state of each order: order ids and fills come from it."""
+        """`statuses` gets the latest state of each order, with the `intent_id` that it was sent with."""
         self.ledger, self.budgets, self.intents = ledger, budgets, intents
         self.position_value, self.close_filled = position_value, close_filled
         self.statuses = statuses
@@ -301,12 +398,17 @@ class AccountStage:
             settled = exit_settlement(
                 orders, ledger, by, self.position_value, self.close_filled, order
             )
+            opening = F.concat_ws(":", "account_id", "symbol", F.lit(batch_id).cast("string"))
+            admitted = admitted.withColumn("intent_id", opening)
+            closing = F.concat(opening, F.lit(":close"))
+            opened = F.col("intent_id") if "intent_id" in settled.columns else F.lit(None).cast("string")
+            sent = F.when(F.col("action") == "place", closing).otherwise(opened)
             told = admitted.select(
                 "account_id", "symbol", F.lit("place").alias("action"), "side", "quantity",
-                F.lit(None).cast("long").alias("order_id"),
+                F.lit(None).cast("long").alias("order_id"), "intent_id",
             ).unionByName(
                 settled.filter(F.col("action") != "none").select(
-                    "account_id", "symbol", "action", "side", "quantity", "order_id"
+                    "account_id", "symbol", "action", "side", "quantity", "order_id", sent.alias("intent_id")
                 )
             )
             told.write.mode("overwrite").parquet(f"{self.intents}/batch={batch_id}")

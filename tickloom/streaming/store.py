@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.plans.bars import merge_bars, minute_bars
+from tickloom.operators.keyed import latest_per_key
+from tickloom.plans.bars import merge_bars
 
 
 class VersionedTable:
@@ -40,57 +41,46 @@ class VersionedTable:
 
 
 class BarLog:
-    """Minute bars as stored ones plus what each batch of ticks adds to them, by day.
+    """Stored minute bars, and what each batch of a stream has made of them since, by day.
 
-    A batch writes only its own bars, into a folder that a repeated run overwrites. Looking up what it
-    changed lists the log's folders, so compact the log on a schedule. Merging is a partial aggregate in batch order; how a run of
-    ticks was cut into batches does not show in the result.
+    A batch writes the bars that it changed, as they are after it, into a folder that a repeated run
+    overwrites; the last batch of a bar holds. Compact the log on a schedule, so that reading all bars
+    stays cheap. Writing a batch and telling what it changed look at its own rows only.
     """
 
-    SCHEMA = (
-        "symbol string, date timestamp, max double, min double, first double, last double, "
-        "batch long, day date"
-    )
+    COLUMNS = "symbol string, date timestamp, open double, high double, low double, close double, key string"
 
     def __init__(self, spark: SparkSession, path: str, stored: DataFrame):
         self.spark, self.path, self.stored = spark, path, stored
-        nothing = spark.createDataFrame([], self.SCHEMA)  # an empty log can be read
+        nothing = spark.createDataFrame([], f"{self.COLUMNS}, batch long, day date")  # an empty log can be read
         nothing.write.mode("append").partitionBy("batch", "day").parquet(path)
 
-    def append(self, ticks: DataFrame, batch_id: int) -> None:
-        bars = minute_bars(ticks).withColumn("day", F.to_date("date"))
-        bars.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch={batch_id}")
-
-    def _added(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+    def record(self, bars: DataFrame, batch_id: int) -> None:
+        """Merges a batch's bars (max, min, first, last since the stream began) into the stored ones."""
+        days = bars.withColumn("day", F.to_date("date")).select("day", "symbol", "date")
+        # Stored bars that know their day are looked up in the batch's days only.
+        names = [c for c in ("day", "symbol", "date") if c in self.stored.columns]
+        known = self.stored.join(days.select(*names), names, "left_semi").drop("day")
+        merged = merge_bars(known, bars).withColumn("day", F.to_date("date"))
+        merged.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch={batch_id}")
 
-    def _merged(self, added: DataFrame, stored: DataFrame) -> DataFrame:
-        batch = added.groupBy("symbol", "date").agg(
-            F.max("max").alias("max"),
-            F.min("min").alias("min"),
-            F.min_by("first", "batch").alias("first"),
-            F.max_by("last", "batch").alias("last"),
-        )
-        return merge_bars(stored, batch)
+    def changed_by(self, batch_id: int) -> DataFrame:
+        """The bars that a batch touched, as they are after it: its own folder."""
+        schema = f"{self.COLUMNS}, day date"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/batch={batch_id}").drop("day")
 
     def bars(self) -> DataFrame:
-        return self._merged(self._added(), self.stored.drop("day"))
-
-    def changed_by(self, batch_id: int) -> DataFrame:
-        """The bars that a batch touched, as they are after it."""
-        known = self._added().filter(F.col("batch") <= batch_id)
-        touched = known.filter(F.col("batch") == batch_id).select("day", "symbol", "date")
-        added = known.join(touched, ["day", "symbol", "date"], "left_semi")
-        # Stored bars that know their day are looked up in the batch's days only.
-        names = [c for c in ("day", "symbol", "date") if c in self.stored.columns]
-        stored = self.stored.join(touched.select(*names), names, "left_semi").drop("day")
-        return self._merged(added, stored)
+        schema = f"{self.COLUMNS}, batch long, day date"
+        added = latest_per_key(self.spark.read.schema(schema).parquet(self.path), ["symbol", "date"], "batch")
+        untouched = self.stored.join(added.select("symbol", "date"), ["symbol", "date"], "left_anti")
+        names = [c for c in added.columns if c not in ("batch", "day")]
+        return untouched.select(*names).unionByName(added.select(*names))
 
     def compacted(self, path: str) -> "BarLog":
         """A log under `path` that has this one's bars as stored ones, for the job's next start.
 
-        A last batch that is run again there merges into bars that already hold it, which
-        changes nothing.
+        What the job's state brings again there merges into bars that already hold it, which changes
+        nothing.
         """
         self.bars().write.parquet(f"{path}/stored")
         stored = self.spark.read.schema(self.stored.schema).parquet(f"{path}/stored")

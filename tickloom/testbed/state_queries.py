@@ -1,5 +1,6 @@
 """Positions, account, messages and clock."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
@@ -68,10 +69,22 @@ def lifecycle_orders(spark, folder):
 )
 def trailing_stop(spark, folder):
     """Every symbol's position from its first trigger on, never left."""
-    signals = cut_lineage(signals_of(t.bars_user(spark, folder), t.blocks(spark, folder)))
-    first = signals.filter("trigger").groupBy("symbol").agg(F.min("start").alias("position_time"))
-    held = signals.join(first, "symbol").filter(F.col("start") >= F.col("position_time"))
-    return rounded(position_plans.trailing_stop(held, t.blocks(spark, folder)))
+    span = t.blocks(spark, folder)
+    signals = signals_of(t.bars_user(spark, folder), span)
+    return rounded(position_plans.trailing_stop(_from_first_trigger(signals, span), span))
+
+
+def _from_first_trigger(signals, span):
+    """Rows from a symbol's first trigger on, with its time; a symbol fits a task if it fits a block."""
+    triggered = F.when(F.col("trigger"), F.col("start"))
+    if span.is_single:
+        since = F.min(triggered).over(Window.partitionBy("symbol"))
+        held = signals.withColumn("position_time", since)
+    else:
+        signals = cut_lineage(signals)
+        first = signals.groupBy("symbol").agg(F.min(triggered).alias("position_time"))
+        held = signals.join(first, "symbol")
+    return held.filter(F.col("start") >= F.col("position_time"))
 
 
 CUT = "2024-01-26"
