@@ -8,6 +8,7 @@ import json
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,34 +94,40 @@ _TAIL_STATE = StructType().add("bars", "string")
 TAILED = StructType(schemas.BAR.fields[:]).add("fresh", "boolean")
 
 
-def _bar_text(bars: pd.DataFrame) -> str:
-    texts = bars.assign(start=bars["start"].map(str), end=bars["end"].map(str))
-    return json.dumps(texts[_BAR_NAMES].astype(object).where(texts.notna(), None).values.tolist())
+_NUMBERS = ["open", "high", "low", "close", "avg_sd"]
 
 
-def _bars_of(text: str) -> pd.DataFrame:
-    bars = pd.DataFrame(json.loads(text), columns=_BAR_NAMES)
-    times = {c: pd.to_datetime(bars[c], format="ISO8601") for c in ("start", "end")}
-    return bars.assign(**times)
+def _arrived(batches: Iterator[pd.DataFrame]) -> dict[int, tuple[list, bool]]:
+    """New bars by start (nanoseconds), the last version of each: end, token, numbers; and if it is fresh."""
+    rows = []
+    for batch in batches:
+        times = [batch[c].astype("int64").tolist() for c in ("start", "seq", "end")]
+        tokens = [None if pd.isna(x) else int(x) for x in batch["instrument_token"].tolist()]
+        numbers = [[None if x != x else x for x in batch[c].tolist()] for c in _NUMBERS]
+        rows += zip(*times, tokens, *numbers, batch["fresh"].tolist())
+    rows.sort(key=lambda row: row[:2])
+    return {row[0]: (list(row[2:-1]), bool(row[-1])) for row in rows}
 
 
 def _advance_tail(
     tail: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     """Replaces and appends a symbol's bars, keeps the last ones, and gives out what is to be judged."""
-    kept = _bars_of(state.get[0]) if state.exists else None
-    new = pd.concat(list(batches), ignore_index=True).sort_values(["start", "seq"], kind="stable")
-    new = new.drop_duplicates("start", keep="last").drop(columns="seq")
-    bars = new
-    if kept is not None:
-        older = kept[~kept["start"].isin(new["start"])].assign(fresh=False)
-        bars = pd.concat([older, new], ignore_index=True) if len(older) else new
-        bars = bars.sort_values("start", kind="stable")
-    state.update((_bar_text(bars.tail(tail)),))
-    fresh = bars["fresh"].to_numpy(dtype=bool)
-    if fresh.any():
-        first = max(int(fresh.argmax()) - (tail - 1), 0)
-        yield bars.iloc[first:][TAILED.names]
+    kept = {row[0]: (row[1:], False) for row in json.loads(state.get[0])} if state.exists else {}
+    bars = sorted((kept | _arrived(batches)).items())
+    state.update((json.dumps([[at, *row] for at, (row, _) in bars[-tail:]]),))
+    first = next((i for i, (_, (_, fresh)) in enumerate(bars) if fresh), None)
+    if first is None:
+        return
+    bars = bars[max(first - (tail - 1), 0) :]
+    ends, tokens, *numbers = zip(*(row for _, (row, _) in bars))
+    told = {
+        "instrument_token": pd.array(tokens, "Int64"), "symbol": key[0],
+        "start": pd.to_datetime([at for at, _ in bars]), "end": pd.to_datetime(list(ends)),
+        **{c: np.array(x, float) for c, x in zip(_NUMBERS, numbers)},
+        "fresh": [fresh for _, (_, fresh) in bars],
+    }
+    yield pd.DataFrame(told)[TAILED.names]
 
 
 def with_tails(bars: DataFrame, tail: int = 25) -> DataFrame:
