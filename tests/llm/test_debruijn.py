@@ -66,3 +66,12 @@ def test_removed_words(spark, monkeypatch, window, anchor, size):
 
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_that_differ_by_a_rule_are_different(spark):
+    from tests.llm.test_hyperminhash import thue_morse
+
+    one, other = thue_morse()
+    rows = [(1, " ".join([one] * 20)), (2, " ".join([other] * 20)), (3, " ".join([one] * 20))]
+    got = {r.doc_id: r.n_removed for r in substring_dedup(docs_frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}

@@ -75,7 +75,48 @@ def test_linkable_counts_sets(spark):
     other = one[:-1] + ["x"]
     texts = [(1, " ".join(one)), (1, " ".join(one)), (1, "quite another text here"), (2, " ".join(other))]
     got = h.linkable(spark.createDataFrame(texts, "node long, text string"), 4, 80).collect()
-    assert sorted(tuple(r) for r in got) == [(1, 57, 56), (2, 57, 56)]
+    assert sorted((r.node, r.n, r.m) for r in got) == [(1, 57, 56), (2, 57, 56)]
+
+
+def test_masks_leave_room_for_every_link():
+    """The bound of the masks is never below what two sets share."""
+    rng = random.Random(11)
+    for n in (1, 5, 60, 400, 3000):
+        base = [f"w{rng.randrange(3 * n)}" for _ in range(n + 3)]
+        texts = [" ".join(w if rng.random() > share else f"e{rng.random()}" for w in base) for share in (0, 0.02, 0.05, 0.5)]
+        words = next(word_runs(pa.array(texts), chunk=1 << 40))
+        row, hashes = h.shingles(words)
+        bits = np.unpackbits(h.masks(row, hashes, 4).view(np.uint8), axis=1).astype(bool)
+        sets = [set(hashes[row == r].tolist()) for r in range(4)]
+        for a in range(4):
+            for b in range(4):
+                assert len(sets[a] & sets[b]) <= len(sets[a]) - (bits[a] & ~bits[b]).sum()
+
+
+def test_few_pairs_in_a_cloud(spark, monkeypatch):
+    """In a cloud of near copies that no pivot links, hardly more pairs are compared than have a link."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+
+    def edited():
+        words = list(base)
+        for at in rng.sample(range(80), 3):
+            words[at] = rng.choice(["x", "y", "z"])
+        return " ".join(words)
+
+    rows = [(i, edited()) for i in range(300)]
+    pairs = []
+    confirmed = h._confirmed
+    monkeypatch.setattr(h, "_confirmed", lambda tried, *rest: pairs.append(tried.count()) or confirmed(tried, *rest))
+    got = h.near_duplicates(docs_frame(spark, rows)).collect()
+    sets = plain_sets(rows)
+    links = [
+        (a, b) for a in range(300) for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    label = smallest_reachable(range(300), links)
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted(label.items())
+    assert pairs[1] < 0.1 * 300 * 299 / 2
 
 
 def test_estimate_follows_similarity():
@@ -106,5 +147,19 @@ def test_chance_is_that_of_disjoint_sets():
     assert abs(seen - h.chance(16.0, 16.0)) < 5e-4
 
 
+def thue_morse(letters="ab", n=1024):
+    word = letters[0]
+    while len(word) < n:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_words_that_differ_by_a_rule_are_different(spark):
+    """Two words of 1,024 letters that sums by powers of one base, mod 2^64, take for one."""
+    one, other = thue_morse()
+    got = {r.doc_id: r for r in h.near_duplicates(docs_frame(spark, [(1, one), (2, other), (3, one)])).collect()}
+    assert {i: (r.component_id, r.kept) for i, r in got.items()} == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
 def test_empty_table(spark):
     assert h.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -1,6 +1,7 @@
 """Counts against the tokenizer's own offsets and a walk over tokens."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -61,3 +62,16 @@ def test_empty_table_and_bad_rule(spark):
     assert token_counts(empty, PATH).collect() == []
     with pytest.raises(ValueError):
         token_counts(empty, PATH, rule="other")
+
+
+def test_words_that_differ_by_a_rule_have_their_own_ids():
+    from tests.llm.test_hyperminhash import thue_morse
+    from tickloom.llm.byte_bpe import byte_bpe
+    from tickloom.llm.words import text_runs
+
+    encoder = byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = list(thue_morse()) + ["x " + w for w in thue_morse()]
+    for _, data, offsets in text_runs(pa.array(texts)):
+        ids, at = encoder.encode(data, offsets)
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [ids[b:e].tolist() for b, e in zip(at, at[1:])] == [x.ids for x in want]

@@ -9,15 +9,17 @@ Registers are banded by four. Sets that share a band are compared by their regis
 for chance collisions, then on the full sets. Within a band every set is compared with one of them
 first, another one in every band. What that links is one component, and only pairs across components are compared further.
 Before, sets go that can't have a link, because too many of their shingles are theirs alone: in a
-large group of copies with edits of their own these are the ones that no pivot has linked.
+large group of copies with edits of their own these are the ones that no pivot has linked. And two sets
+are paired only if masks of their shingles leave room for a link: MASK bits, each set where the set has a
+shingle that falls on it. A bit that one has and the other lacks is a shingle that they don't share.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components, join_groups
@@ -34,6 +36,8 @@ FILL = 16  # hashes per bucket, at least
 #: of an estimate from 128 registers at 0.8, a chance of 3 in a million.
 MARGIN = 0.16
 PEELS = 2
+MASK = 8  # longs: sets of up to some hundred shingles are told apart well, larger ones less
+_MASKS = [f"mask{i}" for i in range(MASK)]
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -119,7 +123,10 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left, n_right, k) -> np.ndar
     return np.clip((same - by_chance) / (1 - by_chance), 0, 1)
 
 
-SIGNED = "node long, doc_id long, n_shingles long, d1 long, d2 long, k int, regs binary, regs_up binary"
+SIGNED = (
+    "node long, doc_id long, n_shingles long, d1 long, d2 long, k int, regs binary, regs_up binary, "
+    + ", ".join(f"{c} long" for c in _MASKS)
+)
 
 
 def sign(docs: DataFrame, size: int, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -154,6 +161,14 @@ def _digests(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def masks(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, MASK) longs with a bit for each shingle's place; bits of several shingles may fall together."""
+    bit = (hashes % np.uint64(64 * MASK)).astype(np.int64)
+    there = np.zeros((rows, 64 * MASK), bool)
+    there[row, bit] = True
+    return np.packbits(there, axis=1).view(np.int64)
+
+
 def _signed(nodes, ids, words: Words, size: int, percent: int) -> pa.RecordBatch:
     row, hashes = shingles(words, size)
     n = np.bincount(row, minlength=words.rows)
@@ -176,8 +191,9 @@ def _signed(nodes, ids, words: Words, size: int, percent: int) -> pa.RecordBatch
             pa.array(k.astype(np.int32)),
             pa.array([x.tobytes() for x in own], pa.binary()),
             pa.array([x.tobytes() if y else None for x, y in zip(upper, near)], pa.binary()),
+            *[pa.array(np.ascontiguousarray(x)) for x in masks(row, hashes, words.rows).T],
         ],
-        ["node", "doc_id", "n_shingles", "d1", "d2", "k", "regs", "regs_up"],
+        ["node", "doc_id", "n_shingles", "d1", "d2", "k", "regs", "regs_up", *_MASKS],
     )
 
 
@@ -321,14 +337,14 @@ def near_duplicates(
     open_keys = cut_lineage(known.join(split.filter("labels > 1"), "key"))
     ends = open_keys.select("node").distinct()
     needed = cut_lineage(texts.join(ends.hint("merge"), "node", "left_semi"))
-    able = open_keys.join(linkable(needed, size, percent), "node")
-    minor = able.filter("label != major").select(
-        "key", *[F.col(c).alias(f"{c}_x") for c in ("node", "label", "n", "m")]
-    )
-    most = F.least("m", "m_x")
+    sets = linkable(needed, size, percent)
+    masked = sets.join(reps.select("node", "d1", "d2", *_MASKS).distinct(), ["node", "d1", "d2"]).drop("d1", "d2")
+    able = cut_lineage(open_keys.join(masked.distinct(), "node"))
+    columns = ["node", "label", "n", "m", *_MASKS]
+    minor = able.filter("label != major").select("key", *[F.col(c).alias(f"{c}_x") for c in columns])
     across = (
-        able.select("key", "node", "label", "n", "m").join(minor, "key")
-        .filter((F.col("label") != F.col("label_x")) & (most * 100 >= (F.col("n") + F.col("n_x") - most) * percent))
+        able.select("key", *columns).join(minor, "key")
+        .filter((F.col("label") != F.col("label_x")) & _room(percent))
         .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
     )
     more = _confirmed(cut_lineage(across.join(tried, ["a", "b"], "left_anti")), reps, needed, size, percent)
@@ -346,8 +362,24 @@ def near_duplicates(
     )
 
 
+def _room(percent: int) -> Column:
+    """If two sets (n, m, masks, and those with _x) can share as much as a link takes."""
+
+    def lacking(own: str, other: str) -> Column:
+        """Bits of one set that the other lacks: as many of its shingles, at least, are not shared."""
+        bits = [
+            F.bit_count(F.col(f"{c}{own}").bitwiseAND(F.bitwise_not(F.col(f"{c}{other}")))) for c in _MASKS
+        ]
+        return reduce(lambda a, b: a + b, bits)
+
+    most = F.least(
+        "m", "m_x", F.col("n") - lacking("", "_x"), F.col("n_x") - lacking("_x", "")
+    )
+    return most * 100 >= (F.col("n") + F.col("n_x") - most) * percent
+
+
 def linkable(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, n, m) per set of the nodes that may have a link among `texts`: sizes, shingles not theirs alone.
+    """(node, d1, d2, n, m) per set of the nodes that may have a link among `texts`: sizes, shingles not theirs alone.
 
     A shingle that one set only has is in no intersection of different sets. So two of them share at
     most the smaller m, and a set with m below `percent` of n has no link at all; without it, others'
@@ -380,7 +412,7 @@ def linkable(texts: DataFrame, size: int, percent: int) -> DataFrame:
             .filter(F.col("m") * 100 >= F.col("n") * percent)
         )
         rows, sets = rows.join(able.select("d1", "d2"), ["d1", "d2"], "left_semi"), able.drop("m")
-    return able.select("node", "n", "m").distinct()
+    return able.select("node", "d1", "d2", "n", "m").distinct()
 
 
 def _confirmed(tried: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
