@@ -103,3 +103,30 @@ def test_run_and_empty_input(spark, tmp_path, stages):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).collect() == []
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names that the stages use themselves, and one with a dot."""
+    odd = ["predicted", "score", "_sha", "_digest", "_kept", "kept_id", "rest", "c0", "node", "row", "a.b"]
+    rows = [(i, f"text number {i % 7} of a few " * 4, 3, *[f"{c}{i}" for c in odd]) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "n_chars", *odd])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: tuple(r)[3:] for r in docs.collect()}
+        got = stage(spark, docs, FOLDER)
+        assert got.columns == docs.columns, name
+        after = {r.doc_id: tuple(r)[3:] for r in got.collect()}
+        assert after and all(before[i] == values for i, values in after.items()), name
+
+
+def test_a_text_of_some_megabytes(spark):
+    """One very long document among short ones goes through every stage, with what it repeats cut once."""
+    long = " ".join(f"w{i}" for i in range(400_000))
+    passage = " ".join(f"w{i}" for i in range(1000, 1100))
+    rows = [(1, long, 0), (2, "short words " + passage, 0), (3, long, 0), (4, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = corpus_pipeline.cut_lineage(stage(spark, docs, FOLDER))
+        if name == "substring_dedup":
+            texts = {r.doc_id: r.text for r in docs.collect()}
+            assert texts == {2: "short words " + passage, 3: " ".join(w for w in long.split() if not 1000 <= int(w[1:]) < 1100), 4: None}
+    assert {r.doc_id for r in docs.collect()} == {2, 3, 4}

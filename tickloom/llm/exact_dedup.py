@@ -91,18 +91,28 @@ def _winners(digests: DataFrame) -> DataFrame:
     )
 
 
+def _unused(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores in front as it takes to clash with none of `taken`."""
+    while name.lower() in (c.lower() for c in taken):
+        name = f"_{name}"
+    return name
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, all columns as they are."""
+    """The rows of `docs` that stay, all columns as they are, whatever their names."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    sha, digest, keep, kept, times = (
+        _unused(c, docs.columns) for c in ("_sha", "_digest", "_keep_id", "_kept", "_times")
+    )
     found = exact_dedup(docs, id_col, text_col)
     wanted = cut_lineage(
-        found.groupBy(F.col("text_sha256").alias("_digest"), F.col("doc_id").alias("_keep_id"))
-        .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_times"))
-        .filter("_kept")
+        found.groupBy(F.col("text_sha256").alias(digest), F.col("doc_id").alias(keep))
+        .agg(F.max("kept").alias(kept), F.count(F.lit(1)).alias(times))
+        .filter(F.col(kept))
     )
-    marked = docs.withColumn("_sha", F.sha2(text.cast("binary"), 256))
-    same = (F.col("_sha") == F.col("_digest")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_keep_id"))
+    marked = docs.withColumn(sha, F.sha2(text.cast("binary"), 256))
+    same = (F.col(sha) == F.col(digest)) & F.col(f"`{id_col}`").eqNullSafe(F.col(keep))
     stay = marked.join(wanted, same, "left_semi")
-    if not wanted.filter("_times > 1").isEmpty():  # rows that repeat id and text
-        stay = stay.dropDuplicates([id_col, "_sha"])
-    return stay.drop("_sha")
+    if not wanted.filter(F.col(times) > 1).isEmpty():  # rows that repeat id and text
+        stay = stay.dropDuplicates([id_col, sha])
+    return stay.drop(sha)

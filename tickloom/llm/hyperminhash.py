@@ -36,7 +36,9 @@ FILL = 16  # hashes per bucket, at least
 #: of an estimate from 128 registers at 0.8, a chance of 3 in a million.
 MARGIN = 0.16
 PEELS = 2
-MASK = 8  # longs: sets of up to some hundred shingles are told apart well, larger ones less
+MASK = 16  # longs: sets of up to some hundred shingles are told apart well, larger ones less
+#: A node with more keys (an id with several texts) may bring a pair once for each key that it meets in.
+MOST_KEYS = 256
 _MASKS = [f"mask{i}" for i in range(MASK)]
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -339,12 +341,17 @@ def near_duplicates(
     needed = cut_lineage(texts.join(ends.hint("merge"), "node", "left_semi"))
     sets = linkable(needed, size, percent)
     masked = sets.join(reps.select("node", "d1", "d2", *_MASKS).distinct(), ["node", "d1", "d2"]).drop("d1", "d2")
-    able = cut_lineage(open_keys.join(masked.distinct(), "node"))
-    columns = ["node", "label", "n", "m", *_MASKS]
+    able = open_keys.join(masked.distinct(), "node").join(_keys_of(banded, masked), "node", "left")
+    columns = ["node", "label", "n", "m", "ks", *_MASKS]
+    able = cut_lineage(able.select("key", "major", *columns))
     minor = able.filter("label != major").select("key", *[F.col(c).alias(f"{c}_x") for c in columns])
+    # One of a pair is not of the band's largest component; if both are not, the smaller comes first. And
+    # of the bands that a pair shares it comes from the one with the least key.
+    first = (F.col("label") == F.col("major")) | (F.col("node") < F.col("node_x"))
+    once = F.coalesce(F.array_min(F.array_intersect("ks", "ks_x")) == F.col("key"), F.lit(True))
     across = (
-        able.select("key", *columns).join(minor, "key")
-        .filter((F.col("label") != F.col("label_x")) & _room(percent))
+        able.join(minor, "key")
+        .filter((F.col("label") != F.col("label_x")) & first & _room(percent) & once)
         .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
     )
     more = _confirmed(cut_lineage(across.join(tried, ["a", "b"], "left_anti")), reps, needed, size, percent)
@@ -378,6 +385,13 @@ def _room(percent: int) -> Column:
     return most * 100 >= (F.col("n") + F.col("n_x") - most) * percent
 
 
+def _keys_of(banded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, ks): the keys of the nodes that have no more than MOST_KEYS."""
+    wanted = banded.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
+    few = wanted.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= MOST_KEYS)
+    return wanted.join(few.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("ks"))
+
+
 def linkable(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, d1, d2, n, m) per set of the nodes that may have a link among `texts`: sizes, shingles not theirs alone.
 

@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,10 @@ from tickloom.llm.words import running, text_runs
 MARK = "▁"
 #: Pairs of pieces whose compatibility is kept; a bound on memory, not on results.
 PAIRS = 600_000
+#: Above all symbols: pieces and characters.
+SYMBOLS = 1 << 32
+#: Ids decoded at once.
+DECODED = 1 << 18
 
 #: Field numbers of the model file's protocol buffer that are read here.
 PIECE, TRAINER, NORMALISER = 1, 2, 3
@@ -81,6 +86,8 @@ class Transducer(Parts):
         n = model.get_piece_size()
         self.ids = {model.id_to_piece(i): i for i in range(n) if not any(f(i) for f in special)}
         self.rank = {piece: -model.get_score(i) for piece, i in self.ids.items()}
+        self.pieces = {i: piece for piece, i in self.ids.items()}
+        self.beyond = n  # numbers of characters that no piece is begin here
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if not all(model.is_byte(i) for i in self.byte_ids):
             raise ValueError(f"{path}: the model has no byte fallback")
@@ -100,7 +107,7 @@ class Transducer(Parts):
             self.written[i] = piece.replace(MARK, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.written[i] = bytes([b])
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging by priority leaves of `text`, the leftmost of equals first."""
@@ -116,31 +123,45 @@ class Transducer(Parts):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def follows(self, left: str, right: str) -> bool:
-        """Weight 0 (true) or infinity of `right` after `left`; at the beginning `left` is empty."""
-        pair = (left, right)
+    def symbol(self, text: str) -> int | None:
+        """The number of a piece, or of a character that no piece is; else none."""
+        found = self.ids.get(text)
+        return self.beyond + ord(text) if found is None and len(text) == 1 else found
+
+    def text_of(self, symbol: int) -> str:
+        return "" if symbol < 0 else chr(symbol - self.beyond) if symbol >= self.beyond else self.pieces[symbol]
+
+    def follows(self, left: int, right: int) -> bool:
+        """Weight 0 (true) or infinity of the symbol `right` after `left`; -1 is a text's beginning."""
+        pair = left * SYMBOLS + right
         found = self.pairs.get(pair)
         if found is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            found = self.merged(left + right) == ([left, right] if left else [right])
+            before, after = self.text_of(left), self.text_of(right)
+            found = self.merged(before + after) == ([before, after] if before else [after])
             self.pairs[pair] = found
         return found
 
     def shortest(self, text: str) -> list[str]:
         """Pieces and uncovered characters on the shortest path through `text` (with marks)."""
-        n, ids, longest, follows = len(text), self.ids, self.longest, self.follows
-        last = [""] * (n + 1)  # the piece on the shortest path's last arc to each position
+        n, ids, longest, follows, beyond = len(text), self.ids, self.longest, self.follows, self.beyond
+        last = [-1] * (n + 1)  # the symbol on the shortest path's last arc to each position
+        begin = [0] * (n + 1)  # and where that arc begins
         for stop in range(1, n + 1):
             for start in range(max(0, stop - longest), stop):
-                piece = text[start:stop]
-                if (piece in ids or stop - start == 1) and follows(last[start], piece):
-                    last[stop] = piece
+                symbol = ids.get(text[start:stop])
+                if symbol is None:
+                    if stop - start > 1:
+                        continue
+                    symbol = beyond + ord(text[start])
+                if follows(last[start], symbol):
+                    last[stop], begin[stop] = symbol, start
                     break
         out = []
         while n:
-            out.append(last[n])
-            n -= len(last[n])
+            out.append(text[begin[n] : n])
+            n = begin[n]
         return out[::-1]
 
     def begins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -226,6 +247,17 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"doc_id {key}, text string, ids array<int>")
 
 
+def _runs_of_ids(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about DECODED ids: what decoding needs per byte follows the slice and the longest text."""
+    at = pc.list_value_length(batch.column(column)).fill_null(0).to_numpy()
+    ends, first = np.cumsum(at, dtype=np.int64), 0
+    while first < batch.num_rows:
+        before = int(ends[first - 1]) if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, before + DECODED, "right")))
+        yield batch.slice(first, stop - first)
+        first = stop
+
+
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """`rows` with the text of their ids in a column `text_col` behind the others.
 
@@ -238,12 +270,13 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
         machine = transducer(model)
         top = len(machine.written)
         for batch in batches:
-            column = batch.column(names.index(ids_col)).fill_null([])
-            ids, at = column.values.fill_null(0).to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            ids, at = ids[at[0] : at[-1]], (at - at[0]).astype(np.int64)
-            data, offsets = machine.decoded(np.where((ids >= 0) & (ids < top), ids, 0), at)
-            raw = data.tobytes()
-            texts = [raw[b:e].decode("utf-8", "replace") for b, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, text_col])
+            for part in _runs_of_ids(batch, names.index(ids_col)):
+                column = part.column(names.index(ids_col)).fill_null([])
+                ids, at = column.values.fill_null(0).to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                ids, at = ids[at[0] : at[-1]], (at - at[0]).astype(np.int64)
+                data, offsets = machine.decoded(np.where((ids >= 0) & (ids < top), ids, 0), at)
+                raw, edges = data.tobytes(), offsets.tolist()
+                texts = [raw[b:e].decode("utf-8", "replace") for b, e in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text_col])
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias(text_col)).schema)
