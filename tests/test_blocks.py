@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from helpers import assert_same, random_bars
 from tickloom.operators import windows
 from tickloom.operators.affine import affine_scan
-from tickloom.operators.blocks import Blocks, fold_blocks, with_lookback
+from tickloom.operators.blocks import Blocks, RowBlocks, fold_blocks, with_lookback
 from tickloom.operators.stop import Bar, StopRule
 from tickloom.plans.positions import position_lifecycle, trailing_stop
 from tickloom.plans.signals import (
@@ -114,6 +114,29 @@ def test_trailing_stop_over_blocks(bars, days):
     assert_same(trailing_stop(held, cut(bars, days)), trailing_stop(held, Blocks.single()))
 
 
+@pytest.mark.parametrize("limit", [7, 40, 100_000])
+def test_row_blocks_bound_every_group(spark, limit):
+    """One key with most rows, all within one day; a key and an order that are null; few rows elsewhere."""
+    at = datetime(2024, 1, 1)
+    rows = [("hot", at + timedelta(seconds=7 * i % 5000 + i), float(i)) for i in range(600)]
+    rows += [("cold", at + timedelta(minutes=i), float(i)) for i in range(5)]
+    rows += [(None, at + timedelta(hours=i), float(i)) for i in range(9)] + [("hot", None, 0.0)]
+    series = spark.createDataFrame(rows, "symbol string, start timestamp_ntz, close double").dropDuplicates(["symbol", "start"])
+    blocks = RowBlocks.of(series, "start", rows=limit)
+    assert blocks.is_single == (limit > 600)
+    sizes = blocks.mark(series, "start").groupBy("symbol", "_block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= limit
+    assert sizes.filter("symbol = 'cold'").count() == 1
+    for build in (
+        lambda b: windows.rolling_sum(series, "x", "close", 4, blocks=b),
+        lambda b: windows.running_sum(series, "x", "close", blocks=b),
+        lambda b: windows.lag_prev(series, {"x": "close"}, blocks=b),
+        lambda b: windows.ema_fold(series, "x", "close", blocks=b),
+    ):
+        one, many = ({(r.symbol, r.start): r.x for r in build(b).collect()} for b in (Blocks.single(), blocks))
+        assert many == pytest.approx(one)
+
+
 def plain_stops(rows, rule):
     """The stop bar by bar, one position after the other."""
     out = {}
@@ -229,6 +252,28 @@ def test_reports_over_blocks(bars, days):
         )
 
 
+def test_breakouts_from_kept_statistics(bars, tmp_path):
+    """Day by day or in leaps, and again: what the scan of the whole history gives, from one day of bars."""
+    from tickloom.plans import days
+    from tickloom.sources.files import write_history
+
+    history = bars.withColumnRenamed("start", "date").drop("avg_sd")
+    write_history(history, str(tmp_path / "history"))
+    stored = bars.sparkSession.read.parquet(str(tmp_path / "history"))
+    present = sorted(r[0] for r in history.select(F.to_date("date")).distinct().collect())
+    found = 0
+    for as_of in (present[3], present[4], present[len(present) // 2]):
+        before = days.keep_day(stored, as_of - timedelta(days=1), str(tmp_path / "kept"))
+        again = days.keep_day(stored, as_of - timedelta(days=1), str(tmp_path / "kept"))
+        assert sorted(map(str, before.collect())) == sorted(map(str, again.collect()))
+        day = stored.filter(F.col("day") == F.lit(as_of))
+        got = days.breakouts_of_day(day, before, 0.2, 0)
+        assert_same(got, breakout_scan(history, as_of, 0.2, 0, Blocks.single()), ["symbol", "date"])
+        found += got.count()
+        assert before.agg(F.max(F.size("last"))).first()[0] <= 9
+    assert found
+
+
 def test_first_day_needed_is_enough_and_no_more(bars):
     history = bars.withColumnRenamed("start", "date").drop("avg_sd")
     day, one = F.to_date("date"), Blocks.single()

@@ -357,6 +357,34 @@ def test_enriched_ticks_and_status(spark, tmp_path):
     assert [tuple(r) for r in table.version(1).collect()] == [(7, "2024-01-01 10:00:01", "COMPLETE")]
 
 
+def test_ingest_stamp(spark, tmp_path):
+    """A live tick is dated when it is taken in, whatever time it brings."""
+    send_ticks(ticks(spark, 1), tmp_path / "live", (0, 6))
+    reference = spark.createDataFrame([(0, "A", 0.7)], "instrument_token long, symbol string, avg_sd double")
+    before = spark.sql("SELECT date_trunc('second', current_timestamp()) AS t").first().t
+    stream = read_records(spark, folder(tmp_path / "live"), schemas.TICK)
+    jobs.enrich_job(stream, reference, out(tmp_path / "trigger"), str(tmp_path / "cp"), stamp=True).awaitTermination()
+    dates = {r.date for r in messages_of(spark, tmp_path / "trigger", schemas.TICK).collect()}
+    after = spark.sql("SELECT current_timestamp() AS t").first().t
+    assert dates and all(before <= d <= after and d.microsecond == 0 for d in dates)
+
+
+def test_array_messages_on_the_live_path(spark, tmp_path):
+    """Single objects, arrays, empty ones and broken text in one topic; records keep their order."""
+    def tick(price):
+        return {"instrument_token": 1, "symbol": "A", "last_price": price, "date": "2024-01-01 09:15:00"}
+
+    texts = [tick(1.0), [tick(2.0), tick(3.0)], [], "broken", [tick(4.0)], {"symbol": "A", "last_price": 5.0}]
+    rows = [(t if isinstance(t, str) else json.dumps(t), i) for i, t in enumerate(texts)]
+    rows[4] = ("  " + rows[4][0], 4)
+    spark.createDataFrame(rows, MESSAGE).coalesce(1).write.parquet(str(tmp_path / "in/batch=0"))
+    seen = []
+    records = read_records(spark, folder(tmp_path / "in"), schemas.TICK, arrays=True)
+    writer = records.writeStream.foreachBatch(lambda df, _: seen.extend(df.collect()))
+    jobs.start(writer, str(tmp_path / "cp")).awaitTermination()
+    assert [r.last_price for r in sorted(seen, key=lambda r: r.seq)] == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
 def test_merged_bars_and_their_messages(spark, tmp_path):
     df = ticks(spark, 10).persist()
     send_ticks(df, tmp_path / "trigger", (0, 7, 8, 31, 60))

@@ -70,6 +70,23 @@ def json_array_explode(
     )
 
 
+def json_records(
+    messages: DataFrame, schema: StructType, value: str = "value", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per record of messages that hold one object each or an array of them.
+
+    `keep` columns, `position` (0 for an object), then the schema's fields. Bad text gives a row of nulls,
+    an empty array none.
+    """
+    text = F.col(value).cast("string")
+    several = F.from_json(text, ArrayType(_wire_schema(schema)))
+    one = F.array(F.from_json(text, _wire_schema(schema)))
+    records = F.when(F.ltrim(text).startswith("["), F.coalesce(several, one)).otherwise(one)
+    return messages.select(*keep, F.posexplode(records).alias("position", "_record")).select(
+        *keep, "position", *_unpack(F.col("_record"), schema)
+    )
+
+
 def json_encode(df: DataFrame, columns: list[str] | None = None) -> Column:
     """The row as one JSON text under wire names; nulls are written, not dropped."""
     names = columns or df.columns

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
 from tickloom.operators.keyed import Keys, join_null_safe, key_list
 from tickloom.session import cut_lineage
@@ -96,6 +96,59 @@ class Blocks:
         return df.withColumn("_block", F.coalesce(number, F.lit(UNTIMED)))
 
 
+#: Rows looked up at once by binary search in a key's cuts; a power of two.
+_STEPS = 1 << 16
+
+
+@dataclass(frozen=True)
+class RowBlocks:
+    """Blocks of about equal numbers of rows, cut for each key where its own rows are.
+
+    For series whose busy stretch is shorter than a day: raw ticks, or one key with a third of all rows
+    on one day. Only keys with more than the wanted rows are cut, at approximate quantiles of the order
+    column, so that no block has more than `rows` of them unless they share one value.
+    """
+
+    cuts: DataFrame  # the key's columns and _cuts, ascending; keys without cuts are left out
+    keys: tuple[str, ...]
+    count: int
+
+    @classmethod
+    def of(cls, df: DataFrame, order: str, by: Keys = "symbol", rows: int = BLOCK_ROWS) -> "RowBlocks":
+        """Counts the rows per key, and looks for cuts in the rows of the large ones. Their cuts are written."""
+        keys = key_list(by)
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        large = cut_lineage(sizes.filter(F.col("_rows") > rows))
+        most = large.agg(F.max("_rows")).first()[0] or 0
+        # Twice as many parts as would do, found to an eighth of a part.
+        parts = min(max(2 * -(-most // rows), 1), _STEPS - 1)
+        places = [i / parts for i in range(1, parts)] or [0.5]
+        found = F.percentile_approx(order, places, 8 * parts)
+        wanted = 2 * F.ceil(F.col("_rows") / rows)
+        every = F.greatest(F.floor(F.lit(parts) / wanted), F.lit(1))
+        thinned = F.array_distinct(F.filter("_cuts", lambda x, i: (i + 1) % every == 0))
+        hot = join_null_safe(df.select(*keys, order), large, keys, "inner")
+        cuts = hot.groupBy(*keys, "_rows").agg(found.alias("_cuts")).select(*keys, thinned.alias("_cuts"))
+        return cls(cut_lineage(cuts), tuple(keys), parts)
+
+    @property
+    def is_single(self) -> bool:
+        return self.count == 1
+
+    def mark(self, df: DataFrame, order: str) -> DataFrame:
+        """The block of a row: how many of its key's cuts lie at or before it."""
+        marked = join_null_safe(df, self.cuts, list(self.keys), "left")
+        powers = F.array(*[F.lit(1 << k) for k in range(self.count.bit_length(), -1, -1)])
+
+        def search(upto: Column, step: Column) -> Column:
+            inside = (upto + step <= F.size("_cuts")) & (F.get("_cuts", upto + step - 1) <= F.col(order))
+            return F.when(inside, upto + step).otherwise(upto)
+
+        number = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.aggregate(powers, F.lit(0), search))
+        block = F.when(F.col(order).isNull(), F.lit(UNTIMED)).otherwise(number).cast("long")
+        return marked.withColumn("_block", block).drop("_cuts")
+
+
 def blocks_for(df: DataFrame, order: str, blocks: Blocks | None, by: Keys = "symbol") -> Blocks:
     return blocks or Blocks.spanning(df, order, by=by)
 
@@ -321,6 +374,7 @@ def in_order(rows: pa.Table, order: str) -> pa.Table:
 
 
 def least_time(df: DataFrame, order: str) -> Column:
-    """The time as something to take the greatest of: rows without one lose to all others."""
+    """The order as something to take the greatest of: rows without one lose to all others."""
     kind = df.schema[order].dataType
-    return F.coalesce(F.col(order), F.lit("0001-01-01").cast(kind))
+    least = F.lit(-(2**31)) if isinstance(kind, NumericType) else F.lit("0001-01-01")
+    return F.coalesce(F.col(order), least.cast(kind))

@@ -285,18 +285,27 @@ def ema_fold(
 
     local = blocked.groupBy(*keys, "_block").applyInArrow(part, local_schema)
 
-    def through(value: Column, block: Column) -> Column:
-        """The value behind a block, from the value before it."""
-        moved = block["end"] + F.pow(F.lit(1 - alpha), block["known"]) * (value - block["first"])
-        return F.when(block["first"].isNull(), value).when(value.isNull(), block["end"]).otherwise(moved)
-
-    summary = {"_b": F.struct(*[F.max(f"_{x}").alias(x) for x in ("first", "end", "known")])}
-    scan = {
-        "_carried": lambda earlier, _: F.aggregate(
-            F.collect_list("_b").over(earlier), F.lit(None).cast("double"), through
+    # Each block as one affine step (_a, _b), and its end if nothing was known before it.
+    ends = local.groupBy(*keys, "_block").agg(
+        *[F.max(f"_{x}").alias(f"_{x}") for x in ("first", "end", "known")]
+    )
+    nothing = F.col("_first").isNull()
+    decay = F.when(nothing, F.lit(1.0)).otherwise(F.pow(F.lit(1 - alpha), F.col("_known")))
+    ends = ends.withColumn("_a", decay).withColumn(
+        "_b", F.when(nothing, F.lit(0.0)).otherwise(F.col("_end") - F.col("_a") * F.col("_first"))
+    )
+    series, back = Window.partitionBy(*keys).orderBy("_block"), 1
+    while back <= blocks.count:  # composed by doubling: no window collects the blocks of a key
+        a, b, end = (F.lag(c, back).over(series) for c in ("_a", "_b", "_end"))
+        ends = ends.withColumns(
+            {
+                "_a": F.col("_a") * F.coalesce(a, F.lit(1.0)),
+                "_b": F.col("_b") + F.col("_a") * F.coalesce(b, F.lit(0.0)),
+                "_end": F.coalesce(F.col("_a") * end + F.col("_b"), F.col("_end")),
+            }
         )
-    }
-    carried = carry_in(local, keys, summary, scan)
+        back *= 2
+    carried = ends.select(*keys, "_block", F.lag("_end", 1).over(series).alias("_carried"))
     shift = F.pow(F.lit(1 - alpha), F.col("_seen")) * (F.col("_carried") - F.col("_first"))
     value = (
         F.when(F.col("_carried").isNull(), F.col(name))

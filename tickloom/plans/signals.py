@@ -186,11 +186,7 @@ def breakout_scan(
     )
 
     def add(wide: DataFrame, partition: list[str]) -> DataFrame:
-        ranged = wide.withColumn("range", F.col("high") - F.col("low"))
-        atr = rolling_std_of(F.col("range"), lengths.atr, partition, "date")
-        return _add_volatility(ranged, partition, "date", lengths.sd).withColumns(
-            {"atr": atr, "natr": quotient(atr, F.col("close")) * 100}
-        )
+        return add_ranges(wide, partition, lengths)
 
     reach = max(lengths.sd, lengths.atr) - 1
     panel = over_lookback(bars, reach, add, "symbol", "date", blocks).withColumn("day", day)
@@ -207,9 +203,21 @@ def breakout_scan(
     joined = panel.filter(F.col("day") == wanted).join(
         before.filter(F.col("day") == wanted), ["symbol", "day"], "left"
     )
-    scored = joined.dropna("any").withColumn(
-        "avg_sd", quotient(F.col("sd_sum"), F.col("sd_count"))
+    return scored_breakouts(joined, sd_factor, natr_min)
+
+
+def add_ranges(wide: DataFrame, partition: list[str], lengths: Lengths = LENGTHS) -> DataFrame:
+    """Deviations, and the deviation of the last ranges, in percent of the close too."""
+    ranged = wide.withColumn("range", F.col("high") - F.col("low"))
+    atr = rolling_std_of(F.col("range"), lengths.atr, partition, "date")
+    return _add_volatility(ranged, partition, "date", lengths.sd).withColumns(
+        {"atr": atr, "natr": quotient(atr, F.col("close")) * 100}
     )
+
+
+def scored_breakouts(joined: DataFrame, sd_factor: float, natr_min: float) -> DataFrame:
+    """Complete rows (with sd_sum and sd_count of the day before) that pass both thresholds."""
+    scored = joined.dropna("any").withColumn("avg_sd", quotient(F.col("sd_sum"), F.col("sd_count")))
     return scored.filter(
         (F.col("sd") > sd_factor * F.col("avg_sd")) & (F.col("natr") > natr_min)
     ).select("date", "symbol", "sd", "avg_sd", "natr")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tickloom.functions.codec import json_decode, json_encode
+from tickloom.functions.codec import json_decode, json_encode, json_records
 
 MESSAGE = StructType().add("value", "string").add("seq", "long")
 
@@ -31,11 +31,24 @@ def read_topic(spark: SparkSession, topic: dict) -> DataFrame:
     return reader.schema(MESSAGE).option("recursiveFileLookup", "true").load()
 
 
-def read_records(spark: SparkSession, topic: dict, schema: StructType) -> DataFrame:
-    """Decoded messages with `seq`; those that do not decode are left to `json_rejects`."""
-    return json_decode(read_topic(spark, topic), schema, keep=("seq",)).dropna(
-        "all", subset=schema.names
-    )
+#: Records of an array message take this many numbers of order each.
+SPREAD = 1 << 20
+
+
+def read_records(
+    spark: SparkSession, topic: dict, schema: StructType, arrays: bool = False
+) -> DataFrame:
+    """Decoded messages with `seq`; those that do not decode are left to `json_rejects`.
+
+    With `arrays` a message may hold several records as a JSON array. They are ordered as they stand in
+    it: `seq` is then the message's times SPREAD plus the place, for arrays of up to SPREAD records.
+    """
+    messages = read_topic(spark, topic)
+    if not arrays:
+        return json_decode(messages, schema, keep=("seq",)).dropna("all", subset=schema.names)
+    records = json_records(messages, schema, keep=("seq",)).dropna("all", subset=schema.names)
+    order = F.col("seq") * SPREAD + F.col("position")
+    return records.withColumn("seq", order).drop("position")
 
 
 def write_records(df: DataFrame, topic: dict, columns: list[str], batch_id: int) -> None:

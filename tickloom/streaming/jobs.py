@@ -31,7 +31,7 @@ from tickloom.plans.account import (
     ledger_after,
     order_status_snapshot,
 )
-from tickloom.plans.bars import bar_messages, enrich_ticks, minute_bars, ohlc_bars
+from tickloom.plans.bars import bar_messages, enrich_ticks, minute_bars, ohlc_bars, stamp_ingest
 from tickloom.plans.positions import BAR_COLUMNS, lifecycle_orders, lifecycle_row, lifecycle_schema
 from tickloom.plans.signals import signals_bar_by_bar
 from tickloom.sources.topics import read_records, read_topic, write_records
@@ -53,10 +53,15 @@ def start(writer, checkpoint: str, trigger: dict | None = None) -> StreamingQuer
 
 
 def enrich_job(
-    ticks: DataFrame, reference: DataFrame, out: dict, checkpoint: str, trigger: dict | None = None
+    ticks: DataFrame, reference: DataFrame, out: dict, checkpoint: str, trigger: dict | None = None,
+    stamp: bool = False,
 ) -> StreamingQuery:
-    """Live ticks joined with the reference table, sent on as messages."""
-    enriched = enrich_ticks(ticks, reference)
+    """Live ticks joined with the reference table, sent on as messages.
+
+    With `stamp` a tick is dated with the second at which this job takes it in, as a live feed without
+    times of its own needs.
+    """
+    enriched = enrich_ticks(stamp_ingest(ticks) if stamp else ticks, reference)
     columns = [c for c in schemas.TICK.names if c in enriched.columns]
 
     def send(batch: DataFrame, batch_id: int) -> None:

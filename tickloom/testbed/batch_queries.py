@@ -1,11 +1,11 @@
 """Universe, bars and signals."""
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
 from tickloom.operators import windows
-from tickloom.operators.blocks import Blocks
+from tickloom.operators.blocks import Blocks, RowBlocks
 from tickloom.operators.keyed import (
     coalescing_upsert,
     dedup_keep_first,
@@ -18,10 +18,12 @@ from tickloom.operators.keyed import (
     union_history,
 )
 from tickloom.plans import bars as bar_plans
+from tickloom.plans import days
 from tickloom.plans import signals as signal_plans
 from tickloom.plans import universe as universe_plans
 from tickloom.session import shared_path
 from tickloom.sources import files
+from tickloom.sources.files import write_history
 from tickloom.testbed import oracle as o
 from tickloom.testbed import tables as t
 from tickloom.testbed.registry import query, rounded
@@ -305,8 +307,8 @@ def breakout_scan(spark, folder):
 def breakout_scan_recent(spark, folder):
     """The same from only the days it needs."""
     ticks = t.ticks_type(spark, folder)
-    days = F.to_date("date").alias("date")
-    first = signal_plans.first_day_needed(ticks.select("symbol", days, F.date_trunc("hour", "date")).distinct(), AS_OF)
+    by_day = F.to_date("date").alias("date")
+    first = signal_plans.first_day_needed(ticks.select("symbol", by_day, F.date_trunc("hour", "date")).distinct(), AS_OF)
     # Ticks are filtered, not bars: the filter reaches the scan.
     near = bar_plans.ohlc_bars(ticks.filter(F.col("date") >= F.lit(first).cast("timestamp_ntz")), "1 hour")
     near = near.select(*t.BAR_COLUMNS).withColumnRenamed("start", "date")
@@ -314,6 +316,20 @@ def breakout_scan_recent(spark, folder):
     return rounded(signal_plans.breakout_scan(near, AS_OF, SD_FACTOR, blocks=span), natr=4)
 
 
+@query("breakout_scan_from_statistics", _BREAKOUT)
+def breakout_scan_from_statistics(spark, folder):
+    """Statistics kept for all days before, the last of them added alone; then one day of bars is read."""
+    base = shared_path(spark, "days")
+    bars = t.bars_type(spark, folder).withColumnRenamed("start", "date")
+    write_history(bars, f"{base}/history")
+    history = spark.read.parquet(f"{base}/history")
+    scanned = date.fromisoformat(AS_OF)
+    days.keep_day(history, scanned - timedelta(days=2), f"{base}/statistics")
+    before = days.keep_day(history, scanned - timedelta(days=1), f"{base}/statistics")
+    day = history.filter(F.col("day") == F.lit(AS_OF).cast("date")).drop("day")
+    return rounded(days.breakouts_of_day(day, before, SD_FACTOR), natr=4)
+
+
 _PANEL_OUT = (
     f"{_BAR_OUT}, {_r('sd_high sd_low sd mave_5 mave_8 mave_16')}, "
     f"{o.fixed('\"range\"')} AS \"range\", {_r('atr')}, {_r('natr', 3)}, "
@@ -570,6 +586,35 @@ def ema_fold(spark, folder):
     return rounded(windows.ema_fold(bars, "ema", "close", blocks=t.blocks(spark, folder)).drop("close"))
 
 
+ROWS = 2000  # in a block of ticks
+
+
+@query(
+    "tick_series_in_row_blocks",
+    f"""WITH {o.TICKS_TYPE},
+        looked AS (SELECT symbol, seq,
+          CASE WHEN count(last_price) OVER near = 5 THEN avg(last_price) OVER near END AS mean_5,
+          count(last_price) OVER (PARTITION BY symbol ORDER BY seq) AS n_so_far,
+          lag(last_price) OVER (PARTITION BY symbol ORDER BY seq) AS before,
+          last_value(CASE WHEN seq % 7 = 0 THEN last_price END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marked
+        FROM ticks WINDOW near AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+        SELECT symbol, seq, n_so_far, {_r('mean_5 before marked')} FROM looked""",
+)
+def tick_series_in_row_blocks(spark, folder):
+    """Raw ticks of a few symbols, each with far more of a day than a block takes: blocks of equal rows."""
+    ticks = t.ticks_type(spark, folder).select("symbol", "seq", "last_price")
+    blocks = RowBlocks.of(ticks, "seq", rows=ROWS)
+    one = F.when(F.col("last_price").isNotNull(), 1).otherwise(0)
+    marked = F.when(F.col("seq") % 7 == 0, F.col("last_price"))
+    rows = ticks.withColumns({"one": one, "some": marked})
+    rows = windows.rolling_mean(rows, {"mean_5": ("last_price", 5)}, order="seq", blocks=blocks)
+    rows = windows.running_sum(rows, "n_so_far", "one", order="seq", blocks=blocks)
+    rows = windows.lag_prev(rows, {"before": "last_price"}, order="seq", blocks=blocks)
+    rows = windows.forward_fill(rows, {"marked": "some"}, order="seq", blocks=blocks)
+    return rounded(rows.select("symbol", "seq", "n_so_far", "mean_5", "before", "marked"))
+
+
 @query(
     "partition_mean",
     f"""WITH {o.BARS['user']}
