@@ -8,10 +8,10 @@ the Jaccard similarity as it is. Sets close to the next class are signed for bot
 Registers are banded by four. Sets that share a band are compared by their registers, corrected
 for chance collisions, then on the full sets. Within a band every set is compared with one of them
 first, another one in every band. What that links is one component, and only pairs across components are compared further.
-Before, sets go that can't have a link, because too many of their shingles are theirs alone: in a
-large group of copies with edits of their own these are the ones that no pivot has linked. And two sets
-are paired only if masks of their shingles leave room for a link: MASK bits, each set where the set has a
-shingle that falls on it. A bit that one has and the other lacks is a shingle that they don't share.
+Of those only the pairs come out of the join whose masks leave room for a link: 64 * MASK bits, each set
+where the set has a shingle that falls on it. A bit that one has and the other lacks is a shingle that they
+don't share. In a large group of copies with edits of their own, most of what no pivot has linked has no
+link at all, and that shows in the masks.
 """
 
 from collections.abc import Iterator
@@ -19,7 +19,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components, join_groups
@@ -35,7 +35,6 @@ FILL = 16  # hashes per bucket, at least
 #: Pairs estimated this far below the threshold are not compared in full: four and a half deviations
 #: of an estimate from 128 registers at 0.8, a chance of 3 in a million.
 MARGIN = 0.16
-PEELS = 2
 MASK = 16  # longs: sets of up to some hundred shingles are told apart well, larger ones less
 #: A node with more keys (an id with several texts) may bring a pair once for each key that it meets in.
 MOST_KEYS = 256
@@ -127,7 +126,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left, n_right, k) -> np.ndar
 
 SIGNED = (
     "node long, doc_id long, n_shingles long, d1 long, d2 long, k int, regs binary, regs_up binary, "
-    + ", ".join(f"{c} long" for c in _MASKS)
+    + ", ".join(f"{c} long" for c in ("bits", *_MASKS))
 )
 
 
@@ -163,18 +162,18 @@ def _digests(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def masks(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
-    """(rows, MASK) longs with a bit for each shingle's place; bits of several shingles may fall together."""
-    bit = (hashes % np.uint64(64 * MASK)).astype(np.int64)
+def masks(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits each row has, and (rows, MASK) longs with a bit for each shingle; some fall together."""
     there = np.zeros((rows, 64 * MASK), bool)
-    there[row, bit] = True
-    return np.packbits(there, axis=1).view(np.int64)
+    there[row, (hashes % np.uint64(64 * MASK)).astype(np.int64)] = True
+    return there.sum(axis=1), np.packbits(there, axis=1).view(np.int64)
 
 
 def _signed(nodes, ids, words: Words, size: int, percent: int) -> pa.RecordBatch:
     row, hashes = shingles(words, size)
     n = np.bincount(row, minlength=words.rows)
     digests = _digests(hashes, n)
+    bits, masked = masks(row, hashes, words.rows)
     k = size_class(n)
     own = np.zeros((words.rows, BUCKETS), np.uint16)
     upper = np.zeros((words.rows, BUCKETS), np.uint16)
@@ -193,9 +192,9 @@ def _signed(nodes, ids, words: Words, size: int, percent: int) -> pa.RecordBatch
             pa.array(k.astype(np.int32)),
             pa.array([x.tobytes() for x in own], pa.binary()),
             pa.array([x.tobytes() if y else None for x, y in zip(upper, near)], pa.binary()),
-            *[pa.array(np.ascontiguousarray(x)) for x in masks(row, hashes, words.rows).T],
+            pa.array(bits), *[pa.array(np.ascontiguousarray(x)) for x in masked.T],
         ],
-        ["node", "doc_id", "n_shingles", "d1", "d2", "k", "regs", "regs_up", *_MASKS],
+        ["node", "doc_id", "n_shingles", "d1", "d2", "k", "regs", "regs_up", "bits", *_MASKS],
     )
 
 
@@ -337,13 +336,9 @@ def near_duplicates(
         F.max_by("label", "n").alias("major"), F.count(F.lit(1)).alias("labels")
     )
     open_keys = cut_lineage(known.join(split.filter("labels > 1"), "key"))
-    ends = open_keys.select("node").distinct()
-    needed = cut_lineage(texts.join(ends.hint("merge"), "node", "left_semi"))
-    sets = linkable(needed, size, percent)
-    masked = sets.join(reps.select("node", "d1", "d2", *_MASKS).distinct(), ["node", "d1", "d2"]).drop("d1", "d2")
-    able = open_keys.join(masked.distinct(), "node").join(_keys_of(banded, masked), "node", "left")
-    columns = ["node", "label", "n", "m", "ks", *_MASKS]
-    able = cut_lineage(able.select("key", "major", *columns))
+    columns = ["node", "label", "n_shingles", "bits", "ks", *_MASKS]
+    sets = reps.select("node", "n_shingles", "bits", *_MASKS).distinct()
+    able = cut_lineage(_with_keys(open_keys.join(sets, "node")).select("key", "major", *columns))
     minor = able.filter("label != major").select("key", *[F.col(c).alias(f"{c}_x") for c in columns])
     # One of a pair is not of the band's largest component; if both are not, the smaller comes first. And
     # of the bands that a pair shares it comes from the one with the least key.
@@ -354,7 +349,7 @@ def near_duplicates(
         .filter((F.col("label") != F.col("label_x")) & first & _room(percent) & once)
         .select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
     )
-    more = _confirmed(cut_lineage(across.join(tried, ["a", "b"], "left_anti")), reps, needed, size, percent)
+    more = _confirmed(cut_lineage(across.join(tried, ["a", "b"], "left_anti")), reps, texts, size, percent)
     found = cut_lineage(components(links.unionByName(more).unionByName(alike)))
     return (
         signed.select("node", "doc_id", "n_shingles")
@@ -370,63 +365,25 @@ def near_duplicates(
 
 
 def _room(percent: int) -> Column:
-    """If two sets (n, m, masks, and those with _x) can share as much as a link takes."""
-
-    def lacking(own: str, other: str) -> Column:
-        """Bits of one set that the other lacks: as many of its shingles, at least, are not shared."""
-        bits = [
-            F.bit_count(F.col(f"{c}{own}").bitwiseAND(F.bitwise_not(F.col(f"{c}{other}")))) for c in _MASKS
-        ]
-        return reduce(lambda a, b: a + b, bits)
+    """If two sets (n_shingles, bits, masks, and those with _x) can share as much as a link takes.
 
-    most = F.least(
-        "m", "m_x", F.col("n") - lacking("", "_x"), F.col("n_x") - lacking("_x", "")
+    Of the bits in which the masks differ, (differ + bits - bits_x) / 2 are the first set's: as many of its
+    shingles, at least, are not shared.
+    """
+    differ = reduce(
+        lambda a, b: a + b, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_x"))) for c in _MASKS]
     )
-    return most * 100 >= (F.col("n") + F.col("n_x") - most) * percent
-
-
-def _keys_of(banded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, ks): the keys of the nodes that have no more than MOST_KEYS."""
-    wanted = banded.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
-    few = wanted.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") <= MOST_KEYS)
-    return wanted.join(few.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("key").alias("ks"))
-
+    n, n_x, more = F.col("n_shingles"), F.col("n_shingles_x"), F.col("bits") - F.col("bits_x")
+    twice_shared = F.least(2 * n - more, 2 * n_x + more) - differ
+    return twice_shared * (100 + percent) >= (n + n_x) * 2 * percent
 
-def linkable(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, d1, d2, n, m) per set of the nodes that may have a link among `texts`: sizes, shingles not theirs alone.
 
-    A shingle that one set only has is in no intersection of different sets. So two of them share at
-    most the smaller m, and a set with m below `percent` of n has no link at all; without it, others'
-    shingles may be theirs alone in turn, hence the repetition. What goes here has no link, whatever the
-    order. Sets are told apart by their digests: a repeated row counts once, and of an id with
-    different texts each set is looked at alone. Equal sets are linked elsewhere.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column(0).to_numpy()
-            for words in word_runs(batch.column(1), lower=True):
-                row, hashes = shingles(words, size)
-                n = np.bincount(row, minlength=words.rows)
-                columns = [node[words.first + row], *[x[row] for x in _digests(hashes, n)], n[row], hashes.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["node", "d1", "d2", "n", "hash"])
-
-    columns = "node long, d1 long, d2 long, n long, hash long"
-    rows = cut_lineage(texts.select("node", "text").mapInArrow(run, columns))
-    sets = rows.select("node", "d1", "d2", "n").distinct()
-    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("d1", "d2") for f in (F.min, F.max)]
-    for _ in range(PEELS):
-        alone = (
-            rows.groupBy("hash").agg(*ends).filter("min_d1 = max_d1 and min_d2 = max_d2")
-            .groupBy(F.col("min_d1").alias("d1"), F.col("min_d2").alias("d2")).agg(F.count(F.lit(1)).alias("own"))
-        )
-        able = cut_lineage(
-            sets.join(alone, ["d1", "d2"], "left")
-            .select("node", "d1", "d2", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
-            .filter(F.col("m") * 100 >= F.col("n") * percent)
-        )
-        rows, sets = rows.join(able.select("d1", "d2"), ["d1", "d2"], "left_semi"), able.drop("m")
-    return able.select("node", "d1", "d2", "n", "m").distinct()
+def _with_keys(rows: DataFrame) -> DataFrame:
+    """With `ks`, the keys of the row's node, if it has no more than MOST_KEYS."""
+    node = Window.partitionBy("node")
+    counted = rows.withColumn("_n", F.count(F.lit(1)).over(node))
+    few = F.when(F.col("_n") <= MOST_KEYS, F.col("key"))
+    return counted.withColumn("ks", F.when(F.col("_n") <= MOST_KEYS, F.collect_list(few).over(node))).drop("_n")
 
 
 def _confirmed(tried: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
