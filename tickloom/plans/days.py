@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tickloom.operators.keyed import tail_rows
+from tickloom.operators.blocks import Blocks, over_lookback
+from tickloom.operators.keyed import latest_per_key, tail_rows
 from tickloom.plans.signals import LENGTHS, Lengths, add_ranges, known_prices, scored_breakouts
 
 _BAR = ["date", "high", "low", "close"]
@@ -38,23 +39,44 @@ def _panel(bars: DataFrame, before: DataFrame, lengths: Lengths) -> DataFrame:
     return add_ranges(old.unionByName(new), ["symbol"], lengths)
 
 
+def _sums() -> list:
+    return [F.coalesce(F.sum("sd"), F.lit(0.0)).alias("sd_sum"), F.count("sd").alias("sd_count")]
+
+
+def _last_bars(bars: DataFrame, lengths: Lengths) -> DataFrame:
+    reach = max(lengths.sd, lengths.atr) - 1
+    kept = tail_rows(bars, reach, "symbol", "date").groupBy("symbol")
+    return kept.agg(F.array_sort(F.collect_list(F.struct(*_BAR))).alias("last"))
+
+
 def advance(bars: DataFrame, before: DataFrame, lengths: Lengths = LENGTHS) -> DataFrame:
     """The statistics after a day, from its bars (`history` columns) and the statistics before it.
 
     A symbol without bars on the day keeps its row. Symbols are known by name; a null name has none.
     """
     panel = _panel(bars.filter("symbol is not null"), before, lengths)
-    day = panel.filter(~F.col("_kept")).groupBy("symbol").agg(
-        F.max(F.to_date("date")).alias("day"),
-        F.coalesce(F.sum("sd"), F.lit(0.0)).alias("sd_sum"), F.count("sd").alias("sd_count"),
-    )
-    reach = max(lengths.sd, lengths.atr) - 1
-    last = tail_rows(panel, reach, "symbol", "date").groupBy("symbol").agg(
-        F.array_sort(F.collect_list(F.struct(*_BAR))).alias("last")
-    )
+    new = panel.filter(~F.col("_kept")).groupBy("symbol")
+    day = new.agg(F.max(F.to_date("date")).alias("day"), *_sums())
     names = before.columns
     rest = before.join(day.select("symbol"), "symbol", "left_anti")
-    return day.join(last, "symbol").select(*names).unionByName(rest.select(*names))
+    return day.join(_last_bars(panel, lengths), "symbol").select(*names).unionByName(rest.select(*names))
+
+
+def statistics_of(
+    history: DataFrame, as_of: date | str, blocks: Blocks | None = None, lengths: Lengths = LENGTHS
+) -> DataFrame:
+    """The statistics after a day from the whole history: what `advance` leads to day by day."""
+    kind = history.schema["date"].dataType
+    until = F.date_add(F.lit(str(as_of)).cast("date"), 1).cast(kind)
+    bars = known_prices(history.select("symbol", *_BAR)).filter((F.col("date") < until) & F.col("symbol").isNotNull())
+
+    def add(wide: DataFrame, partition: list[str]) -> DataFrame:
+        return add_ranges(wide, partition, lengths)
+
+    panel = over_lookback(bars, max(lengths.sd, lengths.atr) - 1, add, "symbol", "date", blocks)
+    daily = panel.groupBy("symbol", F.to_date("date").alias("day")).agg(*_sums())
+    last = latest_per_key(daily, "symbol", "day").join(_last_bars(bars, lengths), "symbol")
+    return last.select(*statistics_schema(history).names)
 
 
 def breakouts_of_day(
@@ -70,12 +92,14 @@ def read_statistics(spark: SparkSession, path: str, schema: StructType) -> DataF
     return spark.read.schema(schema).parquet(path)
 
 
-def keep_day(history: DataFrame, as_of: date | str, path: str, lengths: Lengths = LENGTHS) -> DataFrame:
+def keep_day(
+    history: DataFrame, as_of: date | str, path: str, blocks: Blocks | None = None, lengths: Lengths = LENGTHS
+) -> DataFrame:
     """Writes the statistics after a day to `path`/after=`as_of`, from the latest ones before it, and reads them.
 
-    The first call reads all days up to `as_of`, one after the other; a later one those that came since
-    the last. Calling it again for a day overwrites what it wrote. `history` may be stored by `day`, and
-    only the days needed are opened then.
+    The first call reads the whole history up to `as_of`; a later one the days that came since the last,
+    one after the other. Calling it again for a day overwrites what it wrote. `history` may be stored by
+    `day`, and only the days needed are opened then.
     """
     spark, schema = history.sparkSession, statistics_schema(history)
     day = F.col("day") if "day" in history.columns else F.to_date("date")
@@ -83,9 +107,12 @@ def keep_day(history: DataFrame, as_of: date | str, path: str, lengths: Lengths
     spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/after=0001-01-01")
     known = spark.read.schema(StructType(schema.fields[:]).add("after", "date")).parquet(path)
     last = known.filter(F.col("after") < wanted).agg(F.max("after")).first()[0]
-    since = F.lit(str(last or "0001-01-01")).cast("date")
+    if last is None:
+        after = statistics_of(history.filter(day <= wanted), as_of, blocks, lengths)
+        after.write.mode("overwrite").parquet(f"{path}/after={as_of}")
+        return read_statistics(spark, f"{path}/after={as_of}", schema)
+    since, folder = F.lit(str(last)).cast("date"), f"{path}/after={last}"
     days = [r[0] for r in history.filter((day > since) & (day <= wanted)).select(day.alias("d")).distinct().collect()]
-    folder = f"{path}/after={last or '0001-01-01'}"
     for each in sorted(days):
         bars = history.filter(day == F.lit(each)).drop("day")
         after = advance(bars, read_statistics(spark, folder, schema), lengths)

@@ -318,14 +318,15 @@ def breakout_scan_recent(spark, folder):
 
 @query("breakout_scan_from_statistics", _BREAKOUT)
 def breakout_scan_from_statistics(spark, folder):
-    """Statistics kept for all days before, the last of them added alone; then one day of bars is read."""
+    """Statistics of all days before the last two, then of each of these alone; then one day of bars is read."""
     base = shared_path(spark, "days")
     bars = t.bars_type(spark, folder).withColumnRenamed("start", "date")
     write_history(bars, f"{base}/history")
     history = spark.read.parquet(f"{base}/history")
     scanned = date.fromisoformat(AS_OF)
-    days.keep_day(history, scanned - timedelta(days=2), f"{base}/statistics")
-    before = days.keep_day(history, scanned - timedelta(days=1), f"{base}/statistics")
+    span = t.blocks(spark, folder)
+    days.keep_day(history, scanned - timedelta(days=3), f"{base}/statistics", span)
+    before = days.keep_day(history, scanned - timedelta(days=1), f"{base}/statistics", span)
     day = history.filter(F.col("day") == F.lit(AS_OF).cast("date")).drop("day")
     return rounded(days.breakouts_of_day(day, before, SD_FACTOR), natr=4)
 
