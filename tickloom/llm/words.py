@@ -19,6 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
+_powers: list[np.ndarray] = []
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, np.uint64)
 
 
@@ -38,17 +39,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A weight for each place in a span: odd numbers without a rule between them. A sum of bytes so weighted
-#: is the same for two given spans of a length with a chance of 2^-56 at most, whatever the spans are;
-#: with powers of one base in their place, long words that alternate by a rule would meet.
-_PLACES = 1 << 16
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, mod 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, CHUNK + (CHUNK >> 2))
+        inverse = pow(_BASE, -1, 1 << 64)
+        tables = []
+        for factor in (_BASE, inverse):
+            steps = np.full(size, factor, np.uint64)
+            steps[0] = 1
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        _powers[:] = tables
+    return _powers
 
 
-def _weight(place: np.ndarray) -> np.ndarray:
-    return mix(place.astype(np.uint64) * np.uint64(_BASE) + np.uint64(0x51ED270B)) | np.uint64(1)
+#: Spans of up to so many bytes are told apart by powers of one base. Over longer ones that would take for
+#: one what alternates by a rule: of 2^k bytes, the differences between two such spans have some k^2 / 2
+#: factors of two, all of the 64 from k = 10 on, and 35 at this length.
+SHORT = 128
+_weights = np.zeros(0, np.uint64)
 
 
-_weights = _weight(np.arange(_PLACES))
+def _weighted(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of long spans, each byte weighted by an odd number of its place; the numbers follow no rule.
+
+    Two given spans of a length meet with a chance of 2^-56 at most, whatever they are.
+    """
+    global _weights
+    if len(_weights) < size.max():
+        place = np.arange(max(int(size.max()), 1 << 12), dtype=np.uint64)
+        _weights = mix(place * np.uint64(_BASE) + np.uint64(0x51ED270B)) | np.uint64(1)
+    at = running(size)
+    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    terms = _BYTE[data[np.repeat(begin, size) + place]] * _weights[place]
+    return mix(np.add.reduceat(terms, at[:-1]) ^ mix(size.astype(np.uint64)))
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -58,15 +82,14 @@ def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     while i < len(begin):
         j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, "right")))
         low, high = int(begin[i]), int(end[j - 1])
-        b, e = begin[i:j] - low, end[i:j] - low
-        place = np.arange(high - low) - np.repeat(b, np.diff(b, append=high - low))
-        weight = _weights[np.minimum(place, _PLACES - 1)]
-        beyond = np.flatnonzero(place >= _PLACES)
-        if len(beyond):
-            weight[beyond] = _weight(place[beyond])
+        power, inverse = _power_tables(high - low + 1)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(_BYTE[data[low:high]] * weight, dtype=np.uint64, out=sums[1:])
-        out[i:j] = mix((sums[e] - sums[b]) ^ mix((e - b).astype(np.uint64)))
+        np.cumsum(_BYTE[data[low:high]] * power[: high - low], dtype=np.uint64, out=sums[1:])
+        b, e = begin[i:j] - low, end[i:j] - low
+        out[i:j] = mix((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64))
+        long = np.flatnonzero(e - b > SHORT)
+        if len(long):
+            out[i + long] = _weighted(data, begin[i + long], (e - b)[long])
         i = j
     return out
 
