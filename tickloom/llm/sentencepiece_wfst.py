@@ -25,12 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.parts import KEPT, Parts
+from tickloom.llm.parts import Parts
 from tickloom.llm.words import running, text_runs
 
 MARK = "▁"
 #: Pairs of pieces whose compatibility is kept; a bound on memory, not on results.
-PAIRS = 600_000
+PAIRS = 250_000
+#: Parts of texts whose ids a worker keeps; also a bound on memory only.
+PARTS = 600_000
 #: Above all symbols: pieces and characters.
 SYMBOLS = 1 << 32
 #: Ids decoded at once.
@@ -70,7 +72,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Transducer(Parts):
     """The compiled model of a SentencePiece file with byte fallback, merges and plain normaliser."""
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, kept: int = PARTS):
         import sentencepiece
 
         super().__init__(kept)
