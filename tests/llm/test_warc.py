@@ -5,6 +5,7 @@ import hashlib
 
 import pytest
 
+from tickloom.llm import queries
 from tickloom.llm.warc import assemble_captures, cut_records, page_records, read_warc, write_warc
 
 SCHEMA = "page_id long, url string, html string, value string, keep_id string"
@@ -98,3 +99,21 @@ def test_captures_by_either_direction(spark):
 def test_empty_table(spark, tmp_path):
     write_warc(spark.createDataFrame([], SCHEMA), str(tmp_path / "c"))
     assert read_warc(spark, str(tmp_path / "c")).collect() == []
+
+
+def test_archives_are_read_once(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://x/{i}", "p" * (1500 + i % 3)) for i in range(12)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    plans, cut = [], queries.cut_lineage
+
+    def seen(df, *rest):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df, *rest)
+
+    monkeypatch.setattr(queries, "cut_lineage", seen)
+    out = queries.op3_warc(spark, str(tmp_path))
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(plan.count("MapInArrow") for plan in plans) == 1
+    assert {r.page_id: (r.record_type, r.refers_to) for r in out.collect()} == {
+        i: ("response", None) if i > 8 else ("revisit", 9 + i % 3) for i in range(12)
+    }

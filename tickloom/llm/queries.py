@@ -87,7 +87,9 @@ REACH = """
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_warc(table(spark, folder, "pages"), path)
-    captures = assemble_captures(read_warc(spark, path, payloads=False)).select(
+    # Written once: a capture's three kinds of record would read the archives each.
+    records = cut_lineage(read_warc(spark, path, payloads=False))
+    captures = assemble_captures(records).select(
         "capture_id",
         F.regexp_extract(F.col("metadata.payload").cast("string"), r"page-id: (-?\d+)", 1)
         .try_cast("long")
