@@ -1,9 +1,11 @@
 """Held-out accuracy on the given tables and on made texts, and Kneser-Ney sums to one."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.helpers import ODD, docs_frame
 from tickloom.llm import toxicity as t
@@ -90,3 +92,25 @@ def test_no_labels_and_no_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     assert t.toxicity(empty, table).collect() == []
+
+
+def test_a_worker_looks_at_few_words_at_a_time(monkeypatch):
+    given, back = [], t.give_back
+    monkeypatch.setattr(t, "give_back", lambda: given.append(1) or back())
+    rng = np.random.default_rng(5)
+    size = 120_000
+    letters = rng.integers(97, 123, (size, 12), np.uint8)
+    letters[:, 9:] = 32
+    letters[rng.random(letters.shape) < 0.02] = 32
+    texts = pa.array([x.tobytes().decode().title() for x in letters.reshape(300, -1)] + [None, "", "Ünï " * 9])
+    keys = np.unique(rng.integers(0, 1 << 60, 3000))
+    model = t.fit_model(keys, np.ones(len(keys)), np.arange(len(keys)) % 3.0)
+    scorer = t.Scorer(model)
+    tracemalloc.start()
+    got = np.concatenate(list(scorer.log_evidence(texts, (1.0,))))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(given) >= 2
+    assert len(scorer.known) > 100_000 and most < 90 << 20
+    plain = np.concatenate([x for one in texts for x in t.Scorer(model).log_evidence(pa.array([one]), (1.0,))])
+    assert np.allclose(got, plain, rtol=1e-12)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.words import running, word_runs
+from tickloom.llm.words import Words, give_back, running, text_runs, word_runs
 from tickloom.session import cut_lineage
 
 ORDERS = (1, 2, 3, 5, 7, 10)  # lengths of counted sequences; each backs off to the one before
@@ -38,7 +38,10 @@ FLOOR = 0.01  # evidence by word that is as good as none
 SAMPLE = 10_000
 CALIBRATION = 4
 #: Words whose evidence a worker keeps; with more the store starts anew.
-KEPT = 1_500_000
+KEPT = 800_000
+#: Bytes of text, and words not met before, that are looked at together. Bounds on memory, not on results.
+CHUNK = 1 << 20
+TOGETHER = 1 << 14
 THRESHOLD = 0.7
 PRIOR = 0.2  # the share of toxic documents that scores assume
 
@@ -212,7 +215,7 @@ class Scorer:
 
     def log_evidence(self, column: pa.Array, levels: tuple[float, ...]) -> Iterator[np.ndarray]:
         """(rows, levels): logarithm of the evidence by word; a text without words has none."""
-        for words in word_runs(_lowered(column)):
+        for words in _lowered_runs(column):
             hashes, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
             if len(self.known) + len(hashes) > self.kept:
                 self.known, self.value = np.zeros(0, np.uint64), np.zeros(0)
@@ -220,9 +223,7 @@ class Scorer:
             new = at == len(self.known)
             new[~new] = self.known[at[~new]] != hashes[~new]
             if new.any():
-                begin, end = words.begin[first[new]], words.end[first[new]]
-                codes, word = word_codes(words.data, begin, end)
-                value = np.bincount(word, self.model.evidence(codes), len(begin))
+                value = self._of_words(words.data, words.begin[first[new]], words.end[first[new]])
                 known = np.concatenate([self.known, hashes[new]])
                 order = np.argsort(known, kind="stable")
                 self.known, self.value = known[order], np.concatenate([self.value, value])[order]
@@ -230,7 +231,19 @@ class Scorer:
             value = self.value[at][place]
             n = np.maximum(np.bincount(words.row, minlength=words.rows), 1)
             sums = [np.bincount(words.row, np.maximum(value - x, 0), words.rows) for x in levels]
-            yield np.log(FLOOR + np.stack(sums, axis=1) / n[:, None])
+            out = np.log(FLOOR + np.stack(sums, axis=1) / n[:, None])
+            del words, hashes, first, place, at, new, value, n, sums
+            give_back()
+            yield out
+
+
+    def _of_words(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = np.empty(len(begin))
+        for low in range(0, len(begin), TOGETHER):
+            some = slice(low, low + TOGETHER)
+            codes, word = word_codes(data, begin[some], end[some])
+            out[some] = np.bincount(word, self.model.evidence(codes), len(out[some]))
+        return out
 
 
 _scorers: dict[str, Scorer] = {}
@@ -244,8 +257,13 @@ def scorer_of(model: Model) -> Scorer:
     return _scorers[model.name]
 
 
-def _lowered(column: pa.Array) -> pa.Array:
-    return pc.utf8_lower(column.cast(pa.large_string()))
+def _lowered_runs(column: pa.Array) -> Iterator[Words]:
+    """Words in lower case, of some rows at a time: no copy of the whole column is made."""
+    for first, _, offsets in text_runs(column, CHUNK):
+        some = column.slice(first, len(offsets) - 1).cast(pa.large_string())
+        for words in word_runs(pc.utf8_lower(some), chunk=2 * CHUNK):
+            words.first += first
+            yield words
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
@@ -291,8 +309,9 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             toxic, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            for words in word_runs(_lowered(batch.column(0))):
+            for words in _lowered_runs(batch.column(0)):
                 _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
                 row = words.first + words.row
                 of, left = toxic[row], part[row] != 0

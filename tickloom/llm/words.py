@@ -5,13 +5,17 @@ Texts are handled in runs of rows of about CHUNK bytes, so memory follows the ru
 single text, not the batch.
 """
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK = 2 << 20
+#: Bytes that the tables of powers reach at least; they grow with the runs that a worker has seen.
+LEAST = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -39,10 +43,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Returns what freed arrays have left with this process to the system.
+
+    Workers live on from stage to stage, and what one stage's arrays have taken would stay with them.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, mod 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + (CHUNK >> 2))
+        size = max(n, LEAST) + (max(n, LEAST) >> 2)
         inverse = pow(_BASE, -1, 1 << 64)
         tables = []
         for factor in (_BASE, inverse):
