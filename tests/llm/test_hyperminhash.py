@@ -1,6 +1,7 @@
 """Components against all pairs of full sets, and the estimate against the true similarity."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -159,3 +160,14 @@ def test_words_that_differ_by_a_rule_are_different(spark):
 
 def test_empty_table(spark):
     assert h.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_registers_hash_few_at_a_time():
+    hashes = np.sort(np.random.default_rng(4).integers(0, 2**64, 3000, np.uint64))
+    row = np.repeat(np.arange(1000), 3)
+    tracemalloc.start()
+    got = h.registers(row, hashes, 1000, 1024)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 24 << 20
+    assert all(np.array_equal(got[i], h.registers(np.zeros(3, int), hashes[3 * i : 3 * i + 3], 1, 1024)[0]) for i in (0, 7, 999))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components, join_groups
-from tickloom.llm.words import Words, mix, running, windows, word_runs
+from tickloom.llm.words import Words, give_back, mix, running, windows, word_runs
 from tickloom.session import cut_lineage
 
 SHINGLE = 4
@@ -38,6 +38,9 @@ MARGIN = 0.16
 MASK = 16  # longs: sets of up to some hundred shingles are told apart well, larger ones less
 #: A node with more keys (an id with several texts) may bring a pair once for each key that it meets in.
 MOST_KEYS = 256
+#: Bytes of text, and hashes, that a worker looks at together. Bounds on memory, not on results.
+CHUNK = 1 << 20
+TOGETHER = 1 << 18
 _MASKS = [f"mask{i}" for i in range(MASK)]
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -68,7 +71,7 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 def registers(row: np.ndarray, hashes: np.ndarray, rows: int, copies: int) -> np.ndarray:
     """(rows, BUCKETS) registers of the sets given as sorted rows and hashes."""
     least = np.full(rows * BUCKETS, np.iinfo(np.uint64).max, np.uint64)
-    together = max(1, (1 << 20) // max(1, len(hashes)))
+    together = max(1, TOGETHER // max(1, len(hashes)))
     for low in range(0, copies, together):
         turn = np.arange(low + 1, min(copies, low + together) + 1, dtype=np.uint64) * _STEP
         each = mix(hashes[None, :] + turn[:, None])
@@ -135,9 +138,11 @@ def sign(docs: DataFrame, size: int, id_col: str, text_col: str, percent: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in word_runs(batch.column(2), lower=True):
+            for words in word_runs(batch.column(2), lower=True, chunk=CHUNK):
                 part = batch.slice(words.first, words.rows)
                 yield _signed(part.column(0), part.column(1), words, size, percent)
+                del part, words
+                give_back()
 
     return docs.select(*_wanted(id_col, text_col)).mapInArrow(run, SIGNED)
 
@@ -217,6 +222,7 @@ def bands(signed: DataFrame) -> DataFrame:
                         [pa.array(keys.ravel()), pa.array(np.repeat(node[there], keys.shape[1]))],
                         ["key", "node"],
                     )
+            give_back()
 
     return signed.select("node", "k", "regs", "regs_up").mapInArrow(run, "key long, node long")
 
@@ -245,6 +251,7 @@ def similar(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
                 got = estimate(_matrix(part.column(5)), _matrix(part.column(6)), n_a, n_b, k)
                 keep = pa.array(got >= percent / 100 - MARGIN)
                 yield part.select(["a", "b"]).filter(keep)
+            give_back()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -259,6 +266,7 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 yield part.select(["a", "b"]).filter(pa.array(_reach(part, size, percent)))
+            give_back()
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
@@ -268,7 +276,7 @@ def _reach(part: pa.RecordBatch, size: int, percent: int) -> np.ndarray:
     rows, hashes = [], []
     count = np.zeros(part.num_rows, np.int64)
     for column in (2, 3):
-        for words in word_runs(part.column(column), lower=True):
+        for words in word_runs(part.column(column), lower=True, chunk=CHUNK):
             row, found = shingles(words, size)
             rows.append(row + words.first)
             hashes.append(found)
