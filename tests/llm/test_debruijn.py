@@ -1,11 +1,14 @@
 """Removed words against a plain search for earlier windows."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import docs_frame, documents, plain_words
-from tickloom.llm import blocks
+from tickloom.llm import blocks, debruijn, words
 from tickloom.llm.debruijn import substring_dedup
 
 
@@ -75,3 +78,76 @@ def test_words_that_differ_by_a_rule_are_different(spark):
     rows = [(1, " ".join([one] * 20)), (2, " ".join([other] * 20)), (3, " ".join([one] * 20))]
     got = {r.doc_id: r.n_removed for r in substring_dedup(docs_frame(spark, rows)).collect()}
     assert got == {1: 0, 2: 0, 3: 20}
+
+
+NONE = np.zeros(0, np.int64)
+
+
+def block_of(rows):
+    ids, texts = zip(*rows)
+    rest = pa.array([{"c0": i} for i in range(len(rows))])
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), rest], ["doc_id", "text", "rest"])
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 1 << 20])
+def test_parts_of_a_block_know_of_each_other(monkeypatch, chunk):
+    monkeypatch.setattr(debruijn, "CHUNK", chunk)
+    for window, anchor in ((20, 8), (5, 2)):
+        rows = passages(window)
+        block = block_of(rows)
+        out = pa.Table.from_batches(list(debruijn._kept(block, window, anchor, NONE, NONE, NONE, NONE, NONE)))
+        got = list(zip(*(out.column(c).to_pylist() for c in ("doc_id", "text", "n_words", "n_removed", "kept_text"))))
+        assert got == [(i, t, *x) for (i, t), x in zip(rows, plain(rows, window))]
+        assert [x["c0"] for x in out.column("rest").to_pylist()] == list(range(len(rows)))
+        found = [debruijn._extremes(w.hash, (w.doc[w.of_row],), debruijn.EDGE) for w in debruijn.parts_of(block, window, anchor)]
+        edges, (first,) = debruijn._together(found, debruijn.EDGE)
+        assert np.all(edges[1:] > edges[:-1])
+        least = {}
+        for i, t in rows:
+            ws = plain_words(t)
+            for s in range(len(ws) - window + 1):
+                k = tuple(ws[s : s + window])
+                least[k] = min(least.get(k, debruijn.LAST), debruijn.LAST if i is None else i)
+        assert sorted(least.values()) == sorted(first.tolist())
+
+
+def test_a_worker_looks_at_a_part_of_a_block():
+    """Four megabytes of words of seven bytes, each document new but for a passage."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k:05d}" for k in range(40))
+    rows = [(i, " ".join(f"{rng.randrange(10**6):06d}" for _ in range(560)) + " " + passage) for i in range(1000)]
+    block = block_of(rows)
+    peaks = []
+    for work in (
+        lambda: [len(w.head) for w in debruijn.parts_of(block, 20, 8)],
+        lambda: sum(x.column("n_removed").to_numpy().sum() for x in debruijn._kept(block, 20, 8, NONE, NONE, NONE, NONE, NONE)),
+    ):
+        work()
+        tracemalloc.start()
+        got = work()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert got == 999 * 40
+    assert peaks[0] < 45 << 20 and peaks[1] < 90 << 20
+
+
+class Held:
+    """What other stages keep; it says when it goes."""
+
+    alive = 0
+
+    def __init__(self):
+        Held.alive += 1
+
+    def __del__(self):
+        Held.alive -= 1
+
+
+def test_blocks_end_what_other_stages_keep():
+    one = words.kept("one", Held)
+    assert words.kept("one", Held) is one and Held.alive == 1
+    del one
+    words.kept("two", Held)
+    assert list(words._kept) == ["two"] and Held.alive == 1
+    assert list(debruijn._blocks(iter([]))) == []
+    assert words._kept == {} and Held.alive == 0

@@ -1,5 +1,6 @@
 """Pieces against the tokenizer itself, and sequences against what packing must keep."""
 
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -9,7 +10,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import docs_frame, documents
-from tickloom.llm.byte_bpe import ByteBpe
+from tickloom.llm import words
+from tickloom.llm.byte_bpe import ByteBpe, byte_bpe
 from tickloom.llm.packing import pack, plan_packing
 from tickloom.llm.words import text_runs
 import pyarrow as pa
@@ -102,3 +104,12 @@ def test_empty_table_and_tiny_plans(spark):
         rank = np.concatenate([np.arange(n) for n in counts])
         sequence, offset = plan.place(length, rank)
         check_sequences(zip(sequence.tolist(), offset.tolist(), length.tolist()), len(counts) - 1)
+
+
+def test_a_worker_keeps_one_thing():
+    one = byte_bpe(PATH)
+    assert byte_bpe(PATH) is one
+    gone = weakref.ref(one)
+    del one
+    words.let_go()
+    assert gone() is None

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.words import give_back, let_go
 from tickloom.session import shared_path
 
 BLOCK = 4 << 20
@@ -83,9 +84,12 @@ def write_blocks(docs: DataFrame, doc_id: Column, text: Column, rest: list[str],
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.struct(*others).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for number, batch in in_blocks(batches, size):
             yield pa.record_batch(
                 [pa.array([number]), pa.array([pack_rows(batch)], pa.binary())], ["block", "payload"]
             )
+            del batch
+            give_back()
 
     return bucketed(rows.mapInArrow(run, "block long, payload binary"))

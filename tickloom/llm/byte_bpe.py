@@ -8,12 +8,11 @@ run is encoded once and kept for later runs.
 """
 
 import json
-from functools import lru_cache
 
 import numpy as np
 
 from tickloom.llm.parts import KEPT, Parts, spans_joined
-from tickloom.llm.words import SPACE
+from tickloom.llm.words import SPACE, kept
 
 
 #: ASCII letters 1, ASCII marks 2.
@@ -101,7 +100,6 @@ class ByteBpe(Parts):
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-@lru_cache(2)
 def byte_bpe(path: str) -> ByteBpe:
     """The worker's encoder for the file."""
-    return ByteBpe(path)
+    return kept(("byte_bpe", path), lambda: ByteBpe(path))

@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.llm.blocks import unpack_rows, write_blocks
-from tickloom.llm.words import Words, mix, polynomial, running, word_runs
+from tickloom.llm.words import Words, give_back, let_go, mix, polynomial, running, word_runs
 from tickloom.session import cut_lineage
 
 WINDOW = 20
 ANCHOR = 8
 LAST = 2**63 - 1
+#: Bytes of a block's text whose windows a worker looks at together. It bounds memory, not results.
+CHUNK = 1 << 20
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -44,7 +46,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """All windows of a block in text order, and the runs of windows that share an anchor."""
+    """All windows of some rows of a block in text order, and the runs of windows that share an anchor."""
 
     words: Words
     doc: np.ndarray  # of each row; rows without an id come after all
@@ -59,15 +61,23 @@ class Windows:
         return self.words.row[self.begin]
 
 
-def windows_of(payload: bytes, window: int, anchor: int) -> tuple[pa.RecordBatch, Windows]:
-    rows = unpack_rows(payload)
-    doc = rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
-    words = next(word_runs(rows.column(1), chunk=1 << 62))
+def parts_of(rows: pa.RecordBatch, window: int, anchor: int) -> Iterator[Windows]:
+    """The windows of a block's rows, of about CHUNK bytes of text at a time. No window spans two rows."""
+    doc = _starts(rows)
+    for words in word_runs(rows.column(1), chunk=CHUNK):
+        yield windows_of(words, doc[words.first : words.first + words.rows], window, anchor)
+
+
+def _starts(rows: pa.RecordBatch) -> np.ndarray:
+    return rows.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
+
+
+def windows_of(words: Words, doc: np.ndarray, window: int, anchor: int) -> Windows:
     hashes, n = words.hashes(), len(words.begin)
     none = np.zeros(0, np.int64)
     if n < window:
         empty = np.zeros(0, np.uint64)
-        return rows, Windows(words, doc, none, empty, empty, none, empty)
+        return Windows(words, doc, none, empty, empty, none, empty)
     begin = np.flatnonzero(words.row[: n - window + 1] == words.row[window - 1 :])
     small = mix(polynomial(hashes, anchor))
     least = sliding_min(small, window - anchor + 1)[begin]
@@ -79,7 +89,7 @@ def windows_of(payload: bytes, window: int, anchor: int) -> tuple[pa.RecordBatch
     other = running(mix(hashes + _OTHER) * _weights(n))
     low, high = begin[head], begin[ends] + window if len(head) else none
     digest = mix((other[high] - other[low]) * _weights(n, inverse=True)[low] + (high - low).astype(np.uint64))
-    return rows, Windows(words, doc, begin, mix(polynomial(hashes, window))[begin], least, head, digest)
+    return Windows(words, doc, begin, mix(polynomial(hashes, window))[begin], least, head, digest)
 
 
 def _weights(n: int, inverse: bool = False) -> np.ndarray:
@@ -102,6 +112,24 @@ def _groups(order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+RUN = (np.minimum, np.maximum, np.minimum)
+EDGE = (np.minimum,)
+
+
+def _extremes(keys: np.ndarray, values: tuple, least: tuple) -> tuple[np.ndarray, tuple]:
+    """The different keys, sorted, and of each one's values the extremes that `least` names."""
+    order, cut = _groups(keys)
+    if len(cut) == 0:
+        return keys, values
+    return keys[order][cut], tuple(f.reduceat(x[order], cut) for f, x in zip(least, values))
+
+
+def _together(found: list[tuple[np.ndarray, tuple]], least: tuple) -> tuple[np.ndarray, tuple]:
+    """Extremes of a block from those of its parts."""
+    keys = np.concatenate([x for x, _ in found])
+    return _extremes(keys, tuple(map(np.concatenate, zip(*[x for _, x in found]))), least)
+
+
 def _members(column: pa.Array, i: int) -> np.ndarray:
     if not column.is_valid()[i].as_py():
         return np.zeros(0, np.int64)
@@ -146,8 +174,8 @@ def substring_dedup(
 
     def anchors(batches):
         for number, payload, _ in _blocks(batches):
-            _, w = windows_of(payload, window, anchor)
-            yield _reported(number, anchor=np.unique(w.anchor[w.head]))
+            found = [np.unique(w.anchor[w.head]) for w in parts_of(unpack_rows(payload), window, anchor)]
+            yield _reported(number, anchor=np.unique(np.concatenate(found)))
 
     def per_block(rows: DataFrame, *columns: str) -> DataFrame:
         """One row per block with its reports as arrays: a block's size bounds them."""
@@ -160,19 +188,15 @@ def substring_dedup(
 
     def runs(batches):
         for number, payload, (known,) in _blocks(batches, 1):
-            _, w = windows_of(payload, window, anchor)
-            of_run = w.anchor[w.head].view(np.int64)
-            take, _ = _found_in(of_run, known)
-            of_run, digest = of_run[take], w.digest[take].view(np.int64)
-            doc = w.doc[w.of_row[w.head[take]]]
-            order, cut = _groups(of_run)
-            if len(cut):
-                yield _reported(
-                    number, anchor=of_run[order][cut],
-                    low=np.minimum.reduceat(digest[order], cut),
-                    high=np.maximum.reduceat(digest[order], cut),
-                    first=np.minimum.reduceat(doc[order], cut),
-                )
+            found = []
+            for w in parts_of(unpack_rows(payload), window, anchor):
+                of_run = w.anchor[w.head].view(np.int64)
+                take, _ = _found_in(of_run, known)
+                digest, doc = w.digest[take].view(np.int64), w.doc[w.of_row[w.head[take]]]
+                found.append(_extremes(of_run[take], (digest, digest, doc), RUN))
+            of_run, (low, high, first) = _together(found, RUN)
+            if len(of_run):
+                yield _reported(number, anchor=of_run, low=low, high=high, first=first)
 
     ran = table.join(met, "block").select("block", "payload", "anchor").mapInArrow(
         runs, "block long, anchor long, low long, high long, first long"
@@ -186,14 +210,14 @@ def substring_dedup(
 
     def single(batches):
         for number, payload, (known, _, branches) in _blocks(batches, 3):
-            _, w = windows_of(payload, window, anchor)
-            take, _ = _found_in(w.anchor.view(np.int64), known[branches.astype(bool)])
-            edge, doc = w.hash[take].view(np.int64), w.doc[w.of_row[take]]
-            order, cut = _groups(edge)
-            if len(cut):
-                yield _reported(
-                    number, edge=edge[order][cut], first=np.minimum.reduceat(doc[order], cut)
-                )
+            found = []
+            for w in parts_of(unpack_rows(payload), window, anchor):
+                take, _ = _found_in(w.anchor.view(np.int64), known[branches.astype(bool)])
+                doc = w.doc[w.of_row[take]]
+                found.append(_extremes(w.hash[take].view(np.int64), (doc,), EDGE))
+            edge, (first,) = _together(found, EDGE)
+            if len(edge):
+                yield _reported(number, edge=edge, first=first)
 
     edges = table.join(paths, "block").select("block", "payload", "anchor", "first", "branches").mapInArrow(
         single, "block long, edge long, first long"
@@ -206,9 +230,8 @@ def substring_dedup(
     edges = cut_lineage(per_block(edges, "edge", "first"))
 
     def finish(batches):
-        for _, payload, (known, first, branches, edge, edge_first) in _blocks(batches, 5):
-            rows, w = windows_of(payload, window, anchor)
-            yield _kept(rows, w, window, known, first, branches, edge, edge_first)
+        for _, payload, found in _blocks(batches, 5):
+            yield from _kept(unpack_rows(payload), window, anchor, *found)
 
     schema = T._parse_datatype_string(
         "doc_id long, n_words long, n_removed long, kept_text string, "
@@ -226,10 +249,12 @@ def substring_dedup(
 
 def _blocks(batches: Iterator[pa.RecordBatch], arrays: int = 0):
     """Block number, payload and the arrays that were found out about the block."""
+    let_go()
     for batch in batches:
         for i in range(batch.num_rows):
             found = [_members(batch.column(2 + k), i) for k in range(arrays)]
-            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), found
+            yield batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer(), found
+            give_back()
 
 
 def _reported(number: int, **columns: np.ndarray) -> pa.RecordBatch:
@@ -238,33 +263,61 @@ def _reported(number: int, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["block", *columns])
 
 
-def _kept(rows, w: Windows, window: int, known, first, branches, edge, edge_first) -> pa.RecordBatch:
+def _kept(
+    rows: pa.RecordBatch, window: int, anchor: int, known, first, branches, edge, edge_first
+) -> Iterator[pa.RecordBatch]:
     """The block's rows without the words that earlier windows cover."""
-    words, n = w.words, len(w.begin)
-    row = w.of_row
-    doc = w.doc[row]
-    earliest = np.full(n, LAST)
+    parts = []  # (words, begin, gone) of each
+    hashes, row = [], []  # of all windows of the block
+    for w in parts_of(rows, window, anchor):
+        of_row = w.of_row
+        gone = _earlier_elsewhere(w, w.doc[of_row], known, first, branches, edge, edge_first)
+        parts.append((w.words, w.begin, gone))
+        hashes.append(w.hash)
+        row.append(of_row + w.words.first)
+    again = _again(np.concatenate(hashes), np.concatenate(row), _starts(rows))
+    del hashes, row
+    done = 0
+    for words, begin, gone in parts:
+        gone |= again[done : done + len(gone)]
+        done += len(gone)
+        yield _without(rows.slice(words.first, words.rows), words, begin[gone], window)
+
+
+def _earlier_elsewhere(w: Windows, doc, known, first, branches, edge, edge_first) -> np.ndarray:
+    """Which windows an earlier document has; `doc` is the windows' own."""
+    earliest = np.full(len(w.begin), LAST)
     there, at = _found_in(w.anchor.view(np.int64), known)
     settled = there & ~branches.astype(bool)[at] if len(known) else there
     earliest[settled] = first[at[settled]]
     there, at = _found_in(w.hash.view(np.int64), edge)
     there &= ~settled
     earliest[there] = edge_first[at[there]]
-    gone = earliest < doc
-    # Windows that the block itself has several times.
-    order, cut = _groups(w.hash)
-    size = np.diff(np.append(cut, n))
-    again = np.repeat(size > 1, size)
-    if again.any():
-        of_group = np.repeat(np.arange(len(cut)), size)[again]
-        places = order[again]  # in text order within a group
-        low = np.minimum.reduceat(doc[order], cut)[of_group]
+    return earliest < doc
+
+
+def _again(hashes: np.ndarray, row: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows start earlier in the same block. `row`: of each window; `doc`: of each row."""
+    out = np.zeros(len(hashes), bool)
+    order, cut = _groups(hashes)
+    size = np.diff(np.append(cut, len(hashes)))
+    several = np.repeat(size > 1, size)
+    if several.any():
+        of_group = np.repeat(np.arange(len(cut)), size)[several]
+        places = order[several]  # in text order within a group
+        of_row = row[places]
         before = np.zeros(len(places), bool)
-        before[1:] = (of_group[1:] == of_group[:-1]) & (row[places][1:] == row[places][:-1])
-        gone[places] |= before | (low < doc[places])
+        before[1:] = (of_group[1:] == of_group[:-1]) & (of_row[1:] == of_row[:-1])
+        low = np.minimum.reduceat(doc[row[order]], cut)[of_group]
+        out[places] = before | (low < doc[of_row])
+    return out
+
+
+def _without(rows: pa.RecordBatch, words: Words, begin: np.ndarray, window: int) -> pa.RecordBatch:
+    """The rows without the words that windows beginning at `begin` cover."""
     cover = np.zeros(len(words.begin) + 1, np.int64)
-    np.add.at(cover, w.begin[gone], 1)
-    np.add.at(cover, w.begin[gone] + window, -1)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, begin + window, -1)
     removed = np.cumsum(cover)[:-1] > 0
     n_words = np.bincount(words.row, minlength=words.rows)
     n_removed = np.bincount(words.row[removed], minlength=words.rows)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.graph import components, join_groups
-from tickloom.llm.words import Words, give_back, mix, running, windows, word_runs
+from tickloom.llm.words import Words, give_back, let_go, mix, running, windows, word_runs
 from tickloom.session import cut_lineage
 
 SHINGLE = 4
@@ -137,6 +137,7 @@ def sign(docs: DataFrame, size: int, id_col: str, text_col: str, percent: int) -
     """Per row its set's size, a 128-bit digest of the set, and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for words in word_runs(batch.column(2), lower=True, chunk=CHUNK):
                 part = batch.slice(words.first, words.rows)
@@ -212,6 +213,7 @@ def bands(signed: DataFrame) -> DataFrame:
     """(key, node) for every band of every signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
                 node, k = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -245,6 +247,7 @@ def similar(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     ).toDF("a", "b", "k", "n_a", "n_b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
                 k, n_a, n_b = (part.column(c).to_numpy() for c in ("k", "n_a", "n_b"))
@@ -263,6 +266,7 @@ def linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
         return texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 yield part.select(["a", "b"]).filter(pa.array(_reach(part, size, percent)))

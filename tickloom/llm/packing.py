@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.byte_bpe import byte_bpe
-from tickloom.llm.words import text_runs
+from tickloom.llm.words import give_back, let_go, text_runs
 from tickloom.session import cut_lineage
 
 SIZE = 1024
 END_ID = 2
+#: Bytes of text that a worker encodes together. It bounds memory, not results.
+CHUNK = 1 << 20
 ROUNDS = 400  # of the least-squares fit
 _RANKS = np.int64(1) << 48  # more pieces than any length has
 
@@ -176,12 +178,14 @@ def cut_pieces(
         encoder, ranks = byte_bpe(tokenizer), np.zeros(size + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for first, data, offsets in text_runs(batch.column(1)):
+            for first, data, offsets in text_runs(batch.column(1), CHUNK):
                 tokens, at = encoder.encode(data, offsets)
                 yield _pieces(
                     batch.column(0).slice(first, len(offsets) - 1), tokens, at, size, end_id,
                     part, ranks, ids,
                 )
+                del tokens, at
+                give_back()
 
     wanted = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -260,6 +264,7 @@ def pack(
     schema = placed.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             sequence, offset = plan.value.place(length, rank)

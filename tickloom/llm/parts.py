@@ -7,7 +7,7 @@ import numpy as np
 from tickloom.llm.words import running, span_hashes
 
 #: Parts kept; with more the store starts anew. It bounds memory, not results.
-KEPT = 1_500_000
+KEPT = 800_000
 
 
 def spans_joined(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:

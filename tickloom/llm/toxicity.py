@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.llm.words import Words, give_back, running, text_runs, word_runs
+from tickloom.llm.words import Words, give_back, kept, let_go, running, text_runs, word_runs
 from tickloom.session import cut_lineage
 
 ORDERS = (1, 2, 3, 5, 7, 10)  # lengths of counted sequences; each backs off to the one before
@@ -246,15 +246,9 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer_of(model: Model) -> Scorer:
     """The worker's scorer for the model; one is kept."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+    return kept(("scorer", model.name), lambda: Scorer(model))
 
 
 def _lowered_runs(column: pa.Array) -> Iterator[Words]:
@@ -308,6 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     rows = cut_lineage(_sampled(docs, labels, training, sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             give_back()
             toxic, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))

@@ -6,9 +6,10 @@ single text, not the batch.
 """
 
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,23 @@ def give_back() -> None:
         trim(0)
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task under `key`. It keeps one thing at a time."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Ends what a worker has kept for other stages. Tasks that keep nothing begin with it."""
+    _kept.clear()
+    give_back()
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, mod 2^64."""
     if not _powers or len(_powers[0]) < n:
