@@ -1,6 +1,7 @@
 """Ids and texts against the library, the shortest path against plain merging."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pytest
 import sentencepiece
 
 from tests.llm.helpers import docs_frame, documents
-from tickloom.llm.sentencepiece_wfst import Transducer, decode, encode
+from tickloom.llm.sentencepiece_wfst import Transducer, _encoded, decode, encode
 from tickloom.llm.words import text_runs
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,3 +78,20 @@ def test_other_models_are_refused(tmp_path):
     with pytest.raises(ValueError):
         Transducer(str(other))
     assert np.all(Transducer(PATH).byte_ids == np.arange(3, 259))
+
+
+def test_memory_follows_the_run_not_the_batch(library):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("aehilnorstu", k=5)) for _ in range(500)]
+    all_texts = [" ".join(rng.choices(words, k=300)) for _ in range(4000)]  # 7 MB
+    batch = pa.record_batch([pa.array(range(4000)), pa.array(all_texts)], ["doc_id", "text"])
+    sum(part.num_rows for part in _encoded(iter([batch]), PATH))
+    tracemalloc.start()
+    done = 0
+    for part in _encoded(iter([batch]), PATH):
+        assert part.column(2)[0].as_py() == library.encode(all_texts[done])
+        done += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == 4000
+    assert peak < 20 << 20

@@ -26,17 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.parts import Parts
-from tickloom.llm.words import running, text_runs
+from tickloom.llm.words import give_back, running, text_runs
 
 MARK = "▁"
 #: Pairs of pieces whose compatibility is kept; a bound on memory, not on results.
 PAIRS = 250_000
 #: Parts of texts whose ids a worker keeps; also a bound on memory only.
-PARTS = 600_000
+PARTS = 400_000
+#: Bytes of text that a worker encodes together; a bound on memory as well.
+CHUNK = 1 << 19
 #: Above all symbols: pieces and characters.
 SYMBOLS = 1 << 32
 #: Ids decoded at once.
-DECODED = 1 << 18
+DECODED = 1 << 17
 
 #: Field numbers of the model file's protocol buffer that are read here.
 PIECE, TRAINER, NORMALISER = 1, 2, 3
@@ -228,6 +230,18 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    machine = transducer(model)
+    for batch in batches:
+        for first, data, offsets in text_runs(batch.column(1), CHUNK):
+            ids, at = machine.encoded(data, offsets)
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+            part = batch.slice(first, len(offsets) - 1)
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], ["doc_id", "text", "ids"])
+            del ids, at, lists, part
+            give_back()
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, ids) of every row, as the model file at `model` has them.
 
@@ -235,18 +249,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     null; an empty table gives no rows; other columns are not looked at.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model)
-        for batch in batches:
-            for first, data, offsets in text_runs(batch.column(1)):
-                ids, at = machine.encoded(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
-                part = batch.slice(first, len(offsets) - 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["doc_id", "text", "ids"])
-
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     key = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {key}, text string, ids array<int>")
+    return rows.mapInArrow(lambda batches: _encoded(batches, model), f"doc_id {key}, text string, ids array<int>")
 
 
 def _runs_of_ids(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -280,5 +285,7 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "d
                 raw, edges = data.tobytes(), offsets.tolist()
                 texts = [raw[b:e].decode("utf-8", "replace") for b, e in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, text_col])
+                del column, ids, at, data, offsets, raw, edges, texts
+            give_back()
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias(text_col)).schema)
