@@ -1,5 +1,7 @@
 """Pieces against the tokenizer itself, and sequences against what packing must keep."""
 
+import subprocess
+import sys
 import weakref
 import zlib
 from collections import defaultdict
@@ -10,6 +12,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import docs_frame, documents
+from tickloom.llm import byte_bpe as bpe
 from tickloom.llm import words
 from tickloom.llm.byte_bpe import ByteBpe, byte_bpe
 from tickloom.llm.packing import pack, plan_packing
@@ -52,6 +55,39 @@ def test_line_ends_before_letters(tokenizer):
             assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_full_store_keeps_what_is_met_again(tokenizer):
+    common = [f" common{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    encoder, seen = ByteBpe(PATH, 400), []
+    fresh = encoder.fresh
+
+    def looked_at(data, begin, end):
+        seen.extend(data[b:e].tobytes().decode() for b, e in zip(begin, end))
+        return fresh(data, begin, end)
+
+    encoder.fresh = looked_at
+    for run in range(30):
+        once = [f" once{chr(97 + run % 26)}{chr(97 + run // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)]
+        text = "".join(common + once)
+        _, data, offsets = next(text_runs(pa.array([text])))
+        ids, _ = encoder.encode(data, offsets)
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.known) <= 400
+    assert sum(x.startswith(" common") for x in seen) == 100
+    assert sum(x.startswith(" once") for x in seen) == 30 * 50
+
+
+def test_parts_encoded_in_stretches(tokenizer, monkeypatch):
+    texts = STRANGE * 2 + [t for _, t in documents()]
+    for stretch in (1, 7, 100):
+        monkeypatch.setattr(bpe, "STRETCH", stretch)
+        encoder = ByteBpe(PATH)
+        for first, data, offsets in text_runs(pa.array(texts)):
+            ids, at = encoder.encode(data, offsets)
+            for i in range(len(offsets) - 1):
+                want = tokenizer.encode(texts[first + i] or "", add_special_tokens=False).ids
+                assert ids[at[i] : at[i + 1]].tolist() == want
+
+
 def test_pack(spark, tokenizer):
     rows = documents(200) + [(None, "no id here"), (7, "seven again"), (7, "seven again")]
     size = 64
@@ -113,3 +149,18 @@ def test_a_worker_keeps_one_thing():
     del one
     words.let_go()
     assert gone() is None
+
+
+def test_a_worker_s_encoder_starts_no_threads():
+    code = f"""
+import os
+import numpy as np
+from tickloom.llm.byte_bpe import byte_bpe
+os.environ.pop("TOKENIZERS_PARALLELISM", None)
+encoder = byte_bpe({PATH!r})
+before = len(os.listdir("/proc/self/task"))
+data = np.frombuffer("".join(f" w{{i}} é{{i}}" for i in range(9000)).encode(), np.uint8)
+encoder.encode(data, np.array([0, len(data)]))
+assert len(os.listdir("/proc/self/task")) == before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=100)

@@ -8,6 +8,7 @@ run is encoded once and kept for later runs.
 """
 
 import json
+import os
 
 import numpy as np
 
@@ -15,6 +16,9 @@ from tickloom.llm.parts import KEPT, Parts, spans_joined
 from tickloom.llm.words import SPACE, kept
 
 
+#: Bytes of joined parts that the tokenizer takes as one text; it is slower on longer ones.
+STRETCH = 1 << 12
+
 #: ASCII letters 1, ASCII marks 2.
 _KIND = np.array(
     [1 if chr(b).isalpha() else 2 if 0x20 < b < 0x7F and not chr(b).isdigit() else 0 for b in range(128)]
@@ -45,8 +49,10 @@ def part_begins(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         solid[2:][e1 | e2 | math | wide] = False
     cut[1:] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & solid[:-1]
     # A run of letters ends before a mark, white space but for the space before a letter.
-    cut[1:] |= (_KIND[data[:-1]] == 1) & (_KIND[data[1:]] == 2)
-    line = (data[:-1] == 0x0A) & (_KIND[data[1:]] == 1)
+    kind = _KIND[data]
+    letter = kind == 1
+    cut[1:] |= letter[:-1] & (kind[1:] == 2)
+    line = (data[:-1] == 0x0A) & letter[1:]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     line[heads[heads > 0] - 1] = False
     cut[1:] |= line
@@ -83,8 +89,9 @@ class ByteBpe(Parts):
         # An ASCII letter, digit or mark ends the part: the next part's space is a cut.
         together = (data[begin] == 0x20) & (last > 0x20) & (last < 0x7F)
         text = spans_joined(data, begin[together], end[together])
-        ids = np.array(self._ids([text])[0] if text else [], np.uint32)
         ends = np.cumsum((end - begin)[together])
+        cuts = [0, *ends[np.flatnonzero(np.diff(ends // STRETCH, append=-1))].tolist()]
+        ids = np.array([i for x in self._ids([text[b:e] for b, e in zip(cuts, cuts[1:])]) for i in x], np.uint32)
         stops = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, "left") + 1
         alone = self._ids([data[b:e].tobytes() for b, e in zip(begin[~together], end[~together])])
         lengths = np.empty(len(begin), np.int64)
@@ -97,9 +104,14 @@ class ByteBpe(Parts):
 
     def _ids(self, parts: list[bytes]) -> list[list[int]]:
         texts = [x.decode("utf-8", "replace") for x in parts]
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def byte_bpe(path: str) -> ByteBpe:
-    """The worker's encoder for the file."""
+    """The worker's encoder for the file.
+
+    Tasks run side by side already: threads of the library's own in each worker take time from them, and
+    the memory that they have used stays with the worker.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return kept(("byte_bpe", path), lambda: ByteBpe(path))
